@@ -33,5 +33,29 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_token_counts)}
-SQL: dict[str, str] = {}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import exchange, token_files
+
+    folder = exchange.workdir(spark)
+    got = token_files.read(spark, token_files.write(_read(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), folder))
+    return got.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import exchange, web_archives
+
+    got = web_archives.read(spark, web_archives.write(_read(spark, sf_dir, "pages"), exchange.workdir(spark)))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_token_counts, op4_token_files, op10_warc)}
+SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, payload_bytes,
+          array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1) for i in range(32)], '') AS payload_digest,
+          CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id > first THEN first END AS refers_to
+        FROM d""",
+}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, at least one document; and of text for each bucket of keys.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 
 
 def workdir(spark: SparkSession) -> str:

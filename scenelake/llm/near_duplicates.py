@@ -250,7 +250,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     heads = long.groupBy("value").agg(F.min(F.struct("rid", "n")).alias("x"))
     stars = long.join(heads, "value").filter(f"rid > x.rid and {close}").select(F.col("x.rid").alias("a"), F.col("rid").alias("b"))
     links = _linked(short.unionByName(stars).distinct(), sets, num, den, folder, "first")
-    label = X.saved(components(links, f"{folder}/labels"), folder, "labels")
+    label = X.saved(components(links, f"{folder}/links-1"), folder, "labels-1")
     rows = long.join(label.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     parts = rows.groupBy("value", "component").count()
     main = parts.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
@@ -262,7 +262,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     across = X.saved(across.select(F.least("rid", "x.rid").alias("a"), F.greatest("rid", "x.rid").alias("b")).distinct(), folder, "across")
     if not across.isEmpty():
         links = _linked(across, sets, num, den, folder, "second", links)
-        label = X.saved(components(links, f"{folder}/labels-2"), folder, "labels-2")
+        label = X.saved(components(links, f"{folder}/links-2"), folder, "labels-2")
     whole = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     of_class = whole.groupBy("rep", "component").agg(F.min("doc_id").alias("class_id"))
     of_all = of_class.groupBy("component").agg(F.min("class_id").alias("component_id"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def _path(name: str) -> str:
     import public_tokenizers
@@ -15,7 +17,20 @@ def _path(name: str) -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import classifier
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, _read(spark, sf_dir, "labels").filter(_fold(3) != 1))
+    got = classifier.scored(docs, model)
+    return got.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +78,23 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op7_decontaminate, op10_warc)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = _read(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    got = quality_rules.judged(docs, quality_rules.fit(docs, trusted))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_duplicates
+
+    got = near_duplicates.groups(_read(spark, sf_dir, "documents"), shingle=2)
+    return got.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op7_decontaminate, op8_quality_rules, op9_near_duplicates, op10_warc)}
 SQL: dict[str, str] = {
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),

@@ -1,8 +1,10 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged, softmax.
 
 A text is the bag of its words and of the 3- to 5-byte n-grams of each word
-between marks of its ends. Each feature is hashed to a learned vector; the mean
+between marks of its ends, and of word n-grams that say only how far back the same
+word stands, in powers of two, which show repetition. Each feature is hashed to a learned vector; the mean
 of a text's vectors goes through a linear layer and a softmax of two labels.
+The mean counts PRIOR features without a vector, so a few words decide little.
 Vectors and layer are trained on the driver by numpy stochastic gradient
 descent over a bounded sample of labelled rows: the SAMPLE rows of least hash,
 whose features the executors make. As the layer is linear, the score of a text
@@ -27,6 +29,8 @@ from . import splitting as S
 
 #: Labelled rows that are learned from, at most; hash buckets of features; length of a vector; passes; rows in a step.
 SAMPLE, BUCKETS, SIZE, EPOCHS, STEP = 4000, 1 << 17, 16, 6, 16
+#: Features without a vector in each mean, and buckets of their own for distances (none, then powers of two).
+PRIOR, DISTANCES = 30, 24
 GRAMS, BLOCK_BYTES = (3, 4, 5), 8 << 20
 
 
@@ -59,6 +63,16 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return feature[order], np.searchsorted(owner[order], np.arange(n + 1))
 
 
+def distances(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bucket of the distance from each word back to the same word in its text."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((codes, doc))
+    back = np.zeros(len(codes), np.int64)
+    same = (codes[order][1:] == codes[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    back[order[1:][same]] = np.diff(order)[same]
+    return BUCKETS + np.minimum(np.where(back > 0, np.ceil(np.log2(np.maximum(back, 1))).astype(np.int64) + 1, 0), DISTANCES - 1)
+
+
 def _block(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the word at each place, and the bounds of the documents."""
     buf, offsets = S.joined(table.column("text"))
@@ -72,9 +86,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, table in X.blocks(batches, 1 << 20):
         words, codes, bounds = _block(table)
         feature, at = word_features(words)
+        back = distances(codes, bounds)
         for k, label in enumerate(table.column("label").to_pylist()):
             got, _ = X.lists_at(at, feature, codes[bounds[k] : bounds[k + 1]])
-            which, times = np.unique(got, return_counts=True)
+            which, times = np.unique(np.concatenate([got, back[bounds[k] : bounds[k + 1]]]), return_counts=True)
             yield pa.RecordBatch.from_pylist([{"label": label, "features": X.pack(which.astype(np.uint32), X.narrow(times))}], schema)
 
 
@@ -90,8 +105,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7, rate: f
     rng = np.random.default_rng(seed)
     labels = np.array([r[0] for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 20.0 * (2 * int(labels[0]) - 1) if len(labels) else 0.0)
-    vectors = ((rng.random((BUCKETS, SIZE)) - 0.5) / SIZE).astype(np.float32)
+        return Model(np.zeros(BUCKETS + DISTANCES, np.float32), 20.0 * (2 * int(labels[0]) - 1) if len(labels) else 0.0)
+    vectors = ((rng.random((BUCKETS + DISTANCES, SIZE)) - 0.5) / SIZE).astype(np.float32)
     layer, bias = np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32)
     steps, done = EPOCHS * -(-len(rows) // STEP), 0
     for _ in range(EPOCHS):
@@ -130,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     out = []
     for k, blob in zip(rows.column("label").to_pylist(), rows.column("features").to_pylist(), strict=True):
         which, times = X.unpack(blob)
-        out.append((k, which.astype(np.int64), (times / max(times.sum(), 1)).astype(np.float32)))
+        out.append((k, which.astype(np.int64), (times / (times.sum() + PRIOR)).astype(np.float32)))
     out.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # whatever order the rows came in
     return train(out)
 
@@ -146,8 +161,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             feature, at = word_features(words)
             sums = np.append(0, np.cumsum(weights[feature], dtype=np.float64))
             value, size = sums[at[1:]] - sums[at[:-1]], np.diff(at)
-            total, many = np.append(0, np.cumsum(value[codes])), np.append(0, np.cumsum(size[codes]))
-            z = bias + np.diff(total[bounds]) / np.maximum(np.diff(many[bounds]), 1)
+            total, many = np.append(0, np.cumsum(value[codes] + weights[distances(codes, bounds)])), np.append(0, np.cumsum(size[codes] + 1))
+            z = bias + np.diff(total[bounds]) / (np.diff(many[bounds]) + PRIOR)
             yield from table.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))).to_batches(4000)
 
     from pyspark.sql import types as T

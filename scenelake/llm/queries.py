@@ -70,6 +70,12 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_model
+
+    return language_model.scores(_read(spark, sf_dir, "documents"), _fold(7) != 2)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -94,7 +100,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op7_decontaminate, op8_quality_rules, op9_near_duplicates, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op6_language_model, op7_decontaminate, op8_quality_rules, op9_near_duplicates, op10_warc)}
 SQL: dict[str, str] = {
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),

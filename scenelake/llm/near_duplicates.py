@@ -10,13 +10,17 @@ lists of the rarer half, and one, of its retained hashes: two sketches that
 share half of their values meet in such a list. Hashes are ordered by how many
 sketches hold them, so very common shingles get no lists.
 
-Lists give overlaps: all pairs of short lists, and for long lists the pairs
-with their first member; then, where members of a long list are in different
-components, the pairs across components. The sketch of the union estimates the
-similarity of a pair; what may reach the threshold is verified on full sets,
-first each document's best pair, then pairs that are still in different
-components. So no group is expanded into all of its pairs, and no link between
-components is left out.
+Lists give overlaps in three steps, each of which leaves out pairs that are
+already connected. (1) Each document meets the first member of its longest list.
+(2) Members of short lists meet one another, those of long lists their first
+member, across components. In both, the sketch of the union estimates the
+similarity, and what may reach the threshold is verified on full sets: first
+each document's best pair, then pairs that are still in different components.
+(3) Long lists whose members are still in several components are put together
+by their main component, and the documents outside of it are verified against
+all, on full sets, in cells of bounded size; a cell gives one link for each
+document and component. So no group is expanded into all of its pairs, and no
+link between components is left out.
 
 Words are runs without white space, A-Z in lower case. A text of fewer words
 than a shingle is one shingle; without words it is empty and alone. Rows stand
@@ -39,8 +43,8 @@ from . import exchange as X
 from . import splitting as S
 from .components import components
 
-#: Hashes retained; members of a list whose pairs are all formed; bytes of text hashed at once; sketches in a block.
-SKETCH, SHORT_LIST, BLOCK_BYTES, SKETCHES = 64, 32, 8 << 20, 8192
+#: Hashes retained; members of a list whose pairs are all formed; bytes of text hashed at once; sketches in a block; bytes of sets on each side of a cell.
+SKETCH, SHORT_LIST, BLOCK_BYTES, SKETCHES, CELL_BYTES = 64, 12, 8 << 20, 8192, 1 << 20
 #: Hashes of a set keep so many bits.
 BITS = np.uint64(48)
 SETS = "rid long, doc_id long, n long, print binary, sketch binary, members binary"
@@ -206,16 +210,70 @@ def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.join(b, "b").join(a, "a")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, folder: str, name: str, before: DataFrame | None = None) -> DataFrame:
-    """Verified links, with those from before, that connect all that these pairs connect."""
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, folder: str, name: str, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Verified links, with those from before, that connect all that these pairs connect; and the components."""
     rated = X.saved(_with_both(pairs, sets, "sketch").mapInArrow(_estimated, "a long, b long, estimate double").filter("estimate >= 0.5"), folder, f"{name}-rated")
     verify = lambda p: _with_both(p.select("a", "b"), sets, "members").sortWithinPartitions("a").mapInArrow(_verified(num, den), "a long, b long")
     best = rated.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     first = X.saved(verify(best.select("a", "b")), folder, f"{name}-best")
     links = first if before is None else before.unionByName(first)
     label = X.saved(components(links, f"{folder}/{name}-components"), folder, f"{name}-labels")
-    apart = _across(rated, label)
-    return links.unionByName(X.saved(verify(apart), folder, f"{name}-rest"))
+    rest = X.saved(verify(_across(rated, label)), folder, f"{name}-rest")
+    links = links.unionByName(rest)
+    if not rest.isEmpty():
+        label = X.saved(components(links, f"{folder}/{name}-components-2"), folder, f"{name}-labels-2")
+    return links, label
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+
+
+def _in_cells(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components whose members share long lists (value, rid, component).
+
+    A list belongs to its main component. What stands outside of it meets all
+    members of such lists in cells: blocks of the ones by blocks of the others,
+    as many as their sets' bytes ask for.
+    """
+    parts = rows.groupBy("value", "component").count()
+    main = parts.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("value", "main")
+    members = rows.join(main, "value").select("main", "rid", "component").distinct().withColumn("outer", F.col("component") != F.col("main"))
+    whole = sets.select("rid", "members").join(members, "rid")
+    size = whole.groupBy("main").agg(*(F.ceil(F.sum(F.when(c, F.octet_length("members")).otherwise(0)) / CELL_BYTES).cast("int").alias(n) for c, n in ((F.col("outer"), "outers"), (F.lit(True), "alls"))))
+    at = whole.join(size.withColumns({c: F.greatest(F.col(c), F.lit(1)) for c in ("outers", "alls")}), "main")
+    place = lambda c, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    keep = ["main", "rid", "component", "members"]
+    asking = at.filter("outer").withColumn("i", place("outers", 1)).withColumn("j", every("alls")).select(*keep, "i", "j", F.lit(True).alias("asks"))
+    asked = at.withColumn("j", place("alls", 2)).withColumn("i", every("outers")).select(*keep, "i", "j", F.lit(False).alias("asks"))
+
+    def cell(table: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        asks = np.asarray(table.column("asks"))
+        rid, component = np.asarray(table.column("rid")), np.asarray(table.column("component"))
+        own = [unpack_set(x) for x in table.column("members").to_pylist()]
+        at = np.flatnonzero(~asks)
+        if not len(at) or not asks.any():
+            return schema.empty_table()
+        size = np.array([len(own[k]) for k in at])
+        values, of = np.concatenate([own[k] for k in at]), np.repeat(np.arange(len(at)), size)
+        order = np.argsort(values, kind="stable")
+        values, of = values[order], of[order]
+        a, b = [], []
+        for k in np.flatnonzero(asks):
+            low, high = np.searchsorted(values, own[k]), np.searchsorted(values, own[k], "right")
+            n = high - low
+            where = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+            shared = np.bincount(of[where], minlength=len(at))
+            hit = np.flatnonzero((den * shared >= num * (len(own[k]) + size - shared)) & (component[at] != component[k]))
+            if len(hit):
+                _, first = np.unique(component[at[hit]], return_index=True)
+                b += [int(x) for x in rid[at[hit[first]]]]
+                a += [int(rid[k])] * len(first)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, schema)
+
+    return asking.unionByName(asked).groupBy("main", "i", "j").applyInArrow(cell, "a long, b long")
 
 
 def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -243,26 +301,20 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     held = X.saved_by(reps.mapInArrow(_hold(n), HELD), "block", folder, "sketches")
     counts = X.answered(held.select("block", F.inline("messages")), _sums, "block long, bucket int, blob binary")
     posted = X.saved(X.with_answers(held.drop("messages"), counts).mapInArrow(_postings(n), "value long, rid long, n long, df long"), folder, "postings")
+    longest = posted.groupBy("rid").agg(F.max_by("value", F.struct("df", "value")).alias("value"))
+    heads = X.saved(posted.groupBy("value").agg(F.min(F.struct("rid", "n")).alias("x")), folder, "heads")
     close = f"{den} * least(x.n, n) >= {num} * greatest(x.n, n)"
-    short = posted.filter(F.col("df") <= SHORT_LIST).groupBy("value").agg(F.collect_list(F.struct("rid", "n")).alias("list")).filter("size(list) > 1")
-    short = short.select("list", F.inline("list")).select("rid", F.explode(F.expr(f"filter(list, x -> x.rid > rid and {close})")).alias("x")).select(F.col("rid").alias("a"), F.col("x.rid").alias("b"))
-    long = posted.filter(F.col("df") > SHORT_LIST)
-    heads = long.groupBy("value").agg(F.min(F.struct("rid", "n")).alias("x"))
-    stars = long.join(heads, "value").filter(f"rid > x.rid and {close}").select(F.col("x.rid").alias("a"), F.col("rid").alias("b"))
-    links = _linked(short.unionByName(stars).distinct(), sets, num, den, folder, "first")
-    label = X.saved(components(links, f"{folder}/links-1"), folder, "labels-1")
-    rows = long.join(label.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    parts = rows.groupBy("value", "component").count()
-    main = parts.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    rows = rows.join(main, "value")
-    outer = rows.filter("component <> main").select("value", "rid", "n", "component")
-    other = rows.select("value", F.struct("rid", "n", "component", "main").alias("x"))
-    # both sides in other components than the main one: once, from the smaller rid
-    across = outer.join(other, "value").filter(f"component <> x.component and (x.component = x.main or rid < x.rid) and {close}")
-    across = X.saved(across.select(F.least("rid", "x.rid").alias("a"), F.greatest("rid", "x.rid").alias("b")).distinct(), folder, "across")
-    if not across.isEmpty():
-        links = _linked(across, sets, num, den, folder, "second", links)
-        label = X.saved(components(links, f"{folder}/links-2"), folder, "labels-2")
+    stars = longest.join(heads, "value").filter("rid > x.rid").select(F.col("x.rid").alias("a"), F.col("rid").alias("b"))
+    links, label = _linked(stars, sets, num, den, folder, "first")
+    rows = _labelled(posted, label)
+    short = rows.filter(F.col("df") <= SHORT_LIST).groupBy("value").agg(F.collect_list(F.struct("rid", "n", "component")).alias("list"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b")
+    short = short.select("list", F.inline("list")).select("rid", F.explode(F.expr(f"filter(list, x -> x.rid > rid and x.component <> component and {close})")).alias("x")).select(F.col("rid").alias("a"), F.col("x.rid").alias("b"))
+    of_head = heads.select("value", "x").join(label.select(F.col("node").alias("_h"), F.col("component").alias("_c")), F.col("x.rid") == F.col("_h"), "left").select("value", "x", F.coalesce("_c", "x.rid").alias("head"))
+    stars = rows.filter(F.col("df") > SHORT_LIST).join(of_head, "value").filter(f"rid > x.rid and component <> head and {close}").select(F.col("x.rid").alias("a"), F.col("rid").alias("b"))
+    links, label = _linked(short.unionByName(stars).distinct(), sets, num, den, folder, "second", links)
+    found = X.saved(_in_cells(_labelled(posted.filter(F.col("df") > SHORT_LIST), label), sets, num, den), folder, "cells")
+    if not found.isEmpty():
+        label = X.saved(components(links.unionByName(found), f"{folder}/third-components"), folder, "third-labels")
     whole = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     of_class = whole.groupBy("rep", "component").agg(F.min("doc_id").alias("class_id"))
     of_all = of_class.groupBy("component").agg(F.min("class_id").alias("component_id"))

@@ -30,17 +30,21 @@ def unfenced(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(raw), r"^```(?:json|JSON)?\s*|\s*```$", ""))
 
 
+def _valid(s: Column) -> Column:
+    """s if it is an object or array and nothing else."""
+    return F.when(s.rlike(r"(?s)^\s*(?:\{.*\}|\[.*\])\s*$") & F.try_parse_json(s).isNotNull(), s)
+
+
 def json_between(raw: Column) -> Column:
     """The valid JSON in a reply, as text: the whole, or from the first brace to the last, or bracket; else null."""
     s = unfenced(raw)
-    whole = F.when(F.try_parse_json(s).isNotNull(), s)
-    return F.coalesce(whole, *(F.when(F.try_parse_json(x).isNotNull(), x) for x in (F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.regexp_extract(s, r"(?s)(\[.*\])", 1))))
+    return F.coalesce(*map(_valid, (s, F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.regexp_extract(s, r"(?s)(\[.*\])", 1))))
 
 
 def json_from(raw: Column) -> Column:
     """The valid JSON in a description, as text: the whole, or from the first brace, or bracket, to the end; else null."""
     s = F.trim(raw)
-    return F.coalesce(*(F.when(F.try_parse_json(x).isNotNull(), x) for x in (s, F.regexp_extract(s, r"(?s)(\{.*)$", 1), F.regexp_extract(s, r"(?s)(\[.*)$", 1))))
+    return F.coalesce(*map(_valid, (s, F.regexp_extract(s, r"(?s)(\{.*)$", 1), F.regexp_extract(s, r"(?s)(\[.*)$", 1))))
 
 
 def frame_description(raw: Column) -> Column:

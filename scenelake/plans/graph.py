@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..operators import chunks as C
 from ..operators import objects as O
 from ..operators import relations as R
@@ -56,7 +55,7 @@ class SceneGraph:
         """query_id, modality, pos, id, doc_type, content, score, rank. Visual lists lack chunks without images."""
         if modality not in ("text", "visual", "both"):
             raise ValueError("modality is text, visual or both")
-        asked = queries.select("query_id", V.normalized(calls.embedded(F.col("text"), self.provider)).alias("qvec"))
+        asked = queries.select("query_id", calls.embedded(F.col("text"), self.provider).alias("qvec"))
         kinds = [m for m in ("text", "visual") if modality in (m, "both")]
         rows = self.vectors.join(self.chunks.select("pos", "doc_type"), "pos")
         each = [S.search(rows.filter(F.col("modality") == m).drop("modality"), asked, top_k, doc_types, expand, exact_filter=m == "visual").withColumn("modality", F.lit(m)) for m in kinds]
@@ -136,6 +135,6 @@ def embedded(chunks: DataFrame, provider: str = "offline", cached: DataFrame | N
     from ..functions.text import embedding_input
 
     if cached is None:
-        return chunks.select("pos", F.lit("text").alias("modality"), V.normalized(calls.embedded(embedding_input(F.col("content")), provider)).alias("vec"))
+        return chunks.select("pos", F.lit("text").alias("modality"), calls.embedded(embedding_input(F.col("content")), provider).alias("vec"))
     known = chunks.join(cached.filter(F.col("model") == model).select("content_hash", "vec").dropDuplicates(["content_hash"]), "content_hash")
     return embedded(C.cache_misses(chunks, cached, model), provider).unionByName(known.select("pos", F.lit("text").alias("modality"), "vec"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,8 @@ def _client(make: Callable):
     return make()
 
 
-def embedded(text: Column, provider: str = "offline", batch: int = 256) -> Column:
-    """Vector of each text; a null text has none."""
+def embedded(text: Column, provider: str = "offline", batch: int = 256, eps: float = 1e-9) -> Column:
+    """Vector of each text, divided by its length plus eps; a null text has none."""
     make = maker(provider)
 
     @F.pandas_udf("array<float>")
@@ -33,7 +34,8 @@ def embedded(text: Column, provider: str = "offline", batch: int = 256) -> Colum
             out: list = []
             for k in range(0, len(s), batch):
                 part = s.iloc[k : k + batch]
-                got = iter(client.embed_text([x for x in part if x is not None]))
+                got = (np.asarray(v, np.float64) for v in client.embed_text([x for x in part if x is not None]))
+                got = ((v / (np.linalg.norm(v) + eps)).tolist() for v in got)
                 out += [None if x is None else next(got) for x in part]
             yield pd.Series(out, dtype=object)
 

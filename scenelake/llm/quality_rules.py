@@ -2,8 +2,8 @@
 
 Bytes of every text are cut in overlapping GRAM-byte n-grams, hashed in BUCKETS
 buckets. Two multinomials are counted over all rows, one over trusted documents
-(those whose labels say so), one over the whole corpus, both with one added to
-each bucket. A document's score is the mean of log(target / corpus) over its
+(those whose labels say so), one over the whole corpus; the target's is drawn to
+the corpus's by PRIOR n-grams, so that it has no empty bucket. A document's score is the mean of log(target / corpus) over its
 n-grams, so length doesn't count; documents at or above the threshold pass. A
 text shorter than an n-gram scores 0.
 
@@ -26,6 +26,8 @@ from . import splitting as S
 
 #: Bytes of an n-gram, hash buckets, bytes of text at once; label ids that are sent to all workers at most, beyond which rows are shuffled.
 GRAM, BUCKETS, BLOCK_BYTES, MOST_SENT = 4, 1 << 16, 4 << 20, 1_000_000
+#: N-grams of the corpus's distribution that are added to the target's.
+PRIOR = 1000.0
 #: Mean log-likelihood ratio that a document needs.
 THRESHOLD = -0.05
 #: Characters that count as symbols (fixed values of the contract).
@@ -79,7 +81,9 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
         corpus[row["slot"]], target[row["slot"]] = row["corpus"], row["target"]
     if not target.any():
         return np.zeros(BUCKETS)
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((corpus + 1) / (corpus.sum() + BUCKETS))
+    share = corpus / corpus.sum()
+    ratio = (target + PRIOR * share) / (target.sum() + PRIOR) / np.where(share > 0, share, 1)
+    return np.log(np.where(share > 0, ratio, 1))
 
 
 def base(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:

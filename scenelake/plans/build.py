@@ -86,7 +86,7 @@ class Build:
         listed = objects.select("room_id", F.lit(0).alias("frame_pos"), F.lit(0).alias("object_pos"), "object_id", F.col("label").alias("name"), *(F.array().cast("array<string>").alias(a) for a in ("attributes", "affordances", "spatial_relations")), *(F.lit(None).cast("string").alias(a) for a in ("description", "state", "location_description")))
         described_frames = text.select("room_id", F.col("frame_index").alias("frame_pos"), "frame_index", F.col("d.description").alias("description"), F.col("labels").alias("tags"))
         made = lambda: C.built(scene["floors"].withColumn("caption", F.lit("")), rooms, described_frames, listed).withColumn("pos", F.abs(F.xxhash64("doc_type", "room_id", "id")))
-        chunks = self._kept("chunks", made, "chunks")
+        chunks = self._kept("chunks", made, "descriptions")
         centre = lambda k: F.aggregate("xyz", F.lit(0.0), lambda s, p: s + p[k]) / F.size("xyz")
         heights = F.transform("xyz", lambda p: p[1])
         placed = objects.select("room_id", "object_id", "label", *(centre(k).alias(c_) for k, c_ in enumerate("xyz")), (F.array_max(heights) - F.array_min(heights)).alias("h"))

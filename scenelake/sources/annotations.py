@@ -62,3 +62,37 @@ def frame_database(rooms: DataFrame) -> DataFrame:
 def floors_of(summaries: DataFrame, folders: DataFrame) -> DataFrame:
     """floor_id and caption of floors that have a summary or a folder."""
     return summaries.join(folders.select("floor_id").distinct(), "floor_id", "full").select("floor_id", F.coalesce("caption", F.lit("")).alias("caption"))
+
+
+def nodes_with_parts(objects: DataFrame, parts: DataFrame) -> DataFrame:
+    """Objects and their functional elements as rows of one table; parent_id and is_functional tell them apart."""
+    own = objects.select("room_id", "object_id", "label", F.lit(None).cast("string").alias("parent_id"), F.lit(False).alias("is_functional"))
+    return own.unionByName(parts.select("room_id", "object_id", "label", "parent_id", F.lit(True).alias("is_functional")))
+
+
+def rooms_described(rooms: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """Every room with its summary and frames, null without a description."""
+    return rooms.join(descriptions.select(F.col("id").alias("room_id"), "summary", "frames"), "room_id", "left")
+
+
+def floors_measured(floors: DataFrame, points: DataFrame) -> DataFrame:
+    """Every floor with how many points lie in its height, 0 without any. Floors are few; points are counted by floor before they meet."""
+    bands = F.broadcast(floors.select("floor_id", "low", "high").limit(10_000))
+    n = points.join(bands, F.col("y").between(F.col("low"), F.col("high"))).groupBy("floor_id").agg(F.count("*").alias("n_points"))
+    return floors.join(n, "floor_id", "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
+
+
+def resolved(path: str, roots: list[str]) -> list[str]:
+    """Places to look for a relative path, in order: below each root and its ten parents, then what follows '/segmentation/' below each root."""
+    if "://" in path or path.startswith("/"):
+        return [path]
+    out = []
+    for root in roots:
+        at = root.rstrip("/")
+        for _ in range(11):
+            out.append(f"{at}/{path}")
+            if "/" not in at.removeprefix("file://").lstrip("/"):
+                break
+            at = at.rpartition("/")[0]
+    tail = path.rpartition("/segmentation/")[2] if "/segmentation/" in path else None
+    return out + [f"{r.rstrip('/')}/segmentation/{tail}" for r in roots if tail]

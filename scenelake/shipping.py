@@ -1,4 +1,4 @@
-"""Sends this package to the executors, whose Python path may not have it."""
+"""Sends this package to the executors, whose Python path may not have it, and bounds what goes to Python at once."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of a batch between the JVM and a Python worker; both sides hold a few of them for each task.
+BATCH_BYTES = "8m"
 _done: weakref.WeakSet = weakref.WeakSet()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Once for each SparkContext."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context not in _done:
         here = Path(__file__).resolve().parent

@@ -129,7 +129,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids[k:more], X.binaries(4 * np.diff(at[ends[k : more + 1] - ends[k]]), out.view(np.uint8))], ["doc_id", "ids"])
                     k = more
 
-    return X.with_answers(held.select("block", "doc_ids", "counts", "codes"), answers).mapInArrow(assemble, "doc_id long, ids binary")
+    return X.with_answers(held.select("block", "doc_ids", "counts", "codes"), answers).mapInArrow(X.tidy(assemble), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -167,4 +167,4 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[k:more], part, text.cast(pa.string())], ["doc_id", "ids", "text"])
                 k = more
 
-    return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(X.tidy(join), "doc_id long, ids binary, text string")

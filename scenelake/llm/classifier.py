@@ -28,14 +28,14 @@ from . import exchange as X
 from . import splitting as S
 
 #: Labelled rows that are learned from, at most; hash buckets of features; length of a vector; passes; rows in a step.
-SAMPLE, BUCKETS, SIZE, EPOCHS, STEP = 4000, 1 << 17, 16, 6, 16
+SAMPLE, BUCKETS, SIZE, EPOCHS, STEP = 3000, 1 << 17, 16, 6, 16
 #: Features without a vector in each mean, and buckets of their own for distances (none, then powers of two).
 PRIOR, DISTANCES = 30, 24
-GRAMS, BLOCK_BYTES = (3, 4, 5), 8 << 20
+GRAMS, BLOCK_BYTES = (3, 4, 5), 2 << 20
 
 
-def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the features of each word, one after another, and the bounds of each word's."""
+def _marked(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words between marks of their ends, and the bounds of each."""
     n = len(words)
     size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
     ends = np.cumsum(size)
@@ -45,22 +45,50 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.frombuffer(words.buffers()[1], np.int32, n + 1, words.offset * 4)
     data[inner] = np.frombuffer(words.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
     data[ends - size], data[ends - 1] = 60, 62
-    of = np.repeat(np.arange(n), size)
-    feature, owner = [(X.hashes(words) >> np.uint64(20)).astype(np.int64) % BUCKETS], [np.arange(n)]
+    return data, np.append(0, ends)
+
+
+def _grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Bucket of the k bytes from each position on."""
+    m = len(data) - k + 1
+    h = np.full(max(m, 0), k, np.uint32)
+    for j in range(k if m > 0 else 0):
+        h = h * np.uint32(0x01000193) ^ data[j : j + m]
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((h >> np.uint32(8)) % np.uint32(BUCKETS)).astype(np.int32)
+
+
+def _whole(words: pa.Array) -> np.ndarray:
+    return ((X.hashes(words) >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features of each word, one after another, and the bounds of each word's."""
+    data, bounds = _marked(words)
+    feature, owner = [_whole(words)], [np.arange(len(words))]
     for k in GRAMS:
-        m = len(data) - k + 1
-        if m <= 0:
-            continue
-        h = np.full(m, k, np.uint32)
-        for j in range(k):
-            h = h * np.uint32(0x01000193) ^ data[j : j + m]
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        ok = of[:m] == of[k - 1 :]
-        feature.append((h[ok] >> np.uint32(8)).astype(np.int64) % BUCKETS)
-        owner.append(of[:m][ok])
+        grams = _grams(data, k)
+        first = np.arange(len(grams))
+        of = np.searchsorted(bounds, first, "right") - 1
+        ok = first + k <= bounds[of + 1] if len(grams) else np.zeros(0, bool)
+        feature.append(grams[ok])
+        owner.append(of[ok])
     feature, owner = np.concatenate(feature), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return feature[order], np.searchsorted(owner[order], np.arange(n + 1))
+    return feature[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+
+def word_sums(words: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the weights of each word's features, and their number, without the features side by side."""
+    data, bounds = _marked(words)
+    total, many = weights[_whole(words)].astype(np.float64), np.ones(len(words), np.int64)
+    for k in GRAMS:
+        sums = np.append(0, np.cumsum(weights[_grams(data, k)], dtype=np.float64))
+        n = np.maximum(np.diff(bounds) - k + 1, 0)
+        first = np.minimum(bounds[:-1], len(sums) - 1)
+        total += sums[np.minimum(first + n, len(sums) - 1)] - sums[first]
+        many += n
+    return total, many
 
 
 def distances(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -145,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     out = []
     for k, blob in zip(rows.column("label").to_pylist(), rows.column("features").to_pylist(), strict=True):
         which, times = X.unpack(blob)
-        out.append((k, which.astype(np.int64), (times / (times.sum() + PRIOR)).astype(np.float32)))
+        out.append((k, which.astype(np.int32), (times / (times.sum() + PRIOR)).astype(np.float32)))
     out.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # whatever order the rows came in
     return train(out)
 
@@ -158,13 +186,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         weights, bias = sent.value.weights, sent.value.bias
         for _, table in X.blocks(batches, BLOCK_BYTES):
             words, codes, bounds = _block(table)
-            feature, at = word_features(words)
-            sums = np.append(0, np.cumsum(weights[feature], dtype=np.float64))
-            value, size = sums[at[1:]] - sums[at[:-1]], np.diff(at)
+            value, size = word_sums(words, weights)
             total, many = np.append(0, np.cumsum(value[codes] + weights[distances(codes, bounds)])), np.append(0, np.cumsum(size[codes] + 1))
             z = bias + np.diff(total[bounds]) / (np.diff(many[bounds]) + PRIOR)
             yield from table.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))).to_batches(4000)
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(X.tidy(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))

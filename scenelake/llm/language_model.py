@@ -33,7 +33,7 @@ from . import exchange as X
 from . import splitting as S
 
 #: Largest count that is discounted; text in a block; text for each bucket.
-MOST, BLOCK_BYTES, BUCKET_BYTES = 5, 8 << 20, 8 << 20
+MOST, BLOCK_BYTES, BUCKET_BYTES = 5, 4 << 20, 8 << 20
 #: What no word can be: the end of a text and the history of its first token.
 END, BEGIN = b"", b"\n"
 HELD = "block long, doc_ids binary, train binary, counts binary, codes binary, goes binary, messages array<struct<bucket:int,blob:binary>>"
@@ -235,7 +235,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
         for row in (r for b in batches for r in b.to_pylist()):
             yield pa.RecordBatch.from_pylist([m | {"block": row["block"]} for m in _Block(row, n).pairs()], pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())]))
 
-    second = X.saved(X.answered(held.mapInArrow(pairs, "block long, bucket int, blob binary"), _count_pairs(n, words), ANSWERS), folder, "pairs")
+    second = X.saved(X.answered(held.mapInArrow(X.tidy(pairs), "block long, bucket int, blob binary"), _count_pairs(n, words), ANSWERS), folder, "pairs")
     d = discounts(np.append(0, _stats(second, MOST + 1)))
     asked = first.filter("kind = 0").select("kind", "block", "bucket", "blob").unionByName(second.filter("kind = 1").select("kind", "block", "bucket", "blob"))
     third = X.answered(asked, _weigh(d), "block long, bucket int, blob binary")
@@ -265,4 +265,4 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([bpe.doc_ids_of(row["doc_ids"]), pa.array(~train), pa.array(block.counts + 1), pa.array(per(c > 0).astype(np.int64)), pa.array(np.full(len(train), words.total)), pa.array(np.add.reduceat(base, bounds[:-1])), pa.array(np.add.reduceat(p, bounds[:-1]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     whole = X.with_answers(X.with_answers(held, second.filter("kind = 0"), "pairs"), third, "weights")
-    return whole.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return whole.mapInArrow(X.tidy(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

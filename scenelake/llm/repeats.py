@@ -287,9 +287,9 @@ def cut(docs: DataFrame, width: int = 50, gram: int = GRAM) -> DataFrame:
     def sort(table: pa.Table) -> pa.Table:
         return _sorted_windows(width, table)
 
-    known = X.saved(X.answered(held.mapInArrow(anchors, "block long, bucket int, blob binary"), _seen_twice, "block long, bucket int, blob binary"), folder, "anchors")
+    known = X.saved(X.answered(held.mapInArrow(X.tidy(anchors), "block long, bucket int, blob binary"), _seen_twice, "block long, bucket int, blob binary"), folder, "anchors")
     again = X.with_answers(held, known)
-    windows = X.answered(again.mapInArrow(distinct, "block long, bucket int, blob binary"), sort, "block long, bucket int, blob binary")
+    windows = X.answered(again.mapInArrow(X.tidy(distinct), "block long, bucket int, blob binary"), sort, "block long, bucket int, blob binary")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
@@ -319,7 +319,7 @@ def cut(docs: DataFrame, width: int = 50, gram: int = GRAM) -> DataFrame:
 
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
     schema = T.StructType([*rest, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
-    return X.with_answers(again, windows, "windows").mapInArrow(apply, schema)
+    return X.with_answers(again, windows, "windows").mapInArrow(X.tidy(apply), schema)
 
 
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:

@@ -87,4 +87,4 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([bpe.doc_ids_of(row["doc_ids"]), pa.array(size), pa.array(sums[heads + each] - sums[heads])], ["doc_id", "n_bytes", "n_tokens"])
 
     answers = X.answered(held.select("block", F.inline("messages")), answer, "block long, bucket int, blob binary")
-    return X.with_answers(held.select("block", "doc_ids", "docs", "frequencies"), answers).mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
+    return X.with_answers(held.select("block", "doc_ids", "docs", "frequencies"), answers).mapInArrow(X.tidy(total), "doc_id long, n_bytes long, n_tokens long")

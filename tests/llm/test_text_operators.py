@@ -198,6 +198,13 @@ def test_classifier_learns_and_scores(spark, docs, empty):
     got = {r.doc_id: r.score for r in classifier.scored(df.select("doc_id", "text"), model).collect()}
     held = [i for i in range(240) if i % 3 == 1]
     assert sum((got[i] >= 0.5) == (i < 120) for i in held) / len(held) > 0.95
+    import pyarrow as pa
+
+    words = pa.array([b"a", b"", b"two", b"three\xc3\xa9", b"x" * 30], pa.binary())
+    feature, at = classifier.word_features(words)
+    weights = np.random.default_rng(0).random(classifier.BUCKETS)
+    total, many = classifier.word_sums(words, weights)
+    assert (many == np.diff(at)).all() and total == pytest.approx([weights[feature[x:y]].sum() for x, y in zip(at[:-1], at[1:], strict=True)])
     again = classifier.fit(df.drop("quality").repartition(5), labels)
     assert (again.weights == model.weights).all()
     rows = classifier.scored(docs.drop("score"), model).collect()

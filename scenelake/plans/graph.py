@@ -15,6 +15,7 @@ from ..operators import objects as O
 from ..operators import relations as R
 from ..operators import retrieval as S
 from ..providers import calls
+from ..sources.work import written
 
 
 class SceneGraph:
@@ -28,9 +29,9 @@ class SceneGraph:
 
     @property
     def vectors(self) -> DataFrame:
-        """Embedded chunks, made when first asked for."""
+        """Embedded chunks, made and written when first asked for, as every search reads them."""
         if self._vectors is None:
-            self._vectors = embedded(self.chunks, self.provider)
+            self._vectors = written(embedded(self.chunks, self.provider), "vectors")
         return self._vectors
 
     def views(self) -> None:

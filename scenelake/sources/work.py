@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder of our own where it is unset, as in tests."""
     return spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/scene-work"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows in the shared folder, read again."""
+    path = f"{folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

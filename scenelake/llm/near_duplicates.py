@@ -210,14 +210,16 @@ def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.join(b, "b").join(a, "a")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, folder: str, name: str, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Verified links, with those from before, that connect all that these pairs connect; and the components."""
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, folder: str, name: str, before: DataFrame | None = None, one: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Verified links, with those from before, that connect all that these pairs connect; and the components. one: no b has two pairs."""
     rated = X.saved(_with_both(pairs, sets, "sketch").mapInArrow(_estimated, "a long, b long, estimate double").filter("estimate >= 0.5"), folder, f"{name}-rated")
     verify = lambda p: _with_both(p.select("a", "b"), sets, "members").sortWithinPartitions("a").mapInArrow(_verified(num, den), "a long, b long")
-    best = rated.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
+    best = rated if one else rated.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     first = X.saved(verify(best.select("a", "b")), folder, f"{name}-best")
     links = first if before is None else before.unionByName(first)
     label = X.saved(components(links, f"{folder}/{name}-components"), folder, f"{name}-labels")
+    if one:
+        return links, label
     rest = X.saved(verify(_across(rated, label)), folder, f"{name}-rest")
     links = links.unionByName(rest)
     if not rest.isEmpty():
@@ -305,7 +307,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     heads = X.saved(posted.groupBy("value").agg(F.min(F.struct("rid", "n")).alias("x")), folder, "heads")
     close = f"{den} * least(x.n, n) >= {num} * greatest(x.n, n)"
     stars = longest.join(heads, "value").filter("rid > x.rid").select(F.col("x.rid").alias("a"), F.col("rid").alias("b"))
-    links, label = _linked(stars, sets, num, den, folder, "first")
+    links, label = _linked(stars, sets, num, den, folder, "first", one=True)
     rows = _labelled(posted, label)
     short = rows.filter(F.col("df") <= SHORT_LIST).groupBy("value").agg(F.collect_list(F.struct("rid", "n", "component")).alias("list"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b")
     short = short.select("list", F.inline("list")).select("rid", F.explode(F.expr(f"filter(list, x -> x.rid > rid and x.component <> component and {close})")).alias("x")).select(F.col("rid").alias("a"), F.col("x.rid").alias("b"))

@@ -37,15 +37,44 @@ def robust_scaled(rows: DataFrame, columns: Sequence[str], clip: tuple[float, fl
     return out.crossJoin(F.broadcast(scale)).withColumns({c: (F.col(c) - F.col(f"_s{c}")[0]) / F.when(width(c) == 0, 1.0).otherwise(width(c)) for c in columns}).drop(*(f"_s{c}" for c in columns))
 
 
+#: Rows of one cluster that meet in one task, about.
+MEDOID_BLOCK = 1024
+
+
 def medoids(rows: DataFrame, by: Sequence[str], key: str, vec: str, digits: int = 9) -> DataFrame:
     """The row of each cluster with the least sum of distances to the others.
 
-    Each member meets the members of its own cluster through the join; sums are
-    partial before rows move. Clusters are keyframe groups, small by nature.
+    All pairs of a cluster count. A cluster of any size is cut in blocks, each
+    two of which meet in one task, so that a task's rows are bounded and sums,
+    not pairs, leave it; the distances still grow with a cluster's square.
     """
-    side = lambda p: rows.select(*by, F.col(key).alias(f"_{p}"), F.col(vec).alias(f"_v{p}"))
-    total = side("a").join(side("b"), list(by)).groupBy(*by, "_a").agg(F.round(F.sum(F.sqrt(V.squared_distance(F.col("_va"), F.col("_vb")))), digits).alias("total"))
-    return total.groupBy(*by).agg(F.min(F.struct("total", "_a")).alias("m")).select(*by, F.col("m._a").alias(key), F.col("m.total").alias("total"))
+    from pyspark.sql import types as T
+
+    rows = rows.select(*by, F.col(key).alias("_key"), V.doubles(F.col(vec)).alias("_vec"))
+    many = rows.groupBy(*by).agg(F.ceil(F.count("*") / MEDOID_BLOCK).cast("int").alias("_blocks"))
+    block = F.pmod(F.xxhash64("_key"), F.col("_blocks").cast("long")).cast("int")
+    met = rows.join(many, list(by)).withColumn("_block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).select(*by, "_i", "_j", "_block", "_key", "_vec")
+
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        x, first = np.array(pair["_vec"].tolist(), np.float64), (pair["_block"] == pair["_i"]).to_numpy()
+        total, other = np.zeros(len(x)), np.flatnonzero(~first if pair["_i"].iloc[0] != pair["_j"].iloc[0] else first)
+        mine = np.flatnonzero(first)
+        for i in range(0, len(mine), 64):
+            a = mine[i : i + 64]
+            for j in range(0, len(other), 512):
+                b = other[j : j + 512]
+                d = np.sqrt(((x[a][:, None] - x[b][None]) ** 2).sum(2))
+                total[a] += d.sum(1)
+                if not first[b[0]]:
+                    total[b] += d.sum(0)
+        return pair[[*by, "_key"]].assign(_sum=total)
+
+    kind = T.StructType([*(rows.schema[c] for c in (*by, "_key")), T.StructField("_sum", T.DoubleType())])
+    # without it, rows dealt by cluster for the join stay so, and a cluster is one task
+    sums = met.repartition(*by, "_i", "_j").groupBy(*by, "_i", "_j").applyInPandas(run, kind)
+    total = sums.groupBy(*by, "_key").agg(F.round(F.sum("_sum"), digits).alias("total"))
+    return total.groupBy(*by).agg(F.min(F.struct("total", "_key")).alias("m")).select(*by, F.col("m._key").alias(key), F.col("m.total").alias("total"))
 
 
 def histogram(rows: DataFrame, value: str, size: float, by: Sequence[str] = ()) -> DataFrame:

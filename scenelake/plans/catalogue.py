@@ -432,8 +432,10 @@ def eval_failed(spark, sf_dir):
 def nms_fold(spark, sf_dir):
     e = F.col("embedding")
     x, y = e[0].cast("double"), e[1].cast("double")
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 500").select("label", F.col("vec_id").alias("pos"), e[4].cast("double").alias("score"), x.alias("x1"), y.alias("y1"), (x + 0.3).alias("x2"), (y + 0.3).alias("y2"))
-    return M.suppressed(rows, "label").select("label", "pos")
+    # an image is a label's boxes among 500 ids, so images are bounded and have every box; the SQL has the first 500 ids only
+    image = F.struct("label", F.floor(F.col("vec_id") / 500).alias("of"))
+    rows = table(spark, sf_dir, "embeddings").select(image.alias("image"), F.col("vec_id").alias("pos"), e[4].cast("double").alias("score"), x.alias("x1"), y.alias("y1"), (x + 0.3).alias("x2"), (y + 0.3).alias("y2"))
+    return M.suppressed(rows, "image").select("image.label", "pos")
 
 
 def _roles(spark, sf_dir):

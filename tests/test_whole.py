@@ -28,3 +28,19 @@ def test_medoids_of_whole_labels(spark, tmp_path, monkeypatch, block):
         assert got[k][0] == best[1]
         assert got[k][1] == pytest.approx(best[0], abs=2e-6)
     assert len(got) == 3
+
+
+def test_suppression_of_all_images(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    ids, labels = np.arange(120) * 13, np.arange(120) % 2
+    x = rng.uniform(-0.4, 0.4, (120, 64)).astype(np.float32).astype(np.float64)
+    got = sorted((r.label, r.pos) for r in catalogue.nms_fold(spark, saved(spark, tmp_path, ids, labels, x)).collect())
+    kept: dict[tuple, list[int]] = {}
+    for i in np.lexsort((ids, -x[:, 4])):
+        mine = kept.setdefault((labels[i], ids[i] // 500), [])
+        shared = [np.prod(np.maximum(0.3 - np.abs(x[i, :2] - x[k, :2]), 0)) for k in mine]
+        if all(s / (0.18 - s + 1e-6) <= 0.5 for s in shared):
+            mine.append(i)
+    want = sorted((int(k), int(ids[i])) for (k, _), m in kept.items() for i in m)
+    assert got == want
+    assert len(want) < 120 and max(p for _, p in got) > 1000

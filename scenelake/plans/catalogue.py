@@ -703,6 +703,14 @@ def stream_windows(spark, sf_dir):
 # --- without SQL: kernels and providers; tests compare them with plain versions ---
 
 
+@query()
+def dbscan_cells(spark, sf_dir):
+    """All points in three dimensions, with core, border and noise; dbscan_grid is the case in one dimension that SQL can say."""
+    from ..sources.work import folder
+
+    return K.dbscan(_points(spark, sf_dir), 0.03, 4, folder(spark))
+
+
 @query()
 def hdbscan_keyframes(spark, sf_dir):
     e = F.col("embedding")

@@ -44,3 +44,23 @@ def test_suppression_of_all_images(spark, tmp_path):
     want = sorted((int(k), int(ids[i])) for (k, _), m in kept.items() for i in m)
     assert got == want
     assert len(want) < 120 and max(p for _, p in got) > 1000
+
+
+def test_dbscan_of_all_points(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    n = 160
+    middle = np.repeat(rng.uniform(-0.4, 0.4, (8, 3)), n // 8, 0)
+    x = np.zeros((n, 64))
+    x[:, :3] = middle + rng.normal(0, 0.018, (n, 3))
+    x = x.astype(np.float32).astype(np.float64)
+    ids = np.arange(n) * 7
+    got = {r.pid: r.cluster for r in catalogue.dbscan_cells(spark, saved(spark, tmp_path, ids, np.arange(n) % 10, x)).collect()}
+    near = ((x[:, None, :3] - x[None, :, :3]) ** 2).sum(2) <= 0.03**2
+    core = near.sum(1) >= 4
+    label = np.where(core, ids, -1)
+    for _ in range(n):
+        label = np.where(core, [label[near[i] & core].min() if core[i] else -1 for i in range(n)], -1)
+    want = {int(ids[i]): int(label[near[i] & core].min()) if (near[i] & core).any() else None for i in range(n)}
+    assert got == want
+    border = sum(want[int(ids[i])] is not None and not core[i] for i in range(n))
+    assert len(set(want.values()) - {None}) > 1 and None in want.values() and border

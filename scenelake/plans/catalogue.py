@@ -8,6 +8,8 @@ for containment. Sums of floating numbers are rounded.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,8 +51,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"), F.col("label").cast("string").alias("doc_type"))
 
 
-def _queries(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n)
+def _queries(spark: SparkSession, sf_dir: str, n: int | None = 5) -> DataFrame:
+    """The first n rows; every 20th row without n."""
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n if n is not None else F.col("vec_id") % 20 == 0)
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
@@ -95,8 +98,8 @@ _SCORED = f"s AS (SELECT q.vec_id AS query_id, e.vec_id AS pos, CAST(e.label AS
 
 @query(f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM s)
   SELECT query_id, pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
-def vec_topk_multi(spark, sf_dir):
-    return S.search_many(_vectors(spark, sf_dir), _queries(spark, sf_dir), 5).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
+def vec_topk_multi(spark, sf_dir, n=5):
+    return S.search_many(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 5).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""SELECT vec_id AS pos, round(list_sum(list_transform({_D}, lambda v: v / (sqrt(list_sum(list_transform({_D}, lambda w: w * w))) + 1e-9))), 6) AS total FROM embeddings""")
@@ -108,23 +111,24 @@ def vec_normalize(spark, sf_dir):
 @query(f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS k FROM s),
   f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM r WHERE k <= 30 AND doc_type IN ('1', '3'))
   SELECT query_id, pos, doc_type, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM f WHERE rank <= 3""")
-def search_post_filter(spark, sf_dir):
-    return S.search(_vectors(spark, sf_dir), _queries(spark, sf_dir), 3, ("1", "3")).select("query_id", "pos", "doc_type", "rank", F.round("score", 6).alias("score"))
+def search_post_filter(spark, sf_dir, n=5):
+    return S.search(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 3, ("1", "3")).select("query_id", "pos", "doc_type", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM s WHERE doc_type IN ('1', '3'))
   SELECT query_id, pos, doc_type, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 3""")
-def search_pre_filter(spark, sf_dir):
-    return S.search(_vectors(spark, sf_dir), _queries(spark, sf_dir), 3, ("1", "3"), exact_filter=True).select("query_id", "pos", "doc_type", "rank", F.round("score", 6).alias("score"))
+def search_pre_filter(spark, sf_dir, n=5):
+    return S.search(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 3, ("1", "3"), exact_filter=True).select("query_id", "pos", "doc_type", "rank", F.round("score", 6).alias("score"))
 
 
-def _modal(spark, sf_dir):
-    """Text and visual scores of the five queries: two halves of the vectors."""
-    e, q = table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir)
-    met = e.crossJoin(F.broadcast(q))
+def _modal(spark, sf_dir, n=5):
+    """Text and visual scores of the queries: two halves of the vectors. With n, some rows lack a modality."""
+    e, q = table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir, n)
+    met = functools.reduce(DataFrame.unionByName, (e.crossJoin(b) for b in S.query_blocks(q)))
     half = lambda first: V.dot(F.slice("embedding", first, 32), F.slice("qvec", first, 32))
     row = lambda name, s, keep: met.filter(keep).select("query_id", F.col("vec_id").alias("pos"), F.lit(name).alias("modality"), s.alias("score"), F.col("label").cast("string").alias("doc_type"))
-    return row("text", half(1), F.col("vec_id") % 3 != 0).unionByName(row("visual", half(33), F.col("vec_id") % 2 == 0))
+    some = lambda keep: keep if n is not None else F.lit(True)
+    return row("text", half(1), some(F.col("vec_id") % 3 != 0)).unionByName(row("visual", half(33), some(F.col("vec_id") % 2 == 0)))
 
 
 def _half(first: int) -> str:
@@ -137,31 +141,31 @@ _MODAL = f"""m AS (SELECT q.vec_id AS query_id, e.vec_id AS pos, 'text' AS modal
 
 @query(f"""WITH {_MODAL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, modality ORDER BY score DESC, pos) AS rank FROM m WHERE doc_type IN ('1', '2'))
   SELECT query_id, modality, pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 4""")
-def combine_modalities(spark, sf_dir):
-    return S.combined(_modal(spark, sf_dir), 4, ("1", "2")).select("query_id", "modality", "pos", "rank", F.round("score", 6).alias("score"))
+def combine_modalities(spark, sf_dir, n=5):
+    return S.combined(_modal(spark, sf_dir, n), 4, ("1", "2")).select("query_id", "modality", "pos", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_MODAL}, w AS (SELECT query_id, pos, coalesce(max(CASE WHEN modality = 'text' THEN score END), 0.0) AS t, max(CASE WHEN modality = 'visual' THEN score END) AS v FROM m GROUP BY ALL),
   z AS (SELECT query_id, pos, CASE WHEN stddev_pop(t) OVER p > 1e-9 THEN (t - avg(t) OVER p) / stddev_pop(t) OVER p ELSE t - avg(t) OVER p END AS zt,
     CASE WHEN stddev_pop(v) OVER p > 1e-9 THEN (v - avg(v) OVER p) / stddev_pop(v) OVER p ELSE v - avg(v) OVER p END AS zv FROM w WINDOW p AS (PARTITION BY query_id))
   SELECT query_id, pos, round(CASE WHEN zv IS NULL THEN zt ELSE (zt + zv) / 2 END, 6) AS fused FROM z""")
-def fuse_zscore_two_modalities(spark, sf_dir):
-    return S.fused_mean(_modal(spark, sf_dir)).select("query_id", "pos", F.round("fused", 6).alias("fused"))
+def fuse_zscore_two_modalities(spark, sf_dir, n=5):
+    return S.fused_mean(_modal(spark, sf_dir, n)).select("query_id", "pos", F.round("fused", 6).alias("fused"))
 
 
 @query(f"""WITH {_MODAL}, z AS (SELECT query_id, pos, CASE WHEN stddev_pop(score) OVER p > 1e-8 THEN (score - avg(score) OVER p) / stddev_pop(score) OVER p ELSE 0 END AS z FROM m WINDOW p AS (PARTITION BY query_id, modality)),
   g AS (SELECT query_id, pos, sum(z) AS score FROM z GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM g)
   SELECT query_id, pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
-def rank_zsum(spark, sf_dir):
-    return S.rank_by_zscores(_modal(spark, sf_dir), 10).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
+def rank_zsum(spark, sf_dir, n=5):
+    return S.rank_by_zscores(_modal(spark, sf_dir, n), 10).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_MODAL}, w AS (SELECT *, CASE modality WHEN 'visual' THEN 0 ELSE 1 END AS l, row_number() OVER (PARTITION BY query_id, modality ORDER BY score DESC, pos) AS n FROM m),
   t AS (SELECT * FROM w WHERE n <= 20), g AS (SELECT query_id, pos, min(l * 1000000 + n) AS place, max(score) AS score FROM t GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, pos) AS rank FROM g)
   SELECT query_id, pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 25""")
-def rank_first_seen(spark, sf_dir):
-    top = S.combined(_modal(spark, sf_dir), 20).drop("rank")
+def rank_first_seen(spark, sf_dir, n=5):
+    top = S.combined(_modal(spark, sf_dir, n), 20).drop("rank")
     return S.rank_first_seen(top, 25).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
@@ -169,19 +173,31 @@ def rank_first_seen(spark, sf_dir):
   t AS (SELECT r.query_id, r.pos, r.score, list_sum(list_transform(['BRUSHED', 'STEEL', 'TIN', 'STEEL'], lambda n: CASE WHEN list_contains(string_split(p.p_type, ' '), n) THEN 1 ELSE 0 END)) / 4.0 AS tag_score FROM r JOIN part p ON p.p_partkey = r.pos WHERE k <= 100),
   f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 0.7 * score + 0.3 * tag_score DESC, pos) AS rank FROM t)
   SELECT query_id, pos, CAST(rank AS INTEGER) AS rank, round(tag_score, 6) AS tag_score, round(0.7 * score + 0.3 * tag_score, 6) AS combined FROM f WHERE rank <= 10""")
-def noun_rerank(spark, sf_dir):
-    found = S.search_many(_vectors(spark, sf_dir), _queries(spark, sf_dir), 100)
+def noun_rerank(spark, sf_dir, n=5):
+    found = S.search_many(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 100)
     tagged = found.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.split("p_type", " ").alias("tags")), "pos")
     nouns = F.array(*map(F.lit, ("BRUSHED", "STEEL", "TIN", "STEEL")))
     return S.noun_rerank(tagged, nouns, F.col("tags"), 10).select("query_id", "pos", "rank", F.round("tag_score", 6).alias("tag_score"), F.round("combined", 6).alias("combined"))
 
 
 @query(f"""SELECT q.vec_id AS query_id, e.vec_id AS pos, round(1 / (1 + exp(-({_DOT} * exp(1.5) - 2.0))), 6) AS probability FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 3) q""")
-def sigmoid_prob(spark, sf_dir):
-    got = S.probabilities(_vectors(spark, sf_dir), _queries(spark, sf_dir, 3), 1.5, -2.0)
+def sigmoid_prob(spark, sf_dir, n=3):
+    got = S.probabilities(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 1.5, -2.0)
     return got.select("query_id", "pos", F.round("probability", 6).alias("probability"))
 
 
+def _every_20th(f: Query) -> None:
+    """The same with every 20th row as a query and all rows in both modalities, in its own SQL."""
+    sql = re.sub(r"WHERE vec_id < \d+\)", "WHERE vec_id % 20 = 0)", SQL[f.__name__])
+    name = f"{f.__name__}_all"
+    QUERIES[name] = functools.partial(f, n=None)
+    SQL[name] = sql.replace(" WHERE e.vec_id % 3 <> 0", "").replace(" WHERE e.vec_id % 2 = 0", "")
+
+
+for _f in (vec_topk_multi, search_post_filter, search_pre_filter, combine_modalities, fuse_zscore_two_modalities, rank_zsum, rank_first_seen, noun_rerank, sigmoid_prob):
+    _every_20th(_f)
+
+
 @query("""WITH x AS (SELECT label, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i))
   SELECT label, CAST(i - 1 AS INTEGER) AS i, round(avg(v), 6) AS v FROM x GROUP BY ALL""")
 def class_centroid(spark, sf_dir):

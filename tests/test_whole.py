@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from scenelake.operators import clustering as K
+from scenelake.operators import retrieval as S
 from scenelake.plans import catalogue
 
 
@@ -64,3 +65,28 @@ def test_dbscan_of_all_points(spark, tmp_path):
     assert got == want
     border = sum(want[int(ids[i])] is not None and not core[i] for i in range(n))
     assert len(set(want.values()) - {None}) > 1 and None in want.values() and border
+
+
+def test_every_20th_row_is_a_query_and_blocks_do_not_matter(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(11)
+    ids, x = np.arange(150) * 4, rng.normal(size=(150, 64)).astype(np.float32).astype(np.float64)
+    at = saved(spark, tmp_path, ids, np.arange(150) % 10, x)
+    runs = []
+    for most in (4096, 7):
+        monkeypatch.setattr(S, "QUERIES_AT_ONCE", most)
+        runs.append([sorted((r.query_id, r["rank"], r.pos) for r in catalogue.QUERIES[f"{name}_all"](spark, at).collect()) for name in ("vec_topk_multi", "rank_zsum")])
+    assert runs[0] == runs[1]
+    asked = np.flatnonzero(ids % 20 == 0)
+    best = np.argsort(-(x[asked] @ x.T), axis=1)[:, :5]
+    assert runs[0][0] == [(int(ids[q]), k + 1, int(ids[i])) for q, row in zip(asked, best, strict=True) for k, i in enumerate(row)]
+    halves = [x[asked][:, h] @ x[:, h].T for h in (slice(0, 32), slice(32, 64))]
+    z = sum((s - s.mean(1, keepdims=True)) / s.std(1, keepdims=True) for s in halves)
+    best = np.argsort(-z, axis=1)[:, :10]
+    assert runs[0][1] == [(int(ids[q]), k + 1, int(ids[i])) for q, row in zip(asked, best, strict=True) for k, i in enumerate(row)]
+
+
+def test_rows_without_a_modality(spark):
+    rows = [(0, 1, "text", 1.0), (0, 1, "visual", 5.0), (0, 2, "text", 3.0), (0, 3, "visual", 7.0)]
+    got = {r.pos: r.fused for r in S.fused_mean(spark.createDataFrame(rows, "query_id long, pos long, modality string, score double")).collect()}
+    text = (np.array([1.0, 3.0, 0.0]) - 4 / 3) / np.std([1.0, 3.0, 0.0])
+    assert got == pytest.approx({1: (text[0] - 1) / 2, 2: text[1], 3: (text[2] + 1) / 2})

@@ -229,6 +229,23 @@ def chunk_build(spark, sf_dir):
     return d.select(F.col("doc_id").alias("pos"), F.concat_ws("_", F.lit("chunk"), "lang", "doc_id").alias("id"), F.col("lang").alias("doc_type"), F.trim(F.regexp_replace(F.substring("text", 1, 200), r"\s+", " ")).alias("content"))
 
 
+@query("""WITH o AS (SELECT p_partkey, p_partkey % 25 AS room, 'Object: ' || p_name || '. Attributes: ' || p_brand || '; ' || p_type || '. Affordances: (no affordances listed). State: unknown state. Located at an unspecified location.' AS content FROM part)
+  SELECT 'floor_' || r_regionkey AS id, 'floor' AS doc_type, CAST(r_regionkey AS VARCHAR) AS floor_id, CAST(NULL AS VARCHAR) AS room_id, r_name AS content FROM region
+  UNION ALL SELECT 'room_' || n_nationkey, 'room', CAST(n_regionkey AS VARCHAR), CAST(n_nationkey AS VARCHAR), n_name FROM nation
+  UNION ALL SELECT 'frame_' || n_nationkey || '_' || doc_id, 'frame', CAST(n_regionkey AS VARCHAR), CAST(n_nationkey AS VARCHAR), concat_ws(chr(10), nullif(text, ''), lang || '; ' || source) FROM documents JOIN nation ON n_nationkey = doc_id % 25
+  UNION ALL SELECT 'part_' || p_partkey, 'object', CAST(n_regionkey AS VARCHAR), CAST(n_nationkey AS VARCHAR), content FROM o JOIN nation ON n_nationkey = room""")
+def chunk_build_whole(spark, sf_dir):
+    """Chunks of a scene: regions are floors, nations rooms, documents with their whole text frames, parts objects."""
+    r, n, d, p = (table(spark, sf_dir, t) for t in ("region", "nation", "documents", "part"))
+    text = lambda c: F.col(c).cast("string")
+    floors = r.select(text("r_regionkey").alias("floor_id"), F.col("r_name").alias("caption"))
+    rooms = n.select(text("n_nationkey").alias("room_id"), text("n_regionkey").alias("floor_id"), F.col("n_nationkey").alias("room_pos"), F.col("n_name").alias("summary"))
+    frames = d.select((F.col("doc_id") % 25).cast("string").alias("room_id"), F.col("doc_id").alias("frame_pos"), F.col("doc_id").alias("frame_index"), F.col("text").alias("description"), F.array("lang", "source").alias("tags"))
+    none = F.array().cast("array<string>")
+    objects = p.select((F.col("p_partkey") % 25).cast("string").alias("room_id"), F.lit(0).alias("frame_pos"), F.col("p_partkey").alias("object_pos"), F.concat(F.lit("part_"), text("p_partkey")).alias("object_id"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("attributes"), F.lit("").alias("description"), none.alias("affordances"), F.lit("").alias("state"), F.lit("").alias("location_description"), none.alias("spatial_relations"))
+    return C.built(floors, rooms, frames, objects).select("id", "doc_type", "floor_id", "room_id", "content")
+
+
 @query("""SELECT doc_id AS pos, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS content_hash FROM documents""")
 def chunk_hash(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -307,6 +324,11 @@ def safe_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.safe_id(F.substring("text", 1, 120)).alias("id"))
 
 
+@query("""WITH c AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g') AS c FROM documents) SELECT doc_id, CASE WHEN length(c) > 80 THEN left(c, 70) || '_' || left(md5(c), 8) ELSE c END AS id FROM c""")
+def safe_id_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.safe_id(F.col("text")).alias("id"))
+
+
 @query("""SELECT p_partkey, len(list_filter(list_filter(regexp_split_to_array(lower('large brushed tin box'), '\\W+'), lambda w: w <> ''), lambda w: contains(lower(p_type || ' ' || p_name), w))) AS hits FROM part""")
 def token_overlap(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.overlap(F.lit("large brushed tin box"), F.concat_ws(" ", "p_type", "p_name")).cast("long").alias("hits"))
@@ -317,6 +339,12 @@ def embedding_input(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.embedding_input(F.col("text"), 300).alias("content"), T.token_estimate(F.col("text")).alias("tokens"))
 
 
+@query("""SELECT doc_id, replace(left(text, 30000), chr(10), ' ') AS content, greatest(1, length(text) // 4) AS tokens FROM documents""")
+def embedding_input_whole(spark, sf_dir):
+    """The operator's own limit of characters, none before it."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.embedding_input(F.col("text")).alias("content"), T.token_estimate(F.col("text")).alias("tokens"))
+
+
 @query("""SELECT c_custkey, regexp_extract(t, '^the (.+?) in the (.+?) in floor (\\S+)$', 1) AS object, regexp_extract(t, '^the (.+?) in the (.+?) in floor (\\S+)$', 2) AS room, regexp_extract(t, '^the (.+?) in the (.+?) in floor (\\S+)$', 3) AS floor
   FROM (SELECT c_custkey, 'the ' || lower(c_mktsegment) || ' in the room ' || c_nationkey || ' in floor ' || (c_custkey % 3) AS t FROM customer)""")
 def location_query(spark, sf_dir):

@@ -90,3 +90,25 @@ def test_rows_without_a_modality(spark):
     got = {r.pos: r.fused for r in S.fused_mean(spark.createDataFrame(rows, "query_id long, pos long, modality string, score double")).collect()}
     text = (np.array([1.0, 3.0, 0.0]) - 4 / 3) / np.std([1.0, 3.0, 0.0])
     assert got == pytest.approx({1: (text[0] - 1) / 2, 2: text[1], 3: (text[2] + 1) / 2})
+
+
+def test_whole_texts(spark, tmp_path):
+    head = "word " * 100
+    texts = {1: head + "one", 2: head + "two\nend", 3: "", 4: "x" * 30_001}
+    tables = {
+        "documents": spark.createDataFrame([(i, t, "en", "web") for i, t in texts.items()], "doc_id bigint, text string, lang string, source string"),
+        "region": spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string"),
+        "nation": spark.createDataFrame([(k, f"N{k}", 0) for k in range(25)], "n_nationkey int, n_name string, n_regionkey int"),
+        "part": spark.createDataFrame([(30, "box", "B", "TIN")], "p_partkey bigint, p_name string, p_brand string, p_type string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    at = f"file://{tmp_path}"
+    got = {r.id: r.content for r in catalogue.QUERIES["chunk_build_whole"](spark, at).collect()}
+    assert len(got) == 1 + 25 + 4 + 1
+    assert all(got[f"frame_{i}_{i}"] == (f"{t}\n" if t else "") + "en; web" for i, t in texts.items())
+    assert got["part_30"].startswith("Object: box. Attributes: B; TIN.")
+    ids = {r.doc_id: r.id for r in catalogue.QUERIES["safe_id_whole"](spark, at).collect()}
+    assert ids[1] != ids[2] and ids[1][:70] == ids[2][:70] and all(len(i) <= 80 for i in ids.values())
+    content = {r.doc_id: r.content for r in catalogue.QUERIES["embedding_input_whole"](spark, at).collect()}
+    assert content == {i: t.replace("\n", " ")[:30_000] for i, t in texts.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +51,17 @@ def assign_first(rows: DataFrame, bands: DataFrame, value: str, keys: Sequence[s
     return rows.crossJoin(F.broadcast(listed)).withColumn("band", first.band).drop("_bands")
 
 
+#: Bands that are sent to the workers at once.
+BANDS_AT_ONCE = 1000
+
+
+def in_bands(rows: DataFrame, bands: DataFrame, value: str, key: str) -> DataFrame:
+    """Each row with every band (low, high, further columns) that holds its value, bounds included; bands go in blocks, so any number of them."""
+    blocks = max(1, -(-bands.count() // BANDS_AT_ONCE))
+    each = [bands if blocks == 1 else bands.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, (rows.join(F.broadcast(b), F.col(value).between(F.col("low"), F.col("high"))) for b in each))
+
+
 def boxes(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """Axis-aligned box, centre of it, point mean and count of each group."""
     aggs = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]

@@ -137,7 +137,7 @@ def rooms(points: DataFrame, floors: DataFrame, resolution: float = 0.05, wall_s
     points from 1.5 m above the floor to 0.3 m below its top. Cells are counted
     before rows move, so a floor's image, bounded by its area, is its group.
     """
-    cells = points.join(F.broadcast(floors.limit(1000)), F.col("y").between(F.col("low"), F.col("high")))
+    cells = P.in_bands(points, floors, "y", "floor_id")
     wall = (F.col("y") >= F.col("low") + 1.5) & (F.col("y") < F.col("high") - 0.3)
     counted = cells.groupBy("floor_id", "low", "high", G.cell(F.col("x"), resolution).alias("i"), G.cell(F.col("z"), resolution).alias("j")).agg(F.count_if(F.col("y") < F.col("high") - 0.2).alias("n"), F.count_if(wall).alias("w"))
 
@@ -193,7 +193,7 @@ def poses_in_rooms(poses: DataFrame, floors: DataFrame, room_table: DataFrame, s
     bands = floors.select(F.col("floor_id").alias("ord"), F.col("floor_id").alias("band"), "low", "high")
     rows = P.assign_first(rows, bands, "y", ["frame_index"], margin).withColumnRenamed("band", "floor_id").filter("floor_id is not null")
     many = room_table.groupBy("floor_id").agg(F.count("*").alias("rooms"))
-    met = rows.join(F.broadcast(room_table.limit(10_001).join(many, "floor_id").select("floor_id", "room_id", "polygon", "rooms")), "floor_id")
+    met = rows.join(room_table.join(many, "floor_id").select("floor_id", "room_id", "polygon", "rooms"), "floor_id")
     if shares is not None:
         met = met.join(shares, ["frame_index", "room_id"], "left").withColumn("ok", F.coalesce("share", F.lit(0.0)) >= least)
     else:

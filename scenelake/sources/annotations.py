@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import points as P
+
 AGGREGATION = "segGroups array<struct<id:int,label:string,segments:array<int>,obb:struct<centroid:array<double>>,loc:array<double>>>"
 ROOM = "id string, summary string, frames array<struct<index:int,path:string,node_tags:array<string>,description:string>>"
 
@@ -76,9 +78,8 @@ def rooms_described(rooms: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 
 def floors_measured(floors: DataFrame, points: DataFrame) -> DataFrame:
-    """Every floor with how many points lie in its height, 0 without any. Floors are few; points are counted by floor before they meet."""
-    bands = F.broadcast(floors.select("floor_id", "low", "high").limit(10_000))
-    n = points.join(bands, F.col("y").between(F.col("low"), F.col("high"))).groupBy("floor_id").agg(F.count("*").alias("n_points"))
+    """Every floor with how many points lie in its height, 0 without any. Points are counted by floor before they meet."""
+    n = P.in_bands(points, floors.select("floor_id", "low", "high"), "y", "floor_id").groupBy("floor_id").agg(F.count("*").alias("n_points"))
     return floors.join(n, "floor_id", "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
 
 

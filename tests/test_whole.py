@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scenelake.operators import clustering as K
 from scenelake.operators import retrieval as S
+from scenelake.operators import rooms as R
 from scenelake.plans import catalogue
+from scenelake.sources import annotations as A
 
 
 def saved(spark, folder, ids, labels, vectors):
@@ -112,3 +115,24 @@ def test_whole_texts(spark, tmp_path):
     assert ids[1] != ids[2] and ids[1][:70] == ids[2][:70] and all(len(i) <= 80 for i in ids.values())
     content = {r.doc_id: r.content for r in catalogue.QUERIES["embedding_input_whole"](spark, at).collect()}
     assert content == {i: t.replace("\n", " ")[:30_000] for i, t in texts.items()}
+
+
+def test_rooms_of_all_floors(spark):
+    n = 1003
+    floors = spark.range(n).select(F.col("id").cast("string").alias("floor_id"), (F.col("id") * 10.0).alias("low"), (F.col("id") * 10.0 + 2.5).alias("high"))
+    cell = spark.range(144).select((F.col("id") % 12 / 4 + 0.1).alias("x"), (F.floor(F.col("id") / 12) / 4 + 0.1).alias("z"))
+    points = floors.select((F.col("low") + 0.5).alias("y")).crossJoin(cell).select("x", "y", "z")
+    assert R.rooms(points, floors, 0.25).select("floor_id").distinct().count() == n
+
+
+def test_poses_and_counts_of_all_rooms_and_floors(spark):
+    n = 10_005
+    square = "array(named_struct('x', {0}, 'z', 0D), named_struct('x', {0} + 1D, 'z', 0D), named_struct('x', {0} + 1D, 'z', 1D), named_struct('x', {0}, 'z', 1D))"
+    rooms = spark.range(n).select(F.lit("0").alias("floor_id"), F.col("id").cast("string").alias("room_id"), F.expr(square.format("2D * id")).alias("polygon"))
+    poses = spark.range(n).select(F.col("id").cast("int").alias("frame_index"), F.expr("transform(sequence(0, 15), i -> case i when 3 then 2D * id + 0.5D when 7 then 1D when 11 then 0.5D else 0D end)").alias("pose")).filter("frame_index % 500 = 4")
+    floors = spark.createDataFrame([("0", 0.0, 2.5)], "floor_id string, low double, high double")
+    got = {r.frame_index: r.room_id for r in R.poses_in_rooms(poses, floors, rooms).collect()}
+    assert got == {i: str(i) for i in range(4, n, 500)}
+    bands = spark.range(n).select(F.col("id").cast("string").alias("floor_id"), F.col("id").cast("double").alias("low"), (F.col("id") + 0.5).alias("high"))
+    points = spark.range(n).select((F.col("id") + 0.25).alias("y"))
+    assert A.floors_measured(bands, points).filter("n_points <> 1").count() == 0

@@ -2,8 +2,10 @@
 
 Documents are sharded in blocks. A shard sorts the suffixes of its words, to a
 bounded depth, and every suffix of every test item is searched in it by
-bisection; so each item word has the longest match in the shard and the range
-of places where the item's window occurs. Items are searched in stated sets of
+bisection; so each window of an item has the range of places where it occurs.
+Windows that follow one another in a document and in an item at once are one
+maximal verbatim match, of whatever length; it comes with its item, its first
+word in the document and its words. Items are searched in stated sets of
 bounded size, so the benchmark may grow: each set is sent to the workers, and
 what the sets find is merged by document.
 
@@ -79,7 +81,7 @@ def search(rows: np.ndarray, keys: np.ndarray, k: np.ndarray, low: np.ndarray, h
 
 
 def matches(items: Items, words: pa.Array, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """All places of windows in a shard (place, length, item) and the longest match of each item suffix.
+    """All places of windows in a shard: place, length, item, and the window's first word among the items' (suffix).
 
     Only suffixes that begin with two words that some item has in this order
     (or the one word of a one-word item) are sorted; all others match no window.
@@ -104,7 +106,7 @@ def matches(items: Items, words: pa.Array, counts: np.ndarray) -> dict[str, np.n
     order = np.lexsort(rows.T[::-1]) if len(at) else np.zeros(0, np.int64)
     array, rows = at[order], rows[order]
     m = len(items.codes)
-    low, high, longest, place = np.zeros(m, np.int64), np.full(m, len(rows)), np.zeros(m, np.int64), np.full(m, -1, np.int64)
+    low, high = np.zeros(m, np.int64), np.full(m, len(rows))
     spans = []
     alive = np.arange(m)
     for k in range(depth):
@@ -114,18 +116,27 @@ def matches(items: Items, words: pa.Array, counts: np.ndarray) -> dict[str, np.n
         a, b = search(rows, items.codes[alive + k] + 1, np.full(len(alive), k), low[alive], high[alive])
         low[alive], high[alive] = a, b
         met = alive[a < b]
-        longest[met], place[met] = k + 1, array[low[met]]
         whole = met[items.window[met] == k + 1]
-        spans += [(low[whole], high[whole], np.full(len(whole), k + 1), items.item[whole])]
+        spans += [(low[whole], high[whole], np.full(len(whole), k + 1), items.item[whole], whole)]
     if not spans:
         none = np.zeros(0, np.int64)
-        return {"place": none, "length": none, "item": none, "longest": longest, "at": place}
-    low, high, length, item = (np.concatenate(x) for x in zip(*spans, strict=True))
-    _, keep = np.unique(np.stack([low, high, item]), axis=1, return_index=True)
-    low, high, length, item = low[keep], high[keep], length[keep], item[keep]
+        return {"place": none, "length": none, "item": none, "suffix": none}
+    low, high, length, item, suffix = (np.concatenate(x) for x in zip(*spans, strict=True))
     which = np.repeat(np.arange(len(low)), high - low)
     within = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-    return {"place": array[low[which] + within], "length": length[which], "item": item[which], "longest": longest, "at": place}
+    return {"place": array[low[which] + within], "length": length[which], "item": item[which], "suffix": suffix[which]}
+
+
+def maximal(got: dict[str, np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """Rows of document, item, first word in the shard and words: windows one word apart on both sides are one match; equal ones count once."""
+    order = np.lexsort((got["place"], got["place"] - got["suffix"]))
+    place, length, item, suffix = (got[c][order] for c in ("place", "length", "item", "suffix"))
+    doc = np.searchsorted(ends, place, "right")
+    new = np.ones(len(place), bool)
+    new[1:] = (np.diff(place) != 1) | (np.diff(suffix) != 1) | (np.diff(item) != 0) | (np.diff(doc) != 0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place))[: len(first)] - 1
+    return np.unique(np.stack([doc[first], item[first], place[first], place[last] + length[last] - place[first]], axis=1), axis=0)
 
 
 def _sets(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
@@ -143,7 +154,7 @@ def _sets(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
-SPANS = "row long, doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<string>"
+SPANS = "row long, doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<string>, matches array<struct<item:string,first:long,words:long>>"
 
 
 def _item_sets(benchmark: DataFrame, width: int) -> list:
@@ -154,7 +165,11 @@ def _item_sets(benchmark: DataFrame, width: int) -> list:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, hits (spans of hit words), items (ids as strings, sorted and distinct) of each document."""
+    """doc_id, n_words, n_hit, hits (spans of hit words), items (ids as strings, sorted and distinct) and matches of each document.
+
+    matches: each maximal verbatim match of at least a window, with its item,
+    first word in the document (from 0) and number of words, the longest first.
+    """
     sets = _item_sets(benchmark, width)
     docs = docs.select("doc_id", "text")
     if len(sets) == 1:
@@ -162,9 +177,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFram
     else:  # rows are numbered, so that what the sets find meets again
         docs = X.saved(docs.withColumn("row", F.monotonically_increasing_id()), X.workdir(docs.sparkSession), "rows")
         out = functools.reduce(DataFrame.unionByName, (_with(docs, s) for s in sets))
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = out.withColumn("hits", F.expr(_UNION))
-    return out.select("doc_id", "n_words", F.expr("aggregate(hits, 0L, (n, x) -> n + x.last - x.first)").alias("n_hit"), "hits", "items")
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"))
+        out = out.withColumn("hits", F.expr(_UNION)).withColumn("matches", F.expr(_LONGEST_FIRST))
+    return out.select("doc_id", "n_words", F.expr("aggregate(hits, 0L, (n, x) -> n + x.last - x.first)").alias("n_hit"), "hits", "items", "matches")
 
 
 #: Spans in order, without overlaps.
@@ -174,12 +189,15 @@ _UNION = """aggregate(array_sort(hits), cast(array() as array<struct<first:bigin
        concat(done, array(x))))"""
 
 
+_LONGEST_FIRST = "transform(array_sort(transform(matches, x -> named_struct('n', -x.words, 'first', x.first, 'item', x.item, 'words', x.words))), x -> named_struct('item', x.item, 'first', x.first, 'words', x.words))"
+
+
 def _with(docs: DataFrame, sent) -> DataFrame:
     """What one set of items finds. A column row, if there is one, is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item", pa.string()), ("first", pa.int64()), ("words", pa.int64())])))])
         for _, table in X.blocks(batches, SHARD_BYTES):
             _, _, counts, words = _words(table.column("text"))
             got = matches(items, words, counts)
@@ -204,10 +222,13 @@ def _with(docs: DataFrame, sent) -> DataFrame:
                 pairs = np.unique(np.stack([np.searchsorted(ends, got["place"], "right"), got["item"]]), axis=1)
                 for d, i in pairs.T.tolist():
                     names.setdefault(d, set()).add(items.ids[i])
+            found: dict[int, list] = {}
+            for d, i, x, size in maximal(got, ends).tolist():
+                found.setdefault(d, []).append({"item": None if items.ids[i] is None else str(items.ids[i]), "first": x - int(starts[d]), "words": size})
             ids = table.column("doc_id").to_pylist()
             rows = table.column("row").to_pylist() if "row" in table.column_names else [None] * len(ids)
             for k in range(0, len(ids), 2000):
-                yield pa.RecordBatch.from_pylist([{"row": rows[d], "doc_id": ids[d], "n_words": int(counts[d]), "hits": spans.get(d, []), "items": sorted(x for x in names.get(d, ()) if x is not None)} for d in range(k, min(k + 2000, len(ids)))], schema)
+                yield pa.RecordBatch.from_pylist([{"row": rows[d], "doc_id": ids[d], "n_words": int(counts[d]), "hits": spans.get(d, []), "items": sorted(x for x in names.get(d, ()) if x is not None), "matches": sorted(found.get(d, []), key=lambda x: (-x["words"], x["first"], x["item"] or ""))} for d in range(k, min(k + 2000, len(ids)))], schema)
 
     return docs.mapInArrow(run, SPANS)
 

@@ -11,18 +11,24 @@ from . import exchange as X
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """node and component (its smallest node) of every node of the edges (a, b); each round is written to the folder.
 
-    Neighbours meet only in a minimum, which is aggregated before rows move, so
-    a node with very many neighbours fills no task.
+    A round joins each node's smallest neighbour back to its edges. Minima are
+    aggregated before rows move; the edges of a node with very many neighbours
+    stay where they are and meet its minimum by a broadcast of bounded size
+    (spread_join), so no task holds the neighbours of one node.
     """
+    spark = edges.sparkSession
     now = X.saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), folder, "edges-0")
     mark = _mark(now)
     for k in range(1, 60):
+        n = 2 * mark[0]
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = X.saved(small, folder, f"edges-{k}")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("w"))
+        large = X.spread_join(both, least, "u", "w", n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = X.saved(large.distinct(), folder, f"large-{k}")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+        small = X.spread_join(large, least, "u", "w", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = X.saved(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), folder, f"edges-{k}")
+        X.dropped(spark, f"{folder}/edges-{k - 1}", f"{folder}/large-{k}")
         before, mark = mark, _mark(now)
         if mark == before:
             break

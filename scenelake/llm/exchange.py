@@ -50,13 +50,23 @@ def tidy(run: Callable) -> Callable:
 
 
 def workdir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the cluster names, one of our own where it names none."""
+    """A new folder in the shared folder that the cluster names. Without one, a folder of our own in local mode; an error on a cluster, whose executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/corpus-work"
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders whose tables nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: the lineage ends here."""
     df.write.option("compression", "none").parquet(f"{folder}/{name}")
@@ -75,6 +85,34 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.select(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes of what the rows are read from, as files say, without a scan; of the text where the plan doesn't know."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    return known if known < 1 << 58 else text_bytes(docs)
+
+
+def deal(spark: SparkSession, n_bytes: int, each: int = BUCKET_BYTES) -> int:
+    """Number of buckets: as bytes ask for, and a few for each core."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // each))
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], weight: str, total: int, least: int = 1000) -> DataFrame:
+    """Inner join with a table of unique keys that knows, as weight, how many rows each key has; total: of all rows.
+
+    Keys of more than `least` rows and of more than one in 100000 of all are at
+    most 100000, so they are broadcast; their rows stay where they are. Others
+    are shuffled. So no task gets the rows of a hot key.
+    """
+    on = [on] if isinstance(on, str) else on
+    limit = max(least, total // 100_000)
+    rest = [c for c in keyed.columns if c != weight]
+    hot = F.broadcast(keyed.filter(F.col(weight) > limit).select(*rest))
+    names = F.broadcast(keyed.filter(F.col(weight) > limit).select(*on))
+    cold = rows.join(names, on, "left_anti").join(keyed.filter(F.col(weight) <= limit).select(*rest), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def buckets_for(spark: SparkSession, n_bytes: int, each: int = BUCKET_BYTES) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
 
@@ -167,11 +205,12 @@ def lists_at(bounds: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple
 
 def split_buckets(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Positions of the keys of each bucket, in ascending order."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if bounds[b + 1] > bounds[b]:
-            yield b, order[bounds[b] : bounds[b + 1]]
+    held, first = np.unique(bucket[order], return_index=True)
+    for b, at in zip(held.tolist(), np.split(order, first[1:]), strict=True):
+        yield b, at
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[tuple[int, pa.Table]]:

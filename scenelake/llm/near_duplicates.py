@@ -1,36 +1,45 @@
 """Near-duplicate groups by bottom-k sketches of one hash function.
 
-A document is the set of its word shingles, as hashes of one function. Equal
-sets are one class; only one document of each class goes on. A sketch is the
+A document is the set of its word shingles, as 64-bit hashes of one function.
+Equal sets are one class; one document of each class goes on. A sketch is the
 SKETCH least hashes of a set. If two sets are similar to 0.8, the least SKETCH
 hashes of their union are shared to 0.8 on average, and fewer than half of them
-are in one case of ten millions or fewer (a binomial tail; sets below SKETCH
-shingles are sketched whole and lose nothing). So a document enters the inverted
-lists of the rarer half, and one, of its retained hashes: two sketches that
-share half of their values meet in such a list. Hashes are ordered by how many
-sketches hold them, so very common shingles get no lists.
-
-Lists give overlaps in three steps, each of which leaves out pairs that are
-already connected. (1) Each document meets the first member of its longest list.
-(2) Members of short lists meet one another, those of long lists their first
-member, across components. In both, the sketch of the union estimates the
-similarity, and what may reach the threshold is verified on full sets: first
-each document's best pair, then pairs that are still in different components.
-(3) Long lists whose members are still in several components are put together
-by their main component, and the documents outside of it are verified against
-all, on full sets, in cells of bounded size; a cell gives one link for each
-document and component. So no group is expanded into all of its pairs, and no
-link between components is left out.
+are in one case of ten millions or fewer (a binomial tail; sets that are
+sketched whole lose nothing). So a document enters the inverted lists of the
+rarer half, and one, of its retained hashes: two sketches that share half of
+their values meet in such a list. Hashes are ordered by how many sketches hold
+them, so very common shingles get no lists.
+
+Lists give overlaps. (1) In each list the first member is a leader; members
+that may be similar to it follow it, the others choose a leader among
+themselves, and so on: unrelated documents that share a shingle are told apart
+by their least DIGEST retained hashes and form no pair. (Of two sets similar to
+0.8, fewer than SHARED of the DIGEST are equal in one case of 10 to the 8.) A
+list of more than LIST members is dealt in pieces first, whose leaders meet
+under their digests. Each document keeps its best leader; the estimate over the
+sketch of the union, then the full sets decide. (2) Lists in which some follow,
+but whose members are still in several components, are put together by their
+main component. There the documents that share a value of their digests across
+components are compared on full sets, those outside of the main component with
+all, in cells of bounded size; a cell gives one link for each document and
+component. So no group is expanded into its pairs, unrelated documents are not
+compared, and no link between components is left out.
+
+Sets lie in one file a block of documents in the shared folder, and are fetched
+where a block's documents are asked for; only those move. Keys are counted in
+packed messages (see exchange), and joins by nodes or lists of very many rows
+are spread, so no task holds a hot key.
 
 Words are runs without white space, A-Z in lower case. A text of fewer words
-than a shingle is one shingle; without words it is empty and alone. Rows stand
-for themselves, also with equal or null doc_id; a component's id is its
-smallest doc_id.
+than a shingle is one shingle; without words (null, empty) it is alone. Rows
+stand for themselves, also with equal or null doc_id; a component's id is its
+smallest doc_id, null if all are. Other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +49,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from . import shared_files
 from . import splitting as S
 from .components import components
 
-#: Hashes retained; members of a list whose pairs are all formed; bytes of text hashed at once; sketches in a block; bytes of sets on each side of a cell.
-SKETCH, SHORT_LIST, BLOCK_BYTES, SKETCHES, CELL_BYTES = 64, 12, 8 << 20, 8192, 1 << 20
-#: Hashes of a set keep so many bits.
-BITS = np.uint64(48)
-SETS = "rid long, doc_id long, n long, print binary, sketch binary, members binary"
-_TOP = np.uint64((1 << 64) - 1)
+#: Hashes retained; the least of them that tell unrelated documents apart, and how many of those must be equal.
+SKETCH, DIGEST, SHARED = 64, 16, 3
+#: Bytes of text and documents in a block; members of a list, or of a piece of it; followers that share a cell with their leader.
+BLOCK_BYTES, BLOCK_DOCS, LIST, FOLLOWERS = 8 << 20, 1 << 15, 4096, 256
+#: Documents and shingles on each side of a cell; bytes of input for each bucket of lists and cells.
+CELL_DOCS, CELL_SHINGLES, BUCKET_BYTES = 512, 1 << 20, 16 << 20
+_TOP, _ODD = np.uint64((1 << 64) - 1), np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.iinfo(np.int64).max
 
 
 def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +79,7 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
         first = left == np.repeat(counts, counts)
         for k in range(1, shingle):
             more = left > k
-            h[:-k][more[:-k]] = X.mix(h[:-k][more[:-k]] * np.uint64(0x9E3779B97F4A7C15) + word[k:][more[:-k]]) if len(h) > k else h[:0]
+            h[:-k][more[:-k]] = X.mix(h[:-k][more[:-k]] * _ODD + word[k:][more[:-k]]) if len(h) > k else h[:0]
         h = X.mix(h + np.minimum(left, n).astype(np.uint64))
     keep = (left >= shingle) | first & (left < shingle)
     h, doc = h[keep], doc[keep]
@@ -78,99 +90,273 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
     return h[new], np.searchsorted(doc[new], np.arange(len(counts) + 1))
 
 
-def pack_set(values: np.ndarray) -> bytes:
-    return X.pack(np.diff(values, prepend=np.uint64(0)))
+class Block:
+    """A block's documents and its classes of equal sets, as its file has them. A class is numbered block << 16 | its place."""
+
+    HEAD = ("doc_id", "null", "text_hash", "place", "size", "first", "second", "least", "sketch")
+
+    def __init__(self, folder: str, number: int, head: dict[str, np.ndarray], values: np.ndarray | None = None):
+        self.folder, self.number, self.head, self.values = folder, number, head, values
+        self.size = head["size"].astype(np.int64)
+        self.rid = (number << 16) + np.arange(len(self.size))
+        self.kept = np.minimum(self.size, SKETCH)
+        self.bounds = np.append(0, np.cumsum(self.size))
+
+    @classmethod
+    def made(cls, folder: str, number: int, table: pa.Table, shingle: int) -> Block:
+        values, bounds = shingle_hashes(table.column("text"), shingle)
+        ids = table.column("doc_id").combine_chunks()
+        null = np.asarray(ids.is_null())
+        doc_id = ids.fill_null(_NONE).to_numpy()
+        place, seen, own, prints, least = np.zeros(len(ids), np.int64), {}, [], [], []
+        for k in range(len(ids)):
+            part = values[bounds[k] : bounds[k + 1]]
+            if not len(part):
+                continue
+            name = hashlib.blake2b(part.tobytes(), digest_size=16).digest()
+            if name not in seen:
+                seen[name] = len(own)
+                own.append(part)
+                prints.append(name)
+                least.append(_NONE)
+            place[k] = 1 + seen[name]
+            least[seen[name]] = min(least[seen[name]], int(doc_id[k]))
+        prints = np.frombuffer(b"".join(prints), "<u8").reshape(-1, 2)
+        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
+        head = {
+            "doc_id": doc_id, "null": null.astype(np.uint8), "text_hash": table.column("text_hash").to_numpy(), "place": X.narrow(place),
+            "size": X.narrow(np.array([len(x) for x in own], np.int64)), "first": prints[:, 0], "second": prints[:, 1], "least": np.array(least, np.int64), "sketch": flat([x[:SKETCH] for x in own]),
+        }
+        return cls(folder, number, head, flat(own))
+
+    def write(self) -> None:
+        head = X.pack(*(self.head[k] for k in self.HEAD))
+        with shared_files.written(f"{self.folder}/sets/{self.number}") as out:
+            out.write(struct.pack("<Q", len(head)) + head + X.pack(self.values))
+
+    @classmethod
+    def read(cls, folder: str, number: int, whole: bool = False) -> Block:
+        system, path = shared_files.opened(f"{folder}/sets/{number}")
+        with system.open_input_file(path) as f:
+            (n,) = struct.unpack("<Q", f.read(8))
+            head = dict(zip(cls.HEAD, X.unpack(f.read(n)), strict=True))
+            return cls(folder, number, head, X.unpack(f.read())[0] if whole else None)
+
+    def dealt(self, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """Distinct retained values, in how many classes each is, and for each bucket its values and classes."""
+        values, times = np.unique(self.head["sketch"], return_counts=True)
+        none = np.zeros(0, np.int64)
+        out = {b: (at, none) for b, at in X.split_buckets((values % np.uint64(n)).astype(np.int64), n)}
+        for b, at in X.split_buckets((self.head["first"] % np.uint64(n)).astype(np.int64), n):
+            out[b] = (out.get(b, (none,))[0], at)
+        return values, times, out
+
+    def digests(self) -> np.ndarray:
+        """The least DIGEST values of each class; of fewer, the first again."""
+        at = np.cumsum(self.kept) - self.kept
+        k = np.arange(DIGEST)
+        return self.head["sketch"][(at[:, None] + np.where(k < self.kept[:, None], k, 0)).ravel()].reshape(-1, DIGEST)
+
+
+_MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+MESSAGE = "block long, bucket int, blob binary"
+
+
+def _scan(folder: str, shingle: int, n: int, limit: int):
+    """Writes the blocks' files; sends each bucket the distinct values and classes. Bucket -1 names each block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 20
+        for _, table in X.blocks(batches, limit):
+            for first in range(0, table.num_rows, BLOCK_DOCS):
+                block = Block.made(folder, number, table.slice(first, BLOCK_DOCS), shingle)
+                block.write()
+                values, times, dealt = block.dealt(n)
+                rows = [{"block": number, "bucket": -1, "blob": None}]
+                for b, (at, own) in dealt.items():
+                    rows.append({"block": number, "bucket": b, "blob": X.pack(np.diff(values[at], prepend=np.uint64(0)), X.narrow(times[at]), block.head["first"][own], block.head["second"][own], X.narrow(own), block.head["least"][own])})
+                yield pa.RecordBatch.from_pylist(rows, _MESSAGE)
+                number += 1
 
-def unpack_set(blob: bytes) -> np.ndarray:
-    return np.cumsum(X.unpack(blob)[0], dtype=np.uint64)
+    return run
 
 
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seen = TaskContext.get().partitionId() << 33, 0
-        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sketch", pa.binary()), ("members", pa.binary())])
-        for _, table in X.blocks(batches, BLOCK_BYTES):
-            values, bounds = shingle_hashes(table.column("text"), shingle)
-            values = values >> (np.uint64(64) - BITS)
-            rows = []
-            for k, doc_id in enumerate(table.column("doc_id").to_pylist()):
-                own = values[bounds[k] : bounds[k + 1]]
-                rows.append({"rid": base + seen, "doc_id": doc_id, "n": len(own), "print": hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "sketch": own[:SKETCH].astype("<u8").tobytes(), "members": pack_set(own)})
-                seen += 1
-            for k in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 1000], schema)
+def _counted(table: pa.Table) -> pa.Table:
+    """How many classes hold each value; of each set the least class and doc_id."""
+    each = [X.unpack(b) for b in table.column("blob").to_pylist()]
+    values = [np.cumsum(x[0], dtype=np.uint64) for x in each]
+    _, at = np.unique(np.concatenate(values), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([x[1] for x in each])).astype(np.int64)[at]
+    first, second, least = (np.concatenate([x[k] for x in each]) for k in (2, 3, 5))
+    rid = np.concatenate([(b << 16) + x[4].astype(np.int64) for b, x in zip(table.column("block").to_pylist(), each, strict=True)])
+    order = np.lexsort((rid, second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
+    heads = np.flatnonzero(new)
+    rep, doc, group = np.empty(len(rid), np.int64), np.empty(len(rid), np.int64), np.cumsum(new) - 1
+    if len(rid):
+        rep[order], doc[order] = rid[order][heads][group], np.minimum.reduceat(least[order], heads)[group]
+    cuts, marks = (np.cumsum([len(x) for x in y])[:-1] for y in (values, [e[2] for e in each]))
+    blobs = [X.pack(X.narrow(c), r, d) for c, r, d in zip(np.split(total, cuts), np.split(rep, marks), np.split(doc, marks), strict=True)]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "blob": pa.array(blobs, pa.binary())}, _MESSAGE)
+
+
+POSTED = "kind int, block long, bucket int, blob binary, rid long, rep long, doc long"
+_POSTED = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("rid", pa.int64()), ("rep", pa.int64()), ("doc", pa.int64())])
+
+
+def _piece_keys(values: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return np.where(piece > 0, X.mix(values + piece.astype(np.uint64) * _ODD), values)
+
+
+def _postings(folder: str, n: int, num: int, den: int, most: int):
+    """Kind 0: to each bucket its lists' members; kind 1: each class with the least class and doc_id of its set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = Block.read(folder, table.column("block")[0].as_py())
+        values, _, dealt = block.dealt(n)
+        total, rep, doc = np.zeros(len(values), np.int64), np.zeros(len(block.rid), np.int64), np.zeros(len(block.rid), np.int64)
+        for b, blob in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            at, own = dealt[b]
+            total[at], rep[own], doc[own] = X.unpack(blob)
+        flat, kept, size = block.head["sketch"], block.kept, block.size
+        cls = np.repeat(np.arange(len(kept)), kept)
+        many = total[np.searchsorted(values, flat)]
+        order = np.lexsort((flat, many, cls))  # the rarest first
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(kept) - kept, kept)
+        shared = np.where(size * den <= SKETCH * num, -(-num * size // den), kept // 2)  # of small sets all partners are sketched whole
+        keep = order[(place <= (kept - shared)[cls]) & (many[order] > 1) & (rep == block.rid)[cls]]
+        value, many, cls = flat[keep], many[keep], cls[keep]
+        piece = np.where(many > most, 1 + (X.mix(block.rid[cls].astype(np.uint64)) % np.maximum(-(-many // most), 1).astype(np.uint64)).astype(np.int64), 0)
+        digest = (block.digests() & np.uint64(0xFFFF)).astype(np.uint16)
+        rows = []
+        for b, at in X.split_buckets((_piece_keys(value, piece) % np.uint64(n)).astype(np.int64), n):
+            at = at[np.argsort(value[at], kind="stable")]
+            own, of = np.unique(cls[at], return_inverse=True)
+            blob = X.pack(np.diff(value[at], prepend=np.uint64(0)), X.narrow(piece[at]), X.narrow(of), block.rid[own], X.narrow(size[own]), digest[own].ravel())
+            rows.append({"kind": 0, "block": block.number, "bucket": b, "blob": blob})
+        classes = pa.table({"kind": pa.array(np.ones(len(rep), np.int32)), "rid": pa.array(block.rid), "rep": pa.array(rep), "doc": pa.array(doc, mask=doc == _NONE)})
+        blank = [pa.nulls(len(rep), _POSTED.field(x).type) for x in ("block", "bucket", "blob")]
+        classes = pa.Table.from_arrays([classes.column("kind"), *blank, *(classes.column(x) for x in ("rid", "rep", "doc"))], schema=_POSTED)
+        return pa.concat_tables([pa.Table.from_pylist(rows, _POSTED), classes])
 
     return run
 
 
-HELD = "block long, rids binary, sizes binary, counts binary, sketches binary, messages array<struct<bucket:int,blob:binary>>"
+def near(a: np.ndarray, b: np.ndarray, size: np.ndarray, digest: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Values of the digests that the pairs share; 0 where sizes or digests rule out that they are similar."""
+    out = np.zeros(len(a), np.int64)
+    x, y = size[a], size[b]
+    at = np.flatnonzero(den * np.minimum(x, y) >= num * np.maximum(x, y))
+    for k in range(0, len(at), 1 << 14):
+        i = at[k : k + (1 << 14)]
+        p, q = digest[a[i]], digest[b[i]]
+        shared = ((p[:, :, None] == q[:, None, :]).any(2) & (np.arange(DIGEST) < size[a[i], None])).sum(1)
+        out[i] = np.where(shared >= SHARED, shared, 0)
+    return out
+
+
+def leaders(key: np.ndarray, size: np.ndarray, digest: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of members sorted by list: the leader that each follows, or itself; the values shared; and which lists have followers, by member."""
+    lead, shared, alive = np.arange(len(key)), np.zeros(len(key), np.int64), np.arange(len(key))
+    while len(alive):
+        head = np.ones(len(alive), bool)
+        head[1:] = key[alive][1:] != key[alive][:-1]
+        a, b = alive[head][np.cumsum(head) - 1][~head], alive[~head]
+        got = near(a, b, size, digest, num, den)
+        lead[b[got > 0]], shared[b] = a[got > 0], got
+        alive = b[got == 0]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    of = np.cumsum(first) - 1
+    return lead, shared, (np.bincount(of, weights=shared) > 0)[of] if len(key) else np.zeros(0, bool)
+
+
+LISTED = "kind int, rid long, a long, chunk long, shared int, value long, n long, digest binary"
+_LISTED = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("a", pa.int64()), ("chunk", pa.int64()), ("shared", pa.int32()), ("value", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+
+
+def _listed(kind: int, rid: np.ndarray, **columns) -> pa.Table:
+    whole = {"kind": pa.array(np.full(len(rid), kind, np.int32)), "rid": pa.array(rid)} | columns
+    return pa.Table.from_arrays([whole.get(f.name, pa.nulls(len(rid), f.type)) for f in _LISTED], schema=_LISTED)
+
+
+def _followers(key: np.ndarray, rid: np.ndarray, lead: np.ndarray, shared: np.ndarray, together: int) -> pa.Table:
+    """Kind 0: each document's best leader in these lists. chunk: so that not too many share a cell with it."""
+    at = np.flatnonzero(lead != np.arange(len(lead)))
+    a = lead[at]
+    order = np.argsort(a, kind="stable")
+    place = np.empty(len(at), np.int64)
+    sizes = np.diff(np.append(np.flatnonzero(np.diff(a[order], prepend=-1)), len(at)))
+    place[order] = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    best = np.lexsort((rid[a], -shared[at], rid[at]))
+    best = best[np.diff(rid[at][best], prepend=-1) != 0]
+    at, a, place = at[best], a[best], place[best]
+    return _listed(0, rid[at], a=pa.array(rid[a]), chunk=pa.array(place // together), shared=pa.array(shared[at].astype(np.int32)))
+
+
+def _lists(num: int, den: int, together: int):
+    """Kind 0: best leaders; kind 1: members of lists with followers, and of lists in pieces; kind 2: leaders of pieces."""
+
+    def run(table: pa.Table) -> pa.Table:
+        value, piece, rid, size, digest = [], [], [], [], []
+        for blob in table.column("blob").to_pylist():
+            gaps, p, of, r, s, d = X.unpack(blob)
+            value.append(np.cumsum(gaps, dtype=np.uint64))
+            piece.append(p.astype(np.int64))
+            rid.append(r[of])
+            size.append(s[of].astype(np.int64))
+            digest.append(d.reshape(-1, DIGEST)[of])
+        value, piece, rid, size, digest = (np.concatenate(x) for x in (value, piece, rid, size, digest))
+        key = _piece_keys(value, piece)
+        order = np.lexsort((rid, key))
+        value, piece, rid, size, digest, key = (x[order] for x in (value, piece, rid, size, digest, key))
+        lead, shared, some = leaders(key, size, digest, num, den)
+        members = np.flatnonzero(some | (piece > 0))
+        top = np.flatnonzero((piece > 0) & (lead == np.arange(len(lead))))
+        return pa.concat_tables([
+            _followers(key, rid, lead, shared, together),
+            _listed(1, rid[members], value=pa.array(value[members].view(np.int64))),
+            _listed(2, rid[top], value=pa.array(value[top].view(np.int64)), n=pa.array(size[top]), digest=pa.array([x.tobytes() for x in digest[top]], pa.binary())),
+        ])
 
+    return run
 
-def _hold(n: int):
-    """Blocks of sketches, and to each bucket the distinct values with how many sketches hold them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k, held = TaskContext.get().partitionId() << 32, 0, []
-        schema = pa.schema([("block", pa.int64()), *((x, pa.binary()) for x in ("rids", "sizes", "counts", "sketches")), ("messages", pa.list_(pa.struct([("bucket", pa.int32()), ("blob", pa.binary())])))])
-
-        def put() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            sketches = [np.frombuffer(x, "<u8") for x in table.column("sketch").to_pylist()]
-            flat = np.concatenate(sketches)
-            values, times = np.unique(flat, return_counts=True)
-            messages = [{"bucket": b, "blob": X.pack(np.diff(values[at], prepend=np.uint64(0)), X.narrow(times[at]))} for b, at in X.split_buckets((values % np.uint64(n)).astype(np.int64), n)]
-            row = {"block": base + k, "rids": X.pack(table.column("rid").to_numpy()), "sizes": X.pack(X.narrow(table.column("n").to_numpy())), "counts": X.pack(X.narrow(np.array([len(x) for x in sketches]))), "sketches": X.pack(flat), "messages": messages}
-            return pa.RecordBatch.from_pylist([row], schema)
+def _met(n: int):
+    """Leaders of pieces, under each value of their digests; bucket in place of kind."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= SKETCHES:
-                yield put()
-                held, k = [], k + 1
-        if held and sum(b.num_rows for b in held):
-            yield put()
+            rid, value, size = (batch.column(x).to_numpy() for x in ("rid", "value", "n"))
+            digest = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint16).reshape(-1, DIGEST)
+            at = np.repeat(np.arange(len(rid)), np.minimum(size, DIGEST))
+            j = np.arange(len(at)) - np.repeat(np.cumsum(np.minimum(size, DIGEST)) - np.minimum(size, DIGEST), np.minimum(size, DIGEST))
+            key = X.mix(value.view(np.uint64)[at] + (digest[at, j].astype(np.uint64) + np.uint64(1)) * _ODD)
+            rows = _listed(0, rid[at], value=pa.array(key.view(np.int64)), n=pa.array(size[at]), digest=pa.array([x.tobytes() for x in digest[at]], pa.binary()))
+            yield from rows.set_column(0, "kind", pa.array((key % np.uint64(n)).astype(np.int32))).to_batches(10_000)
 
     return run
 
 
-def _sums(table: pa.Table) -> pa.Table:
-    each = [X.unpack(b) for b in table.column("blob").to_pylist()]
-    values = [np.cumsum(gaps, dtype=np.uint64) for gaps, _ in each]
-    _, at = np.unique(np.concatenate(values), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([t for _, t in each])).astype(np.int64)
-    blobs = [X.pack(X.narrow(x)) for x in np.split(total[at], np.cumsum([len(v) for v in values])[:-1])]
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "blob": pa.array(blobs, pa.binary())})
-
-
-def _postings(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            (rids,), (sizes,), (counts,), (flat,) = (X.unpack(row[x]) for x in ("rids", "sizes", "counts", "sketches"))
-            values, which = np.unique(flat, return_inverse=True)
-            total = np.zeros(len(values), np.int64)
-            got = {a["bucket"]: a["blob"] for a in row["answers"] or ()}
-            for b, at in X.split_buckets((values % np.uint64(n)).astype(np.int64), n):
-                total[at] = X.unpack(got[b])[0]
-            counts = counts.astype(np.int64)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            df = total[which]
-            order = np.lexsort((flat, df, doc))  # the rarest first
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keep = order[(place <= counts[doc] - counts[doc] // 2) & (df[order] > 1)]
-            for k in range(0, len(keep), 100_000):
-                at = keep[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at].astype(np.int64)), pa.array(rids[doc[at]]), pa.array(sizes[doc[at]].astype(np.int64)), pa.array(df[at])], ["value", "rid", "n", "df"])
+def _upper(num: int, den: int, together: int):
+    def run(table: pa.Table) -> pa.Table:
+        key, rid, size = table.column("value").to_numpy().view(np.uint64), table.column("rid").to_numpy(), table.column("n").to_numpy()
+        digest = np.frombuffer(b"".join(table.column("digest").to_pylist()), np.uint16).reshape(-1, DIGEST)
+        order = np.lexsort((rid, key))
+        key, rid, size, digest = key[order], rid[order], size[order], digest[order]
+        lead, shared, _ = leaders(key, size, digest, num, den)
+        return _followers(key, rid, lead, shared, together)
 
     return run
 
 
-def estimates(a: list[bytes], b: list[bytes]) -> np.ndarray:
+def estimates(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Share of the least SKETCH hashes of each union that both sets hold."""
     rows = np.full((len(a), 2 * SKETCH), _TOP)
     for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        rows[k, : len(x) // 8] = np.frombuffer(x, "<u8")
-        rows[k, SKETCH : SKETCH + len(y) // 8] = np.frombuffer(y, "<u8")
+        rows[k, : len(x)] = x
+        rows[k, SKETCH : SKETCH + len(y)] = y
     rows.sort(axis=1)
     new = np.ones(rows.shape, bool)
     new[:, 1:] = rows[:, 1:] != rows[:, :-1]
@@ -181,110 +367,104 @@ def estimates(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return (both & least).sum(1) / np.maximum((new & least).sum(1), 1)
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 4000):
-            part = batch.slice(k, 4000)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(estimates(part.column("sketch_a").to_pylist(), part.column("sketch_b").to_pylist()))], ["a", "b", "estimate"])
-
-
-def _verified(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, own = [], None, None
-            for x, y in zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist(), strict=True):
-                if x != last:
-                    last, own = x, unpack_set(x)
-                other = unpack_set(y)
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(den * shared >= num * (len(own) + len(other) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """Pairs with a column of both; the table of sets stays where it is, in buckets of rid."""
-    b = sets.select(F.col("rid").alias("b"), F.col(column).alias(f"{column}_b"))
-    a = sets.select(F.col("rid").alias("a"), F.col(column).alias(f"{column}_a"))
-    return pairs.join(b, "b").join(a, "a")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, folder: str, name: str, before: DataFrame | None = None, one: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Verified links, with those from before, that connect all that these pairs connect; and the components. one: no b has two pairs."""
-    rated = X.saved(_with_both(pairs, sets, "sketch").mapInArrow(_estimated, "a long, b long, estimate double").filter("estimate >= 0.5"), folder, f"{name}-rated")
-    verify = lambda p: _with_both(p.select("a", "b"), sets, "members").sortWithinPartitions("a").mapInArrow(_verified(num, den), "a long, b long")
-    best = rated if one else rated.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    first = X.saved(verify(best.select("a", "b")), folder, f"{name}-best")
-    links = first if before is None else before.unionByName(first)
-    label = X.saved(components(links, f"{folder}/{name}-components"), folder, f"{name}-labels")
-    if one:
-        return links, label
-    rest = X.saved(verify(_across(rated, label)), folder, f"{name}-rest")
-    links = links.unionByName(rest)
-    if not rest.isEmpty():
-        label = X.saved(components(links, f"{folder}/{name}-components-2"), folder, f"{name}-labels-2")
-    return links, label
+def cell_links(rid: np.ndarray, component: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Of documents that ask and documents that are asked: for each that asks, one link to each other component that it is similar to."""
+    at, ask = np.flatnonzero(~asks), np.flatnonzero(asks)
+    if not len(at) or not len(ask):
+        return []
+    if len(at) == 1:  # followers and their leader
+        ask = ask[component[ask] != component[at[0]]]
+        head = sets[at[0]]
+        ask = ask[estimates([sets[k][:SKETCH] for k in ask], [head[:SKETCH]] * len(ask)) >= 0.5] if len(ask) else ask
+        out = []
+        for k in ask:
+            place = np.minimum(np.searchsorted(head, sets[k]), len(head) - 1)
+            shared = int((head[place] == sets[k]).sum())
+            if den * shared >= num * (len(head) + len(sets[k]) - shared):
+                out.append((int(rid[at[0]]), int(rid[k])))
+        return out
+    size = np.array([len(sets[k]) for k in at])
+    values, of = np.concatenate([sets[k] for k in at]), np.repeat(np.arange(len(at)), size)
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    out = []
+    for k in ask:
+        low, high = np.searchsorted(values, sets[k]), np.searchsorted(values, sets[k], "right")
+        n = high - low
+        where = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        shared = np.bincount(of[where], minlength=len(at))
+        hit = np.flatnonzero((den * shared >= num * (len(sets[k]) + size - shared)) & (component[at] != component[k]))
+        if len(hit):
+            _, first = np.unique(component[at[hit]], return_index=True)
+            out += [(int(rid[at[x]]), int(rid[k])) for x in hit[first]]
+    return out
+
+
+def _verified(asked: DataFrame, folder: str, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of documents (rid, component, asks) that meet in cells (c1, c2). Their sets are fetched from the blocks' files."""
+
+    def fetch(table: pa.Table) -> pa.Table:
+        block = Block.read(folder, table.column("block")[0].as_py(), True)
+        at = table.column("rid").to_numpy() & 0xFFFF
+        sets = [block.values[block.bounds[k] : block.bounds[k + 1]].tobytes() for k in at]
+        return table.drop_columns(["block"]).append_column("members", pa.array(sets, pa.large_binary() if sum(map(len, sets)) > 1 << 30 else pa.binary()))
+
+    def links(table: pa.Table) -> pa.Table:
+        c1, c2, rid, component, asks = (np.asarray(table.column(x)) for x in ("c1", "c2", "rid", "component", "asks"))
+        members, out = table.column("members"), []
+        order = np.lexsort((rid, c2, c1))
+        new = np.flatnonzero((np.diff(c1[order], prepend=-1) != 0) | (np.diff(c2[order], prepend=-1) != 0))
+        for own in np.split(order, new[1:]):
+            out += cell_links(rid[own], component[own], asks[own], [np.frombuffer(members[int(k)].as_buffer(), "<u8") for k in own], num, den)
+        a, b = ([x[k] for x in out] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    got = asked.select(F.shiftright("rid", 16).alias("block"), "c1", "c2", "rid", "component", "asks").groupBy("block").applyInArrow(fetch, "c1 long, c2 long, rid long, component long, asks boolean, members binary")
+    return got.groupBy(F.pmod(F.xxhash64("c1", "c2"), F.lit(n))).applyInArrow(links, "a long, b long")
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
 
 
-def _in_cells(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components whose members share long lists (value, rid, component).
-
-    A list belongs to its main component. What stands outside of it meets all
-    members of such lists in cells: blocks of the ones by blocks of the others,
-    as many as their sets' bytes ask for.
-    """
-    parts = rows.groupBy("value", "component").count()
-    main = parts.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("value", "main")
-    members = rows.join(main, "value").select("main", "rid", "component").distinct().withColumn("outer", F.col("component") != F.col("main"))
-    whole = sets.select("rid", "members").join(members, "rid")
-    size = whole.groupBy("main").agg(*(F.ceil(F.sum(F.when(c, F.octet_length("members")).otherwise(0)) / CELL_BYTES).cast("int").alias(n) for c, n in ((F.col("outer"), "outers"), (F.lit(True), "alls"))))
-    at = whole.join(size.withColumns({c: F.greatest(F.col(c), F.lit(1)) for c in ("outers", "alls")}), "main")
-    place = lambda c, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.col(c)).cast("int")
+def _across(members: DataFrame, label: DataFrame, folder: str, n: int, num: int, den: int) -> DataFrame:
+    """Links between components whose documents share lists (value, rid)."""
+    spark = members.sparkSession
+    rows = X.saved(_labelled(members, label), folder, "members")
+    total = rows.count()
+    parts = rows.groupBy("value", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("value").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"), F.sum("k").alias("w"), F.count("*").alias("parts")).filter("parts > 1")
+    own = X.spread_join(rows, main.select("value", "main", "w"), "value", "w", total).select("main", "rid", "component").distinct()
+
+    def digests(table: pa.Table) -> pa.Table:
+        block = Block.read(folder, table.column("block")[0].as_py())
+        at = table.column("rid").to_numpy() & 0xFFFF
+        many = np.minimum(block.size[at], DIGEST)
+        row = np.repeat(np.arange(len(at)), many)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        out = table.drop_columns(["block"]).take(pa.array(row))
+        return out.append_column("n", pa.array(block.size[at][row])).append_column("value", pa.array(block.digests()[at][row, column].view(np.int64)))
+
+    each = own.withColumn("block", F.shiftright("rid", 16)).groupBy("block").applyInArrow(digests, "main long, rid long, component long, n long, value long")
+    each = X.saved(each, folder, "digests")
+    meet = each.groupBy("main", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("w")).filter("low < high").select("main", "value", "w")
+    found = X.saved(X.spread_join(each, meet, ["main", "value"], "w", 16 * total).select("main", "rid", "component", "n").distinct(), folder, "found")
+    side = lambda c: F.greatest(F.ceil(F.sum(F.when(c, 1).otherwise(0)) / CELL_DOCS), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CELL_SHINGLES), F.lit(1)).cast("int")
+    size = found.groupBy("main").agg(side(F.col("component") != F.col("main")).alias("outers"), side(F.lit(True)).alias("alls"), F.count("*").alias("w"))
+    at = X.saved(X.spread_join(found, size, "main", "w", total), folder, "placed")
+    place = lambda c, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    keep = ["main", "rid", "component", "members"]
-    asking = at.filter("outer").withColumn("i", place("outers", 1)).withColumn("j", every("alls")).select(*keep, "i", "j", F.lit(True).alias("asks"))
+    keep = ["main", "rid", "component"]
+    asking = at.filter("component <> main").withColumn("i", place("outers", 1)).withColumn("j", every("alls")).select(*keep, "i", "j", F.lit(True).alias("asks"))
     asked = at.withColumn("j", place("alls", 2)).withColumn("i", every("outers")).select(*keep, "i", "j", F.lit(False).alias("asks"))
-
-    def cell(table: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        asks = np.asarray(table.column("asks"))
-        rid, component = np.asarray(table.column("rid")), np.asarray(table.column("component"))
-        own = [unpack_set(x) for x in table.column("members").to_pylist()]
-        at = np.flatnonzero(~asks)
-        if not len(at) or not asks.any():
-            return schema.empty_table()
-        size = np.array([len(own[k]) for k in at])
-        values, of = np.concatenate([own[k] for k in at]), np.repeat(np.arange(len(at)), size)
-        order = np.argsort(values, kind="stable")
-        values, of = values[order], of[order]
-        a, b = [], []
-        for k in np.flatnonzero(asks):
-            low, high = np.searchsorted(values, own[k]), np.searchsorted(values, own[k], "right")
-            n = high - low
-            where = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-            shared = np.bincount(of[where], minlength=len(at))
-            hit = np.flatnonzero((den * shared >= num * (len(own[k]) + size - shared)) & (component[at] != component[k]))
-            if len(hit):
-                _, first = np.unique(component[at[hit]], return_index=True)
-                b += [int(x) for x in rid[at[hit[first]]]]
-                a += [int(rid[k])] * len(first)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, schema)
-
-    return asking.unionByName(asked).groupBy("main", "i", "j").applyInArrow(cell, "a long, b long")
-
-
-def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    a, b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return pairs.join(a, "a", "left").join(b, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    cells = asking.unionByName(asked.select(*keep, "i", "j", "asks")).select(F.col("main").alias("c1"), F.expr("shiftleft(cast(i as long), 32) + j").alias("c2"), "rid", "component", "asks")
+    out = X.saved(_verified(cells, folder, n, num, den), folder, "links-2")
+    X.dropped(spark, *(f"{folder}/{x}" for x in ("members", "digests", "found", "placed")))
+    return out
 
 
 def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id of equal sets) and component_id of each row.
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, class_id (smallest doc_id of equal sets) and component_id of each row.
 
     Sets are linked where den * intersection >= num * union; num / den is at
     least 0.8, which the sketches' bounds rest on.
@@ -293,40 +473,51 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
         raise ValueError("the threshold must be 0.8 or more")
     spark = docs.sparkSession
     folder = X.workdir(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    n = X.buckets_for(spark, X.text_bytes(docs))
-    sets = X.saved_by(docs.mapInArrow(_sets(shingle), SETS), "rid", folder, "sets")
-    some = sets.filter("n > 0").select("rid", "doc_id", "print")
-    classes = some.groupBy("print").agg(F.min("rid").alias("rep"))
-    members = X.saved(some.join(classes, "print").select("rid", "rep", "doc_id"), folder, "members")
-    reps = sets.select("rid", "n", "sketch").join(members.filter("rid = rep").select("rid"), "rid", "left_semi")
-    held = X.saved_by(reps.mapInArrow(_hold(n), HELD), "block", folder, "sketches")
-    counts = X.answered(held.select("block", F.inline("messages")), _sums, "block long, bucket int, blob binary")
-    posted = X.saved(X.with_answers(held.drop("messages"), counts).mapInArrow(_postings(n), "value long, rid long, n long, df long"), folder, "postings")
-    longest = posted.groupBy("rid").agg(F.max_by("value", F.struct("df", "value")).alias("value"))
-    heads = X.saved(posted.groupBy("value").agg(F.min(F.struct("rid", "n")).alias("x")), folder, "heads")
-    close = f"{den} * least(x.n, n) >= {num} * greatest(x.n, n)"
-    stars = longest.join(heads, "value").filter("rid > x.rid").select(F.col("x.rid").alias("a"), F.col("rid").alias("b"))
-    links, label = _linked(stars, sets, num, den, folder, "first", one=True)
-    rows = _labelled(posted, label)
-    short = rows.filter(F.col("df") <= SHORT_LIST).groupBy("value").agg(F.collect_list(F.struct("rid", "n", "component")).alias("list"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b")
-    short = short.select("list", F.inline("list")).select("rid", F.explode(F.expr(f"filter(list, x -> x.rid > rid and x.component <> component and {close})")).alias("x")).select(F.col("rid").alias("a"), F.col("x.rid").alias("b"))
-    of_head = heads.select("value", "x").join(label.select(F.col("node").alias("_h"), F.col("component").alias("_c")), F.col("x.rid") == F.col("_h"), "left").select("value", "x", F.coalesce("_c", "x.rid").alias("head"))
-    stars = rows.filter(F.col("df") > SHORT_LIST).join(of_head, "value").filter(f"rid > x.rid and component <> head and {close}").select(F.col("x.rid").alias("a"), F.col("rid").alias("b"))
-    links, label = _linked(short.unionByName(stars).distinct(), sets, num, den, folder, "second", links)
-    found = X.saved(_in_cells(_labelled(posted.filter(F.col("df") > SHORT_LIST), label), sets, num, den), folder, "cells")
-    if not found.isEmpty():
-        label = X.saved(components(links.unionByName(found), f"{folder}/third-components"), folder, "third-labels")
-    whole = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    of_class = whole.groupBy("rep", "component").agg(F.min("doc_id").alias("class_id"))
-    of_all = of_class.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    ids = of_class.join(of_all, "component").select("rep", "class_id", "component_id")
-    placed = members.select("rid", "rep").join(ids, "rep").select("rid", "class_id", "component_id")
-    out = sets.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(placed, "rid", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    n = X.deal(spark, X.input_bytes(docs), BUCKET_BYTES)
+    shared_files.folder(f"{folder}/sets")
+    sent = X.saved(docs.mapInArrow(X.tidy(_scan(folder, shingle, n, BLOCK_BYTES)), MESSAGE), folder, "messages")
+    counts = X.answered(sent.filter("bucket >= 0"), _counted, MESSAGE)
+    posted = X.saved(counts.groupBy("block").applyInArrow(_postings(folder, n, num, den, LIST), POSTED), folder, "postings")
+    listed = X.saved(X.answered(posted.filter("kind = 0").select("block", "bucket", "blob"), _lists(num, den, FOLLOWERS), LISTED), folder, "lists")
+    follow = listed.filter("kind = 0")
+    if not (pieces := listed.filter("kind = 2")).isEmpty():
+        met = pieces.mapInArrow(_met(n), LISTED).withColumnRenamed("kind", "bucket")
+        follow = follow.unionByName(met.groupBy("bucket").applyInArrow(_upper(num, den, FOLLOWERS), LISTED))
+    best = follow.groupBy("rid").agg(F.max_by(F.struct("a", "chunk"), F.struct("shared", -F.col("a"))).alias("x")).select("rid", F.col("x.a").alias("c1"), F.col("x.chunk").alias("c2"))
+    best = X.saved(best, folder, "best")
+    asking = best.select("c1", "c2", "rid", F.col("rid").alias("component"), F.lit(True).alias("asks"))
+    asked = best.select("c1", "c2").distinct().select("c1", "c2", F.col("c1").alias("rid"), F.col("c1").alias("component"), F.lit(False).alias("asks"))
+    links = X.saved(_verified(asking.unionByName(asked), folder, n, num, den), folder, "links")
+    label = X.saved(components(links, f"{folder}/first"), folder, "labels")
+    more = _across(listed.filter("kind = 1").select("rid", "value"), label, folder, n, num, den)
+    if not more.isEmpty():
+        label = X.saved(components(links.unionByName(more), f"{folder}/second"), folder, "labels-2")
+    classes = posted.filter("kind = 1").select("rid", "rep", "doc")
+    least = label.join(classes.filter("rid = rep").select(F.col("rep").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("id"), F.count("*").alias("w"))
+    ids = X.spread_join(label, least, "component", "w", label.count()).select(F.col("node").alias("rep"), "id")
+    named = classes.join(ids, "rep", "left").select(F.shiftright("rid", 16).alias("block"), "rid", "doc", F.coalesce("id", "doc").alias("id"))
+    whole = named.unionByName(sent.filter("bucket = -1").select("block", *(F.lit(None).cast("long").alias(x) for x in ("rid", "doc", "id"))))
+
+    def result(table: pa.Table) -> pa.Table:
+        block = Block.read(folder, table.column("block")[0].as_py())
+        table = table.filter(pa.compute.is_valid(table.column("rid"))).sort_by("rid")
+        place = block.head["place"].astype(np.int64)
+        ids = pa.array(block.head["doc_id"], mask=block.head["null"].astype(bool))
+        at = pa.array(place - 1, mask=place == 0)
+        own = [pa.compute.if_else(at.is_null(), ids, table.column(x).combine_chunks().take(at)) for x in ("doc", "id")]
+        size = np.append(0, block.size)[place]
+        return pa.table({"doc_id": ids, "text_hash": pa.array(block.head["text_hash"]), "n_shingles": pa.array(size), "class_id": own[0], "component_id": own[1]})
+
+    return whole.groupBy("block").applyInArrow(result, "doc_id long, text_hash long, n_shingles long, class_id long, component_id long")
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents, with all their columns, of which no near copy has a smaller doc_id."""
-    gone = groups(docs, shingle).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, with all their columns, of which no near copy has a smaller doc_id.
+
+    Rows that repeat a doc_id are told apart by their texts; a row without a
+    doc_id goes if a near copy has one.
+    """
+    gone = groups(docs, shingle).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
+    return docs.join(gone, same, "left_anti")

@@ -25,4 +25,6 @@ def written(uri: str):
     draft = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(draft) as out:
         yield out
+    if system.get_file_info(path).type == fs.FileType.File:  # an earlier attempt of the task wrote the same
+        system.delete_file(path)
     system.move(draft, path)

@@ -140,10 +140,13 @@ def brute_groups(rows, shingle):
     return Counter((i, len(s), least[find(k)]) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize(("shingle", "short", "cell"), [(2, 12, 1 << 20), (2, 2, 300), (5, 3, 1 << 20)])
-def test_near_copies(spark, rows, monkeypatch, shingle, short, cell):
-    monkeypatch.setattr(near_duplicates, "SHORT_LIST", short)
-    monkeypatch.setattr(near_duplicates, "CELL_BYTES", cell)
+@pytest.mark.parametrize(("shingle", "most", "cell", "block"), [(2, 4096, 512, 1 << 23), (2, 5, 3, 2000), (5, 3, 512, 1 << 23)])
+def test_near_copies(spark, rows, monkeypatch, shingle, most, cell, block):
+    """Also with lists in pieces, cells of a few documents and small blocks."""
+    monkeypatch.setattr(near_duplicates, "LIST", most)
+    monkeypatch.setattr(near_duplicates, "CELL_DOCS", cell)
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", block)
+    monkeypatch.setattr(near_duplicates, "FOLLOWERS", cell)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.groups(frame(spark, rows), shingle).collect())
     want = brute_groups(rows, shingle)
     assert got == want
@@ -164,7 +167,7 @@ def test_near_copies_of_odd_rows(spark):
 def test_estimates():
     rng = np.random.default_rng(0)
     a, b = (np.unique(rng.integers(0, 150, 100).astype("<u8")) for _ in range(2))
-    got = near_duplicates.estimates([a[:64].tobytes()], [b[:64].tobytes()])[0]
+    got = near_duplicates.estimates([a[:64]], [b[:64]])[0]
     union = np.union1d(a, b)[:64]
     assert got == pytest.approx(len([v for v in union if v in a and v in b]) / len(union))
 

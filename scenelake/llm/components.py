@@ -18,9 +18,10 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     """
     spark = edges.sparkSession
     now = X.saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), folder, "edges-0")
-    mark = _mark(now)
     for k in range(1, 60):
-        n = 2 * mark[0]
+        if _settled(now):
+            break
+        n = 2 * now.count()
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("w"))
         large = X.spread_join(both, least, "u", "w", n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -29,13 +30,13 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         small = X.spread_join(large, least, "u", "w", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = X.saved(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), folder, f"edges-{k}")
         X.dropped(spark, f"{folder}/edges-{k - 1}", f"{folder}/large-{k}")
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
     else:
         raise RuntimeError("the components did not settle")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is a root, or has one edge, to a root."""
+    above = edges.groupBy("u").agg(F.count("*").alias("w"))
+    roots = edges.select(F.col("v").alias("u")).distinct()
+    return above.filter("w > 1").isEmpty() and roots.join(above, "u", "left_semi").isEmpty()

@@ -17,9 +17,10 @@ by their least DIGEST retained hashes and form no pair. (Of two sets similar to
 0.8, fewer than SHARED of the DIGEST are equal in one case of 10 to the 8.) A
 list of more than LIST members is dealt in pieces first, whose leaders meet
 under their digests. Each document keeps its best leader; the estimate over the
-sketch of the union, then the full sets decide. (2) Lists in which some follow,
-but whose members are still in several components, are put together by their
-main component. There the documents that share a value of their digests across
+sketch of the union, then the full sets decide. (2) Leaders with
+their followers, and followers of different leaders of a list that share enough
+of their digests, may still be in several components; these are put together by
+their main component. There the documents that share a value of their digests across
 components are compared on full sets, those outside of the main component with
 all, in cells of bounded size; a cell gives one link for each document and
 component. So no group is expanded into its pairs, unrelated documents are not
@@ -272,6 +273,18 @@ def leaders(key: np.ndarray, size: np.ndarray, digest: np.ndarray, num: int, den
     return lead, shared, (np.bincount(of, weights=shared) > 0)[of] if len(key) else np.zeros(0, bool)
 
 
+def _crossing(key: np.ndarray, lead: np.ndarray, size: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Which members share SHARED values of their digests with members of their list that have other leaders, whichever those are."""
+    many = np.minimum(size, DIGEST)
+    row = np.repeat(np.arange(len(key)), many)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    _, which = np.unique(X.mix(key[row] + (digest[row, column].astype(np.uint64) + np.uint64(1)) * _ODD), return_inverse=True)
+    order = np.lexsort((lead[row], which))
+    new = np.ones(len(order), bool)
+    new[1:] = (which[order][1:] != which[order][:-1]) | (lead[row][order][1:] != lead[row][order][:-1])
+    return np.bincount(row, weights=np.bincount(which[order[new]])[which] > 1, minlength=len(key)) >= SHARED if len(row) else np.zeros(len(key), bool)
+
+
 LISTED = "kind int, rid long, a long, chunk long, shared int, value long, n long, digest binary"
 _LISTED = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("a", pa.int64()), ("chunk", pa.int64()), ("shared", pa.int32()), ("value", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 
@@ -296,7 +309,7 @@ def _followers(key: np.ndarray, rid: np.ndarray, lead: np.ndarray, shared: np.nd
 
 
 def _lists(num: int, den: int, together: int):
-    """Kind 0: best leaders; kind 1: members of lists with followers, and of lists in pieces; kind 2: leaders of pieces."""
+    """Kind 0: best leaders; kind 1: leaders with those that follow them, members of lists that may be similar to others' followers, and of lists in pieces; kind 2: leaders of pieces."""
 
     def run(table: pa.Table) -> pa.Table:
         value, piece, rid, size, digest = [], [], [], [], []
@@ -312,11 +325,15 @@ def _lists(num: int, den: int, together: int):
         order = np.lexsort((rid, key))
         value, piece, rid, size, digest, key = (x[order] for x in (value, piece, rid, size, digest, key))
         lead, shared, some = leaders(key, size, digest, num, den)
-        members = np.flatnonzero(some | (piece > 0))
+        some = np.flatnonzero(some & (piece == 0))
+        members = np.append(some[_crossing(key[some], lead[some], size[some], digest[some])], np.flatnonzero(piece > 0))
+        some = some[np.bincount(lead[some], minlength=len(lead))[lead[some]] > 1]
+        own = X.mix(value[some] + (rid[lead[some]].astype(np.uint64) + np.uint64(1)) * _ODD)
         top = np.flatnonzero((piece > 0) & (lead == np.arange(len(lead))))
         return pa.concat_tables([
             _followers(key, rid, lead, shared, together),
             _listed(1, rid[members], value=pa.array(value[members].view(np.int64))),
+            _listed(1, rid[some], value=pa.array(own.view(np.int64))),
             _listed(2, rid[top], value=pa.array(value[top].view(np.int64)), n=pa.array(size[top]), digest=pa.array([x.tobytes() for x in digest[top]], pa.binary())),
         ])
 
@@ -448,7 +465,8 @@ def _across(members: DataFrame, label: DataFrame, folder: str, n: int, num: int,
     each = own.withColumn("block", F.shiftright("rid", 16)).groupBy("block").applyInArrow(digests, "main long, rid long, component long, n long, value long")
     each = X.saved(each, folder, "digests")
     meet = each.groupBy("main", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("w")).filter("low < high").select("main", "value", "w")
-    found = X.saved(X.spread_join(each, meet, ["main", "value"], "w", 16 * total).select("main", "rid", "component", "n").distinct(), folder, "found")
+    found = X.saved(X.spread_join(each, meet, ["main", "value"], "w", 16 * total), folder, "shared")
+    found = X.saved(found.groupBy("main", "rid", "component", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= SHARED).drop("k"), folder, "found")
     side = lambda c: F.greatest(F.ceil(F.sum(F.when(c, 1).otherwise(0)) / CELL_DOCS), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CELL_SHINGLES), F.lit(1)).cast("int")
     size = found.groupBy("main").agg(side(F.col("component") != F.col("main")).alias("outers"), side(F.lit(True)).alias("alls"), F.count("*").alias("w"))
     at = X.saved(X.spread_join(found, size, "main", "w", total), folder, "placed")
@@ -459,7 +477,7 @@ def _across(members: DataFrame, label: DataFrame, folder: str, n: int, num: int,
     asked = at.withColumn("j", place("alls", 2)).withColumn("i", every("outers")).select(*keep, "i", "j", F.lit(False).alias("asks"))
     cells = asking.unionByName(asked.select(*keep, "i", "j", "asks")).select(F.col("main").alias("c1"), F.expr("shiftleft(cast(i as long), 32) + j").alias("c2"), "rid", "component", "asks")
     out = X.saved(_verified(cells, folder, n, num, den), folder, "links-2")
-    X.dropped(spark, *(f"{folder}/{x}" for x in ("members", "digests", "found", "placed")))
+    X.dropped(spark, *(f"{folder}/{x}" for x in ("members", "digests", "shared", "found", "placed")))
     return out
 
 

@@ -14,15 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import splitting as S
 from . import vocab
 
-HELD = "block long, doc_ids binary, counts binary, codes binary, messages array<struct<bucket:int,blob:binary>>"
-
-
 def doc_ids(table: pa.Table) -> bytes:
     """The ids of a block's rows, which may be null, as one value."""
     ids = table.column("doc_id").combine_chunks().cast(pa.int64())
@@ -44,16 +40,13 @@ def coded(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found.dictionary.take(pa.array(order)), place[codes]
 
 
-MESSAGES = pa.list_(pa.struct([("bucket", pa.int32()), ("blob", pa.binary())]))
-
-
-def to_buckets(words: pa.Array, n: int) -> tuple[np.ndarray, list[dict]]:
+def to_buckets(words: pa.Array, n: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
     """The bucket of each word, and a message of its words for each bucket, in ascending positions."""
     bucket = (X.hashes(words) % np.uint64(n)).astype(np.int64)
-    return bucket, [{"bucket": b, "blob": X.pack_words(words.take(pa.array(at)))} for b, at in X.split_buckets(bucket, n)]
+    return bucket, [(b, X.pack_words(words.take(pa.array(at)))) for b, at in X.split_buckets(bucket)]
 
 
-def _hold(n: int, special: bytes):
+def _hold(folder: str, n: int, special: bytes):
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in X.blocks(batches):
             buf, offsets = S.joined(table.column("text"))
@@ -61,8 +54,8 @@ def _hold(n: int, special: bytes):
             distinct, codes = coded(S.views(buf, starts))
             bucket, messages = to_buckets(distinct, n)
             counts = np.diff(np.searchsorted(starts, offsets))
-            row = {"block": block, "doc_ids": doc_ids(table), "counts": X.pack(X.narrow(counts)), "codes": X.pack(X.narrow(codes), X.narrow(bucket)), "messages": messages}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary()), ("messages", MESSAGES)]))
+            X.put(folder, f"blocks/{block}", {"doc_ids": doc_ids(table), "counts": X.pack(X.narrow(counts)), "codes": X.pack(X.narrow(codes), X.narrow(bucket))})
+            yield X.messages(block, messages, True)
 
     return hold
 
@@ -82,8 +75,8 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(data)
     docs = docs.select("doc_id", "text")
     folder = X.workdir(spark)
-    n = X.buckets_for(spark, X.text_bytes(docs))
-    held = X.saved_by(docs.mapInArrow(_hold(n, special), HELD), "block", folder, "words")
+    n = X.deal(spark, X.input_bytes(docs))
+    sent_words = X.exchanged(docs, _hold(folder, n, special), folder)
 
     def answer(table: pa.Table) -> pa.Table:
         each, distinct, at = merged(table)
@@ -99,37 +92,34 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
             blobs.append(X.pack(X.narrow(np.diff(ends)), X.narrow(values)))
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "blob": pa.array(blobs, pa.binary())})
 
-    messages = held.select("block", F.inline("messages"))
-    answers = X.answered(messages, answer, "block long, bucket int, blob binary")
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                codes, bucket = X.unpack(row["codes"])
-                counts = X.unpack(row["counts"])[0].astype(np.int64)
-                size = np.zeros(len(bucket), np.int64)
-                parts = {}
-                got = {a["bucket"]: a["blob"] for a in row["answers"] or ()}
-                for b, at in X.split_buckets(bucket.astype(np.int64), n):
-                    lengths, values = X.unpack(got.pop(b))
-                    size[at] = lengths
-                    parts[b] = at, values
-                bounds = np.zeros(len(size) + 1, np.int64)
-                np.cumsum(size, out=bounds[1:])
-                flat = np.zeros(int(bounds[-1]), np.uint32)
-                for at, values in parts.values():
-                    slots = np.arange(len(values)) + np.repeat(bounds[at] - np.append(0, np.cumsum(size[at])[:-1]), size[at])
-                    flat[slots] = values
-                ends = np.append(0, np.cumsum(counts))
-                ids = doc_ids_of(row["doc_ids"])
-                k = 0
-                while k < len(counts):  # a few documents at a time
-                    more = max(k + 1, int(np.searchsorted(ends, ends[k] + (1 << 20), "right")) - 1)
-                    out, at = X.lists_at(bounds, flat, codes[ends[k] : ends[more]])
-                    yield pa.RecordBatch.from_arrays([ids[k:more], X.binaries(4 * np.diff(at[ends[k : more + 1] - ends[k]]), out.view(np.uint8))], ["doc_id", "ids"])
-                    k = more
-
-    return X.with_answers(held.select("block", "doc_ids", "counts", "codes"), answers).mapInArrow(X.tidy(assemble), "doc_id long, ids binary")
+    answers = X.answered(sent_words.filter("bucket >= 0"), answer, X.MESSAGE)
+
+    def assemble(block: int, blobs: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        row = X.got(folder, f"blocks/{block}")
+        codes, bucket = X.unpack(row["codes"])
+        counts = X.unpack(row["counts"])[0].astype(np.int64)
+        size = np.zeros(len(bucket), np.int64)
+        parts = {}
+        for b, at in X.split_buckets(bucket.astype(np.int64)):
+            lengths, values = X.unpack(blobs.pop(b))
+            size[at] = lengths
+            parts[b] = at, values
+        bounds = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=bounds[1:])
+        flat = np.zeros(int(bounds[-1]), np.uint32)
+        for at, values in parts.values():
+            slots = np.arange(len(values)) + np.repeat(bounds[at] - np.append(0, np.cumsum(size[at])[:-1]), size[at])
+            flat[slots] = values
+        ends = np.append(0, np.cumsum(counts))
+        ids = doc_ids_of(row["doc_ids"])
+        k = 0
+        while k < len(counts):  # a few documents at a time
+            more = max(k + 1, int(np.searchsorted(ends, ends[k] + (1 << 20), "right")) - 1)
+            out, at = X.lists_at(bounds, flat, codes[ends[k] : ends[more]])
+            yield pa.RecordBatch.from_arrays([ids[k:more], X.binaries(4 * np.diff(at[ends[k : more + 1] - ends[k]]), out.view(np.uint8))], ["doc_id", "ids"])
+            k = more
+
+    return X.by_block(sent_words, answers, assemble, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -4,7 +4,9 @@ Documents are cut into blocks of bounded bytes. A block sends each bucket the
 distinct keys (words, shingles, windows) that it holds, packed into one binary
 value; a bucket merges what all blocks have sent and answers each message. So a
 key costs one entry a block however often it occurs, no group of rows is ever
-dealt by a hot key, and shuffles carry compressed arrays instead of rows.
+dealt by a hot key, and shuffles carry compressed arrays instead of rows. What a
+block keeps between the steps is a file in the shared folder; only messages and
+answers are shuffled. The number of buckets follows the bytes of the input.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import json
 import struct
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared_files
+
 #: Bytes of text in a block, at least one document; and of text for each bucket of keys.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 
@@ -73,14 +77,6 @@ def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def saved_by(df: DataFrame, key: str, folder: str, name: str) -> DataFrame:
-    """As saved, but in as many buckets of the key as shuffles have, so that joins by it leave these rows where they are."""
-    spark = df.sparkSession
-    table = f"work_{uuid.uuid4().hex}"
-    (df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("compression", "none").option("path", f"{folder}/{name}").saveAsTable(table))
-    return spark.table(table)
-
-
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.select(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)
 
@@ -97,8 +93,8 @@ def deal(spark: SparkSession, n_bytes: int, each: int = BUCKET_BYTES) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // each))
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], weight: str, total: int, least: int = 1000) -> DataFrame:
-    """Inner join with a table of unique keys that knows, as weight, how many rows each key has; total: of all rows.
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], weight: str, total: int, least: int = 1000, how: str = "inner") -> DataFrame:
+    """Join (inner or left) with a table of unique keys that knows, as weight, how many rows each key has; total: of all rows.
 
     Keys of more than `least` rows and of more than one in 100000 of all are at
     most 100000, so they are broadcast; their rows stay where they are. Others
@@ -109,14 +105,10 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], weight:
     rest = [c for c in keyed.columns if c != weight]
     hot = F.broadcast(keyed.filter(F.col(weight) > limit).select(*rest))
     names = F.broadcast(keyed.filter(F.col(weight) > limit).select(*on))
-    cold = rows.join(names, on, "left_anti").join(keyed.filter(F.col(weight) <= limit).select(*rest), on)
+    cold = rows.join(names, on, "left_anti").join(keyed.filter(F.col(weight) <= limit).select(*rest), on, how)
     return rows.join(hot, on).unionByName(cold)
 
 
-def buckets_for(spark: SparkSession, n_bytes: int, each: int = BUCKET_BYTES) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
-
-
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value; integers by planes of bytes."""
     head, parts = [], []
@@ -203,7 +195,7 @@ def lists_at(bounds: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple
     return values[at], ends
 
 
-def split_buckets(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def split_buckets(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Positions of the keys of each bucket, in ascending order."""
     if not len(bucket):
         return
@@ -255,7 +247,47 @@ def answered(messages: DataFrame, answer: Callable[[pa.Table], Iterator[pa.Table
     return messages.groupBy("bucket").applyInArrow(run, schema)
 
 
-def with_answers(held: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
-    """Each block's row with the answers to it, as a list of (bucket, blob)."""
-    lists = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias(name))
-    return held.join(lists, "block", "left")
+MESSAGE = "block long, bucket int, blob binary"
+_MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+
+
+def messages(block: int, blobs: Iterable[tuple[int, bytes]], named: bool = False) -> pa.RecordBatch:
+    """A block's messages to buckets; with bucket -1 that names the block, so that it is known also if it sends none."""
+    rows = [{"block": block, "bucket": -1, "blob": None}] if named else []
+    return pa.RecordBatch.from_pylist(rows + [{"block": block, "bucket": b, "blob": x} for b, x in blobs], _MESSAGE)
+
+
+def put(folder: str, name: str, blobs: dict[str, bytes]) -> None:
+    """What a block keeps, as one file in the shared folder. A repeated task writes the same again."""
+    head = json.dumps({k: len(x) for k, x in blobs.items()}).encode()
+    with shared_files.written(f"{folder}/{name}") as out:
+        out.write(struct.pack("<Q", len(head)) + head)
+        for x in blobs.values():
+            out.write(x)
+
+
+def got(folder: str, name: str) -> dict[str, bytes]:
+    system, path = shared_files.opened(f"{folder}/{name}")
+    with system.open_input_file(path) as f:
+        (n,) = struct.unpack("<Q", f.read(8))
+        return {k: f.read(size) for k, size in json.loads(f.read(n)).items()}
+
+
+def exchanged(docs: DataFrame, hold: Callable, folder: str) -> DataFrame:
+    """The messages of blocks; hold() puts what the blocks keep into files of the folder."""
+    return saved(docs.mapInArrow(tidy(hold), MESSAGE), folder, "messages")
+
+
+def by_block(sent: DataFrame, answers: DataFrame, run: Callable[[int, dict[int, bytes]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """run() of each block with the answers to it by bucket; what else a block needs is in its files, so it doesn't move."""
+    names = sent.filter("bucket = -1").select("block", F.lit(-1).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("blob"))
+
+    def whole(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        blobs = {b: x for b, x in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True) if b >= 0}
+        del table
+        out = pa.Table.from_batches(list(run(block, blobs)))
+        released()
+        return out
+
+    return answers.select("block", "bucket", "blob").unionByName(names).groupBy("block").applyInArrow(whole, schema)

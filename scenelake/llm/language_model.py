@@ -32,11 +32,10 @@ from . import bpe
 from . import exchange as X
 from . import splitting as S
 
-#: Largest count that is discounted; text in a block; text for each bucket.
-MOST, BLOCK_BYTES, BUCKET_BYTES = 5, 4 << 20, 8 << 20
+#: Largest count that is discounted; text in a block; input for each bucket; tokens of a history whose pairs share a bucket.
+MOST, BLOCK_BYTES, BUCKET_BYTES, HISTORY = 5, 4 << 20, 8 << 20, 1 << 15
 #: What no word can be: the end of a text and the history of its first token.
 END, BEGIN = b"", b"\n"
-HELD = "block long, doc_ids binary, train binary, counts binary, codes binary, goes binary, messages array<struct<bucket:int,blob:binary>>"
 ANSWERS = "kind int, block long, bucket int, blob binary, stats array<long>"
 _ANSWER = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
@@ -74,10 +73,9 @@ def _row(kind: int, block: int | None, bucket: int, blob: bytes | None, stats=No
     return {"kind": kind, "block": block, "bucket": bucket, "blob": blob, "stats": stats}
 
 
-def _hold(n: int):
+def _hold(folder: str, n: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.int64()), *((x, pa.binary()) for x in ("doc_ids", "train", "counts", "codes", "goes")), ("messages", bpe.MESSAGES)])
-        for block, table in X.blocks(batches, BLOCK_BYTES):
+        for block, table in X.blocks(batches, limit):
             buf, offsets = S.joined(table.column("text"))
             buf = S.lower_ascii(buf)
             starts, ends = S.words(buf, offsets)
@@ -89,9 +87,9 @@ def _hold(n: int):
             distinct = pa.concat_arrays([distinct, pa.array([END, BEGIN], pa.binary())])
             own = np.concatenate([own, [train.sum()] * 2])
             goes = (X.hashes(distinct) % np.uint64(n)).astype(np.int64)
-            messages = [{"bucket": b, "blob": X.pack(*X.unpack(X.pack_words(distinct.take(pa.array(at)))), X.narrow(own[at]))} for b, at in X.split_buckets(goes, n)]
-            row = {"block": block, "doc_ids": bpe.doc_ids(table), "train": X.pack(train.astype(np.uint8)), "counts": X.pack(X.narrow(counts)), "codes": X.pack(X.narrow(codes)), "goes": X.pack(X.narrow(goes)), "messages": messages}
-            yield pa.RecordBatch.from_pylist([row], schema)
+            messages = [(b, X.pack(*X.unpack(X.pack_words(distinct.take(pa.array(at)))), X.narrow(own[at]))) for b, at in X.split_buckets(goes)]
+            X.put(folder, f"blocks/{block}", {"doc_ids": bpe.doc_ids(table), "train": X.pack(train.astype(np.uint8)), "counts": X.pack(X.narrow(counts)), "codes": X.pack(X.narrow(codes)), "goes": X.pack(X.narrow(goes))})
+            yield X.messages(block, messages, True)
 
     return run
 
@@ -120,14 +118,20 @@ def _count_words(n: int):
 class _Block:
     """A block's tokens with global numbers and counts, and its distinct pairs."""
 
-    def __init__(self, row: dict, n: int):
+    def __init__(self, folder: str, block: int, n: int, words: dict[int, bytes] | None = None):
+        """words: the answers with the words' numbers and counts; without, they are read from the file that they were put to."""
+        row = X.got(folder, f"blocks/{block}")
+        self.doc_ids = row["doc_ids"]
         (self.counts,), (train,), (codes,), (goes,) = (X.unpack(row[x]) for x in ("counts", "train", "codes", "goes"))
-        self.counts, goes, self.n = self.counts.astype(np.int64), goes.astype(np.int64), n
+        self.counts, self.goes, self.train = self.counts.astype(np.int64), goes.astype(np.int64), train.astype(bool)
+        goes = self.goes
         self.ids, self.count = np.zeros(len(goes), np.uint64), np.zeros(len(goes), np.int64)
-        got = {a["bucket"]: a["blob"] for a in row["words"]}
-        self.goes = goes
-        for b, at in X.split_buckets(goes, n):
-            self.ids[at], self.count[at] = X.unpack(got[b])
+        if words is None:
+            self.ids[:], self.count[:] = X.unpack(X.got(folder, f"numbers/{block}")["words"])
+        else:
+            for b, at in X.split_buckets(goes):
+                self.ids[at], self.count[at] = X.unpack(words[b])
+            X.put(folder, f"numbers/{block}", {"words": X.pack(X.narrow(self.ids), X.narrow(self.count))})
         # tokens: each document's words and its end; before each, its history
         docs, end, begin = len(self.counts), len(goes) - 2, len(goes) - 1
         self.doc = np.repeat(np.arange(docs), self.counts + 1)
@@ -147,13 +151,14 @@ class _Block:
         self.times = np.bincount(self.which, weights=train[self.doc[self.both]], minlength=len(self.keys)).astype(np.int64)
         self.key_word = self.count[w[first]]
         low, high = self.keys & np.uint64(0xFFFFFFFF), self.keys >> np.uint64(32)
-        self.key_goes = ((X.mix(high) + (X.mix(low) & np.uint64(7))) % np.uint64(n)).astype(np.int64)  # a common history's pairs in eight buckets
+        parts = (1 + self.count[h[first]] // HISTORY).astype(np.uint64)  # a common history's pairs in as many buckets as its count asks for
+        self.key_goes = ((X.mix(high) + X.mix(low) % parts) % np.uint64(n)).astype(np.int64)
 
-    def pairs(self) -> list[dict]:
+    def pairs(self) -> list[tuple[int, bytes]]:
         out = []
-        for b, at in X.split_buckets(self.key_goes, self.n):
+        for b, at in X.split_buckets(self.key_goes):
             high, low = self.keys[at] >> np.uint64(32), self.keys[at] & np.uint64(0xFFFFFFFF)
-            out.append({"bucket": b, "blob": X.pack(X.narrow(np.diff(high, prepend=np.uint64(0))), X.narrow(low), X.narrow(self.times[at]), X.narrow(self.key_word[at]))})
+            out.append((b, X.pack(X.narrow(np.diff(high, prepend=np.uint64(0))), X.narrow(low), X.narrow(self.times[at]), X.narrow(self.key_word[at]))))
         return out
 
 
@@ -177,7 +182,7 @@ def _count_pairs(n: int, words: Words):
         ids, of = np.unique(history, return_inverse=True)
         many = np.stack([np.bincount(of[count[seen] == r], minlength=len(ids)) for r in range(1, MOST + 1)])
         mass = np.bincount(of, weights=p[seen], minlength=len(ids))
-        for b, x in X.split_buckets((ids % np.uint64(n)).astype(np.int64), n):
+        for b, x in X.split_buckets((ids % np.uint64(n)).astype(np.int64)):
             rows.append(_row(1, None, b, X.pack(X.narrow(np.diff(ids[x], prepend=np.uint64(0))), *(X.narrow(m[x]) for m in many), mass[x])))
         return pa.Table.from_pylist([*rows, _row(3, None, bucket, None, [int((count == r).sum()) for r in range(1, MOST + 2)])], _ANSWER)
 
@@ -225,44 +230,39 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     spark = docs.sparkSession
     folder = X.workdir(spark)
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
-    n = X.buckets_for(spark, X.text_bytes(docs), BUCKET_BYTES)
-    held = X.saved_by(docs.mapInArrow(_hold(n), HELD), "block", folder, "blocks")
-    first = X.saved(X.answered(held.select("block", F.inline("messages")), _count_words(n), ANSWERS), folder, "words")
+    n = X.deal(spark, X.input_bytes(docs), BUCKET_BYTES)
+    sent = X.exchanged(docs, _hold(folder, n, BLOCK_BYTES), folder)
+    first = X.saved(X.answered(sent.filter("bucket >= 0"), _count_words(n), ANSWERS), folder, "words")
     words = Words(_stats(first, MOST + 3))
-    held = X.with_answers(held.drop("messages"), first.filter("kind = 0"), "words")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            yield pa.RecordBatch.from_pylist([m | {"block": row["block"]} for m in _Block(row, n).pairs()], pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())]))
+    def pairs(number: int, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        yield X.messages(number, _Block(folder, number, n, answers).pairs())
 
-    second = X.saved(X.answered(held.mapInArrow(X.tidy(pairs), "block long, bucket int, blob binary"), _count_pairs(n, words), ANSWERS), folder, "pairs")
+    numbered = X.by_block(sent, first.filter("kind = 0"), pairs, X.MESSAGE)
+    second = X.saved(X.answered(numbered, _count_pairs(n, words), ANSWERS), folder, "pairs")
     d = discounts(np.append(0, _stats(second, MOST + 1)))
     asked = first.filter("kind = 0").select("kind", "block", "bucket", "blob").unionByName(second.filter("kind = 1").select("kind", "block", "bucket", "blob"))
-    third = X.answered(asked, _weigh(d), "block long, bucket int, blob binary")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            block = _Block(row, n)
-            got = {a["bucket"]: a["blob"] for a in row["pairs"] or ()}
-            pair = np.zeros(len(block.keys), np.int64)
-            for b, at in X.split_buckets(block.key_goes, n):
-                pair[at] = X.unpack(got[b])[0]
-            got = {a["bucket"]: a["blob"] for a in row["weights"]}
-            alpha = np.zeros(len(block.ids))
-            for b, at in X.split_buckets(block.goes, n):
-                alpha[at] = X.unpack(got[b])[0]
-            c, ch = block.count[block.word], block.count[block.history]
-            seen = np.zeros(len(c), np.int64)
-            seen[block.both] = pair[block.which]
-            a = np.where(ch > 0, alpha[block.history], 1.0)
-            lower = np.abs(a) * words.p(c)
-            higher = d[np.where(seen <= MOST, seen, 0)] * seen / np.maximum(ch + (a < 0), 1)
-            p = np.log10(np.where(seen > 0, higher, lower))
-            base = np.log10((c + 1) / (words.total + words.types + 1))
-            bounds = np.append(0, np.cumsum(block.counts + 1))
-            per = lambda x: np.diff(np.append(0, np.cumsum(x))[bounds])
-            train = X.unpack(row["train"])[0].astype(bool)
-            yield pa.RecordBatch.from_arrays([bpe.doc_ids_of(row["doc_ids"]), pa.array(~train), pa.array(block.counts + 1), pa.array(per(c > 0).astype(np.int64)), pa.array(np.full(len(train), words.total)), pa.array(np.add.reduceat(base, bounds[:-1])), pa.array(np.add.reduceat(p, bounds[:-1]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    whole = X.with_answers(X.with_answers(held, second.filter("kind = 0"), "pairs"), third, "weights")
-    return whole.mapInArrow(X.tidy(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    third = X.answered(asked, _weigh(d), X.MESSAGE)
+
+    def score(number: int, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        block = _Block(folder, number, n)
+        pair = np.zeros(len(block.keys), np.int64)
+        for b, at in X.split_buckets(block.key_goes):
+            pair[at] = X.unpack(answers[b])[0]
+        alpha = np.zeros(len(block.ids))
+        for b, at in X.split_buckets(block.goes):
+            alpha[at] = X.unpack(answers[n + b])[0]
+        c, ch = block.count[block.word], block.count[block.history]
+        seen = np.zeros(len(c), np.int64)
+        seen[block.both] = pair[block.which]
+        a = np.where(ch > 0, alpha[block.history], 1.0)
+        lower = np.abs(a) * words.p(c)
+        higher = d[np.where(seen <= MOST, seen, 0)] * seen / np.maximum(ch + (a < 0), 1)
+        p = np.log10(np.where(seen > 0, higher, lower))
+        base = np.log10((c + 1) / (words.total + words.types + 1))
+        heads = np.append(0, np.cumsum(block.counts + 1))[:-1]
+        known = np.add.reduceat((c > 0).astype(np.int64), heads)
+        yield pa.RecordBatch.from_arrays([bpe.doc_ids_of(block.doc_ids), pa.array(~block.train), pa.array(block.counts + 1), pa.array(known), pa.array(np.full(len(heads), words.total)), pa.array(np.add.reduceat(base, heads)), pa.array(np.add.reduceat(p, heads))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    both = second.filter("kind = 0").select("block", "bucket", "blob").unionByName(third.withColumn("bucket", F.col("bucket") + n))
+    return X.by_block(sent, both, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

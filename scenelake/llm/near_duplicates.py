@@ -147,8 +147,8 @@ class Block:
         """Distinct retained values, in how many classes each is, and for each bucket its values and classes."""
         values, times = np.unique(self.head["sketch"], return_counts=True)
         none = np.zeros(0, np.int64)
-        out = {b: (at, none) for b, at in X.split_buckets((values % np.uint64(n)).astype(np.int64), n)}
-        for b, at in X.split_buckets((self.head["first"] % np.uint64(n)).astype(np.int64), n):
+        out = {b: (at, none) for b, at in X.split_buckets((values % np.uint64(n)).astype(np.int64))}
+        for b, at in X.split_buckets((self.head["first"] % np.uint64(n)).astype(np.int64)):
             out[b] = (out.get(b, (none,))[0], at)
         return values, times, out
 
@@ -231,7 +231,7 @@ def _postings(folder: str, n: int, num: int, den: int, most: int):
         piece = np.where(many > most, 1 + (X.mix(block.rid[cls].astype(np.uint64)) % np.maximum(-(-many // most), 1).astype(np.uint64)).astype(np.int64), 0)
         digest = (block.digests() & np.uint64(0xFFFF)).astype(np.uint16)
         rows = []
-        for b, at in X.split_buckets((_piece_keys(value, piece) % np.uint64(n)).astype(np.int64), n):
+        for b, at in X.split_buckets((_piece_keys(value, piece) % np.uint64(n)).astype(np.int64)):
             at = at[np.argsort(value[at], kind="stable")]
             own, of = np.unique(cls[at], return_inverse=True)
             blob = X.pack(np.diff(value[at], prepend=np.uint64(0)), X.narrow(piece[at]), X.narrow(of), block.rid[own], X.narrow(size[own]), digest[own].ravel())

@@ -7,8 +7,11 @@ the corpus's by PRIOR n-grams, so that it has no empty bucket. A document's scor
 n-grams, so length doesn't count; documents at or above the threshold pass. A
 text shorter than an n-gram scores 0.
 
-Null texts have no words. Rows stand for themselves; a document is trusted if
-any label row of its doc_id is.
+Null texts have no words and score 0, as empty ones. Rows stand for themselves,
+with repeated or null doc_ids too; a document is trusted if any label row of its
+doc_id is. Columns but doc_id and text are not looked at. Each document's score
+is a sum of its own, so equal texts have equal scores and verdicts, however rows
+are dealt to blocks.
 """
 
 from __future__ import annotations
@@ -86,6 +89,15 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     return np.log(np.where(share > 0, ratio, 1))
 
 
+def document_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of the values of each document, by itself: equal texts have equal sums wherever they stand."""
+    out = np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(values, offsets[:-1][some])
+    return out
+
+
 def base(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """The counts of the rules of each row; the joined texts and their offsets."""
     buf, offsets = S.joined(table.column("text"))
@@ -111,13 +123,12 @@ def base(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray
     repeat = np.zeros(docs, np.int64)
     if n >= width:
         found = S.views(buf, starts, ends).dictionary_encode()
-        h = X.hashes(found.dictionary)[found.indices.to_numpy()]
-        w = h[: n - width + 1].copy()
-        for k in range(1, width):
-            w = w * np.uint64(0x9E3779B97F4A7C15) + h[k : n - width + 1 + k]
+        w = found.indices.to_numpy().astype(np.int64)
+        for k in (1, 2, 4):  # numbers of equal runs of two, four and eight words, within the block
+            w = np.unique(w[:-k] * n + w[k:], return_inverse=True)[1]
         of = np.repeat(np.arange(docs), n_words)
         ok = np.flatnonzero(of[: n - width + 1] == of[width - 1 :])
-        key = X.mix(w[ok] + X.mix(of[ok].astype(np.uint64)))
+        key = w[ok] * docs + of[ok]
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         again = np.zeros(len(ok), bool)
@@ -143,7 +154,7 @@ def judged(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
             slots, inside = gram_buckets(buf, offsets)
             value = np.zeros(len(buf) + 1)
             value[1 : len(slots) + 1] = np.where(inside, sent.value[slots], 0)
-            each = np.diff(np.cumsum(value)[offsets])
+            each = document_sums(value[1:], offsets)
             score = each / np.maximum(np.diff(offsets) - GRAM + 1, 1)
             failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
             ids = pc.cast(table.column("doc_id").combine_chunks(), pa.int64())

@@ -13,11 +13,15 @@ which of them two documents hold. (2) Blocks send their distinct stretches with
 those anchors, each once with the smallest doc_id that has it in the block, so
 hot passages are aggregated before they move; buckets radix-sort the suffixes of
 the distinct stretches and answer which windows a smaller doc_id holds. (3)
-Blocks remove what is covered. Nothing is capped or sampled: an anchor whose
+Blocks remove what is covered. An anchor of very many stretches, as of a common
+passage with ever other surroundings, would fill one bucket: its windows are
+dealt one by one, by all their bytes, so that only equal windows meet, each once
+a block. What a block has found is kept in files. Nothing is capped or sampled: an anchor whose
 hash only seems repeated costs time, and one that repeats is never missed.
 
 A null text is empty. Rows of equal doc_id are one document here: they don't
 remove each other's strings. A null doc_id is larger than all others.
+Columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -36,9 +40,10 @@ from . import splitting as S
 
 #: Bytes of an anchor; of text in a block; of text for each bucket; positions hashed at once.
 GRAM, BLOCK_BYTES, BUCKET_BYTES, CHUNK = 24, 8 << 20, 8 << 20, 1 << 19
+#: Stretches of one anchor beyond which they are dealt window by window; what cut() adds.
+HOT, RESULT = 1 << 16, ("kept", "n_bytes", "n_removed", "spans")
 _M = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 20) - 1)
-HELD = "block long, rest binary, sizes binary, text binary"
 
 
 def _ipc(table: pa.Table) -> bytes:
@@ -115,43 +120,63 @@ def _order(rest: pa.Table) -> np.ndarray:
 
 
 class _Block:
-    """A block and what its stages derive from its text, the same each time."""
-
-    def __init__(self, row: dict, width: int, gram: int, buckets: int, bits: int):
-        (sizes,) = X.unpack(row["sizes"])
-        (self.buf,) = X.unpack(row["text"])
+    """A block's text and the stretches that its windows make; put to files between the steps."""
+
+    @classmethod
+    def made(cls, table: pa.Table, width: int, gram: int, bits: int) -> _Block:
+        self = cls()
+        self.rest = table.drop_columns(["text"])
+        self.buf, self.offsets = S.joined(table.column("text"))
+        self.head, self.count, anchor = stretches(self.buf, self.offsets, width, gram)
+        self.value = anchor >> np.uint64(64 - bits)
+        return self
+
+    def put(self, folder: str, block: int) -> None:
+        X.put(folder, f"blocks/{block}", {
+            "rest": _ipc(self.rest), "sizes": X.pack(X.narrow(np.diff(self.offsets))), "text": X.pack(self.buf, level=3),
+            "stretches": X.pack(X.narrow(np.diff(self.head, prepend=0)), X.narrow(self.count), X.narrow(self.value)),
+        })
+
+    @classmethod
+    def read(cls, folder: str, block: int) -> _Block:
+        self, row = cls(), X.got(folder, f"blocks/{block}")
+        (sizes,), (self.buf,) = X.unpack(row["sizes"]), X.unpack(row["text"])
         self.offsets = np.append(0, np.cumsum(sizes, dtype=np.int64))
         self.rest = pa.ipc.open_stream(row["rest"]).read_all()
-        self.docs = _order(self.rest)
-        self.width, self.buckets = width, buckets
-        self.head, self.count, self.anchor = stretches(self.buf, self.offsets, width, gram)
-        self.doc = self.docs[np.searchsorted(self.offsets, self.head, "right") - 1] if len(self.head) else np.zeros(0, np.int64)
-        self.value = self.anchor >> np.uint64(64 - bits)
-        self.distinct, self.which = np.unique(self.value, return_inverse=True)
-        self.of = (self.distinct % np.uint64(buckets)).astype(np.int64)
-
-    def anchors(self) -> list[dict]:
-        """For each bucket the distinct anchors, and which of them two documents of this block hold."""
-        low = np.full(len(self.distinct), np.iinfo(np.int64).max)
-        high = np.full(len(self.distinct), np.iinfo(np.int64).min)
-        order = np.argsort(self.which, kind="stable")
-        if len(order):
-            cuts = np.flatnonzero(np.diff(self.which[order], prepend=-1))
-            low, high = np.minimum.reduceat(self.doc[order], cuts), np.maximum.reduceat(self.doc[order], cuts)
+        gaps, count, value = X.unpack(row["stretches"])
+        self.head, self.count, self.value = np.cumsum(gaps, dtype=np.int64), count.astype(np.int64), value.astype(np.uint64)
+        return self
+
+    def docs(self) -> np.ndarray:
+        """The order of the document that each stretch is in."""
+        ids = _order(self.rest)
+        return ids[np.searchsorted(self.offsets, self.head, "right") - 1] if len(self.head) else np.zeros(0, np.int64)
+
+    def anchors(self, buckets: int) -> list[tuple[int, bytes]]:
+        """For each bucket the distinct anchors, which of them two documents of this block hold, and how many stretches each has."""
+        distinct, which, many = np.unique(self.value, return_inverse=True, return_counts=True)
+        doc = self.docs()
+        low = np.full(len(distinct), np.iinfo(np.int64).max)
+        high = np.full(len(distinct), np.iinfo(np.int64).min)
+        np.minimum.at(low, which, doc)
+        np.maximum.at(high, which, doc)
         twice = low != high
-        return [{"bucket": b, "blob": X.pack(X.narrow(np.diff(self.distinct[at], prepend=np.uint64(0))), np.packbits(twice[at]))} for b, at in X.split_buckets(self.of, self.buckets)]
+        return [(b, X.pack(X.narrow(np.diff(distinct[at], prepend=np.uint64(0))), np.packbits(twice[at]), X.narrow(many[at]))) for b, at in X.split_buckets((distinct % np.uint64(buckets)).astype(np.int64))]
 
-    def repeated(self, answers: list) -> None:
+    def repeated(self, answers: dict[int, bytes], buckets: int, width: int) -> None:
         """Keeps the stretches whose anchors repeat, and finds the distinct ones."""
-        known = np.zeros(len(self.distinct), bool)
-        got = {a["bucket"]: a["blob"] for a in answers or ()}
-        for b, at in X.split_buckets(self.of, self.buckets):
-            known[at] = np.unpackbits(X.unpack(got[b])[0], count=len(at)).astype(bool)
-        keep = np.flatnonzero(known[self.which])
-        self.head, self.count, self.doc, value = self.head[keep], self.count[keep], self.doc[keep], self.value[keep]
+        distinct, which = np.unique(self.value, return_inverse=True)
+        known, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+        for b, at in X.split_buckets((distinct % np.uint64(buckets)).astype(np.int64)):
+            known[at], hot[at] = (np.unpackbits(x, count=len(at)).astype(bool) for x in X.unpack(answers[b]))
+        keep = np.flatnonzero(known[which])
+        self.doc = self.docs()[keep]
+        self.head, self.count, value, hot = self.head[keep], self.count[keep], self.value[keep], hot[which[keep]]
+        if hot.any():  # stretches of hot anchors go window by window, each by all its bytes
+            self.head, self.count, self.doc, value = _by_window(self.buf, self.head, self.count, self.doc, value, hot, width)
         parts = []
-        for k in range(0, len(keep), 1 << 16):
-            size = self.count[k : k + (1 << 16)] + self.width - 1
+        for k in range(0, len(self.head), 1 << 16):
+            size = self.count[k : k + (1 << 16)] + width - 1
             ends = np.cumsum(size)
             at = np.arange(ends[-1]) + np.repeat(self.head[k : k + (1 << 16)] - (ends - size), size)
             parts.append(X.binaries(size, self.buf[at]))
@@ -162,40 +187,61 @@ class _Block:
         np.minimum.at(self.least, self.entry, self.doc)
         goes = np.zeros(n, np.uint64)
         goes[self.entry] = value
-        self.goes = (goes % np.uint64(self.buckets)).astype(np.int64)
+        self.goes = (goes % np.uint64(buckets)).astype(np.int64)
 
-    def stretches(self) -> list[dict]:
+    def stretches(self) -> list[tuple[int, bytes]]:
         out = []
-        for b, at in X.split_buckets(self.goes, self.buckets):
+        for b, at in X.split_buckets(self.goes):
             size, data = X.unpack(X.pack_words(self.text.take(pa.array(at))))
-            out.append({"bucket": b, "blob": X.pack(size, data, self.least[at], level=3)})
+            out.append((b, X.pack(size, data, self.least[at], level=3)))
         return out
 
-    def covered(self, answers: list) -> np.ndarray:
+    def put_repeated(self, folder: str, block: int) -> None:
+        arrays = (X.narrow(self.head), X.narrow(self.count), self.doc, X.narrow(self.entry), self.least, X.narrow(self.goes))
+        X.put(folder, f"repeated/{block}", {"arrays": X.pack(*arrays)})
+
+    def covered(self, folder: str, block: int, answers: dict[int, bytes], width: int) -> np.ndarray:
         """Which bytes are covered."""
-        mask = np.zeros(len(self.text), np.uint32)
-        got = {a["bucket"]: a["blob"] for a in answers or ()}
-        for b, at in X.split_buckets(self.goes, self.buckets):
-            mask[at] = X.unpack(got[b])[0]
-        bits = np.where(self.doc > self.least[self.entry], np.uint32(0xFFFFFFFF), mask[self.entry]) if len(self.entry) else np.zeros(0, np.uint32)
+        head, count, doc, entry, least, goes = X.unpack(X.got(folder, f"repeated/{block}")["arrays"])
+        head = head.astype(np.int64)
+        mask = np.zeros(len(least), np.uint32)
+        for b, at in X.split_buckets(goes.astype(np.int64)):
+            mask[at] = X.unpack(answers[b])[0]
+        bits = np.where(doc > least[entry], np.uint32(0xFFFFFFFF), mask[entry]) if len(entry) else np.zeros(0, np.uint32)
         mark = np.zeros(len(self.buf) + 1, np.int32)
-        for j in range(int(self.count.max()) if len(self.count) else 0):
-            mark[self.head[(self.count > j) & ((bits >> np.uint32(j)) & 1).astype(bool)] + j] = 1
+        for j in range(int(count.max()) if len(count) else 0):
+            mark[head[(count > j) & ((bits >> np.uint32(j)) & 1).astype(bool)] + j] = 1
         total = np.cumsum(mark[:-1], dtype=np.int32)
         out = total > 0
-        out[self.width :] = total[self.width :] > total[: -self.width]
+        out[width:] = total[width:] > total[:-width]
         return out
 
 
-def _seen_twice(table: pa.Table) -> pa.Table:
+def _by_window(buf: np.ndarray, head: np.ndarray, count: np.ndarray, doc: np.ndarray, value: np.ndarray, hot: np.ndarray, width: int):
+    """Stretches of hot anchors cut into windows, which are dealt by the hash of all their bytes; the others as they are."""
+    at = np.flatnonzero(hot)
+    row = np.repeat(at, count[at])
+    place = head[row] + np.arange(len(row)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
+    key = np.empty(len(row), np.uint64)
+    for k in range(0, len(row), 1 << 16):
+        part = place[k : k + (1 << 16)]
+        key[k : k + (1 << 16)] = X.hashes(X.binaries(np.full(len(part), width), buf[(part[:, None] + np.arange(width)).ravel()]))
+    rest = np.flatnonzero(~hot)
+    join = lambda x, y: np.concatenate([x[rest], y])
+    return join(head, place), join(count, np.ones(len(row), np.int64)), join(doc, doc[row]), join(value, key)
+
+
+def _seen_twice(most: int, table: pa.Table) -> pa.Table:
+    """Which anchors two documents hold, and which of them have more than `most` stretches."""
     each = [X.unpack(b) for b in table.column("blob").to_pylist()]
-    values = [np.cumsum(gaps, dtype=np.uint64) for gaps, _ in each]
-    twice = np.concatenate([np.unpackbits(f, count=len(v)) for (_, f), v in zip(each, values, strict=True)]).astype(bool)
+    values = [np.cumsum(x[0], dtype=np.uint64) for x in each]
+    twice = np.concatenate([np.unpackbits(x[1], count=len(v)) for x, v in zip(each, values, strict=True)]).astype(bool)
     _, at, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     again = times > 1
     again[at[twice]] = True
-    ends = np.cumsum([len(v) for v in values])
-    blobs = [X.pack(np.packbits(x)) for x in np.split(again[at], ends[:-1])]
+    hot = np.bincount(at, weights=np.concatenate([x[2] for x in each])) > most
+    ends = np.cumsum([len(v) for v in values])[:-1]
+    blobs = [X.pack(np.packbits(x), np.packbits(y)) for x, y in zip(np.split(again[at], ends), np.split(hot[at], ends), strict=True)]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -251,81 +297,69 @@ def _sorted_windows(width: int, table: pa.Table) -> pa.Table:
 
 
 def cut(docs: DataFrame, width: int = 50, gram: int = GRAM) -> DataFrame:
-    """All columns of the documents but text, and kept (binary), n_bytes, n_removed and spans (removed runs, of the input's bytes)."""
+    """All columns of the documents but text, and kept (binary), n_bytes, n_removed and spans (removed runs, of the input's bytes), in place of columns of these names."""
     if not 8 <= gram < width <= gram + 31:
         raise ValueError("a window holds its anchor and at most 31 bytes more")
     spark = docs.sparkSession
     folder = X.workdir(spark)
-    n_bytes = X.text_bytes(docs)
-    n = X.buckets_for(spark, n_bytes, BUCKET_BYTES)
-    bits = min(64, max(16, n_bytes.bit_length() + 4))
+    n_bytes = X.input_bytes(docs)
+    n = X.deal(spark, n_bytes, BUCKET_BYTES)
+    bits = min(64, max(16, n_bytes.bit_length() + 6))
+    docs = docs.drop(*RESULT)
     rest = [f for f in docs.schema.fields if f.name != "text"]
+    limit, most = BLOCK_BYTES, HOT
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in X.blocks(batches, BLOCK_BYTES):
-            buf, offsets = S.joined(table.column("text"))
-            row = {"block": block, "rest": _ipc(table.drop_columns(["text"])), "sizes": X.pack(X.narrow(np.diff(offsets))), "text": X.pack(buf, level=3)}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("rest", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())]))
-
-    held = X.saved_by(docs.mapInArrow(hold, HELD), "block", folder, "blocks")
-    block_of = functools.partial(_Block, width=width, gram=gram, buckets=n, bits=bits)
-    to_send = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
-
-    def sent(block: int, messages: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([m | {"block": block} for m in messages], to_send)
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            yield sent(row["block"], block_of(row).anchors())
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            block = block_of(row)
-            block.repeated(row["answers"])
-            yield sent(row["block"], block.stretches())
-
-    def sort(table: pa.Table) -> pa.Table:
-        return _sorted_windows(width, table)
-
-    known = X.saved(X.answered(held.mapInArrow(X.tidy(anchors), "block long, bucket int, blob binary"), _seen_twice, "block long, bucket int, blob binary"), folder, "anchors")
-    again = X.with_answers(held, known)
-    windows = X.answered(again.mapInArrow(X.tidy(distinct), "block long, bucket int, blob binary"), sort, "block long, bucket int, blob binary")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            block = block_of(row)
-            block.repeated(row["answers"])
-            gone = block.covered(row["windows"])
-            size = np.diff(block.offsets)
-            removed = np.append(0, np.cumsum(gone))[block.offsets]
-            left = np.diff(block.offsets - removed)
-            kept = X.binaries(left, block.buf[~gone])
-            first = gone.copy()
-            first[1:] &= ~gone[:-1]
-            inner = block.offsets[1:-1]
-            inner = inner[inner < len(gone)]
-            first[inner] |= gone[inner]
-            last = gone.copy()
-            last[:-1] &= ~gone[1:]
-            last[inner[inner > 0] - 1] |= gone[inner[inner > 0] - 1]
-            a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-            bounds = np.searchsorted(a, block.offsets).astype(np.int32)
-            base = np.repeat(block.offsets[:-1], np.diff(bounds))
-            spans = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(a - base), pa.array(b - base)], ["first", "last"]))
-            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in block.rest.columns]
-            whole = pa.RecordBatch.from_arrays([*columns, kept, pa.array(size), pa.array(size - left), spans], [*block.rest.column_names, "kept", "n_bytes", "n_removed", "spans"])
-            for k in range(0, whole.num_rows, 4000):
-                yield whole.slice(k, 4000)
-
+        for number, table in X.blocks(batches, limit):
+            block = _Block.made(table, width, gram, bits)
+            block.put(folder, number)
+            yield X.messages(number, block.anchors(n), True)
+
+    def distinct(number: int, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        block = _Block.read(folder, number)
+        block.repeated(answers, n, width)
+        block.put_repeated(folder, number)
+        yield X.messages(number, block.stretches(), True)
+
+    def apply(number: int, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        block = _Block.read(folder, number)
+        gone = block.covered(folder, number, answers, width)
+        size = np.diff(block.offsets)
+        removed = np.append(0, np.cumsum(gone))[block.offsets]
+        left = np.diff(block.offsets - removed)
+        kept = X.binaries(left, block.buf[~gone])
+        first = gone.copy()
+        first[1:] &= ~gone[:-1]
+        inner = block.offsets[1:-1]
+        inner = inner[inner < len(gone)]
+        first[inner] |= gone[inner]
+        last = gone.copy()
+        last[:-1] &= ~gone[1:]
+        last[inner[inner > 0] - 1] |= gone[inner[inner > 0] - 1]
+        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+        bounds = np.searchsorted(a, block.offsets).astype(np.int32)
+        base = np.repeat(block.offsets[:-1], np.diff(bounds))
+        spans = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(a - base), pa.array(b - base)], ["first", "last"]))
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in block.rest.columns]
+        yield pa.RecordBatch.from_arrays([*columns, kept, pa.array(size), pa.array(size - left), spans], [*block.rest.column_names, *RESULT])
+
+    anchors = X.exchanged(docs, hold, folder)
+    known = X.answered(anchors.filter("bucket >= 0"), functools.partial(_seen_twice, most), X.MESSAGE)
+    windows = X.saved(X.by_block(anchors, known, distinct, X.MESSAGE), folder, "stretches")
+    X.dropped(spark, f"{folder}/messages")
+    answers = X.answered(windows.filter("bucket >= 0"), functools.partial(_sorted_windows, width), X.MESSAGE)
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
     schema = T.StructType([*rest, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
-    return X.with_answers(again, windows, "windows").mapInArrow(X.tidy(apply), schema)
+    return X.by_block(windows, answers, apply, schema)
 
 
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """The documents without the covered bytes; bytes of a character that was cut are left out too. n_chars, where there is one, is counted anew."""
-    got = cut(docs, width).withColumn("text", F.expr("try_validate_utf8(cast(kept as string))"))
-    got = got.withColumn("text", F.coalesce("text", F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "�", "")))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+    """The documents, with all their columns, without the covered bytes; bytes of a character that was cut are left out too. n_chars, where there is one, is counted anew."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(*others).alias("others")) if others else docs
+    got = cut(packed, width).withColumn("text", F.expr("try_validate_utf8(cast(kept as string))"))
+    got = got.withColumn("text", F.coalesce("text", F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "\ufffd", "")))
+    columns = {c: F.col(c) if c in ("doc_id", "text") else F.col("others")[c] for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return got.select(*(v.alias(c) for c, v in columns.items()))

@@ -22,6 +22,7 @@ def folder(uri: str) -> None:
 def written(uri: str):
     """A stream whose content takes its name when it is whole, so that a lost or repeated task leaves no torn file."""
     system, path = opened(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(draft) as out:
         yield out

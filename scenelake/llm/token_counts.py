@@ -14,16 +14,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import bpe, vocab
 from . import exchange as X
 from . import splitting as S
 
-HELD = "block long, doc_ids binary, docs binary, frequencies binary, messages array<struct<bucket:int,blob:binary>>"
-
-
-def _hold(n: int):
+def _hold(folder: str, n: int):
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in X.blocks(batches):
             texts = table.column("text").combine_chunks().cast(pa.large_string()).fill_null("")
@@ -41,13 +37,12 @@ def _hold(n: int):
             gaps[heads] = code[heads]
             bucket, messages = bpe.to_buckets(distinct, n)
             row = {
-                "block": block,
                 "doc_ids": bpe.doc_ids(table),
                 "docs": X.pack(X.narrow(size), X.narrow(each)),
                 "frequencies": X.pack(X.narrow(gaps), X.narrow(times), X.narrow(bucket)),
-                "messages": messages,
             }
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("doc_ids", pa.binary()), ("docs", pa.binary()), ("frequencies", pa.binary()), ("messages", bpe.MESSAGES)]))
+            X.put(folder, f"blocks/{block}", row)
+            yield X.messages(block, messages, True)
 
     return hold
 
@@ -60,8 +55,8 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(data)
     docs = docs.select("doc_id", "text")
     folder = X.workdir(spark)
-    n = X.buckets_for(spark, X.text_bytes(docs))
-    held = X.saved_by(docs.mapInArrow(_hold(n), HELD), "block", folder, "stretches")
+    n = X.deal(spark, X.input_bytes(docs))
+    stretches = X.exchanged(docs, _hold(folder, n), folder)
 
     def answer(table: pa.Table) -> pa.Table:
         each, distinct, at = bpe.merged(table)
@@ -70,21 +65,19 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
         blobs = [X.pack(X.narrow(x)) for x in np.split(counts, ends[:-1])]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "blob": pa.array(blobs, pa.binary())})
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                size, each = (x.astype(np.int64) for x in X.unpack(row["docs"]))
-                gaps, times, bucket = X.unpack(row["frequencies"])
-                count = np.zeros(len(bucket), np.int64)
-                got = {a["bucket"]: a["blob"] for a in row["answers"] or ()}
-                for b, at in X.split_buckets(bucket.astype(np.int64), n):
-                    count[at] = X.unpack(got[b])[0]
-                run = np.cumsum(gaps, dtype=np.int64)
-                heads = np.append(0, np.cumsum(each)[:-1]).astype(np.int64)
-                before = np.where(heads > 0, run[np.maximum(heads, 1) - 1], 0) if len(run) else heads * 0
-                code = run - np.repeat(before, each)
-                sums = np.append(0, np.cumsum(count[code] * times))
-                yield pa.RecordBatch.from_arrays([bpe.doc_ids_of(row["doc_ids"]), pa.array(size), pa.array(sums[heads + each] - sums[heads])], ["doc_id", "n_bytes", "n_tokens"])
+    def total(block: int, blobs: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        row = X.got(folder, f"blocks/{block}")
+        size, each = (x.astype(np.int64) for x in X.unpack(row["docs"]))
+        gaps, times, bucket = X.unpack(row["frequencies"])
+        count = np.zeros(len(bucket), np.int64)
+        for b, at in X.split_buckets(bucket.astype(np.int64)):
+            count[at] = X.unpack(blobs[b])[0]
+        run = np.cumsum(gaps, dtype=np.int64)
+        heads = np.append(0, np.cumsum(each)[:-1]).astype(np.int64)
+        before = np.where(heads > 0, run[np.maximum(heads, 1) - 1], 0) if len(run) else heads * 0
+        code = run - np.repeat(before, each)
+        sums = np.append(0, np.cumsum(count[code] * times))
+        yield pa.RecordBatch.from_arrays([bpe.doc_ids_of(row["doc_ids"]), pa.array(size), pa.array(sums[heads + each] - sums[heads])], ["doc_id", "n_bytes", "n_tokens"])
 
-    answers = X.answered(held.select("block", F.inline("messages")), answer, "block long, bucket int, blob binary")
-    return X.with_answers(held.select("block", "doc_ids", "docs", "frequencies"), answers).mapInArrow(X.tidy(total), "doc_id long, n_bytes long, n_tokens long")
+    answers = X.answered(stretches.filter("bucket >= 0"), answer, X.MESSAGE)
+    return X.by_block(stretches, answers, total, "doc_id long, n_bytes long, n_tokens long")

@@ -97,7 +97,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2) -> Dat
     special = vocab.ByteBpe(data).special
     sent = spark.sparkContext.broadcast(data)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = X.buckets_for(spark, X.text_bytes(docs), PART_BYTES)
+    parts = X.deal(spark, X.text_bytes(docs), PART_BYTES)
     shared_files.folder(f"{folder}/shards")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -7,9 +7,11 @@ package where it lies: the directory at the file's end (ZIP64 where needed)
 gives the members, the index the ranges.
 
 Records with equal payloads of at least `least` bytes: that with the smallest
-page_id is a response, the others are revisits that refer to it. A null html
-is an empty payload. Rows that repeat a page_id repeat its record type; page_id
-must not be null.
+page_id is a response, the others are revisits that refer to it, also where
+rows repeat a page_id. So each row gives one record, and a payload is stored
+once, but for rows without a page_id: those revisit a page that has one, and are
+responses where none has. A null html is an empty payload, a null url
+about:blank. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -39,8 +41,13 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def record_id(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def page_of(name: str) -> int | None:
+    number = name.removeprefix("<urn:page:").rstrip(">")
+    return int(number) if number else None
 
 
 def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -177,13 +184,23 @@ def with_referents(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html and refers_to, null for responses.
 
     Equal payloads meet only in counts: the smallest page_id of each digest is
-    aggregated before rows move, and only digests of several pages are joined back.
+    aggregated before rows move, and only digests of several rows are joined
+    back, those of very many rows without moving them.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = pages.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("key"), F.octet_length("html").alias("size")).filter(F.col("size") >= least)
-    first = keyed.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to")
-    revisits = keyed.select("page_id", "key").join(first.select("key", "refers_to"), "key").filter("page_id > refers_to").select("page_id", "refers_to").distinct()
-    return pages.join(revisits, "page_id", "left")
+    pages = pages.withColumn("key", F.when(F.octet_length("html") >= least, F.sha2(F.col("html").cast("binary"), 256)))
+    ids = pages.filter("key is not null").groupBy("key", "page_id").agg(F.count("*").alias("same"))
+    first = F.min_by(F.struct("page_id", "same"), F.struct(F.col("page_id").isNull(), "page_id"))
+    keys = ids.groupBy("key").agg(first.alias("x"), F.sum("same").alias("w")).filter("w > 1 and x.page_id is not null")
+    keys = keys.select("key", F.col("x.page_id").alias("first"), F.col("x.same").alias("same"), "w")
+    joined = X.spread_join(pages, keys, "key", "w", pages.count(), how="left")
+    at_first = F.col("page_id").eqNullSafe(F.col("first"))
+    out = joined.withColumn("refers_to", F.when(~at_first, F.col("first")))
+    if not keys.filter("same > 1").isEmpty():  # rows that repeat the response's page_id and payload
+        twice = at_first & (F.coalesce("same", F.lit(0)) > 1)
+        again = out.filter(twice).withColumn("refers_to", F.when(F.row_number().over(Window.partitionBy("key").orderBy("url")) > 1, F.col("first")))
+        out = out.filter(~twice).unionByName(again)
+    return out.select("page_id", "url", "html", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
@@ -209,7 +226,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, package_bytes: int = PA
                 packer = zlib.compressobj(3, zlib.DEFLATED, 31)
                 data = packer.compress(record(page_id, url, payload, refers_to)) + packer.flush()
                 entry = {"page_id": page_id, "filename": ARCHIVE, "offset": warc.tell(), "length": len(data)}
-                index.append(f"page:{page_id} 19700101000000 {json.dumps(entry)}\n".encode())
+                index.append(f"page:{'-' if page_id is None else page_id} 19700101000000 {json.dumps(entry)}\n".encode())
                 warc.write(data)
                 size += len(payload)
                 if size >= package_bytes:
@@ -234,13 +251,13 @@ def read(spark: SparkSession, packages: DataFrame) -> DataFrame:
                 if kind == "response" and digest(got["payload"]) != warc["warc-payload-digest"].removeprefix("sha1:"):
                     raise ValueError(f"{path}: the payload of {warc['warc-record-id']} is not what was written")
                 rows.append({
-                    "page_id": int(warc["warc-record-id"].removeprefix("<urn:page:").rstrip(">")),
+                    "page_id": page_of(warc["warc-record-id"]),
                     "url": warc["warc-target-uri"],
                     "payload": got["payload"] if kind == "response" else None,
                     "payload_bytes": int(got["http"]["content-length"]),
                     "payload_digest": warc["warc-payload-digest"].removeprefix("sha1:"),
                     "record_type": kind,
-                    "refers_to": int(warc["warc-refers-to"].removeprefix("<urn:page:").rstrip(">")) if "warc-refers-to" in warc else None,
+                    "refers_to": page_of(warc["warc-refers-to"]) if "warc-refers-to" in warc else None,
                 })
                 if len(rows) == 1000:
                     yield pa.RecordBatch.from_pylist(rows, schema)

@@ -1,6 +1,5 @@
 """Repeats, contamination, near copies and the pipeline against brute force."""
 
-import hashlib
 import random
 import re
 from collections import Counter
@@ -10,6 +9,8 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from scenelake.llm import components, decontaminate, exchange, near_duplicates, repeats  # noqa: E402
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, answers string, value string"
@@ -57,9 +58,11 @@ def brute_repeats(rows, width):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 23, 600])
-def test_repeats(spark, rows, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(1 << 23, 1 << 16), (600, 1 << 16), (600, 5)])
+def test_repeats(spark, rows, monkeypatch, block, hot):
+    """Also with small blocks, and with anchors dealt window by window."""
     monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "CHUNK", 128 if block == 600 else repeats.CHUNK)
     got = {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, [tuple(s) for s in r.spans]) for r in repeats.cut(frame(spark, rows)).collect()}
     want = brute_repeats(rows, 50)
@@ -77,6 +80,12 @@ def test_repeats_of_odd_rows(spark):
     out = repeats.without_repeats(frame(spark, [(1, "a" + cut), (2, cut + "b")])).collect()
     assert {r.doc_id: (r.text, r.n_chars) for r in out} == {1: ("a" + cut, 41), 2: ("b", 1)}
     assert repeats.without_repeats(df).columns == df.columns
+    clash = df.select(*df.columns, *(F.lit(k).alias(c) for k, c in enumerate(("kept", "n_bytes", "n_removed", "spans", "others", "rest"))))
+    rows = repeats.without_repeats(clash).collect()
+    assert repeats.without_repeats(clash).columns == clash.columns and {(r.kept, r.spans, r.others, r.rest) for r in rows} == {(0, 3, 4, 5)}
+    long = "".join(f"{k} " for k in range(300_000))
+    got = {r.doc_id: r.n_removed for r in repeats.cut(frame(spark, [(1, long), (2, long[1000:2_000_000]), (3, "z" * 3_000_000)])).collect()}
+    assert got == {1: 0, 2: len(long[1000:2_000_000]), 3: 0}
 
 
 def brute_overlap(rows, items, width=10):
@@ -204,25 +213,43 @@ def test_radix_groups():
     assert sorted(map(sorted, got.values())) == sorted(v for v in want.values() if len(v) > 1)
 
 
+EXTRA = ("score", "quality_score", "kept", "n_bytes", "spans", "row", "value", "block")
+
+
+def written(spark, folder, rows, labels, items):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *(F.lit(k).alias(c) for k, c in enumerate(EXTRA)))
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, rows, tmp_path):
+    """Also null and empty texts, rows that repeat, and columns with the names of results."""
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
-    good = [(i, t) for i, t in rows if t and len(t) > 30]
     junk = [(1000 + i, " ".join(f"{rng.choice('ABCDEF')}{rng.choice('XYZ')}!!" for _ in range(60))) for i in range(80)]
+    everything = [*rows, rows[3], *junk]
     folder = str(tmp_path)
-    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in good + junk], "doc_id long, text string, lang string, source string, n_chars long")
-    df.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in good + junk], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    item = next(t for i, t in good if len(t.split()) > 30 and 0 <= i < 40)
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    out = {r.doc_id: r.text for r in pipeline.run(spark, folder).collect()}
-    kept = [(i, t) for i, t in good + junk]
-    scored = {r.doc_id for r in pipeline.quality(spark, df, folder).collect()}
-    assert scored >= {i for i, _ in good} and len(scored) - len(good) <= 4
-    kept = [(i, t) for i, t in kept if i in scored]
-    heads = {k[0] for k in brute_groups(kept, 5) if k[0] == k[2]}
-    kept = [(i, t) for i, t in kept if i in heads]
+    item = next(t for i, t in rows if t and len(t.split()) > 30 and 0 <= i < 40)
+    df = written(spark, folder, everything, [(i, int(i < 1000), 0) for i, t in everything if i >= 1000 or t and len(t) > 30], [(1, item), (2, None)])
+    assert all(stage(spark, df, folder).columns == df.columns for _, stage in pipeline.STAGES[:4])
+    out = Counter((r.doc_id, r.text) for r in pipeline.run(spark, folder).collect())
+    scored = [(r.doc_id, r.text) for r in pipeline.quality(spark, df, folder).collect()]
+    assert not Counter(scored) - Counter(everything) and sum(i >= 1000 for i, _ in scored) <= 4
+    assert {i for i, t in rows if t and len(t) > 30} <= {i for i, _ in scored}
+    heads = {k[0] for k in brute_groups(scored, 5) if k[0] == k[2]}
+    kept = [(i, t) for i, t in scored if i in heads]
     cut = {i: v[0].decode(errors="ignore") for i, v in brute_repeats(kept, 50).items()}
     dirty = {k[0] for k in brute_overlap(list(cut.items()), [(1, item)]) if k[2]}
-    assert out == {i: t for i, t in cut.items() if i not in dirty}
-    assert hashlib.sha256(b"").hexdigest()
+    assert out == Counter((i, cut[i]) for i, _ in kept if i not in dirty)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    written(spark, f"{tmp_path}/none", [], [], [])
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    text = " ".join(f"w{k}" for k in range(30))  # every document goes on the way
+    written(spark, f"{tmp_path}/all", [(1, text), (2, text), (3, text + " x")], [], [(1, text)])
+    assert pipeline.run(spark, f"{tmp_path}/all").count() == 0

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,19 @@ def test_archives(spark):
     assert large == 0
 
 
+def test_archives_of_repeated_and_null_ids(spark):
+    """Each row gives a record, and each payload is stored once."""
+    rows = [(3, "A"), (4, "B"), (5, "A"), (5, "B"), (6, "A"), (6, "C"), (7, "D"), (7, "D"), (7, "D"), (None, "A"), (None, "E"), (None, "E"), (8, "long " * 200_000)]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string").repartition(4)
+    got = web_archives.read(spark, web_archives.write(pages, exchange.workdir(spark))).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes) for r in got) == sorted((i or 0, len(t)) for i, t in rows)
+    stored = Counter(bytes(r.payload).decode() for r in got if r.record_type == "response")
+    assert stored == {"A": 1, "B": 1, "C": 1, "D": 1, "E": 2, "long " * 200_000: 1}
+    kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in got)
+    assert kinds[5, "revisit", 3] == kinds[5, "revisit", 4] == kinds[6, "revisit", 3] == kinds[6, "response", None] == 1
+    assert kinds[7, "response", None] == 1 and kinds[7, "revisit", 7] == 2 and kinds[None, "revisit", 3] == 1 and kinds[None, "response", None] == 2
+
+
 def test_zip64(tmp_path):
     path = tmp_path / "a.wacz"
     with path.open("wb") as out:
@@ -187,6 +201,31 @@ def test_ratio_tells_target_from_junk(spark):
     assert not quality_rules.fit(df, trusted.limit(0)).any()
 
 
+def test_ratio_is_the_plain_one_and_equal_for_equal_texts(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc de\u00e9") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["the same text again"] * 300
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(1)
+    ratios = quality_rules.fit(df, df.filter("doc_id < 20").select("doc_id"))
+
+    def slot(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x01000193 + c) & 0xFFFFFFFF
+        h ^= h >> 15
+        return ((h * 0x2C1B3C6D) & 0xFFFFFFFF) >> 16 & quality_rules.BUCKETS - 1
+
+    grams = [[slot(t.encode()[k : k + 4]) for k in range(len(t.encode()) - 3)] for t in texts]
+    corpus, target = Counter(g for x in grams for g in x), Counter(g for x in grams[:20] for g in x)
+    n, m = sum(corpus.values()), sum(target.values())
+    ratio = lambda g: math.log((target[g] + quality_rules.PRIOR * corpus[g] / n) / (m + quality_rules.PRIOR) / (corpus[g] / n))
+    for parts in (1, 7):
+        got = {r.doc_id: r for r in quality_rules.judged(df.repartition(parts), ratios).collect()}
+        for i, x in enumerate(grams):
+            assert got[i].score == pytest.approx(sum(map(ratio, x)) / max(len(x), 1), rel=1e-9, abs=1e-12)
+            assert got[i].kept == (not got[i].base_failed and got[i].score >= quality_rules.THRESHOLD)
+        assert len({got[i].score for i in range(60, 360)}) == 1
+
+
 def test_classifier_learns_and_scores(spark, docs, empty):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["ta", "lo", "mi", "ren"]) for _ in range(rng.randint(1, 3)))
@@ -198,8 +237,6 @@ def test_classifier_learns_and_scores(spark, docs, empty):
     got = {r.doc_id: r.score for r in classifier.scored(df.select("doc_id", "text"), model).collect()}
     held = [i for i in range(240) if i % 3 == 1]
     assert sum((got[i] >= 0.5) == (i < 120) for i in held) / len(held) > 0.95
-    import pyarrow as pa
-
     words = pa.array([b"a", b"", b"two", b"three\xc3\xa9", b"x" * 30], pa.binary())
     feature, at = classifier.word_features(words)
     weights = np.random.default_rng(0).random(classifier.BUCKETS)
@@ -207,15 +244,33 @@ def test_classifier_learns_and_scores(spark, docs, empty):
     assert (many == np.diff(at)).all() and total == pytest.approx([weights[feature[x:y]].sum() for x, y in zip(at[:-1], at[1:], strict=True)])
     again = classifier.fit(df.drop("quality").repartition(5), labels)
     assert (again.weights == model.weights).all()
-    rows = classifier.scored(docs.drop("score"), model).collect()
-    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
-    assert classifier.scored(empty.drop("score"), model).count() == 0
+    scored = classifier.scored(docs, model)
+    rows = scored.collect()
+    assert sorted(scored.columns) == sorted(docs.columns) and len(rows) == docs.count()
+    for r in rows:  # a plain mean over the features of the text, one by one
+        text = (r.text or "").encode()
+        own = [w for w in re.split(rb"[\x20\x09-\x0D]+", text) if w]
+        sums, n = 0.0, 0
+        for k, w in enumerate(own):
+            one, _ = classifier.word_features(pa.array([w], pa.binary()))
+            two = pa.array(own[max(k - 1, 0) : k + 1], pa.binary())
+            pair = classifier.pairs(two, np.arange(len(two)), np.array([0, len(two)]))[-1]
+            back = next((j for j in range(1, k + 1) if own[k - j] == w), 0)
+            slot = classifier.BUCKETS + (min(math.ceil(math.log2(back)) + 1, classifier.DISTANCES - 1) if back else 0)
+            sums += model.weights[one].sum(dtype=np.float64) + model.weights[pair] + model.weights[slot]
+            n += len(one) + 2
+            if n > 20000:
+                break
+        if n <= 20000:
+            assert r.score == pytest.approx(1 / (1 + math.exp(-(model.bias + sums / (n + classifier.PRIOR)))), rel=1e-4)
+    assert classifier.scored(empty, model).count() == 0
+    assert classifier.scored(docs, model, "quality_score").columns == [*docs.columns, "quality_score"]
     assert classifier.fit(df.drop("quality"), labels.limit(0)).bias == 0
 
 
 @pytest.mark.parametrize("most", [0, 2, 7])
 def test_katz_model(spark, docs, empty, most):
-    rows = docs.select("doc_id", "text").filter("doc_id is not null and doc_id <> 7")
+    rows = docs.filter("doc_id is not null and doc_id <> 7")
     train = F.pmod("doc_id", F.lit(8)) >= most
     got = {r.doc_id: r for r in language_model.scores(rows, train).collect()}
     low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
@@ -246,6 +301,8 @@ def test_katz_model(spark, docs, empty, most):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(one[w] > 0 for w in t), total, i % 8 < most)
         assert r.score == pytest.approx(score, rel=1e-6) and r.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (total + many + 1)) for w in t), rel=1e-9, abs=1e-9)
+    odd = language_model.scores(docs, F.lit(True)).collect()  # repeated and null ids are rows like others
+    assert len(odd) == docs.count() and Counter(r.doc_id for r in odd)[7] == 2
     if not most:
         assert language_model.scores(empty, F.lit(True)).count() == 0
         alone = language_model.scores(rows.limit(3), F.lit(False)).collect()

@@ -1,7 +1,9 @@
 """A corpus pipeline: quality, near copies, repeats, contamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
-with their columns; the last returns tokens. run() writes what a stage returns
+with their columns, whatever their names; the last returns tokens. Null and empty
+texts, repeated rows, null doc_ids and empty tables go through every stage as its
+operator says. run() writes what a stage returns
 to the shared folder and reads it again as the next one's documents.
 """
 
@@ -16,8 +18,12 @@ from scenelake.shipping import ship
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.5 or more; it learns from the rows that op1 learns from."""
-    labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    return classifier.scored(docs, classifier.fit(docs, labels)).filter("score >= 0.5").select(*docs.columns)
+    labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    labels = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    column = "quality_score"
+    while column in docs.columns:  # a name of none of the documents' columns
+        column += "_"
+    return classifier.scored(docs, classifier.fit(docs, labels), column).filter(F.col(column) >= 0.5).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", "text")
 
 
-STAGES = [("quality classifier", quality), ("near copies", near_copies), ("repeated strings", repeated_strings), ("benchmark decontamination", contamination), ("BPE", tokens)]
+STAGES = [
+    ("quality classifier", quality),
+    ("near copies", near_copies),
+    ("repeated strings", repeated_strings),
+    ("benchmark decontamination", contamination),
+    ("BPE", tokens),
+]
 
 #: No SQL for the classifier; tests compare the stages with brute force.
 ORACLE_SQL = None

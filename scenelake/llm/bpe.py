@@ -119,7 +119,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids[k:more], X.binaries(4 * np.diff(at[ends[k : more + 1] - ends[k]]), out.view(np.uint8))], ["doc_id", "ids"])
             k = more
 
-    return X.by_block(sent_words, answers, assemble, "doc_id long, ids binary")
+    return X.by_block(sent_words, answers, n, assemble, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -278,16 +278,23 @@ def exchanged(docs: DataFrame, hold: Callable, folder: str) -> DataFrame:
     return saved(docs.mapInArrow(tidy(hold), MESSAGE), folder, "messages")
 
 
-def by_block(sent: DataFrame, answers: DataFrame, run: Callable[[int, dict[int, bytes]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """run() of each block with the answers to it by bucket; what else a block needs is in its files, so it doesn't move."""
+def by_block(sent: DataFrame, answers: DataFrame, n: int, run: Callable[[int, dict[int, bytes]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """run() of each block with the answers to it by bucket; what else a block needs is in its files, so it doesn't move.
+
+    Blocks are dealt to n tasks, as most of their bytes are in files, of which
+    the sizes of the answers, that would else decide, say nothing.
+    """
     names = sent.filter("bucket = -1").select("block", F.lit(-1).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("blob"))
 
-    def whole(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        blobs = {b: x for b, x in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True) if b >= 0}
-        del table
-        out = pa.Table.from_batches(list(run(block, blobs)))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, blobs = None, {}
+        for batch in batches:
+            block = batch.column("block")[0].as_py() if batch.num_rows else block
+            blobs |= {b: x for b, x in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True) if b >= 0}
+        for out in run(block, blobs):
+            for k in range(0, max(out.num_rows, 1), 2000):
+                yield out.slice(k, 2000)
+        del blobs
         released()
-        return out
 
-    return answers.select("block", "bucket", "blob").unionByName(names).groupBy("block").applyInArrow(whole, schema)
+    return answers.select("block", "bucket", "blob").unionByName(names).repartition(n, "block").groupBy("block").applyInArrow(whole, schema)

@@ -238,7 +238,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     def pairs(number: int, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         yield X.messages(number, _Block(folder, number, n, answers).pairs())
 
-    numbered = X.by_block(sent, first.filter("kind = 0"), pairs, X.MESSAGE)
+    numbered = X.by_block(sent, first.filter("kind = 0"), n, pairs, X.MESSAGE)
     second = X.saved(X.answered(numbered, _count_pairs(n, words), ANSWERS), folder, "pairs")
     d = discounts(np.append(0, _stats(second, MOST + 1)))
     asked = first.filter("kind = 0").select("kind", "block", "bucket", "blob").unionByName(second.filter("kind = 1").select("kind", "block", "bucket", "blob"))
@@ -265,4 +265,4 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
         yield pa.RecordBatch.from_arrays([bpe.doc_ids_of(block.doc_ids), pa.array(~block.train), pa.array(block.counts + 1), pa.array(known), pa.array(np.full(len(heads), words.total)), pa.array(np.add.reduceat(base, heads)), pa.array(np.add.reduceat(p, heads))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     both = second.filter("kind = 0").select("block", "bucket", "blob").unionByName(third.withColumn("bucket", F.col("bucket") + n))
-    return X.by_block(sent, both, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return X.by_block(sent, both, n, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -436,7 +436,7 @@ def _verified(asked: DataFrame, folder: str, n: int, num: int, den: int) -> Data
         a, b = ([x[k] for x in out] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    got = asked.select(F.shiftright("rid", 16).alias("block"), "c1", "c2", "rid", "component", "asks").groupBy("block").applyInArrow(fetch, "c1 long, c2 long, rid long, component long, asks boolean, members binary")
+    got = asked.select(F.shiftright("rid", 16).alias("block"), "c1", "c2", "rid", "component", "asks").repartition(n, "block").groupBy("block").applyInArrow(fetch, "c1 long, c2 long, rid long, component long, asks boolean, members binary")
     return got.groupBy(F.pmod(F.xxhash64("c1", "c2"), F.lit(n))).applyInArrow(links, "a long, b long")
 
 
@@ -481,22 +481,23 @@ def _across(members: DataFrame, label: DataFrame, folder: str, n: int, num: int,
     return out
 
 
-def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, folder: str | None = None) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), n_shingles, class_id (smallest doc_id of equal sets) and component_id of each row.
 
     Sets are linked where den * intersection >= num * union; num / den is at
-    least 0.8, which the sketches' bounds rest on.
+    least 0.8, which the sketches' bounds rest on. The result is read from files
+    in the folder, a new one of the shared folder if not given.
     """
     if 5 * num < 4 * den:
         raise ValueError("the threshold must be 0.8 or more")
     spark = docs.sparkSession
-    folder = X.workdir(spark)
+    folder = folder or X.workdir(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     n = X.deal(spark, X.input_bytes(docs), BUCKET_BYTES)
     shared_files.folder(f"{folder}/sets")
     sent = X.saved(docs.mapInArrow(X.tidy(_scan(folder, shingle, n, BLOCK_BYTES)), MESSAGE), folder, "messages")
     counts = X.answered(sent.filter("bucket >= 0"), _counted, MESSAGE)
-    posted = X.saved(counts.groupBy("block").applyInArrow(_postings(folder, n, num, den, LIST), POSTED), folder, "postings")
+    posted = X.saved(counts.repartition(n, "block").groupBy("block").applyInArrow(_postings(folder, n, num, den, LIST), POSTED), folder, "postings")
     listed = X.saved(X.answered(posted.filter("kind = 0").select("block", "bucket", "blob"), _lists(num, den, FOLLOWERS), LISTED), folder, "lists")
     follow = listed.filter("kind = 0")
     if not (pieces := listed.filter("kind = 2")).isEmpty():
@@ -527,7 +528,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
         size = np.append(0, block.size)[place]
         return pa.table({"doc_id": ids, "text_hash": pa.array(block.head["text_hash"]), "n_shingles": pa.array(size), "class_id": own[0], "component_id": own[1]})
 
-    return whole.groupBy("block").applyInArrow(result, "doc_id long, text_hash long, n_shingles long, class_id long, component_id long")
+    return whole.repartition(n, "block").groupBy("block").applyInArrow(result, "doc_id long, text_hash long, n_shingles long, class_id long, component_id long")
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -536,6 +537,10 @@ def without_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Rows that repeat a doc_id are told apart by their texts; a row without a
     doc_id goes if a near copy has one.
     """
-    gone = groups(docs, shingle).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    spark = docs.sparkSession
+    folder = X.workdir(spark)
+    gone = groups(docs, shingle, folder=f"{folder}/groups").filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = X.saved(gone, folder, "gone")
+    X.dropped(spark, f"{folder}/groups")
     same = docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
     return docs.join(gone, same, "left_anti")

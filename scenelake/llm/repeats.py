@@ -345,12 +345,12 @@ def cut(docs: DataFrame, width: int = 50, gram: int = GRAM) -> DataFrame:
 
     anchors = X.exchanged(docs, hold, folder)
     known = X.answered(anchors.filter("bucket >= 0"), functools.partial(_seen_twice, most), X.MESSAGE)
-    windows = X.saved(X.by_block(anchors, known, distinct, X.MESSAGE), folder, "stretches")
+    windows = X.saved(X.by_block(anchors, known, n, distinct, X.MESSAGE), folder, "stretches")
     X.dropped(spark, f"{folder}/messages")
     answers = X.answered(windows.filter("bucket >= 0"), functools.partial(_sorted_windows, width), X.MESSAGE)
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
     schema = T.StructType([*rest, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
-    return X.by_block(windows, answers, apply, schema)
+    return X.by_block(windows, answers, n, apply, schema)
 
 
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:

@@ -80,4 +80,4 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([bpe.doc_ids_of(row["doc_ids"]), pa.array(size), pa.array(sums[heads + each] - sums[heads])], ["doc_id", "n_bytes", "n_tokens"])
 
     answers = X.answered(stretches.filter("bucket >= 0"), answer, X.MESSAGE)
-    return X.by_block(stretches, answers, total, "doc_id long, n_bytes long, n_tokens long")
+    return X.by_block(stretches, answers, n, total, "doc_id long, n_bytes long, n_tokens long")

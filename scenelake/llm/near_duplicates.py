@@ -20,10 +20,10 @@ under their digests. Each document keeps its best leader; the estimate over the
 sketch of the union, then the full sets decide. (2) Leaders with
 their followers, and followers of different leaders of a list that share enough
 of their digests, may still be in several components; these are put together by
-their main component. There the documents that share a value of their digests across
-components are compared on full sets, those outside of the main component with
-all, in cells of bounded size; a cell gives one link for each document and
-component. So no group is expanded into its pairs, unrelated documents are not
+their main component. There the documents that share values of their digests across
+components meet, those outside of the main component with all, in cells of
+bounded size: first their sketches, then, of those that still may be similar,
+the full sets; a cell gives one link for each document and component. So no group is expanded into its pairs, unrelated documents are not
 compared, and no link between components is left out.
 
 Sets lie in one file a block of documents in the shared folder, and are fetched
@@ -225,8 +225,7 @@ def _postings(folder: str, n: int, num: int, den: int, most: int):
         many = total[np.searchsorted(values, flat)]
         order = np.lexsort((flat, many, cls))  # the rarest first
         place = np.arange(len(flat)) - np.repeat(np.cumsum(kept) - kept, kept)
-        shared = np.where(size * den <= SKETCH * num, -(-num * size // den), kept // 2)  # of small sets all partners are sketched whole
-        keep = order[(place <= (kept - shared)[cls]) & (many[order] > 1) & (rep == block.rid)[cls]]
+        keep = order[(place <= (kept - least_shared(size, num, den))[cls]) & (many[order] > 1) & (rep == block.rid)[cls]]
         value, many, cls = flat[keep], many[keep], cls[keep]
         piece = np.where(many > most, 1 + (X.mix(block.rid[cls].astype(np.uint64)) % np.maximum(-(-many // most), 1).astype(np.uint64)).astype(np.int64), 0)
         digest = (block.digests() & np.uint64(0xFFFF)).astype(np.uint16)
@@ -384,6 +383,39 @@ def estimates(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return (both & least).sum(1) / np.maximum((new & least).sum(1), 1)
 
 
+def least_shared(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Retained values that a set of so many shingles shares with each that is similar; of small sets all partners are sketched whole."""
+    return np.where(size * den <= SKETCH * num, -(-num * size // den), np.minimum(size, SKETCH) // 2)
+
+
+def _inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All values in order, and which set each is of."""
+    values, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    return values[order], of[order]
+
+
+def _overlap(values: np.ndarray, of: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """How many values of `own` each of n sets holds."""
+    low, high = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+    many = high - low
+    return np.bincount(of[np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)], minlength=n)
+
+
+def cell_promising(component: np.ndarray, asks: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which documents of a cell may be similar to one of another component on its other side, as far as sketches tell."""
+    at, ask, out = np.flatnonzero(~asks), np.flatnonzero(asks), np.zeros(len(asks), bool)
+    if not len(at) or not len(ask):
+        return out
+    need = least_shared(np.array([len(x) for x in sketches]), num, den)
+    values, of = _inverted([sketches[k] for k in at])
+    for k in ask:
+        hit = (_overlap(values, of, sketches[k], len(at)) >= np.maximum(need[at], need[k])) & (component[at] != component[k])
+        out[at[hit]] = True
+        out[k] = hit.any()
+    return out
+
+
 def cell_links(rid: np.ndarray, component: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Of documents that ask and documents that are asked: for each that asks, one link to each other component that it is similar to."""
     at, ask = np.flatnonzero(~asks), np.flatnonzero(asks)
@@ -401,15 +433,10 @@ def cell_links(rid: np.ndarray, component: np.ndarray, asks: np.ndarray, sets: l
                 out.append((int(rid[at[0]]), int(rid[k])))
         return out
     size = np.array([len(sets[k]) for k in at])
-    values, of = np.concatenate([sets[k] for k in at]), np.repeat(np.arange(len(at)), size)
-    order = np.argsort(values, kind="stable")
-    values, of = values[order], of[order]
+    values, of = _inverted([sets[k] for k in at])
     out = []
     for k in ask:
-        low, high = np.searchsorted(values, sets[k]), np.searchsorted(values, sets[k], "right")
-        n = high - low
-        where = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-        shared = np.bincount(of[where], minlength=len(at))
+        shared = _overlap(values, of, sets[k], len(at))
         hit = np.flatnonzero((den * shared >= num * (len(sets[k]) + size - shared)) & (component[at] != component[k]))
         if len(hit):
             _, first = np.unique(component[at[hit]], return_index=True)
@@ -417,27 +444,53 @@ def cell_links(rid: np.ndarray, component: np.ndarray, asks: np.ndarray, sets: l
     return out
 
 
-def _verified(asked: DataFrame, folder: str, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of documents (rid, component, asks) that meet in cells (c1, c2). Their sets are fetched from the blocks' files."""
+def _fetched(asked: DataFrame, folder: str, n: int, whole: bool) -> DataFrame:
+    """Documents (rid, component, asks) of cells (c1, c2) with their sets, or only their sketches, from the blocks' files."""
 
     def fetch(table: pa.Table) -> pa.Table:
-        block = Block.read(folder, table.column("block")[0].as_py(), True)
+        block = Block.read(folder, table.column("block")[0].as_py(), whole)
         at = table.column("rid").to_numpy() & 0xFFFF
-        sets = [block.values[block.bounds[k] : block.bounds[k + 1]].tobytes() for k in at]
+        values, bounds = (block.values, block.bounds) if whole else (block.head["sketch"], np.append(0, np.cumsum(block.kept)))
+        sets = [values[bounds[k] : bounds[k + 1]].tobytes() for k in at]
         return table.drop_columns(["block"]).append_column("members", pa.array(sets, pa.large_binary() if sum(map(len, sets)) > 1 << 30 else pa.binary()))
 
+    got = asked.select(F.shiftright("rid", 16).alias("block"), "c1", "c2", "rid", "component", "asks").repartition(n, "block").groupBy("block").applyInArrow(fetch, "c1 long, c2 long, rid long, component long, asks boolean, members binary")
+    return got.withColumn("deal", F.pmod(F.xxhash64("c1", "c2"), F.lit(n)))
+
+
+def _cells(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Of each cell the rows, and their documents, components, roles and values."""
+    c1, c2, rid, component, asks = (np.asarray(table.column(x)) for x in ("c1", "c2", "rid", "component", "asks"))
+    members = table.column("members")
+    order = np.lexsort((rid, c2, c1))
+    new = np.flatnonzero((np.diff(c1[order], prepend=-1) != 0) | (np.diff(c2[order], prepend=-1) != 0))
+    for own in np.split(order, new[1:]):
+        yield own, rid[own], component[own], asks[own], [np.frombuffer(members[int(k)].as_buffer(), "<u8") for k in own]
+
+
+def _promising(asked: DataFrame, folder: str, n: int, num: int, den: int) -> DataFrame:
+    """The documents of cells whose sketches leave it open that they are similar to one on the other side."""
+
+    def keep(table: pa.Table) -> pa.Table:
+        out = np.zeros(table.num_rows, bool)
+        for own, _, component, asks, sketches in _cells(table):
+            out[own] = cell_promising(component, asks, sketches, num, den)
+        return table.select(["c1", "c2", "rid", "component", "asks"]).filter(pa.array(out))
+
+    return _fetched(asked, folder, n, False).groupBy("deal").applyInArrow(keep, "c1 long, c2 long, rid long, component long, asks boolean")
+
+
+def _verified(asked: DataFrame, folder: str, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of documents that meet in cells, by their whole sets."""
+
     def links(table: pa.Table) -> pa.Table:
-        c1, c2, rid, component, asks = (np.asarray(table.column(x)) for x in ("c1", "c2", "rid", "component", "asks"))
-        members, out = table.column("members"), []
-        order = np.lexsort((rid, c2, c1))
-        new = np.flatnonzero((np.diff(c1[order], prepend=-1) != 0) | (np.diff(c2[order], prepend=-1) != 0))
-        for own in np.split(order, new[1:]):
-            out += cell_links(rid[own], component[own], asks[own], [np.frombuffer(members[int(k)].as_buffer(), "<u8") for k in own], num, den)
+        out = []
+        for _, rid, component, asks, sets in _cells(table):
+            out += cell_links(rid, component, asks, sets, num, den)
         a, b = ([x[k] for x in out] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    got = asked.select(F.shiftright("rid", 16).alias("block"), "c1", "c2", "rid", "component", "asks").repartition(n, "block").groupBy("block").applyInArrow(fetch, "c1 long, c2 long, rid long, component long, asks boolean, members binary")
-    return got.groupBy(F.pmod(F.xxhash64("c1", "c2"), F.lit(n))).applyInArrow(links, "a long, b long")
+    return _fetched(asked, folder, n, True).groupBy("deal").applyInArrow(links, "a long, b long")
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -476,7 +529,8 @@ def _across(members: DataFrame, label: DataFrame, folder: str, n: int, num: int,
     asking = at.filter("component <> main").withColumn("i", place("outers", 1)).withColumn("j", every("alls")).select(*keep, "i", "j", F.lit(True).alias("asks"))
     asked = at.withColumn("j", place("alls", 2)).withColumn("i", every("outers")).select(*keep, "i", "j", F.lit(False).alias("asks"))
     cells = asking.unionByName(asked.select(*keep, "i", "j", "asks")).select(F.col("main").alias("c1"), F.expr("shiftleft(cast(i as long), 32) + j").alias("c2"), "rid", "component", "asks")
-    out = X.saved(_verified(cells, folder, n, num, den), folder, "links-2")
+    open_ = X.saved(_promising(cells, folder, n, num, den), folder, "open")
+    out = X.saved(_verified(open_, folder, n, num, den), folder, "links-2")
     X.dropped(spark, *(f"{folder}/{x}" for x in ("members", "digests", "shared", "found", "placed")))
     return out
 

@@ -16,7 +16,6 @@ class Config:
     voxel: float = 0.05
     min_depth: float = 0.3
     max_depth: float = 4.0
-    depth_scale: float = 1000.0
     #: segment: storeys and rooms from the cloud; single: one floor, one room.
     mode: str = "segment"
     min_cluster_size: int = 15

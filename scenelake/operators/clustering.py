@@ -193,6 +193,8 @@ def dbscan(points: DataFrame, eps: float, least: int, folder: str, key: str = "p
         label = jump.select("a", "cluster")
         if jump.filter("cluster <> before").isEmpty():
             break
+    else:
+        raise RuntimeError("the clusters did not settle")
     border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
     out = points.select(F.col(key).cast(T.LongType()).alias("a")).join(label, "a", "left").join(border, "a", "left")
     return out.select(F.col("a").alias(key), F.coalesce("cluster", "near").alias("cluster"))

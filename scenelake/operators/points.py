@@ -68,17 +68,19 @@ def boxes(points: DataFrame, by: Sequence[str]) -> DataFrame:
     return points.groupBy(*by).agg(*aggs, F.count("*").alias("n")).withColumns({f"center_{c}": (F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in "xyz"})
 
 
-def from_depth(pixels: DataFrame, frames: DataFrame, low: float, high: float, inclusive: bool = False, scale: float = 1.0) -> DataFrame:
+def from_depth(pixels: DataFrame, frames: DataFrame, low: float, high: float, inclusive: bool = False, scale: float | None = 1.0, keep: Sequence[str] = ()) -> DataFrame:
     """Points of pixels (frame_index, u, v, depth, r, g, b) by their frames' pose and k.
 
     Depths outside the range, bounds excluded or included, give no point;
     colours are divided by 255. The frames' matrices come by an equi-join.
+    scale None: each frame's own depth_scale. keep: pixel columns that the points keep.
     """
-    d = F.col("depth") / scale
+    own = [] if scale is not None else ["depth_scale"]
+    d = F.col("depth") / (F.lit(scale) if scale is not None else F.col("depth_scale"))
     inside = (d >= low) & (d <= high) if inclusive else (d > low) & (d < high)
-    rows = pixels.filter(inside & (F.col("depth") > 0)).join(frames.select("frame_index", "pose", "k"), "frame_index")
+    rows = pixels.filter(F.col("depth") > 0).join(frames.select("frame_index", "pose", "k", *own), "frame_index").filter(inside)
     world = G.transformed(F.col("pose"), G.unprojected(F.col("u"), F.col("v"), d, F.col("k")))
-    return rows.select("frame_index", *(w.alias(c) for w, c in zip(world, "xyz", strict=True)), *((F.col(c) / 255).alias(c) for c in "rgb" if c in pixels.columns))
+    return rows.select("frame_index", *keep, *(w.alias(c) for w, c in zip(world, "xyz", strict=True)), *((F.col(c) / 255).alias(c) for c in "rgb" if c in pixels.columns))
 
 
 def masked_points(pixels: DataFrame, mask: DataFrame, frames: DataFrame, low: float, high: float, scale: float = 1.0) -> DataFrame:

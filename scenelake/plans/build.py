@@ -26,6 +26,7 @@ class Build:
     def __init__(self, spark: SparkSession, config: Config):
         self.spark, self.config = spark, config
         self.load = set(filter(None, config.load.split(",")))
+        self._inclusive = datasets.kind_of(config.dataset) == "scannet"  # that kind's range holds its bounds
 
     def _kept(self, entity: str, make, stage: str, by: tuple[str, ...] = ()) -> DataFrame:
         return sinks.materialize_or_load(self.spark, self.config.folder, entity, make, stage in self.load, by)
@@ -35,7 +36,7 @@ class Build:
         c = self.config
         pixels = datasets.pixels(P.every_kth(frames, c.fuse_every))
         cameras = datasets.camera(frames, pixels)
-        cloud = lambda: P.voxel_means(P.from_depth(pixels, cameras, c.min_depth, c.max_depth, scale=c.depth_scale), c.voxel, values=("x", "y", "z", "r", "g", "b"))
+        cloud = lambda: P.voxel_means(P.from_depth(pixels, cameras, c.min_depth, c.max_depth, self._inclusive, None), c.voxel, values=("x", "y", "z", "r", "g", "b"))
         points = self._kept("points", cloud, "segmentation")
         if c.mode == "single":
             one, room = R.single_floor_room(points)
@@ -59,13 +60,12 @@ class Build:
         pixels = datasets.pixels(chosen)
         size = pixels.groupBy("frame_index").agg(F.max("h").alias("h"), F.max("w").alias("w"))
         boxes = M.not_full_image(found.join(size, "frame_index")).select("room_id", "frame_index", "det", "label", "x1", "y1", "x2", "y2")
-        points = P.from_depth(pixels, datasets.camera(chosen, pixels), c.min_depth, c.max_depth, scale=c.depth_scale)
-        cameras = datasets.camera(chosen, pixels)
-        seen = P.projected(points.withColumnRenamed("frame_index", "_of"), cameras.withColumn("_of", F.col("frame_index")), ["_of"]).filter("inside").drop("_of")
+        # points keep the pixels that they come from
+        seen = P.from_depth(pixels, datasets.camera(chosen, pixels), c.min_depth, c.max_depth, self._inclusive, None, keep=("u", "v"))
         own = seen.join(boxes, "frame_index").filter("u between x1 and x2 and v between y1 and y2")
         thin = P.voxel_means(own.select("room_id", "frame_index", "det", "label", "x", "y", "z"), 0.01, ["room_id", "frame_index", "det", "label"])
         rows = thin.groupBy("room_id", "frame_index", "det", "label").agg(F.collect_list(F.array("x", "y", "z")).alias("xyz"))
-        rows = rows.select("room_id", (F.col("frame_index") * 100_000 + F.col("det")).alias("pos"), F.concat_ws("_", F.lit("obj"), "frame_index", "det").alias("object_id"), "label", "xyz", F.array(F.col("frame_index").cast("int")).alias("frame_indices"))
+        rows = rows.select("room_id", (F.col("frame_index").cast("long") * 100_000 + F.col("det")).alias("pos"), F.concat_ws("_", F.lit("obj"), "frame_index", "det").alias("object_id"), "label", "xyz", F.array(F.col("frame_index").cast("int")).alias("frame_indices"))
         merged = lambda: O.merge(rows, c.merge_threshold, again=c.merge_again_threshold)
         return self._kept("objects", merged, "objects")
 

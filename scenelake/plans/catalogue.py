@@ -12,7 +12,7 @@ import functools
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -388,13 +388,12 @@ def semi_frames_of_object(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(keep, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("""SELECT a.s_suppkey, count(b.s_suppkey) AS neighbours FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey AND b.s_acctbal > 5000 GROUP BY ALL""")
+@query("""SELECT a.c_custkey, array_to_string(list_sort(list(DISTINCT b.c_mktsegment)), ',') AS nearby FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY ALL""")
 def anti_neighbors(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    # all of a room less oneself: no pair is formed
-    w = Window.partitionBy("s_nationkey")
-    rich = F.col("s_acctbal") > 5000
-    return s.withColumn("neighbours", F.count_if(rich).over(w) - rich.cast("int")).filter("neighbours > 0").select("s_suppkey", "neighbours")
+    from .graph import neighbours
+
+    objects = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("room_id"), F.col("c_custkey").alias("object_id"), F.col("c_mktsegment").alias("label"))
+    return neighbours(objects).select(F.col("object_id").alias("c_custkey"), F.array_join("nearby", ",").alias("nearby"))
 
 
 @query("""WITH k AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders), c AS (

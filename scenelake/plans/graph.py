@@ -18,6 +18,19 @@ from ..providers import calls
 from ..sources.work import written
 
 
+def neighbours(objects: DataFrame) -> DataFrame:
+    """room_id, object_id, nearby: sorted labels of the other objects of a room, for rooms of two objects or more.
+
+    A room's labels are counted before they meet its objects; a label is left
+    out where only the object itself has it. So no pair of objects is formed.
+    """
+    o = objects.select("room_id", "object_id", "label")
+    each = o.groupBy("room_id", "label").agg(F.count("*").alias("n"))
+    rooms = each.groupBy("room_id").agg(F.sum("n").alias("_all"), F.collect_list(F.struct("label", "n")).alias("_labels")).filter("_all > 1")
+    others = F.filter("_labels", lambda x: x.label.isNotNull() & (~x.label.eqNullSafe(F.col("label")) | (x.n > 1)))
+    return o.join(rooms, "room_id").select("room_id", "object_id", F.array_sort(F.transform(others, lambda x: x.label)).alias("nearby"))
+
+
 class SceneGraph:
     """floors, rooms, keyframes (room_id, room_pos, frame_index, object_ids, path, labeled_path, description), objects
     (room_id, object_id, label, x, y, z, h), chunks (pos, id, doc_type, floor_id, room_id, content, content_hash) and
@@ -45,9 +58,7 @@ class SceneGraph:
 
     def neighbours(self) -> DataFrame:
         """room_id, object_id, nearby: labels of a room's other objects."""
-        o = self.objects.select("room_id", "object_id", "label")
-        other = o.select("room_id", F.col("object_id").alias("_o"), F.col("label").alias("_l"))
-        return o.join(other, "room_id").filter("object_id <> _o").groupBy("room_id", "object_id").agg(F.array_sort(F.collect_set("_l")).alias("nearby"))
+        return neighbours(self.objects)
 
     def object_keyframes(self, object_frames: DataFrame) -> DataFrame:
         return O.keyframes_of(object_frames, self.keyframes)

@@ -39,7 +39,7 @@ class OfflineProvider(Provider):
         return [hashed(_words(t), self.dimension) for t in texts]
 
     def embed_image(self, images):
-        return [hashed([str(b) for b in bytes(i)[:4096]], self.dimension) for i in images]
+        return [hashed([str(b) for b in bytes(i)], self.dimension) for i in images]
 
     def tag(self, images):
         return [[f"thing{zlib.crc32(bytes(i)) % 97}"] for i in images]

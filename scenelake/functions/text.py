@@ -73,6 +73,7 @@ def joined(values: Column) -> Column:
 
 def object_text(name: Column, object_id: Column, attributes: Column, description: Column, affordances: Column, state: Column, location: Column, relations: Column) -> Column:
     """One sentence of each thing known about an object, with stated defaults."""
+    # fixed values: the labels and fall-back phrases of this text are part of the data format
     title = F.coalesce(given(name), given(object_id), F.lit("object"))
     return F.concat_ws(
         " ",

@@ -417,7 +417,11 @@ def cell_promising(component: np.ndarray, asks: np.ndarray, sketches: list[np.nd
 
 
 def cell_links(rid: np.ndarray, component: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Of documents that ask and documents that are asked: for each that asks, one link to each other component that it is similar to."""
+    """Of documents that ask and documents that are asked: links that join all components of the cell that similar documents join.
+
+    A link between components that earlier links of the cell have joined says
+    nothing new, so there are fewer links than documents, however many are similar.
+    """
     at, ask = np.flatnonzero(~asks), np.flatnonzero(asks)
     if not len(at) or not len(ask):
         return []
@@ -434,13 +438,15 @@ def cell_links(rid: np.ndarray, component: np.ndarray, asks: np.ndarray, sets: l
         return out
     size = np.array([len(sets[k]) for k in at])
     values, of = _inverted([sets[k] for k in at])
+    joined = np.unique(component, return_inverse=True)[1]
     out = []
     for k in ask:
         shared = _overlap(values, of, sets[k], len(at))
-        hit = np.flatnonzero((den * shared >= num * (len(sets[k]) + size - shared)) & (component[at] != component[k]))
+        hit = np.flatnonzero((den * shared >= num * (len(sets[k]) + size - shared)) & (joined[at] != joined[k]))
         if len(hit):
-            _, first = np.unique(component[at[hit]], return_index=True)
+            other, first = np.unique(joined[at[hit]], return_index=True)
             out += [(int(rid[at[x]]), int(rid[k])) for x in hit[first]]
+            joined[np.isin(joined, other)] = joined[k]
     return out
 
 

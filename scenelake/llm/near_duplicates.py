@@ -163,14 +163,28 @@ _MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa
 MESSAGE = "block long, bucket int, blob binary"
 
 
-def _scan(folder: str, shingle: int, n: int, limit: int):
-    """Writes the blocks' files; sends each bucket the distinct values and classes. Bucket -1 names each block."""
+def _put_rows(name: str, rows: pa.Table) -> None:
+    with shared_files.written(name) as out, pa.ipc.new_file(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(rows)
+
+
+def _got_rows(name: str) -> pa.Table:
+    system, path = shared_files.opened(name)
+    with system.open_input_file(path) as f:
+        return pa.ipc.open_file(f).read_all()
+
+
+def _scan(folder: str, shingle: int, n: int, limit: int, rows_at: str | None):
+    """Writes the blocks' files, and their rows if asked for; sends each bucket the distinct values and classes. Bucket -1 names each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
         for _, table in X.blocks(batches, limit):
             for first in range(0, table.num_rows, BLOCK_DOCS):
-                block = Block.made(folder, number, table.slice(first, BLOCK_DOCS), shingle)
+                part = table.slice(first, BLOCK_DOCS)
+                if rows_at:
+                    _put_rows(f"{rows_at}/{number}", part.select(["text", "row"]))
+                block = Block.made(folder, number, part, shingle)
                 block.write()
                 values, times, dealt = block.dealt(n)
                 rows = [{"block": number, "bucket": -1, "blob": None}]
@@ -541,21 +555,23 @@ def _across(members: DataFrame, label: DataFrame, folder: str, n: int, num: int,
     return out
 
 
-def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, folder: str | None = None) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, folder: str | None = None, rows_at: str | None = None) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), n_shingles, class_id (smallest doc_id of equal sets) and component_id of each row.
 
     Sets are linked where den * intersection >= num * union; num / den is at
     least 0.8, which the sketches' bounds rest on. The result is read from files
-    in the folder, a new one of the shared folder if not given.
+    in the folder, a new one of the shared folder if not given. With rows_at, the
+    blocks' texts and other columns are put there, and block and at say where.
     """
     if 5 * num < 4 * den:
         raise ValueError("the threshold must be 0.8 or more")
     spark = docs.sparkSession
     folder = folder or X.workdir(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    row = [F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")] if rows_at else []
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"), *row)
     n = X.deal(spark, X.input_bytes(docs), BUCKET_BYTES)
     shared_files.folder(f"{folder}/sets")
-    sent = X.saved(docs.mapInArrow(X.tidy(_scan(folder, shingle, n, BLOCK_BYTES)), MESSAGE), folder, "messages")
+    sent = X.saved(docs.mapInArrow(X.tidy(_scan(folder, shingle, n, BLOCK_BYTES, rows_at)), MESSAGE), folder, "messages")
     counts = X.answered(sent.filter("bucket >= 0"), _counted, MESSAGE)
     posted = X.saved(counts.repartition(n, "block").groupBy("block").applyInArrow(_postings(folder, n, num, den, LIST), POSTED), folder, "postings")
     listed = X.saved(X.answered(posted.filter("kind = 0").select("block", "bucket", "blob"), _lists(num, den, FOLLOWERS), LISTED), folder, "lists")
@@ -586,21 +602,36 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, fol
         at = pa.array(place - 1, mask=place == 0)
         own = [pa.compute.if_else(at.is_null(), ids, table.column(x).combine_chunks().take(at)) for x in ("doc", "id")]
         size = np.append(0, block.size)[place]
-        return pa.table({"doc_id": ids, "text_hash": pa.array(block.head["text_hash"]), "n_shingles": pa.array(size), "class_id": own[0], "component_id": own[1]})
+        out = {"doc_id": ids, "text_hash": pa.array(block.head["text_hash"]), "n_shingles": pa.array(size), "class_id": own[0], "component_id": own[1]}
+        if rows_at:
+            out |= {"block": pa.array(np.full(len(size), block.number)), "at": pa.array(np.arange(len(size)))}
+        return pa.table(out)
 
-    return whole.repartition(n, "block").groupBy("block").applyInArrow(result, "doc_id long, text_hash long, n_shingles long, class_id long, component_id long")
+    schema = "doc_id long, text_hash long, n_shingles long, class_id long, component_id long" + (", block long, at long" if rows_at else "")
+    return whole.repartition(n, "block").groupBy("block").applyInArrow(result, schema)
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents, with all their columns, of which no near copy has a smaller doc_id.
 
     Rows that repeat a doc_id are told apart by their texts; a row without a
-    doc_id goes if a near copy has one.
+    doc_id goes if a near copy has one. The result is read from the blocks' rows
+    in the shared folder: only places in blocks are shuffled, never texts.
     """
     spark = docs.sparkSession
     folder = X.workdir(spark)
-    gone = groups(docs, shingle, folder=f"{folder}/groups").filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    gone = X.saved(gone, folder, "gone")
+    n = X.deal(spark, X.input_bytes(docs), BUCKET_BYTES)
+    rows_at, names = f"{folder}/rows", docs.columns
+    found = groups(docs, shingle, folder=f"{folder}/groups", rows_at=rows_at).filter("doc_id <=> component_id")
+    kept = X.saved(found.groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("at")), folder, "kept")  # at most BLOCK_DOCS a block
     X.dropped(spark, f"{folder}/groups")
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
-    return docs.join(gone, same, "left_anti")
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, at in zip(batch.column("block").to_pylist(), batch.column("at"), strict=True):
+                rows = _got_rows(f"{rows_at}/{block}").take(at.values)
+                others = iter(rows.column("row").combine_chunks().flatten())
+                columns = [rows.column("text").combine_chunks() if c == "text" else next(others) for c in names]
+                yield from pa.table(columns, names).to_batches(2000)
+
+    return kept.repartition(n, "block").mapInArrow(X.tidy(left), docs.schema)

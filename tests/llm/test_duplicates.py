@@ -169,10 +169,26 @@ def test_near_copies_of_odd_rows(spark):
     assert near_duplicates.groups(df.limit(0), 2).count() == 0
     left = near_duplicates.without_near_copies(df, 2)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.filter("doc_id is not null").collect()) == [5, 5, 6, 7, 8]
+    clash = df.select("lang", *(F.lit(k).alias(c) for k, c in enumerate(("row", "block", "at", "component_id", "text_hash"))), "text", "doc_id", F.lit(None).cast("string").alias("none"))
+    rows = near_duplicates.without_near_copies(clash, 2)
+    assert rows.columns == clash.columns and rows.schema.simpleString() == clash.schema.simpleString()
+    assert Counter((r.doc_id, r.text, r.lang, r.row, r.block, r["at"], r.component_id, r.text_hash, r.none) for r in rows.collect()) == Counter({(i, t, "en", 0, 1, 2, 3, 4, None): n for i, t, n in [(5, "a b c", 2), (6, None, 1), (7, "", 1), (8, None, 1)]})
+    assert near_duplicates.without_near_copies(clash.limit(0), 2).count() == 0
     with pytest.raises(ValueError):
         near_duplicates.groups(df, 2, 70, 100)
 
 
+def test_cell_links_join_what_is_similar():
+    """A star of dissimilar neighbours and a group of similar ones: fewer links than documents, the same components."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(1000, 100, False)).astype("<u8") for _ in range(3)]
+    sets += [np.sort(np.append(np.delete(sets[0], k), 2000 + k)).astype("<u8") for k in range(40)]
+    n = len(sets)
+    rid, asks = np.tile(np.arange(n), 2), np.repeat([True, False], n)
+    links = near_duplicates.cell_links(rid, rid, asks, sets * 2, 80, 100)
+    assert len(links) == 40 and {x for link in links for x in link} == {0, *range(3, n)}
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     a, b = (np.unique(rng.integers(0, 150, 100).astype("<u8")) for _ in range(2))

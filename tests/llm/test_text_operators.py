@@ -268,11 +268,11 @@ def test_classifier_learns_and_scores(spark, docs, empty):
     assert classifier.fit(df.drop("quality"), labels.limit(0)).bias == 0
 
 
-@pytest.mark.parametrize("most", [0, 2, 7])
-def test_katz_model(spark, docs, empty, most):
+@pytest.mark.parametrize(("most", "size"), [(0, 1 << 15), (2, 4), (7, 1 << 15)])
+def test_katz_model(spark, docs, empty, most, size):
     rows = docs.filter("doc_id is not null and doc_id <> 7")
     train = F.pmod("doc_id", F.lit(8)) >= most
-    got = {r.doc_id: r for r in language_model.scores(rows, train).collect()}
+    got = {r.doc_id: r for r in language_model.scores(rows, train, size).collect()}
     low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), "\n"] for i, t in pairs(rows)}
     learned = [i for i in tokens if i % 8 >= most]
@@ -296,8 +296,22 @@ def test_katz_model(spark, docs, empty, most):
         whole[h] = history[h] + (0 if rest > 1e-12 else 1)
         back[h] = (rest if rest > 1e-12 else 1) / whole[h] / (1 - sum(p1(w) for w, _ in l))
         assert sum(cut(d2, c) for _, c in l) / whole[h] + back[h] * (1 - sum(p1(w) for w, _ in l)) == pytest.approx(1)
+    p2 = lambda h, w: cut(d2, two[h, w]) / whole[h] if two[h, w] else back.get(h, 1) * p1(w)
+    three, follow = Counter(x for i in learned for x in zip([" ", *tokens[i]], tokens[i], tokens[i][1:], strict=False)), defaultdict(list)
+    for (u, v, w), c in three.items():
+        follow[u, v].append((w, c))
+    d3 = language_model.discounts(np.array([0, *(sum(c == r for c in three.values()) for r in range(1, 7))]))
+    back3, whole3 = {}, {}
+    for h, l in follow.items():
+        rest = sum(c - cut(d3, c) for _, c in l)
+        whole3[h] = two[h] + (0 if rest > 1e-12 else 1)
+        back3[h] = (rest if rest > 1e-12 else 1) / whole3[h] / (1 - sum(p2(h[1], w) for w, _ in l))
+        assert two[h] == sum(c for _, c in l)
+        assert sum(cut(d3, three[(*h, w)]) / whole3[h] if three[(*h, w)] else back3[h] * p2(h[1], w) for w in one) + back3[h] * back[h[1]] * unknown == pytest.approx(1)
+    p3 = lambda u, v, w: cut(d3, three[u, v, w]) / whole3[u, v] if three[u, v, w] else back3.get((u, v), 1) * p2(v, w)
+    assert most == 7 or any(three[x] > 5 for x in three)
     for i, t in tokens.items():
-        score = sum(math.log10(cut(d2, two[h, w]) / whole[h] if two[h, w] else back.get(h, 1) * p1(w)) for h, w in zip([" ", *t], t, strict=False))
+        score = math.log10(p2(" ", t[0])) + sum(math.log10(p3(*x)) for x in zip([" ", *t], t, t[1:], strict=False))
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(one[w] > 0 for w in t), total, i % 8 < most)
         assert r.score == pytest.approx(score, rel=1e-6) and r.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (total + many + 1)) for w in t), rel=1e-9, abs=1e-9)

@@ -368,22 +368,27 @@ def scores(docs: DataFrame, train: Column, history: int = HISTORY) -> DataFrame:
     sent = X.exchanged(docs, _hold(folder, n, BLOCK_BYTES), folder)
     first = X.saved(X.answered(sent.filter("bucket >= 0"), _count_words(n), ANSWERS), folder, "words")
     words = Words(_stats(first, MOST + 3))
+    # tables that nothing reads any more go, as the later ones are large
+    names = X.saved(sent.filter("bucket = -1"), folder, "names")
+    X.dropped(spark, f"{folder}/messages")
     cells = ["kind", "block", "bucket", "blob"]
 
     def pairs(number: int, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         yield X.messages(number, _Block(folder, number, n, history, answers).pairs())
 
-    second = X.saved(X.answered(X.by_block(sent, first.filter("kind = 0"), n, pairs, X.MESSAGE), _count_pairs(n, words), ANSWERS), folder, "pairs")
+    second = X.saved(X.answered(X.by_block(names, first.filter("kind = 0"), n, pairs, X.MESSAGE), _count_pairs(n, words), ANSWERS), folder, "pairs_counted")
     _swept(spark)
     d = discounts(np.append(0, _stats(second, MOST + 1)))
 
     def triples(number: int, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         yield X.messages(number, _Block(folder, number, n, history).with_triples(folder, number, answers).triples(number))
 
-    third = X.saved(X.answered(X.by_block(sent, second.filter("kind = 0"), n, triples, X.MESSAGE), _count_triples(n, d), ANSWERS), folder, "triples")
+    third = X.saved(X.answered(X.by_block(names, second.filter("kind = 0"), n, triples, X.MESSAGE), _count_triples(n, d), ANSWERS), folder, "triples")
+    sums = X.saved(second.filter("kind = 1"), folder, "sums")
+    X.dropped(spark, f"{folder}/pairs_counted")
     _swept(spark)
     d3 = discounts(np.append(0, _stats(third, MOST + 1)))
-    asked = first.filter("kind = 0").select(*cells).unionByName(second.filter("kind = 1").select(*cells))
+    asked = first.filter("kind = 0").select(*cells).unionByName(sums.select(*cells))
     word_weights = X.answered(asked, _weigh(d), X.MESSAGE).withColumn("bucket", F.col("bucket") + n)
     pair_weights = X.answered(third.filter("kind in (1, 2)").select(*cells), _weigh_pairs(d3), X.MESSAGE).withColumn("bucket", F.col("bucket") + 2 * n)
 
@@ -428,4 +433,4 @@ def scores(docs: DataFrame, train: Column, history: int = HISTORY) -> DataFrame:
         yield pa.RecordBatch.from_arrays([bpe.doc_ids_of(block.doc_ids), pa.array(~block.train), pa.array(block.counts + 1), pa.array(known), pa.array(np.full(len(heads), words.total)), pa.array(np.add.reduceat(base, heads)), pa.array(np.add.reduceat(p, heads))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     answers = third.filter("kind = 0").select("block", "bucket", "blob").unionByName(word_weights).unionByName(pair_weights)
-    return X.by_block(sent, answers, n, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return X.by_block(names, answers, n, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -100,7 +100,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op6_language_model, op7_decontaminate, op8_quality_rules, op9_near_duplicates, op10_warc)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.divergences(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op6_language_model, op7_decontaminate, op8_quality_rules, op9_near_duplicates, op10_warc, op13_divergence)}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
 SQL: dict[str, str] = {
     "op7_decontaminate": f"""
@@ -115,6 +121,24 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
           sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        occ AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM occ GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+        held AS (SELECT lang, source, term, count(*) AS n FROM occ JOIN (SELECT lang, term FROM kept) USING (lang, term) GROUP BY ALL),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        grp AS (SELECT lang, source, coalesce(max(v), 0) AS v, coalesce(sum(n), 0) AS total
+          FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN held USING (lang, source) LEFT JOIN langs USING (lang) GROUP BY ALL),
+        share AS (SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+            1 + (1000000000 * (coalesce(h.n, 0) + 5)::HUGEINT) // (g.total + 5 * g.v) AS p, 1 + (1000000000 * (k.n + 5)::HUGEINT) // (l.total + 5 * l.v) AS q
+          FROM grp g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+        far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM share a JOIN share b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+          FROM (FROM pair UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM share WHERE n > 0 AND p > q))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)

@@ -100,13 +100,24 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+#: Rules of op11: action, host, path.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_rules
+
+    got = url_rules.judged(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), [url_rules.Rule(*x) for x in URL_RULES])
+    return got.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import divergence
 
     return divergence.divergences(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op6_language_model, op7_decontaminate, op8_quality_rules, op9_near_duplicates, op10_warc, op13_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op6_language_model, op7_decontaminate, op8_quality_rules, op9_near_duplicates, op10_warc, op11_urls, op13_divergence)}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
 SQL: dict[str, str] = {
     "op7_decontaminate": f"""
@@ -148,3 +159,42 @@ SQL: dict[str, str] = {
           CASE WHEN page_id > first THEN first END AS refers_to
         FROM d""",
 }
+
+
+def _share(part: str, whole: str, mass: str) -> str:
+    return f"({mass} // {whole}) * {part} + (({mass} % {whole}) * {part}) // {whole}"
+
+
+def _urls_sql(rounds: int = 20) -> str:
+    """The rounds of op11 are written out, as a recursive query may not sum."""
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    link = r"""[hH][rR][eE][fF][\x20\x09-\x0D]*=[\x20\x09-\x0D]*["'']?[\x20\x09-\x0D]*(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"''<>\x20\x09-\x0D]+)"""
+    rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+    steps = "".join(
+        f"""
+        m{k} AS (SELECT dst AS host, kind, CAST(sum({_share('w.n', 'whole', '(mass // 100 * 85)')}) AS BIGINT) AS mass FROM m{k - 1} JOIN ways w USING (host, kind) GROUP BY ALL),"""
+        for k in range(1, rounds + 1)
+    )
+    return f"""
+        WITH p AS (SELECT row_number() OVER () AS id, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+        u AS (SELECT id, page_id, html, coalesce(translate(regexp_extract(rest, '\\A([^/?#]*)', 1), {lower}), '') AS host, coalesce(regexp_extract(rest, '\\A[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+        rules AS (SELECT * FROM (VALUES {rules}) t(action, rh, rp)),
+        fits AS (SELECT id, arg_max(action, length(rh || rp)) AS action, arg_max(rh || rp, length(rh || rp)) AS rule
+          FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY id),
+        hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (action = 'allow') * 1000 // count(*) AS trust, count(*) FILTER (action = 'block') * 1000 // count(*) AS distrust
+          FROM u LEFT JOIN fits USING (id) WHERE host <> '' GROUP BY host),
+        edges AS (SELECT src, dst, count(*) AS n FROM (SELECT DISTINCT id, host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {lower}) AS dst FROM u) WHERE src <> '' AND src <> dst GROUP BY ALL),
+        ways AS (SELECT *, CAST(sum(n) OVER (PARTITION BY host, kind) AS BIGINT) AS whole
+          FROM (SELECT src AS host, dst, 'trust' AS kind, n FROM edges UNION ALL SELECT dst, src, 'distrust', n FROM edges)),
+        seeds AS (SELECT host, 'trust' AS kind, trust AS seed FROM hosts UNION ALL SELECT host, 'distrust', distrust FROM hosts),
+        m0 AS (SELECT host, kind, {_share('seed', 'CAST(total AS BIGINT)', '100000000000000000')} AS mass FROM seeds JOIN (SELECT kind, sum(seed) AS total FROM seeds GROUP BY kind HAVING sum(seed) > 0) USING (kind)),{steps}
+        mass AS (SELECT host, CAST(coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS BIGINT) AS distrust
+          FROM ({' UNION ALL '.join(f'FROM m{k}' for k in range(rounds + 1))}) GROUP BY host),
+        known AS (SELECT host, coalesce(m.trust, 0) AS trust, coalesce(m.distrust, 0) AS distrust FROM hosts LEFT JOIN mass m USING (host)),
+        mean AS (SELECT coalesce(sum(distrust), 0) // greatest(count(*), 1) AS mean FROM known)
+        SELECT page_id, u.host, path, rule, coalesce(action, CASE WHEN distrust > trust AND distrust >= mean THEN 'block' ELSE 'allow' END) AS verdict,
+          coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+        FROM u LEFT JOIN fits USING (id) LEFT JOIN known ON known.host = u.host CROSS JOIN mean"""
+
+
+SQL["op11_urls"] = _urls_sql()

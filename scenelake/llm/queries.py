@@ -111,13 +111,19 @@ def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op12_leaderboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import leaderboards
+
+    return leaderboards.feed(*(_read(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import divergence
 
     return divergence.divergences(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op6_language_model, op7_decontaminate, op8_quality_rules, op9_near_duplicates, op10_warc, op11_urls, op13_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_token_files, op5_repeats, op6_language_model, op7_decontaminate, op8_quality_rules, op9_near_duplicates, op10_warc, op11_urls, op12_leaderboards, op13_divergence)}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
 SQL: dict[str, str] = {
     "op7_decontaminate": f"""
@@ -132,6 +138,28 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
           sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op12_leaderboards": """
+        WITH t AS (SELECT *, concat(CAST(sale_id AS VARCHAR), ',', CAST(item_id AS VARCHAR), ',', CAST(vendor_id AS VARCHAR), ',', CAST(line_no AS VARCHAR)) AS key FROM sale_lines),
+        -- crc32 bit by bit: the next byte is added at each eighth step
+        c AS (SELECT *, xor(list_reduce(range(CAST(8 * length(key) AS BIGINT)),
+            lambda a, i: xor(xor(a, CASE WHEN i % 8 = 0 THEN ascii(key[i // 8 + 1]) ELSE 0 END) >> 1, 3988292384 * (xor(a, CASE WHEN i % 8 = 0 THEN ascii(key[i // 8 + 1]) ELSE 0 END) & 1)), 4294967295), 4294967295) AS h FROM t),
+        d AS (SELECT *, coalesce(date_diff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)), 19723 + h % 150) AS s FROM c),
+        a AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS arrival_day FROM d),
+        b AS (SELECT *, CAST(greatest(1, least(12, 1 + floor((arrival_day - 19723) * 12 / 180.0))) AS INTEGER) AS batch FROM a),
+        seen AS (SELECT batch, max(max(s)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM b GROUP BY batch),
+        kept AS (SELECT nation_id, b.item_id, batch, arrival_day,
+            CASE WHEN flag = 'returned' THEN -1.0 ELSE 1.0 END::DOUBLE * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0) AS cents
+          FROM b JOIN seen USING (batch) JOIN items i ON i.item_id = b.item_id JOIN vendors v ON v.vendor_id = b.vendor_id
+          WHERE nation_id IS NOT NULL AND (latest IS NULL OR s + 8 >= latest)),
+        steps AS (SELECT nation_id, item_id, arrival_day, sum(sum(cents)) OVER (PARTITION BY nation_id, item_id ORDER BY arrival_day) AS cents FROM kept GROUP BY nation_id, item_id, arrival_day),
+        days AS (SELECT nation_id, arrival_day, batch, row_number() OVER (PARTITION BY nation_id ORDER BY arrival_day) AS k FROM (SELECT DISTINCT nation_id, arrival_day, batch FROM kept)),
+        spans AS (SELECT nation_id, item_id, k AS since, lead(k) OVER (PARTITION BY nation_id, item_id ORDER BY k) AS until, cents FROM steps JOIN days USING (nation_id, arrival_day)),
+        daily AS (SELECT d.nation_id, d.k, item_id, cents FROM days d JOIN spans s ON s.nation_id = d.nation_id AND d.k >= since AND (until IS NULL OR d.k < until)),
+        board AS (SELECT nation_id, k, item_id, CAST(row_number() OVER (PARTITION BY nation_id, k ORDER BY cents DESC, item_id) AS INTEGER) AS place FROM daily WHERE cents > 0 QUALIFY place <= 10),
+        diff AS (SELECT coalesce(n.nation_id, o.nation_id) AS nation_id, coalesce(n.k, o.k + 1) AS k, coalesce(n.item_id, o.item_id) AS item_id, o.place AS old_rank, n.place AS new_rank
+          FROM board n FULL JOIN board o ON n.nation_id = o.nation_id AND n.k = o.k + 1 AND n.item_id = o.item_id WHERE n.place IS DISTINCT FROM o.place)
+        SELECT nation_id, arrival_day, item_id, batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change, old_rank, new_rank, CAST(cents AS BIGINT) AS revenue
+        FROM diff JOIN days USING (nation_id, k) JOIN daily USING (nation_id, k, item_id)""",
     "op13_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -18,8 +18,6 @@ from . import exchange as X
 
 #: Batches of the feed, days that they divide, the first of them (1 January 2024, in days since 1970), places of a board, days that a line may be late.
 BATCHES, DAYS, FIRST_DAY, PLACES, LATE = 12, 180, 19723, 10, 8
-#: State outside the heap, as it has a row for each nation and item.
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEY = ["nation_id", "item_id"]
 _LINE = "batch int, day long, arrival_day long, nation_id int, item_id long, cents double"
 
@@ -142,7 +140,9 @@ def feed(lines: DataFrame, items: DataFrame, vendors: DataFrame) -> DataFrame:
 
     Every call has its own folder and stream. Per batch, state is read once and
     cut by a bound of its nation; what is left, a few items a nation, is put in
-    order. A day's board is never collected.
+    order. A day's board is never collected. State has a row for each nation and
+    item in the session's store (spark.sql.streaming.stateStore.providerClass):
+    where that doesn't fit the executors' heap, name RocksDB's provider there.
     """
     spark = lines.sparkSession
     folder = X.workdir(spark)
@@ -150,28 +150,22 @@ def feed(lines: DataFrame, items: DataFrame, vendors: DataFrame) -> DataFrame:
     latest = dict(written.groupBy("batch").agg(F.max("day")).collect())  # a row a batch
     schema = "nation_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
     after, done = None, []
-    store = "spark.sql.streaming.stateStore.providerClass"
-    earlier = spark.conf.get(store)
-    spark.conf.set(store, STORE)
-    try:
-        for batch in sorted(latest):
-            path, limit = f"{folder}/feed/batch={batch}", after
-            _moved(spark, f"{folder}/lines/batch={batch}", path)
-
-            def step(sums: DataFrame, epoch: int, batch: int = batch, path: str = path, limit: int | None = limit) -> None:
-                work = f"{folder}/steps/{epoch}-{uuid.uuid4().hex}"
-                own = _kept(spark.read.schema(_LINE.partition(", ")[2]).parquet(path), limit)
-                closing = spark.read.schema(sums.schema).parquet(_put(sums, f"{work}/closing"))
-                _changes(folder, work, batch, epoch, closing, own).write.mode("overwrite").parquet(f"{folder}/changes/{epoch}")
-                X.dropped(spark, work)
-                done.append(epoch)
-
-            stream = _kept(spark.readStream.schema(_LINE).parquet(f"{folder}/feed"), limit)
-            query = _closing(stream).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(step).start()
-            query.awaitTermination()
-            after = max(x for x in (after, latest[batch]) if x is not None)
-    finally:
-        spark.conf.set(store, earlier)
+    for batch in sorted(latest):
+        path, limit = f"{folder}/feed/batch={batch}", after
+        _moved(spark, f"{folder}/lines/batch={batch}", path)
+
+        def step(sums: DataFrame, epoch: int, batch: int = batch, path: str = path, limit: int | None = limit) -> None:
+            work = f"{folder}/steps/{epoch}-{uuid.uuid4().hex}"
+            own = _kept(spark.read.schema(_LINE.partition(", ")[2]).parquet(path), limit)
+            closing = spark.read.schema(sums.schema).parquet(_put(sums, f"{work}/closing"))
+            _changes(folder, work, batch, epoch, closing, own).write.mode("overwrite").parquet(f"{folder}/changes/{epoch}")
+            X.dropped(spark, work)
+            done.append(epoch)
+
+        stream = _kept(spark.readStream.schema(_LINE).parquet(f"{folder}/feed"), limit)
+        query = _closing(stream).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(step).start()
+        query.awaitTermination()
+        after = max(x for x in (after, latest[batch]) if x is not None)
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*(f"{folder}/changes/{epoch}" for epoch in sorted(set(done))))

@@ -3,8 +3,8 @@
 The stream keeps revenue by nation and item and is fed batch by batch. After
 each batch, opening revenues are the stream's sums less the batch's own; days
 inside the batch are rebuilt from them. What the batch doesn't touch comes from
-the state store, and only what can reach a board: a bound from below on the
-tenth place of every day leaves a few items a nation.
+the state store, and only what can reach a board: bounds from below on the
+tenth place of each day leave a few items a nation and day.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ def dated(lines: DataFrame) -> DataFrame:
 def cut(lines: DataFrame, items: DataFrame, vendors: DataFrame, folder: str) -> DataFrame:
     """Lines with their nation and cents, written in one folder a batch; a line that no item or nation takes has no nation_id.
 
-    Lines meet items and vendors in plain joins, whose skewed partitions are split at run time.
+    Lines meet items and vendors in plain joins, whose skewed partitions are split at run time;
+    the pieces are written together, so that a batch has few files.
     Of repeated item_ids the least price counts, of repeated vendor_ids the least nation_id.
     """
     prices = items.filter("item_id is not null").groupBy("item_id").agg(F.min("price").alias("price")).withColumn("known", F.lit(True))
@@ -52,7 +53,8 @@ def cut(lines: DataFrame, items: DataFrame, vendors: DataFrame, folder: str) ->
     met = own.join(prices, "item_id", "left").join(nations, "vendor_id", "left")
     cents = F.col("sign") * F.coalesce("cents", F.col("quantity") * whole("price"), F.lit(0.0))
     nation = F.when(F.col("known"), F.col("nation_id")).alias("nation_id")
-    met.select("batch", "day", "arrival_day", nation, "item_id", cents.alias("cents")).write.partitionBy("batch").parquet(f"{folder}/lines")
+    tasks = X.deal(lines.sparkSession, X.input_bytes(lines), 128 << 20)
+    met.select("batch", "day", "arrival_day", nation, "item_id", cents.alias("cents")).coalesce(tasks).write.partitionBy("batch").parquet(f"{folder}/lines")
     return lines.sparkSession.read.schema(_LINE).parquet(f"{folder}/lines")
 
 
@@ -66,9 +68,46 @@ def _closing(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*_KEY).agg(F.sum("cents").alias("cents"))
 
 
-def _place(value: str) -> Column:
-    """Places by revenue; the limit on them, where a filter follows, is applied before rows move."""
-    return F.row_number().over(Window.partitionBy("nation_id").orderBy(F.desc(value), "item_id"))
+def _top(*by: str, of: str, n: int) -> tuple[Column, Column]:
+    """The place in descending order, ties to the smaller item, and whether it is among n: a filter by that is applied before rows move."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(of), "item_id"))
+    return place, F.col("place") <= n
+
+
+def _spans(lines: DataFrame, closing: DataFrame) -> DataFrame:
+    """Of what a batch touches, revenue from a day (null: the batch's start) until the next change, and on the first row the least of the batch.
+
+    Opening revenue is the closing one less the batch's sum.
+    """
+    own, days = Window.partitionBy(*_KEY), Window.partitionBy(*_KEY).orderBy("arrival_day")  # an item's days in a batch
+    run = lines.groupBy(*_KEY, "arrival_day").agg(F.sum("cents").alias("delta"))
+    run = run.select(*_KEY, "arrival_day", F.sum("delta").over(days).alias("run"), F.sum("delta").over(own).alias("all"), F.lead("arrival_day").over(days).alias("until"), F.row_number().over(days).alias("k"))
+    run = run.join(closing, _KEY).withColumn("opening", F.col("cents") - F.col("all"))
+    low = F.least("opening", F.min(F.col("opening") + F.col("run")).over(own))
+    row = lambda since, until, cents, low: F.struct(since.alias("since"), until.alias("until"), cents.alias("cents"), low.alias("low"))
+    after = row(F.col("arrival_day"), F.col("until"), F.col("opening") + F.col("run"), F.lit(None).cast("double"))
+    before = row(F.lit(None).cast("long"), F.col("arrival_day"), F.col("opening"), F.col("low"))
+    return run.withColumn("low", low).select(*_KEY, F.inline(F.when(F.col("k") == 1, F.array(before, after)).otherwise(F.array(after))))
+
+
+def _bounds(spans: DataFrame, before: DataFrame) -> DataFrame:
+    """Of each nation that the batch touches, its days in order, each with a revenue that the tenth place can't be below, and the least of these.
+
+    Ten items keep the least revenue that they have in the batch, and ten that
+    change on a day have what they then have, so either tenth is a bound.
+    """
+    reach = spans.filter("since is null").select(*_KEY, "low")
+    moved = F.broadcast(reach.join(before.select(*_KEY), _KEY).select(*_KEY))  # no more than the board before has: ten a nation
+    still = before.join(moved, _KEY, "left_anti").select(*_KEY, F.col("cents").alias("low"))
+    place, top = _top("nation_id", of="low", n=PLACES)
+    lows = reach.unionByName(still).withColumn("place", place).filter(top)
+    least = lows.groupBy("nation_id").agg(F.coalesce(F.max(F.when((F.col("place") == PLACES) & (F.col("low") > 0), F.col("low"))), F.lit(0.0)).alias("least"))
+    place, top = _top("nation_id", "since", of="cents", n=PLACES)
+    days = spans.filter("since is not null").withColumn("place", place).filter(top).groupBy("nation_id", "since")
+    days = days.agg(F.coalesce(F.max(F.when((F.col("place") == PLACES) & (F.col("cents") > 0), F.col("cents"))), F.lit(0.0)).alias("bound"))
+    days = days.groupBy("nation_id").agg(F.sort_array(F.collect_list(F.struct(F.col("since").alias("day"), "bound"))).alias("days")).join(least, "nation_id")  # a batch's days
+    days = days.select("nation_id", F.transform("days", lambda d: F.struct(d["day"].alias("day"), F.greatest(d["bound"], F.col("least")).alias("bound"))).alias("days"))
+    return days.withColumn("bound", F.array_min(F.transform("days", lambda d: d["bound"])))
 
 
 def _board(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
@@ -77,51 +116,49 @@ def _board(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/boards/{epoch}") if epoch >= 0 else spark.createDataFrame([], schema)
 
 
+def _state(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
+    """nation_id, item_id and cents in the stream's state after a batch; empty before the first."""
+    if epoch < 0:
+        return spark.createDataFrame([], "nation_id int, item_id long, cents double")
+    state = spark.read.format("statestore").option("batchId", epoch).load(f"{folder}/checkpoint")
+    (name,) = state.schema["value"].dataType.names
+    return state.select("key.nation_id", "key.item_id", F.col("value")[name].alias("cents"))
+
+
 def _changes(folder: str, work: str, batch: int, epoch: int, closing: DataFrame, lines: DataFrame) -> DataFrame:
     """Changes of the boards on the days of one batch; writes the boards at its end.
 
     closing: revenue of what the batch touched, after it; lines: what counts in the batch; work: for tables of this step.
     """
     spark = lines.sparkSession
-    moved = X.saved(lines.groupBy(*_KEY, "arrival_day").agg(F.sum("cents").alias("delta")), work, "deltas")
-    days = Window.partitionBy(*_KEY).orderBy("arrival_day")  # an item's days in a batch
-    whole = Window.partitionBy(*_KEY)
-    run = moved.withColumns({"run": F.sum("delta").over(days), "delta": F.sum("delta").over(whole)}).join(closing, _KEY)
-    touched = X.saved(run.select(*_KEY, "arrival_day", (F.col("cents") - F.col("delta")).alias("opening"), (F.col("cents") - F.col("delta") + F.col("run")).alias("cents")), work, "touched")
-
-    reach = touched.groupBy(*_KEY).agg(F.first("opening").alias("opening"), F.min("cents").alias("low"), F.max("cents").alias("high"))
-    reach = reach.select(*_KEY, "opening", F.least("opening", "low").alias("low"), F.greatest("opening", "high").alias("high"))
     before = _board(spark, folder, epoch - 1)
-    still = before.join(reach, _KEY, "left_anti").select(*_KEY, F.col("cents").alias("low"))
-    lows = reach.select(*_KEY, "low").unionByName(still).filter("low > 0").withColumn("place", _place("low")).filter(F.col("place") <= PLACES)
-    # ten items never fall below this, so nothing below it is ever on the board
-    bound = lows.groupBy("nation_id").agg(F.min(F.when(F.col("place") == PLACES, F.col("low"))).alias("bound"))
-    bounds = X.saved(reach.select("nation_id").distinct().join(bound, "nation_id", "left").select("nation_id", F.coalesce("bound", F.lit(0.0)).alias("bound")), work, "bounds")
-
-    near = reach.filter("high > 0").join(bounds, "nation_id").filter("high >= bound").select(*_KEY, "opening")
-    if epoch > 0:
-        state = spark.read.format("statestore").option("batchId", epoch - 1).load(f"{folder}/checkpoint")
-        sums = state.select(F.col("key.nation_id").alias("nation_id"), F.col("key.item_id").alias("item_id"), F.col("value")[state.schema["value"].dataType.names[0]].alias("opening"))
-        rest = sums.filter("opening > 0").join(bounds, "nation_id").filter("opening >= bound").select(*_KEY, "opening").join(reach, _KEY, "left_anti")
-        near = near.unionByName(rest)
-    near = X.saved(near, work, "near")
-
-    values = touched.join(near.select(*_KEY), _KEY).select(*_KEY, "arrival_day", "cents")
-    grid = near.join(values.select("nation_id", "arrival_day").distinct(), "nation_id").join(values, [*_KEY, "arrival_day"], "left")
-    grid = grid.select(*_KEY, "arrival_day", F.coalesce(F.last("cents", True).over(days), "opening").alias("cents"))
-    grid = grid.unionByName(near.select(*_KEY, F.lit(None).cast("long").alias("arrival_day"), F.col("opening").alias("cents")))  # the board before
-    order = Window.partitionBy("nation_id", "arrival_day").orderBy(F.desc(F.when(F.col("cents") > 0, F.col("cents"))), "item_id")
-    place = F.row_number().over(order)
-    grid = grid.withColumn("place", F.when((F.col("cents") > 0) & (place <= PLACES), place))
-    grid = X.saved(grid.withColumn("old", F.lag("place").over(days)), work, "grid")
-
-    last = grid.withColumn("last", F.max("arrival_day").over(Window.partitionBy("nation_id"))).filter("arrival_day = last and place is not null")
-    same = before.join(bounds, "nation_id", "left_anti")  # nations that the batch doesn't touch
-    last.select(*_KEY, "cents", "place").unionByName(same.select(*_KEY, "cents", "place")).write.mode("overwrite").parquet(f"{folder}/boards/{epoch}")
-    kind = F.when(F.col("old").isNull(), "enter").when(F.col("place").isNull(), "exit").otherwise("move")
-    return grid.filter("arrival_day is not null and not (old <=> place)").select(
-        "nation_id", "arrival_day", "item_id", F.lit(batch).alias("batch"), kind.alias("change"), F.col("old").alias("old_rank"), F.col("place").alias("new_rank"), F.col("cents").cast("long").alias("revenue")
-    )
+    spans = X.saved(_spans(lines, closing), work, "spans")
+    bounds = X.saved(_bounds(spans, before), work, "bounds")
+
+    openings = spans.filter("since is null").drop("low").unionByName(_state(spark, folder, epoch - 1).withColumns({"since": F.lit(None).cast("long"), "until": F.lit(None).cast("long")}))
+    openings = openings.join(bounds.select("nation_id", "bound"), "nation_id").filter("cents > 0 and cents >= bound")
+    # what the batch touches is in both, with equal revenue, and ends with its first change
+    openings = openings.groupBy(*_KEY).agg(F.max("cents").alias("cents"), F.max("until").alias("until")).withColumn("since", F.lit(None).cast("long"))
+    held = spans.filter("since is not null and cents > 0").drop("low").unionByName(openings)
+    lasts = lambda d: (d["bound"] <= F.col("cents")) & (F.col("since").isNull() | (d["day"] >= F.col("since"))) & (F.col("until").isNull() | (d["day"] < F.col("until")))
+    each = F.transform("days", lambda d, k: F.struct(d["day"].alias("day"), d["bound"].alias("bound"), k.alias("k")))
+    grid = held.join(bounds.select("nation_id", F.size("days").alias("n"), each.alias("days")), "nation_id").select(*_KEY, "cents", "n", F.inline(F.filter("days", lasts)))
+    place, top = _top("nation_id", "k", of="cents", n=PLACES)
+    board = X.saved(grid.withColumn("place", place).filter(top).select(*_KEY, "cents", "n", "k", "place"), work, "board")
+
+    last = board.filter("k = n - 1").select(*_KEY, "cents", "place")
+    last.unionByName(before.join(bounds, "nation_id", "left_anti")).write.mode("overwrite").parquet(f"{folder}/boards/{epoch}")
+    none = lambda kind: F.lit(None).cast(kind)
+    new = board.select(*_KEY, "k", F.col("place").alias("new_rank"), none("int").alias("old_rank"), F.col("cents").alias("now"), none("double").alias("was"))
+    old = board.filter("k < n - 1").select(*_KEY, (F.col("k") + 1).alias("k"), "place", "cents").unionByName(before.join(bounds.select("nation_id"), "nation_id").select(*_KEY, F.lit(0).alias("k"), "place", "cents"))
+    old = old.toDF(*_KEY, "k", "old_rank", "was").withColumns({"new_rank": none("int"), "now": none("double")})
+    diff = new.unionByName(old).groupBy(*_KEY, "k").agg(*(F.max(c).alias(c) for c in ("new_rank", "old_rank", "now", "was"))).filter("not (new_rank <=> old_rank)")
+    diff = X.saved(diff.join(bounds, "nation_id").select(*_KEY, F.col("days")[F.col("k")]["day"].alias("arrival_day"), "new_rank", "old_rank", "now", "was"), work, "diff")
+    # what leaves a board has changed, or is as it was when others pass it
+    left = diff.filter("now is null").join(spans.filter("since is not null").drop("low"), _KEY).filter("arrival_day >= since and (until is null or arrival_day < until)")
+    diff = diff.join(left.select(*_KEY, "arrival_day", F.col("cents").alias("then")), [*_KEY, "arrival_day"], "left")
+    kind = F.when(F.col("old_rank").isNull(), "enter").when(F.col("new_rank").isNull(), "exit").otherwise("move")
+    return diff.select("nation_id", "arrival_day", "item_id", F.lit(batch).alias("batch"), kind.alias("change"), "old_rank", "new_rank", F.coalesce("now", "then", "was").cast("long").alias("revenue"))
 
 
 def feed(lines: DataFrame, items: DataFrame, vendors: DataFrame) -> DataFrame:

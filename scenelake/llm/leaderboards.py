@@ -38,11 +38,11 @@ def dated(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h", h).withColumn("day", shipped).withColumn("arrival_day", arrival).withColumn("batch", batch).drop("h")
 
 
-def cut(lines: DataFrame, items: DataFrame, vendors: DataFrame, folder: str) -> DataFrame:
+def cut(lines: DataFrame, items: DataFrame, vendors: DataFrame, folder: str, tasks: int) -> DataFrame:
     """Lines with their nation and cents, written in one folder a batch; a line that no item or nation takes has no nation_id.
 
-    Lines meet items and vendors in plain joins, whose skewed partitions are split at run time;
-    the pieces are written together, so that a batch has few files.
+    Lines meet items and vendors in sorted joins, whose skewed partitions are split at run time,
+    never in a broadcast; the pieces are written together, so that a batch has few files.
     Of repeated item_ids the least price counts, of repeated vendor_ids the least nation_id.
     """
     prices = items.filter("item_id is not null").groupBy("item_id").agg(F.min("price").alias("price")).withColumn("known", F.lit(True))
@@ -50,10 +50,9 @@ def cut(lines: DataFrame, items: DataFrame, vendors: DataFrame, folder: str) ->
     whole = lambda x: F.floor(100 * F.col(x) + 0.5).cast("double")
     own = dated(lines.select("sale_id", "line_no", "item_id", "vendor_id", "quantity", "amount", "flag", "shipped_at"))
     own = own.select("batch", "day", "arrival_day", "item_id", "vendor_id", whole("amount").alias("cents"), F.col("quantity").cast("double").alias("quantity"), F.when(F.col("flag") == "returned", -1.0).otherwise(1.0).alias("sign"))
-    met = own.join(prices, "item_id", "left").join(nations, "vendor_id", "left")
+    met = own.join(prices.hint("shuffle_merge"), "item_id", "left").join(nations.hint("shuffle_merge"), "vendor_id", "left")
     cents = F.col("sign") * F.coalesce("cents", F.col("quantity") * whole("price"), F.lit(0.0))
     nation = F.when(F.col("known"), F.col("nation_id")).alias("nation_id")
-    tasks = X.deal(lines.sparkSession, X.input_bytes(lines), 128 << 20)
     met.select("batch", "day", "arrival_day", nation, "item_id", cents.alias("cents")).coalesce(tasks).write.partitionBy("batch").parquet(f"{folder}/lines")
     return lines.sparkSession.read.schema(_LINE).parquet(f"{folder}/lines")
 
@@ -125,15 +124,15 @@ def _state(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
     return state.select("key.nation_id", "key.item_id", F.col("value")[name].alias("cents"))
 
 
-def _changes(folder: str, work: str, batch: int, epoch: int, closing: DataFrame, lines: DataFrame) -> DataFrame:
+def _changes(folder: str, work: str, tasks: int, batch: int, epoch: int, closing: DataFrame, lines: DataFrame) -> DataFrame:
     """Changes of the boards on the days of one batch; writes the boards at its end.
 
-    closing: revenue of what the batch touched, after it; lines: what counts in the batch; work: for tables of this step.
+    closing: revenue of what the batch touched, after it; lines: what counts in the batch; work: for tables of this step, of few files.
     """
     spark = lines.sparkSession
     before = _board(spark, folder, epoch - 1)
-    spans = X.saved(_spans(lines, closing), work, "spans")
-    bounds = X.saved(_bounds(spans, before), work, "bounds")
+    spans = X.saved(_spans(lines, closing).coalesce(tasks), work, "spans")
+    bounds = X.saved(_bounds(spans, before).coalesce(tasks), work, "bounds")
 
     openings = spans.filter("since is null").drop("low").unionByName(_state(spark, folder, epoch - 1).withColumns({"since": F.lit(None).cast("long"), "until": F.lit(None).cast("long")}))
     openings = openings.join(bounds.select("nation_id", "bound"), "nation_id").filter("cents > 0 and cents >= bound")
@@ -144,16 +143,16 @@ def _changes(folder: str, work: str, batch: int, epoch: int, closing: DataFrame,
     each = F.transform("days", lambda d, k: F.struct(d["day"].alias("day"), d["bound"].alias("bound"), k.alias("k")))
     grid = held.join(bounds.select("nation_id", F.size("days").alias("n"), each.alias("days")), "nation_id").select(*_KEY, "cents", "n", F.inline(F.filter("days", lasts)))
     place, top = _top("nation_id", "k", of="cents", n=PLACES)
-    board = X.saved(grid.withColumn("place", place).filter(top).select(*_KEY, "cents", "n", "k", "place"), work, "board")
+    board = X.saved(grid.withColumn("place", place).filter(top).select(*_KEY, "cents", "n", "k", "place").coalesce(tasks), work, "board")
 
     last = board.filter("k = n - 1").select(*_KEY, "cents", "place")
-    last.unionByName(before.join(bounds, "nation_id", "left_anti")).write.mode("overwrite").parquet(f"{folder}/boards/{epoch}")
+    last.unionByName(before.join(bounds, "nation_id", "left_anti")).coalesce(tasks).write.mode("overwrite").parquet(f"{folder}/boards/{epoch}")
     none = lambda kind: F.lit(None).cast(kind)
     new = board.select(*_KEY, "k", F.col("place").alias("new_rank"), none("int").alias("old_rank"), F.col("cents").alias("now"), none("double").alias("was"))
     old = board.filter("k < n - 1").select(*_KEY, (F.col("k") + 1).alias("k"), "place", "cents").unionByName(before.join(bounds.select("nation_id"), "nation_id").select(*_KEY, F.lit(0).alias("k"), "place", "cents"))
     old = old.toDF(*_KEY, "k", "old_rank", "was").withColumns({"new_rank": none("int"), "now": none("double")})
     diff = new.unionByName(old).groupBy(*_KEY, "k").agg(*(F.max(c).alias(c) for c in ("new_rank", "old_rank", "now", "was"))).filter("not (new_rank <=> old_rank)")
-    diff = X.saved(diff.join(bounds, "nation_id").select(*_KEY, F.col("days")[F.col("k")]["day"].alias("arrival_day"), "new_rank", "old_rank", "now", "was"), work, "diff")
+    diff = X.saved(diff.join(bounds, "nation_id").select(*_KEY, F.col("days")[F.col("k")]["day"].alias("arrival_day"), "new_rank", "old_rank", "now", "was").coalesce(tasks), work, "diff")
     # what leaves a board has changed, or is as it was when others pass it
     left = diff.filter("now is null").join(spans.filter("since is not null").drop("low"), _KEY).filter("arrival_day >= since and (until is null or arrival_day < until)")
     diff = diff.join(left.select(*_KEY, "arrival_day", F.col("cents").alias("then")), [*_KEY, "arrival_day"], "left")
@@ -183,7 +182,8 @@ def feed(lines: DataFrame, items: DataFrame, vendors: DataFrame) -> DataFrame:
     """
     spark = lines.sparkSession
     folder = X.workdir(spark)
-    written = cut(lines, items, vendors, folder)
+    tasks = X.deal(spark, X.input_bytes(lines.withColumn("text", F.lit("-" * 64))), 128 << 20)  # of a line, where files don't say it
+    written = cut(lines, items, vendors, folder, tasks)
     latest = dict(written.groupBy("batch").agg(F.max("day")).collect())  # a row a batch
     schema = "nation_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
     after, done = None, []
@@ -194,8 +194,8 @@ def feed(lines: DataFrame, items: DataFrame, vendors: DataFrame) -> DataFrame:
         def step(sums: DataFrame, epoch: int, batch: int = batch, path: str = path, limit: int | None = limit) -> None:
             work = f"{folder}/steps/{epoch}-{uuid.uuid4().hex}"
             own = _kept(spark.read.schema(_LINE.partition(", ")[2]).parquet(path), limit)
-            closing = spark.read.schema(sums.schema).parquet(_put(sums, f"{work}/closing"))
-            _changes(folder, work, batch, epoch, closing, own).write.mode("overwrite").parquet(f"{folder}/changes/{epoch}")
+            closing = spark.read.schema(sums.schema).parquet(_put(sums.coalesce(tasks), f"{work}/closing"))
+            _changes(folder, work, tasks, batch, epoch, closing, own).coalesce(tasks).write.mode("overwrite").parquet(f"{folder}/changes/{epoch}")
             X.dropped(spark, work)
             done.append(epoch)
 

@@ -56,11 +56,11 @@ def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def _cells(langs: pa.Array, lang: np.ndarray, words: pa.Array, word: np.ndarray) -> np.ndarray:
+def _cells(langs: pa.Array, lang: np.ndarray, words: pa.Array, word: np.ndarray, width: int) -> np.ndarray:
     """The cell in each row of the sketch of pairs of language and term."""
-    seeds = X.mix(X.hashes(langs.cast(pa.binary())) + np.uint64(1))
+    seeds = X.mix(X.hashes(pa.array([b"_" + x.encode() for x in langs.to_pylist()], pa.binary())))  # never empty, as the hash of '' depends on its neighbours
     h = X.hashes(words)[word] ^ seeds[lang]
-    return np.stack([(X.mix(h + np.uint64(k)) % np.uint64(WIDTH)).astype(np.int64) + k * WIDTH for k in range(DEPTH)]) if len(h) else np.zeros((DEPTH, 0), np.int64)
+    return np.stack([(X.mix(h + np.uint64(k)) % np.uint64(width)).astype(np.int64) + k * width for k in range(DEPTH)]) if len(h) else np.zeros((DEPTH, 0), np.int64)
 
 
 def _pairs(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,17 +69,17 @@ def _pairs(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return pair >> 32, pair & 0xFFFFFFFF, n
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """cell and n of the count-min sketch of document frequencies by language, over all documents; each task sends the sum of its own."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(WIDTH * DEPTH, np.int64)
+        table = np.zeros(width * DEPTH, np.int64)
         for _, rows in X.blocks(batches):
             doc, word, words = terms(rows.column("text"))
             lang, langs = _coded(rows.column("lang"))
             doc, word, _ = _pairs(doc, word)
             pair, n = np.unique((lang[doc] << 32) | word, return_counts=True)
-            for row in _cells(langs, pair >> 32, words, pair & 0xFFFFFFFF):
+            for row in _cells(langs, pair >> 32, words, pair & 0xFFFFFFFF, width):
                 table += np.bincount(row, n, len(table)).astype(np.int64) if len(row) > len(table) // 4 else 0
                 if len(row) <= len(table) // 4:
                     np.add.at(table, row, n)
@@ -94,16 +94,16 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def counts(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     """lang, source, term, n (occurrences) and df (documents) of the terms whose cells are all heavy, over all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(heavy))
+    sent, size = docs.sparkSession.sparkContext.broadcast(np.packbits(heavy)), len(heavy)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).view(bool)
+        bits = np.unpackbits(sent.value).view(bool)[:size]
         for _, rows in X.blocks(batches):
             doc, word, words = terms(rows.column("text"))
             (lang, langs), (source, sources) = _coded(rows.column("lang")), _coded(rows.column("source"))
             k = max(len(words), 1)
             seen, at = np.unique(lang[doc] * k + word, return_inverse=True)
-            held = bits[_cells(langs, seen // k, words, seen % k)].all(axis=0)[at]
+            held = bits[_cells(langs, seen // k, words, seen % k, len(bits) // DEPTH)].all(axis=0)[at]
             doc, word, n = _pairs(doc[held], word[held])
             part, at = np.unique((lang[doc] * max(len(sources), 1) + source[doc]) * k + word, return_inverse=True)
             df, n = np.bincount(at, minlength=len(part)), np.bincount(at, n, len(part)).astype(np.int64)
@@ -123,7 +123,7 @@ def _share(count: str, total: str, v: str) -> str:
     return f"1 + ({a} * 100000 div {d}) * 10000 + (({a} * 100000 % {d}) * 10000 div {d})"
 
 
-def divergences(docs: DataFrame, least: int = LEAST, ranks: int = RANKS) -> DataFrame:
+def divergences(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, width: int = WIDTH) -> DataFrame:
     """lang, source, part, item, value and rank: of each pair of sources of a language, and of each source's own terms.
 
     A term counts in a language if at least `least` of its documents hold it.
@@ -142,8 +142,8 @@ def divergences(docs: DataFrame, least: int = LEAST, ranks: int = RANKS) -> Data
     spark = docs.sparkSession
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     folder = X.workdir(spark)
-    heavy = np.zeros(WIDTH * DEPTH, bool)
-    heavy[sketch(docs).filter(F.col("n") >= least).select("cell").toArrow().column("cell").to_numpy()] = True  # at most the cells that there are
+    heavy = np.zeros(width * DEPTH, bool)
+    heavy[sketch(docs, width).filter(F.col("n") >= least).select("cell").toArrow().column("cell").to_numpy()] = True  # at most the cells that there are
     of_term = Window.partitionBy("lang", "term")  # a term's sources
     held = counts(docs, heavy).withColumns({"df": F.sum("df").over(of_term), "total": F.sum("n").over(of_term)}).filter(F.col("df") >= least)
     held = X.saved(held.select("lang", "source", "term", "n", "total"), folder, "counts")

@@ -212,17 +212,16 @@ def test_divergence_equals_plain_counts(spark, voices):
     assert divergence.divergences(docs.limit(0)).collect() == []
 
 
-def test_sketch_never_underestimates(spark, voices, monkeypatch):
-    monkeypatch.setattr(divergence, "WIDTH", 64)  # cells of many terms
+def test_sketch_never_underestimates(spark, voices):
     docs = spark.createDataFrame(voices, "text string, lang string, source string").fillna("")
-    cells = {r.cell: r.n for r in divergence.sketch(docs).collect()}
+    cells = {r.cell: r.n for r in divergence.sketch(docs, 64).collect()}
     df = Counter()
     for text, lang, _ in voices:
         df.update((lang or "", w) for w in set(re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(LOWER))))
     for (lang, word), n in df.items():
-        at = divergence._cells(pa.array([lang]), np.zeros(1, np.int64), pa.array([word.encode()]), np.zeros(1, np.int64))
+        at = divergence._cells(pa.array([lang]), np.zeros(1, np.int64), pa.array([word.encode()]), np.zeros(1, np.int64), 64)
         assert min(cells.get(int(x), 0) for x in at.ravel()) >= n
-    assert Counter(map(tuple, divergence.divergences(docs, 20).collect())) == plain_divergences(voices, 20, 50)
+    assert Counter(map(tuple, divergence.divergences(docs, 20, width=64).collect())) == plain_divergences(voices, 20, 50)
 
 
 def test_shares_are_exact_in_longs(spark):

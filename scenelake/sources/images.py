@@ -1,4 +1,4 @@
-"""Images on executors without an image library: PNG of 8 or 16 bits, and raw arrays."""
+"""Images on executors without an image library: PNG of 8 or 16 bits, baseline JPEG, and raw arrays."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from . import jpeg
+
 #: Channels by PNG colour type (fixed values of the format).
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
@@ -63,9 +65,9 @@ def write_png(image: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """A PNG, or a numpy file."""
+    """A PNG, a JPEG, or a numpy file."""
     if data[:6] == b"\x93NUMPY":
         import io
 
         return np.load(io.BytesIO(data), allow_pickle=False)
-    return read_png(data)
+    return jpeg.read_jpeg(data) if jpeg.is_jpeg(data) else read_png(data)

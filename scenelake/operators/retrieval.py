@@ -132,16 +132,19 @@ def probabilities(vectors: DataFrame, queries: DataFrame, scale: float, bias: fl
     return functools.reduce(DataFrame.unionByName, each)
 
 
-def locate(chunks: DataFrame, scored: DataFrame, parsed: DataFrame, top_floors: int = 3, top_rooms: int = 6, top_objects: int = 40, require_floor: bool = True) -> DataFrame:
-    """Floor, then room, then object for each query 'the X in Y in floor N'.
-
-    chunks: pos, doc_type, floor_id, room_id, name, content. scored: query_id,
-    pos, modality, score. parsed: query_id, object, room, floor. The floor is
-    the one named, else the best scored; rooms of it (of all floors without
-    require_floor) by words of the room phrase, then score; objects of the room
-    by fused z-scores. Returns query_id, floor_id, room_id, object_pos, score.
+def every_score(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, pos and score of each query and row: for kinds of rows that are few."""
+    each = [vectors.crossJoin(q).select("query_id", "pos", V.dot(F.col("vec"), F.col("qvec")).alias("score")) for q in query_blocks(queries)]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def room_of_query(chunks: DataFrame, text: DataFrame, parsed: DataFrame, top_floors: int = 3, top_rooms: int = 6, require_floor: bool = True) -> DataFrame:
+    """query_id, room_of and floor_of: the room that a query 'the X in Y in floor N' means.
+
+    text: query_id, pos, score of floors and rooms. The floor is the one named,
+    else the best scored; rooms of it (of all floors without require_floor) by
+    words of the room phrase, then score.
     """
-    text = scored.filter("modality = 'text'").select("query_id", "pos", "score")
     typed = text.join(chunks, "pos").join(F.broadcast(parsed), "query_id")
     floors = typed.filter("doc_type = 'floor'").withColumn("named", F.coalesce(F.col("floor_id") == F.col("floor"), F.lit(False)))
     floors = ranked(floors, ["query_id"], [F.desc("named"), F.desc("score"), F.asc("pos")], top_floors)
@@ -153,7 +156,22 @@ def locate(chunks: DataFrame, scored: DataFrame, parsed: DataFrame, top_floors:
     body = F.lower(F.concat_ws(" ", "name", "content"))
     rooms = rooms.withColumn("hits", F.size(F.filter(words, lambda w: F.contains(body, w))))
     rooms = ranked(rooms, ["query_id"], [F.desc("hits"), F.desc("score"), F.asc("pos")], top_rooms)
-    room = rooms.filter("rank = 1").select("query_id", F.col("room_id").alias("room_of"), F.col("floor_id").alias("floor_of"))
-    candidates = scored.join(chunks.filter("doc_type = 'object'").select("pos", "room_id", "floor_id"), "pos").join(room, "query_id").filter("room_id = room_of")
-    best = ranked(fused_mean(candidates.select("query_id", "pos", "modality", "score")), ["query_id"], [F.desc(F.round("fused", 9)), F.asc("pos")], top_objects)
+    return rooms.filter("rank = 1").select("query_id", F.col("room_id").alias("room_of"), F.col("floor_id").alias("floor_of"))
+
+
+def locate(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, parsed: DataFrame, top_floors: int = 3, top_rooms: int = 6, top_objects: int = 40, require_floor: bool = True) -> DataFrame:
+    """Floor, then room, then object for each query: query_id, floor_id, room_id, object_pos, score, rank.
+
+    chunks: pos, doc_type, floor_id, room_id, name, content. vectors: pos,
+    modality, vec. queries: query_id, kind (floor, room, object), qvec of the
+    phrase. parsed: query_id, object, room, floor. All objects of the chosen
+    room are scored, and no others: they meet the query by their room.
+    """
+    text = vectors.filter("modality = 'text'").join(chunks.select("pos", "doc_type"), "pos")
+    few = [every_score(text.filter(F.col("doc_type") == k).select("pos", "vec"), queries.filter(F.col("kind") == k).select("query_id", "qvec")) for k in ("floor", "room")]
+    room = room_of_query(chunks, few[0].unionByName(few[1]), parsed, top_floors, top_rooms, require_floor)
+    inside = chunks.filter("doc_type = 'object'").select("pos", F.col("room_id").alias("room_of")).join(room, "room_of")
+    asked = queries.filter("kind = 'object'").select("query_id", "qvec")
+    scored = inside.join(vectors, "pos").join(asked, "query_id").select("query_id", "pos", "modality", V.dot(F.col("vec"), F.col("qvec")).alias("score"))
+    best = ranked(fused_mean(scored), ["query_id"], [F.desc(F.round("fused", 9)), F.asc("pos")], top_objects)
     return best.join(room, "query_id").select("query_id", F.col("floor_of").alias("floor_id"), F.col("room_of").alias("room_id"), F.col("pos").alias("object_pos"), F.col("fused").alias("score"), "rank")

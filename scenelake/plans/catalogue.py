@@ -9,7 +9,6 @@ for containment. Sums of floating numbers are rounded.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +50,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"), F.col("label").cast("string").alias("doc_type"))
 
 
-def _queries(spark: SparkSession, sf_dir: str, n: int | None = 5) -> DataFrame:
-    """The first n rows; every 20th row without n."""
-    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n if n is not None else F.col("vec_id") % 20 == 0)
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th row."""
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
@@ -82,24 +81,24 @@ _BOXES = "boxes AS (SELECT vec_id AS id, label, " + ", ".join(f"CAST(embedding[{
 @query(f"""SELECT e.vec_id AS pos, round({_DOT}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
   ORDER BY {_DOT} DESC, e.vec_id LIMIT 10""")
 def vec_topk_ip(spark, sf_dir):
-    q = [float(x) for x in _queries(spark, sf_dir, 1).first()["qvec"]]
+    q = [float(x) for x in _queries(spark, sf_dir).filter("query_id = 0").first()["qvec"]]
     return S.search_one(_vectors(spark, sf_dir), q, 10).select("pos", F.round("score", 6).alias("score"))
 
 
 @query(f"""SELECT e.vec_id AS pos, round({_L2}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
   ORDER BY {_L2}, e.vec_id LIMIT 10""")
 def vec_topk_l2(spark, sf_dir):
-    q = [float(x) for x in _queries(spark, sf_dir, 1).first()["qvec"]]
+    q = [float(x) for x in _queries(spark, sf_dir).filter("query_id = 0").first()["qvec"]]
     return S.search_one(_vectors(spark, sf_dir), q, 10, "l2").select("pos", F.round("score", 6).alias("score"))
 
 
-_SCORED = f"s AS (SELECT q.vec_id AS query_id, e.vec_id AS pos, CAST(e.label AS VARCHAR) AS doc_type, {_DOT} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q)"
+_SCORED = f"s AS (SELECT q.vec_id AS query_id, e.vec_id AS pos, CAST(e.label AS VARCHAR) AS doc_type, {_DOT} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"
 
 
 @query(f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM s)
   SELECT query_id, pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
-def vec_topk_multi(spark, sf_dir, n=5):
-    return S.search_many(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 5).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
+def vec_topk_multi(spark, sf_dir):
+    return S.search_many(_vectors(spark, sf_dir), _queries(spark, sf_dir), 5).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""SELECT vec_id AS pos, round(list_sum(list_transform({_D}, lambda v: v / (sqrt(list_sum(list_transform({_D}, lambda w: w * w))) + 1e-9))), 6) AS total FROM embeddings""")
@@ -111,61 +110,60 @@ def vec_normalize(spark, sf_dir):
 @query(f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS k FROM s),
   f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM r WHERE k <= 30 AND doc_type IN ('1', '3'))
   SELECT query_id, pos, doc_type, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM f WHERE rank <= 3""")
-def search_post_filter(spark, sf_dir, n=5):
-    return S.search(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 3, ("1", "3")).select("query_id", "pos", "doc_type", "rank", F.round("score", 6).alias("score"))
+def search_post_filter(spark, sf_dir):
+    return S.search(_vectors(spark, sf_dir), _queries(spark, sf_dir), 3, ("1", "3")).select("query_id", "pos", "doc_type", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM s WHERE doc_type IN ('1', '3'))
   SELECT query_id, pos, doc_type, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 3""")
-def search_pre_filter(spark, sf_dir, n=5):
-    return S.search(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 3, ("1", "3"), exact_filter=True).select("query_id", "pos", "doc_type", "rank", F.round("score", 6).alias("score"))
+def search_pre_filter(spark, sf_dir):
+    return S.search(_vectors(spark, sf_dir), _queries(spark, sf_dir), 3, ("1", "3"), exact_filter=True).select("query_id", "pos", "doc_type", "rank", F.round("score", 6).alias("score"))
 
 
-def _modal(spark, sf_dir, n=5):
-    """Text and visual scores of the queries: two halves of the vectors. With n, some rows lack a modality."""
-    e, q = table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir, n)
+def _modal(spark, sf_dir):
+    """Text and visual scores of all rows for each query: two halves of the vectors."""
+    e, q = table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir)
     met = functools.reduce(DataFrame.unionByName, (e.crossJoin(b) for b in S.query_blocks(q)))
     half = lambda first: V.dot(F.slice("embedding", first, 32), F.slice("qvec", first, 32))
-    row = lambda name, s, keep: met.filter(keep).select("query_id", F.col("vec_id").alias("pos"), F.lit(name).alias("modality"), s.alias("score"), F.col("label").cast("string").alias("doc_type"))
-    some = lambda keep: keep if n is not None else F.lit(True)
-    return row("text", half(1), some(F.col("vec_id") % 3 != 0)).unionByName(row("visual", half(33), some(F.col("vec_id") % 2 == 0)))
+    row = lambda name, s: met.select("query_id", F.col("vec_id").alias("pos"), F.lit(name).alias("modality"), s.alias("score"), F.col("label").cast("string").alias("doc_type"))
+    return row("text", half(1)).unionByName(row("visual", half(33)))
 
 
 def _half(first: int) -> str:
     return f"list_sum(list_transform(range({first}, {first + 32}), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))"
 
 
-_MODAL = f"""m AS (SELECT q.vec_id AS query_id, e.vec_id AS pos, 'text' AS modality, {_half(1)} AS score, CAST(e.label AS VARCHAR) AS doc_type FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q WHERE e.vec_id % 3 <> 0
-  UNION ALL SELECT q.vec_id, e.vec_id, 'visual', {_half(33)}, CAST(e.label AS VARCHAR) FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q WHERE e.vec_id % 2 = 0)"""
+_MODAL = f"""m AS (SELECT q.vec_id AS query_id, e.vec_id AS pos, 'text' AS modality, {_half(1)} AS score, CAST(e.label AS VARCHAR) AS doc_type FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q
+  UNION ALL SELECT q.vec_id, e.vec_id, 'visual', {_half(33)}, CAST(e.label AS VARCHAR) FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"""
 
 
 @query(f"""WITH {_MODAL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, modality ORDER BY score DESC, pos) AS rank FROM m WHERE doc_type IN ('1', '2'))
   SELECT query_id, modality, pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 4""")
-def combine_modalities(spark, sf_dir, n=5):
-    return S.combined(_modal(spark, sf_dir, n), 4, ("1", "2")).select("query_id", "modality", "pos", "rank", F.round("score", 6).alias("score"))
+def combine_modalities(spark, sf_dir):
+    return S.combined(_modal(spark, sf_dir), 4, ("1", "2")).select("query_id", "modality", "pos", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_MODAL}, w AS (SELECT query_id, pos, coalesce(max(CASE WHEN modality = 'text' THEN score END), 0.0) AS t, max(CASE WHEN modality = 'visual' THEN score END) AS v FROM m GROUP BY ALL),
   z AS (SELECT query_id, pos, CASE WHEN stddev_pop(t) OVER p > 1e-9 THEN (t - avg(t) OVER p) / stddev_pop(t) OVER p ELSE t - avg(t) OVER p END AS zt,
     CASE WHEN stddev_pop(v) OVER p > 1e-9 THEN (v - avg(v) OVER p) / stddev_pop(v) OVER p ELSE v - avg(v) OVER p END AS zv FROM w WINDOW p AS (PARTITION BY query_id))
   SELECT query_id, pos, round(CASE WHEN zv IS NULL THEN zt ELSE (zt + zv) / 2 END, 6) AS fused FROM z""")
-def fuse_zscore_two_modalities(spark, sf_dir, n=5):
-    return S.fused_mean(_modal(spark, sf_dir, n)).select("query_id", "pos", F.round("fused", 6).alias("fused"))
+def fuse_zscore_two_modalities(spark, sf_dir):
+    return S.fused_mean(_modal(spark, sf_dir)).select("query_id", "pos", F.round("fused", 6).alias("fused"))
 
 
 @query(f"""WITH {_MODAL}, z AS (SELECT query_id, pos, CASE WHEN stddev_pop(score) OVER p > 1e-8 THEN (score - avg(score) OVER p) / stddev_pop(score) OVER p ELSE 0 END AS z FROM m WINDOW p AS (PARTITION BY query_id, modality)),
   g AS (SELECT query_id, pos, sum(z) AS score FROM z GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM g)
   SELECT query_id, pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
-def rank_zsum(spark, sf_dir, n=5):
-    return S.rank_by_zscores(_modal(spark, sf_dir, n), 10).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
+def rank_zsum(spark, sf_dir):
+    return S.rank_by_zscores(_modal(spark, sf_dir), 10).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_MODAL}, w AS (SELECT *, CASE modality WHEN 'visual' THEN 0 ELSE 1 END AS l, row_number() OVER (PARTITION BY query_id, modality ORDER BY score DESC, pos) AS n FROM m),
   t AS (SELECT * FROM w WHERE n <= 20), g AS (SELECT query_id, pos, min(l * 1000000 + n) AS place, max(score) AS score FROM t GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, pos) AS rank FROM g)
   SELECT query_id, pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 25""")
-def rank_first_seen(spark, sf_dir, n=5):
-    top = S.combined(_modal(spark, sf_dir, n), 20).drop("rank")
+def rank_first_seen(spark, sf_dir):
+    top = S.combined(_modal(spark, sf_dir), 20).drop("rank")
     return S.rank_first_seen(top, 25).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
@@ -173,31 +171,19 @@ def rank_first_seen(spark, sf_dir, n=5):
   t AS (SELECT r.query_id, r.pos, r.score, list_sum(list_transform(['BRUSHED', 'STEEL', 'TIN', 'STEEL'], lambda n: CASE WHEN list_contains(string_split(p.p_type, ' '), n) THEN 1 ELSE 0 END)) / 4.0 AS tag_score FROM r JOIN part p ON p.p_partkey = r.pos WHERE k <= 100),
   f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 0.7 * score + 0.3 * tag_score DESC, pos) AS rank FROM t)
   SELECT query_id, pos, CAST(rank AS INTEGER) AS rank, round(tag_score, 6) AS tag_score, round(0.7 * score + 0.3 * tag_score, 6) AS combined FROM f WHERE rank <= 10""")
-def noun_rerank(spark, sf_dir, n=5):
-    found = S.search_many(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 100)
+def noun_rerank(spark, sf_dir):
+    found = S.search_many(_vectors(spark, sf_dir), _queries(spark, sf_dir), 100)
     tagged = found.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.split("p_type", " ").alias("tags")), "pos")
     nouns = F.array(*map(F.lit, ("BRUSHED", "STEEL", "TIN", "STEEL")))
     return S.noun_rerank(tagged, nouns, F.col("tags"), 10).select("query_id", "pos", "rank", F.round("tag_score", 6).alias("tag_score"), F.round("combined", 6).alias("combined"))
 
 
-@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS pos, round(1 / (1 + exp(-({_DOT} * exp(1.5) - 2.0))), 6) AS probability FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 3) q""")
-def sigmoid_prob(spark, sf_dir, n=3):
-    got = S.probabilities(_vectors(spark, sf_dir), _queries(spark, sf_dir, n), 1.5, -2.0)
+@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS pos, round(1 / (1 + exp(-({_DOT} * exp(1.5) - 2.0))), 6) AS probability FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q""")
+def sigmoid_prob(spark, sf_dir):
+    got = S.probabilities(_vectors(spark, sf_dir), _queries(spark, sf_dir), 1.5, -2.0)
     return got.select("query_id", "pos", F.round("probability", 6).alias("probability"))
 
 
-def _every_20th(f: Query) -> None:
-    """The same with every 20th row as a query and all rows in both modalities, in its own SQL."""
-    sql = re.sub(r"WHERE vec_id < \d+\)", "WHERE vec_id % 20 = 0)", SQL[f.__name__])
-    name = f"{f.__name__}_all"
-    QUERIES[name] = functools.partial(f, n=None)
-    SQL[name] = sql.replace(" WHERE e.vec_id % 3 <> 0", "").replace(" WHERE e.vec_id % 2 = 0", "")
-
-
-for _f in (vec_topk_multi, search_post_filter, search_pre_filter, combine_modalities, fuse_zscore_two_modalities, rank_zsum, rank_first_seen, noun_rerank, sigmoid_prob):
-    _every_20th(_f)
-
-
 @query("""WITH x AS (SELECT label, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i))
   SELECT label, CAST(i - 1 AS INTEGER) AS i, round(avg(v), 6) AS v FROM x GROUP BY ALL""")
 def class_centroid(spark, sf_dir):
@@ -205,10 +191,9 @@ def class_centroid(spark, sf_dir):
     return S.mean_vectors(rows, ["label"]).select("label", F.posexplode("vec").alias("i", "v")).select("label", "i", F.round("v", 6).alias("v"))
 
 
-@query("""WITH e AS (SELECT * FROM embeddings WHERE vec_id < 500), d AS (SELECT a.label, a.vec_id, round(sum(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))))), 6) AS total FROM e a JOIN e b ON a.label = b.label GROUP BY ALL),
+@query("""WITH e AS (SELECT * FROM embeddings), d AS (SELECT a.label, a.vec_id, round(sum(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))))), 6) AS total FROM e a JOIN e b ON a.label = b.label GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY total, vec_id) AS k FROM d) SELECT label, vec_id, total FROM r WHERE k = 1""")
 def vector_medoid(spark, sf_dir):
-    # all rows of a label; the SQL stops at vec_id 500, so the two are equal on tables up to there
     return K.medoids(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 6)
 
 
@@ -223,18 +208,12 @@ def dominant_dim(spark, sf_dir):
 # --- chunks and text ---
 
 
-@query("""SELECT doc_id AS pos, 'chunk_' || lang || '_' || doc_id AS id, lang AS doc_type, trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')) AS content FROM documents""")
-def chunk_build(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("pos"), F.concat_ws("_", F.lit("chunk"), "lang", "doc_id").alias("id"), F.col("lang").alias("doc_type"), F.trim(F.regexp_replace(F.substring("text", 1, 200), r"\s+", " ")).alias("content"))
-
-
 @query("""WITH o AS (SELECT p_partkey, p_partkey % 25 AS room, 'Object: ' || p_name || '. Attributes: ' || p_brand || '; ' || p_type || '. Affordances: (no affordances listed). State: unknown state. Located at an unspecified location.' AS content FROM part)
   SELECT 'floor_' || r_regionkey AS id, 'floor' AS doc_type, CAST(r_regionkey AS VARCHAR) AS floor_id, CAST(NULL AS VARCHAR) AS room_id, r_name AS content FROM region
   UNION ALL SELECT 'room_' || n_nationkey, 'room', CAST(n_regionkey AS VARCHAR), CAST(n_nationkey AS VARCHAR), n_name FROM nation
   UNION ALL SELECT 'frame_' || n_nationkey || '_' || doc_id, 'frame', CAST(n_regionkey AS VARCHAR), CAST(n_nationkey AS VARCHAR), concat_ws(chr(10), nullif(text, ''), lang || '; ' || source) FROM documents JOIN nation ON n_nationkey = doc_id % 25
   UNION ALL SELECT 'part_' || p_partkey, 'object', CAST(n_regionkey AS VARCHAR), CAST(n_nationkey AS VARCHAR), content FROM o JOIN nation ON n_nationkey = room""")
-def chunk_build_whole(spark, sf_dir):
+def chunk_build(spark, sf_dir):
     """Chunks of a scene: regions are floors, nations rooms, documents with their whole text frames, parts objects."""
     r, n, d, p = (table(spark, sf_dir, t) for t in ("region", "nation", "documents", "part"))
     text = lambda c: F.col(c).cast("string")
@@ -319,13 +298,8 @@ def ensure_text(spark, sf_dir):
     return e.select("event_id", T.ensure_text(kind, F.when(F.col("value") > 50, "high"), T.joined(F.array("event_type", F.lit("")))).alias("content"))
 
 
-@query("""WITH c AS (SELECT doc_id, regexp_replace(left(text, 120), '[^A-Za-z0-9._-]+', '_', 'g') AS c FROM documents) SELECT doc_id, CASE WHEN length(c) > 80 THEN left(c, 70) || '_' || left(md5(c), 8) ELSE c END AS id FROM c""")
-def safe_id(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.safe_id(F.substring("text", 1, 120)).alias("id"))
-
-
 @query("""WITH c AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g') AS c FROM documents) SELECT doc_id, CASE WHEN length(c) > 80 THEN left(c, 70) || '_' || left(md5(c), 8) ELSE c END AS id FROM c""")
-def safe_id_whole(spark, sf_dir):
+def safe_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.safe_id(F.col("text")).alias("id"))
 
 
@@ -334,13 +308,8 @@ def token_overlap(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.overlap(F.lit("large brushed tin box"), F.concat_ws(" ", "p_type", "p_name")).cast("long").alias("hits"))
 
 
-@query("""SELECT doc_id, replace(left(text, 300), chr(10), ' ') AS content, greatest(1, length(text) // 4) AS tokens FROM documents""")
-def embedding_input(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.embedding_input(F.col("text"), 300).alias("content"), T.token_estimate(F.col("text")).alias("tokens"))
-
-
 @query("""SELECT doc_id, replace(left(text, 30000), chr(10), ' ') AS content, greatest(1, length(text) // 4) AS tokens FROM documents""")
-def embedding_input_whole(spark, sf_dir):
+def embedding_input(spark, sf_dir):
     """The operator's own limit of characters, none before it."""
     return table(spark, sf_dir, "documents").select("doc_id", T.embedding_input(F.col("text")).alias("content"), T.token_estimate(F.col("text")).alias("tokens"))
 
@@ -468,14 +437,14 @@ def eval_failed(spark, sf_dir):
     return E.failed(rows).select("id", F.round("iou", 6).alias("iou"))
 
 
-@query("""WITH e AS (SELECT label, vec_id AS pos, CAST(embedding[5] AS DOUBLE) AS s, CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS y1, CAST(embedding[1] AS DOUBLE) + 0.3 AS x2, CAST(embedding[2] AS DOUBLE) + 0.3 AS y2 FROM embeddings WHERE vec_id < 500),
-  l AS (SELECT label, list({'p': pos, 's': s, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY s DESC, pos) AS b FROM e GROUP BY label),
+@query("""WITH e AS (SELECT label, vec_id AS pos, CAST(embedding[5] AS DOUBLE) AS s, CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS y1, CAST(embedding[1] AS DOUBLE) + 0.3 AS x2, CAST(embedding[2] AS DOUBLE) + 0.3 AS y2, vec_id // 500 AS of FROM embeddings),
+  l AS (SELECT label, of, list({'p': pos, 's': s, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY s DESC, pos) AS b FROM e GROUP BY label, of),
   k AS (SELECT label, list_reduce(list_transform(b, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: greatest(least(k.x2, y[1].x2) - greatest(k.x1, y[1].x1), 0) * greatest(least(k.y2, y[1].y2) - greatest(k.y1, y[1].y1), 0) / ((k.x2 - k.x1) * (k.y2 - k.y1) + (y[1].x2 - y[1].x1) * (y[1].y2 - y[1].y1) - greatest(least(k.x2, y[1].x2) - greatest(k.x1, y[1].x1), 0) * greatest(least(k.y2, y[1].y2) - greatest(k.y1, y[1].y1), 0) + 1e-6) > 0.5)) > 0 THEN acc ELSE list_concat(acc, y) END) AS kept FROM l)
   SELECT label, u.p AS pos FROM (SELECT label, unnest(kept) AS u FROM k)""")
 def nms_fold(spark, sf_dir):
     e = F.col("embedding")
     x, y = e[0].cast("double"), e[1].cast("double")
-    # an image is a label's boxes among 500 ids, so images are bounded and have every box; the SQL has the first 500 ids only
+    # an image is a label's boxes among 500 ids, so images are bounded and have every box
     image = F.struct("label", F.floor(F.col("vec_id") / 500).alias("of"))
     rows = table(spark, sf_dir, "embeddings").select(image.alias("image"), F.col("vec_id").alias("pos"), e[4].cast("double").alias("score"), x.alias("x1"), y.alias("y1"), (x + 0.3).alias("x2"), (y + 0.3).alias("y2"))
     return M.suppressed(rows, "image").select("image.label", "pos")
@@ -614,13 +583,14 @@ def robust_scale(spark, sf_dir):
     return got.select("event_id", F.round("value", 6).alias("scaled"))
 
 
-@query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings WHERE label = 3), d AS (SELECT *, CASE WHEN x - lag(x) OVER (ORDER BY x, vec_id) > 0.02 THEN 1 ELSE 0 END AS f FROM p), c AS (SELECT *, sum(f) OVER (ORDER BY x, vec_id ROWS UNBOUNDED PRECEDING) AS k FROM d)
-  SELECT vec_id AS pid, min(vec_id) OVER (PARTITION BY k) AS cluster FROM c""")
+@query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), d AS (SELECT *, CASE WHEN x - lag(x) OVER l > 0.02 THEN 1 ELSE 0 END AS f FROM p WINDOW l AS (PARTITION BY label ORDER BY x, vec_id)),
+  c AS (SELECT *, sum(f) OVER (PARTITION BY label ORDER BY x, vec_id ROWS UNBOUNDED PRECEDING) AS k FROM d)
+  SELECT vec_id AS pid, min(vec_id) OVER (PARTITION BY label, k) AS cluster FROM c""")
 def dbscan_grid(spark, sf_dir):
     from ..sources.work import folder
 
-    e = table(spark, sf_dir, "embeddings").filter("label = 3").select(F.col("vec_id").alias("pid"), F.col("embedding")[0].cast("double").alias("x"))
-    return K.dbscan(e, 0.02, 1, folder(spark), dims=("x",))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), F.col("embedding")[0].cast("double").alias("x"), F.col("label").cast("double").alias("apart"))
+    return K.dbscan(e, 0.02, 1, folder(spark), dims=("x", "apart"))  # labels are farther apart than any two points that join
 
 
 # --- metrics, statistics, masks, sets ---
@@ -800,7 +770,7 @@ def _graph(spark, sf_dir):
     objects = o.select(room.alias("room_id"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("object_id"), F.col("p_type").alias("label"), F.col("p_size").cast("double").alias("x"), (F.col("p_size") % 3).cast("double").alias("y"), (F.col("p_partkey") % 11).cast("double").alias("z"), F.lit(1.0).alias("h"))
     chunk = lambda df, base, i, kind, floor, room_id, content: df.select((base + i).cast("long").alias("pos"), F.concat(F.lit(f"{kind if kind != 'object' else 'part'}_"), i.cast("string")).alias("id"), F.lit(kind).alias("doc_type"), floor.alias("floor_id"), room_id.alias("room_id"), content.alias("content"))
     none = F.lit(None).cast("string")
-    chunks = chunk(o, F.lit(0), F.col("p_partkey"), "object", none, room, F.concat_ws(" ", "p_name", "p_type", "p_brand")).unionByName(chunk(n, F.lit(1 << 40), F.col("n_nationkey"), "room", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.col("n_name"))).unionByName(chunk(table(spark, sf_dir, "documents"), F.lit(1 << 41), F.col("doc_id"), "frame", none, (F.col("doc_id") % 25).cast("string"), F.substring("text", 1, 300)))
+    chunks = chunk(o, F.lit(0), F.col("p_partkey"), "object", none, room, F.concat_ws(" ", "p_name", "p_type", "p_brand")).unionByName(chunk(n, F.lit(1 << 40), F.col("n_nationkey"), "room", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.col("n_name"))).unionByName(chunk(table(spark, sf_dir, "documents"), F.lit(1 << 41), F.col("doc_id"), "frame", none, (F.col("doc_id") % 25).cast("string"), F.col("text")))
     keyframes = spark.createDataFrame([], "room_id string, room_pos int, frame_index int, object_ids array<string>, path string, labeled_path string, description string")
     return SceneGraph(floors, rooms, keyframes, objects, chunks)
 

@@ -15,7 +15,7 @@ from ..operators import objects as O
 from ..operators import relations as R
 from ..operators import retrieval as S
 from ..providers import calls
-from ..sources.work import written
+from ..sources import work
 
 
 def neighbours(objects: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ class SceneGraph:
     def vectors(self) -> DataFrame:
         """Embedded chunks, made and written when first asked for, as every search reads them."""
         if self._vectors is None:
-            self._vectors = written(embedded(self.chunks, self.provider), "vectors")
+            self._vectors = work.written(embedded(self.chunks, self.provider), "vectors")
         return self._vectors
 
     def views(self) -> None:
@@ -67,7 +67,7 @@ class SceneGraph:
         """query_id, modality, pos, id, doc_type, content, score, rank. Visual lists lack chunks without images."""
         if modality not in ("text", "visual", "both"):
             raise ValueError("modality is text, visual or both")
-        asked = queries.select("query_id", calls.embedded(F.col("text"), self.provider).alias("qvec"))
+        asked = work.written(queries.select("query_id", calls.embedded(F.col("text"), self.provider).alias("qvec")), "asked")
         kinds = [m for m in ("text", "visual") if modality in (m, "both")]
         rows = self.vectors.join(self.chunks.select("pos", "doc_type"), "pos")
         each = [S.search(rows.filter(F.col("modality") == m).drop("modality"), asked, top_k, doc_types, expand, exact_filter=m == "visual").withColumn("modality", F.lit(m)) for m in kinds]
@@ -88,7 +88,7 @@ class SceneGraph:
 
     def contexts(self, queries: DataFrame, top_k_objects: int = 10, top_k_frames: int = 4, relations: str = "named") -> DataFrame:
         """query_id, text, candidates (ids, best first), context: what a selection sees."""
-        plans = self.analyzed(queries)
+        plans = work.written(self.analyzed(queries), "plans")  # five branches read it; each query is analysed once
         targets = self.search(plans.select("query_id", F.col("target").alias("text")), top_k_objects, ("object",))
         targets = S.ranked(S.fused_mean(targets.select("query_id", "modality", "pos", "score")).withColumnRenamed("fused", "score"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("pos")], top_k_objects)
         asked = plans.filter(F.size("plan.anchor_objects") > 0).select("query_id", F.array_join("plan.anchor_objects", " ").alias("text"))
@@ -135,11 +135,10 @@ class SceneGraph:
         from ..functions.text import location_query
 
         parsed = queries.select("query_id", location_query(F.col("text")).alias("q")).select("query_id", "q.*")
-        typed = []
-        for kind, column in (("floor", "floor"), ("room", "room"), ("object", "object")):
-            asked = parsed.select("query_id", F.coalesce(F.col(column), F.lit("")).alias("text"))
-            typed.append(self.search(asked, 1000, (kind,), modality="text").select("query_id", "pos", "modality", "score"))
-        return S.locate(self.chunks.withColumn("name", F.col("id")), typed[0].unionByName(typed[1]).unionByName(typed[2]), parsed, **limits)
+        part = lambda c: parsed.select("query_id", F.lit(c).alias("kind"), calls.embedded(F.coalesce(F.col(c), F.lit("")), self.provider).alias("qvec"))
+        asked = work.written(part("floor").unionByName(part("room")).unionByName(part("object")), "located")
+        return S.locate(self.chunks.withColumn("name", F.col("id")), self.vectors, asked, parsed, **limits)
+
 
 
 def embedded(chunks: DataFrame, provider: str = "offline", cached: DataFrame | None = None, model: str = "offline") -> DataFrame:

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of our own where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/scene-work"
+    """spark.checkpoint.dir; where it is unset, a temporary folder of our own in local mode and an error on a cluster, whose executors would not see it."""
+    if named := spark.conf.get("spark.checkpoint.dir", ""):
+        return named
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/scene-work"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

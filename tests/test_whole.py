@@ -77,7 +77,7 @@ def test_every_20th_row_is_a_query_and_blocks_do_not_matter(spark, tmp_path, mon
     runs = []
     for most in (4096, 7):
         monkeypatch.setattr(S, "QUERIES_AT_ONCE", most)
-        runs.append([sorted((r.query_id, r["rank"], r.pos) for r in catalogue.QUERIES[f"{name}_all"](spark, at).collect()) for name in ("vec_topk_multi", "rank_zsum")])
+        runs.append([sorted((r.query_id, r["rank"], r.pos) for r in catalogue.QUERIES[name](spark, at).collect()) for name in ("vec_topk_multi", "rank_zsum")])
     assert runs[0] == runs[1]
     asked = np.flatnonzero(ids % 20 == 0)
     best = np.argsort(-(x[asked] @ x.T), axis=1)[:, :5]
@@ -107,13 +107,13 @@ def test_whole_texts(spark, tmp_path):
     for name, df in tables.items():
         df.write.parquet(f"file://{tmp_path}/{name}.parquet")
     at = f"file://{tmp_path}"
-    got = {r.id: r.content for r in catalogue.QUERIES["chunk_build_whole"](spark, at).collect()}
+    got = {r.id: r.content for r in catalogue.QUERIES["chunk_build"](spark, at).collect()}
     assert len(got) == 1 + 25 + 4 + 1
     assert all(got[f"frame_{i}_{i}"] == (f"{t}\n" if t else "") + "en; web" for i, t in texts.items())
     assert got["part_30"].startswith("Object: box. Attributes: B; TIN.")
-    ids = {r.doc_id: r.id for r in catalogue.QUERIES["safe_id_whole"](spark, at).collect()}
+    ids = {r.doc_id: r.id for r in catalogue.QUERIES["safe_id"](spark, at).collect()}
     assert ids[1] != ids[2] and ids[1][:70] == ids[2][:70] and all(len(i) <= 80 for i in ids.values())
-    content = {r.doc_id: r.content for r in catalogue.QUERIES["embedding_input_whole"](spark, at).collect()}
+    content = {r.doc_id: r.content for r in catalogue.QUERIES["embedding_input"](spark, at).collect()}
     assert content == {i: t.replace("\n", " ")[:30_000] for i, t in texts.items()}
 
 

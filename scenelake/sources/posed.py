@@ -5,9 +5,9 @@
 
 Only names are listed when the query is planned. The options first, last and
 every choose the frames before any file is opened, and each task opens the
-files of its own frames. Conditions are not pushed into the source: Spark 4.1
-keeps one reader for a loaded DataFrame, with what the first query on it has
-pushed, so a second query would miss frames.
+files of its own frames. Conditions are not pushed into the source: with Spark
+4.1.2, a query on a loaded DataFrame that pushed nothing got the partitions of
+an earlier query on it that had pushed a condition, and so missed frames.
 """
 
 from __future__ import annotations

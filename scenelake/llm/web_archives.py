@@ -10,8 +10,10 @@ Records with equal payloads of at least `least` bytes: that with the smallest
 page_id is a response, the others are revisits that refer to it, also where
 rows repeat a page_id. So each row gives one record, and a payload is stored
 once, but for rows without a page_id: those revisit a page that has one, and are
-responses where none has. A null html is an empty payload, a null url
-about:blank. Other columns are not looked at.
+responses where none has. Of rows that repeat page_id and payload, that with the
+smallest url is the response (null last); rows equal in all three are alike. A
+null html is an empty payload, a null url about:blank. Other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -26,14 +28,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import shared_files
 
-#: Payload in a package, and for a partition of the writers.
-PACKAGE_BYTES, PART_BYTES = 64 << 20, 32 << 20
+#: Payload in a package; bytes of equal payloads that may meet in one task; rows that are repeated in one.
+PACKAGE_BYTES, HOT_BYTES, REPEATED = 64 << 20, 64 << 20, 10_000
+COLUMNS = ["page_id", "url", "html", "size", "sha1", "refers_to"]
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 
 
@@ -50,9 +53,10 @@ def page_of(name: str) -> int | None:
     return int(number) if number else None
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A response record, or a revisit that has only the HTTP head."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, size: int | None = None, sha1: str | None = None) -> bytes:
+    """A response record, or a revisit that has only the HTTP head; a revisit may give its payload's size and SHA-1 (base32) instead."""
+    size, sha1 = (len(payload), digest(payload)) if sha1 is None else (size, sha1)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http if refers_to is not None else http + payload
     uri = "".join(c for c in url or "about:blank" if c >= " " and c != "\x7f")
     head = [
@@ -61,7 +65,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
         f"WARC-Record-ID: {record_id(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{sha1}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
@@ -180,27 +184,57 @@ class Package:
         self.file.close()
 
 
-def with_referents(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to, null for responses.
+def with_referents(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
+    """page_id, url, html, size, sha1 (hex) and refers_to: responses have html and no refers_to, revisits size and sha1 instead of html.
 
     Equal payloads meet only in counts: the smallest page_id of each digest is
-    aggregated before rows move, and only digests of several rows are joined
-    back, those of very many rows without moving them.
+    aggregated before rows move and written once. Only digests of several rows
+    are joined back, those of many bytes without moving them. The rows that
+    repeat their response's page_id and payload are counted by url and dealt
+    out again in small numbers, without html, so that no task gets them all.
     """
+    folder = folder or X.workdir(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    pages = pages.withColumn("key", F.when(F.octet_length("html") >= least, F.sha2(F.col("html").cast("binary"), 256)))
-    ids = pages.filter("key is not null").groupBy("key", "page_id").agg(F.count("*").alias("same"))
+    pages = pages.withColumn("size", F.octet_length("html").cast("long"))
+    pages = pages.withColumn("key", F.when(F.col("size") >= least, F.sha2(F.col("html").cast("binary"), 256)))
+    held = (F.col("size") + F.coalesce(F.octet_length("url"), F.lit(0)) + 64).alias("held")
+    ids = pages.select("key", "page_id", held).filter("key is not null")
+    ids = ids.groupBy("key", "page_id").agg(F.count("*").alias("same"), F.sum("held").alias("held"))
     first = F.min_by(F.struct("page_id", "same"), F.struct(F.col("page_id").isNull(), "page_id"))
-    keys = ids.groupBy("key").agg(first.alias("x"), F.sum("same").alias("w")).filter("w > 1 and x.page_id is not null")
-    keys = keys.select("key", F.col("x.page_id").alias("first"), F.col("x.same").alias("same"), "w")
-    joined = X.spread_join(pages, keys, "key", "w", pages.count(), how="left")
+    keys = ids.groupBy("key").agg(first.alias("x"), F.sum("same").alias("w"), F.sum("held").alias("held")).filter("w > 1 and x.page_id is not null")
+    keys = X.saved(keys.select("key", F.col("x.page_id").alias("first"), F.col("x.same").alias("same"), "held"), folder, "repeated-payloads")
+    total = keys.agg(F.sum("held")).first()[0] or 0
+    joined = X.spread_join(pages, keys, "key", "held", total, HOT_BYTES, how="left")
     at_first = F.col("page_id").eqNullSafe(F.col("first"))
-    out = joined.withColumn("refers_to", F.when(~at_first, F.col("first")))
-    if not keys.filter("same > 1").isEmpty():  # rows that repeat the response's page_id and payload
-        twice = at_first & (F.coalesce("same", F.lit(0)) > 1)
-        again = out.filter(twice).withColumn("refers_to", F.when(F.row_number().over(Window.partitionBy("key").orderBy("url")) > 1, F.col("first")))
-        out = out.filter(~twice).unionByName(again)
-    return out.select("page_id", "url", "html", "refers_to")
+    twice = at_first & (F.coalesce("same", F.lit(0)) > 1)
+    refers_to = F.when(~at_first, F.col("first"))
+    html = F.when(refers_to.isNull(), F.col("html"))
+    sha1 = F.when(refers_to.isNotNull(), F.sha1(F.col("html").cast("binary")))
+    out = joined.filter(~twice).select("page_id", "url", html.alias("html"), "size", sha1.alias("sha1"), refers_to.alias("refers_to"))
+    if keys.filter("same > 1").isEmpty():
+        return out
+    return out.unionByName(_repeats(joined.filter(twice), folder))
+
+
+def _repeats(rows: DataFrame, folder: str) -> DataFrame:
+    """One response for each key, and revisits for its other rows; all rows of a key have one page_id and payload."""
+    spark = rows.sparkSession
+    sha1 = F.sha1(F.col("html").cast("binary")).alias("sha1")
+    counts = rows.select("key", "page_id", "url", "size", sha1).groupBy("key", "page_id", "url", "size", "sha1").agg(F.count("*").alias("n"))
+    counts = X.saved(counts, folder, "repeated-rows")
+    least = F.min_by(F.struct("url"), F.struct(F.col("url").isNull(), "url"))
+    winners = counts.groupBy("key").agg(least.alias("least"), F.count("*").alias("urls"))
+    bodies = rows.groupBy("key", "page_id", "size").agg(F.first("html").alias("html"))
+    none = F.lit(None)
+    responses = bodies.join(winners, "key").select("page_id", F.col("least.url").alias("url"), "html", "size", none.cast("string").alias("sha1"), none.cast("long").alias("refers_to"))
+    n_rows, n_urls = counts.agg(F.sum("n"), F.count("*")).first()
+    others = X.spread_join(counts, winners, "key", "urls", n_urls)
+    others = others.withColumn("n", F.col("n") - F.col("url").eqNullSafe(F.col("least.url")).cast("long")).filter("n > 0")
+    # first in portions, which are spread, then each portion's rows
+    others = others.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATED))))
+    others = others.repartition(max(X.deal(spark, 0), (n_rows or 0) // (10 * REPEATED)), "key", "url", "k")
+    others = others.withColumn("i", F.explode(F.sequence(F.col("k") * REPEATED + 1, F.least("n", (F.col("k") + 1) * REPEATED))))
+    return responses.unionByName(others.select("page_id", "url", none.cast("string").alias("html"), "size", "sha1", F.col("page_id").alias("refers_to")))
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
@@ -221,21 +255,21 @@ def write(pages: DataFrame, folder: str, least: int = 0, package_bytes: int = PA
             return pa.RecordBatch.from_pylist([{"path": path, "records": len(index)}], pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                payload = html.encode()
+            for page_id, url, html, n, sha1, refers_to in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
+                body = record(page_id, url, html.encode(), None) if refers_to is None else record(page_id, url, b"", refers_to, n, base64.b32encode(bytes.fromhex(sha1)).decode())
                 packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-                data = packer.compress(record(page_id, url, payload, refers_to)) + packer.flush()
+                data = packer.compress(body) + packer.flush()
                 entry = {"page_id": page_id, "filename": ARCHIVE, "offset": warc.tell(), "length": len(data)}
                 index.append(f"page:{'-' if page_id is None else page_id} 19700101000000 {json.dumps(entry)}\n".encode())
                 warc.write(data)
-                size += len(payload)
+                size += len(body)
                 if size >= package_bytes:
                     yield put()
                     warc, index, size, k = io.BytesIO(), [], 0, k + 1
         if index:
             yield put()
 
-    return X.saved(with_referents(pages, least).select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long"), folder, "packages-list")
+    return X.saved(with_referents(pages, least, folder).select(*COLUMNS).mapInArrow(run, "path string, records long"), folder, "packages-list")
 
 
 def read(spark: SparkSession, packages: DataFrame) -> DataFrame:

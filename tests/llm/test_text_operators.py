@@ -154,6 +154,30 @@ def test_archives_of_repeated_and_null_ids(spark):
     assert kinds[7, "response", None] == 1 and kinds[7, "revisit", 7] == 2 and kinds[None, "revisit", 3] == 1 and kinds[None, "response", None] == 2
 
 
+def test_rows_of_one_page_are_spread(spark, monkeypatch):
+    """Half of the rows have one page_id and payload, in part one url; no task gets more than a few times the mean."""
+    monkeypatch.setattr(web_archives, "REPEATED", 50)
+    monkeypatch.setattr(web_archives, "HOT_BYTES", 2000)
+    monkeypatch.setattr(exchange, "deal", lambda *_: 16)
+    rows = [(-1, None if i % 5 == 0 else "u" if i % 3 else f"v{i}", "hot") for i in range(3000)] + [(i, "u", f"cold {i % 2500}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    dealt = web_archives.with_referents(pages)
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) <= 1000
+    got = web_archives.read(spark, web_archives.write(pages, exchange.workdir(spark))).collect()
+    assert Counter((r.page_id, r.url) for r in got) == Counter((i, u or "about:blank") for i, u, _ in rows)
+    assert [r.url for r in got if r.page_id == -1 and r.record_type == "response"] == ["u"]
+    assert all((r.payload_bytes, r.payload_digest, r.refers_to) == (3, base64.b32encode(hashlib.sha1(b"hot").digest()).decode(), None if r.record_type == "response" else -1) for r in got if r.page_id == -1)
+    assert all(r.refers_to == (r.page_id - 2500 if r.page_id >= 2500 else None) for r in got if r.page_id >= 0)
+
+
+def test_token_files_of_one_id_are_spread(spark):
+    docs = spark.createDataFrame([(None if i % 2 else i, f"text {i}") for i in range(4000)], "doc_id long, text string").repartition(4)
+    parts = Counter()
+    for r in token_files.write(docs, BPE, exchange.workdir(spark)).collect():
+        parts[r.part] += r.n_docs
+    assert sum(parts.values()) == 4000 and max(parts.values()) <= 3 * 4000 / len(parts)
+
+
 def test_zip64(tmp_path):
     path = tmp_path / "a.wacz"
     with path.open("wb") as out:

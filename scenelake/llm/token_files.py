@@ -10,7 +10,8 @@ up the places of its ranks' bytes, so decoding is one masked copy in numpy.
 
 Ranks are per shard: each file can be read alone, and one pass over the corpus
 writes them all. Documents without doc_id come first; equal ids are in the
-order of their texts. Null and empty texts hold only the end id.
+order of a hash of their texts, then of the texts, so that the sort can split
+them between tasks. Null and empty texts hold only the end id.
 """
 
 from __future__ import annotations
@@ -145,7 +146,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2) -> Dat
         if held:
             yield put()
 
-    ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ids, mark = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").alias("mark")
+    ordered = docs.select("doc_id", "text", mark).repartitionByRange(parts, ids, "mark").sortWithinPartitions(ids, "mark", "text").drop("mark")
     return X.saved(ordered.mapInArrow(run, MANIFEST), folder, "manifest")
 
 

@@ -20,6 +20,7 @@ from ..functions import vectors as V
 from ..operators import chunks as C
 from ..operators import clustering as K
 from ..operators import evaluation as E
+from ..operators import mask_runs as MR
 from ..operators import masks as M
 from ..operators import objects as O
 from ..operators import points as P
@@ -450,6 +451,69 @@ def nms_fold(spark, sf_dir):
     return M.suppressed(rows, "image").select("image.label", "pos")
 
 
+def _mask_rows(spark, sf_dir):
+    """A diamond for each vector, in the image of its label and block of 500 ids."""
+    e = F.col("embedding")
+    at = lambda k: F.floor(e[k].cast("double") * 40) + 64
+    image = F.struct("label", F.floor(F.col("vec_id") / 500).alias("of")).alias("image_id")
+    return table(spark, sf_dir, "embeddings").select(image, F.col("vec_id").alias("id"), at(0).alias("cx"), at(1).alias("cy"), (F.col("vec_id") % 9 + 4).alias("r"), e[4].cast("double").alias("score"))
+
+
+def _mask_runs(rows):
+    """A run for each of its lines."""
+    lines = rows.withColumn("k", F.explode(F.sequence(-F.col("r"), F.col("r"))))
+    half = F.col("r") - F.abs("k")
+    return lines.select("image_id", "id", (F.col("cy") + F.col("k")).alias("y"), (F.col("cx") - half).alias("x0"), (F.col("cx") + half + 1).alias("x1"))
+
+
+_MASKS = """m AS (SELECT label, vec_id // 500 AS of, vec_id AS id, CAST(floor(CAST(embedding[1] AS DOUBLE) * 40) AS BIGINT) + 64 AS cx, CAST(floor(CAST(embedding[2] AS DOUBLE) * 40) AS BIGINT) + 64 AS cy, vec_id % 9 + 4 AS r, CAST(embedding[5] AS DOUBLE) AS score FROM embeddings),
+  px AS (SELECT label, of, id, cy + k AS y, unnest(range(cx - (r - abs(k)), cx + (r - abs(k)) + 1)) AS x FROM (SELECT *, unnest(range(-r, r + 1)) AS k FROM m))"""
+
+
+@query(f"""WITH {_MASKS}, n AS (SELECT id, count(*) AS n FROM px GROUP BY id),
+  s AS (SELECT a.id AS a, b.id AS b, count(*) AS s FROM px a JOIN px b ON a.label = b.label AND a.of = b.of AND a.y = b.y AND a.x = b.x AND a.id <> b.id GROUP BY ALL),
+  w AS (SELECT s.b AS id, list(s.a) AS over FROM s JOIN n na ON na.id = s.a JOIN n nb ON nb.id = s.b JOIN m ma ON ma.id = s.a JOIN m mb ON mb.id = s.b
+    WHERE s.s / (na.n + nb.n - s.s + 1e-6) > 0.3 AND (ma.score > mb.score OR ma.score = mb.score AND ma.id < mb.id) GROUP BY s.b),
+  l AS (SELECT label, of, list({{'p': m.id, 'over': coalesce(over, [])}} ORDER BY score DESC, m.id) AS b FROM m LEFT JOIN w ON w.id = m.id GROUP BY label, of),
+  k AS (SELECT label, list_reduce(list_transform(b, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: list_contains(y[1].over, k.p))) > 0 THEN acc ELSE list_concat(acc, y) END) AS kept FROM l)
+  SELECT label, u.p AS id FROM (SELECT label, unnest(kept) AS u FROM k)""")
+def mask_nms(spark, sf_dir):
+    rows = _mask_rows(spark, sf_dir)
+    return MR.suppressed_masks(_mask_runs(rows), rows.select("image_id", "id", "score"), 0.3).select("image_id.label", "id")
+
+
+@query(f"""WITH {_MASKS}, p AS (SELECT a.id, b.id AS j,
+    greatest(least(a.cx + a.r, b.cx + b.r) + 1 - greatest(a.cx - a.r, b.cx - b.r), 0) * greatest(least(a.cy + a.r, b.cy + b.r) + 1 - greatest(a.cy - a.r, b.cy - b.r), 0) AS s,
+    (2 * a.r + 1) * (2 * a.r + 1) AS aa, (2 * b.r + 1) * (2 * b.r + 1) AS ab FROM m a JOIN m b ON a.label = b.label AND a.of = b.of AND a.id <> b.id),
+  i AS (SELECT id, list(j) AS inside FROM p WHERE CAST(s AS DOUBLE) > CAST(0.8 AS DOUBLE) * ab AND CAST(s AS DOUBLE) < CAST(0.7 AS DOUBLE) * aa GROUP BY id),
+  c AS (SELECT label, of, y, x, list(px.id) AS ids, list({{'id': px.id, 'inside': coalesce(inside, [])}} ORDER BY px.id) AS m FROM px LEFT JOIN i ON i.id = px.id GROUP BY label, of, y, x),
+  f AS (SELECT label, y, x, list_filter(m, lambda e: len(list_filter(e.inside, lambda j: j > e.id AND list_contains(ids, j))) = 0) AS m FROM c),
+  k AS (SELECT label, y, x, list_reduce(list_transform(m, lambda e: [e]), lambda acc, e: CASE WHEN len(list_filter(acc, lambda d: list_contains(e[1].inside, d.id))) > 0 THEN acc ELSE list_concat(acc, e) END) AS m FROM f WHERE len(m) > 0)
+  SELECT label, u.id AS id, count(*) AS n, CAST(sum(y * 1000 + x) AS BIGINT) AS places FROM (SELECT label, y, x, unnest(m) AS u FROM k) GROUP BY ALL""")
+def mask_subtract(spark, sf_dir):
+    rows = _mask_rows(spark, sf_dir)
+    r = F.col("r")
+    boxes = rows.select("image_id", "id", (F.col("cx") - r).alias("x1"), (F.col("cy") - r).alias("y1"), (F.col("cx") + r + 1).alias("x2"), (F.col("cy") + r + 1).alias("y2"))
+    left = MR.subtracted_in_turn(_mask_runs(rows), boxes)
+    n = F.col("x1") - F.col("x0")
+    places = n * F.col("y") * 1000 + ((F.col("x0") + F.col("x1") - 1) * n / 2).cast("long")
+    return left.groupBy("image_id.label", "id").agg(F.sum(n).alias("n"), F.sum(places).alias("places"))
+
+
+@query(f"""WITH {_MASKS}, o AS (SELECT id, x * 128 + y AS p FROM px), g AS (SELECT id, p, p - row_number() OVER (PARTITION BY id ORDER BY p) AS g FROM o),
+  r AS (SELECT id, min(p) AS first, count(*) AS n FROM g GROUP BY id, g), q AS (SELECT id, first, n, first - coalesce(lag(first + n) OVER (PARTITION BY id ORDER BY first), 0) AS gap FROM r),
+  t AS (SELECT id, flatten(list([gap, n] ORDER BY first)) AS c, max(first + n) AS last FROM q GROUP BY id),
+  u AS (SELECT id, CASE WHEN last < 16384 THEN list_append(c, 16384 - last) ELSE c END AS c FROM t),
+  d AS (SELECT id, list_transform(range(1, len(c) + 1), lambda i: c[i] - CASE WHEN i > 3 THEN c[i - 2] ELSE 0 END) AS d FROM u),
+  e AS (SELECT id, list_transform(d, lambda v: [v, list_filter(range(1, 7), lambda n: v >= -(1::BIGINT << (5 * n - 1)) AND v < (1::BIGINT << (5 * n - 1)))[1]]) AS e FROM d)
+  SELECT id, array_to_string(list_transform(e, lambda v: array_to_string(list_transform(range(0, v[2]), lambda k: chr(CAST(((CAST(floor(v[1] / pow(32, k)) AS BIGINT) % 32 + 32) % 32 + 48 + CASE WHEN k < v[2] - 1 THEN 32 ELSE 0 END) AS INTEGER))), '')), '') AS text FROM e""")
+def mask_coco(spark, sf_dir):
+    rows = _mask_rows(spark, sf_dir)
+    pixels = MR.run_pixels(_mask_runs(rows)).select(F.col("id").alias("mask_id"), "y", "x")
+    counts = M.run_lengths(pixels, rows.select(F.col("id").alias("mask_id"), F.lit(128).alias("h"), F.lit(128).alias("w")))
+    return counts.select(F.col("mask_id").alias("id"), MR.coco_text(F.col("counts")).alias("text"))
+
+
 def _roles(spark, sf_dir):
     e = F.col("embedding")
     rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("query_id"), F.when(F.col("label") < 5, "target").otherwise("anchor").alias("role"), F.col("vec_id").alias("pos"), e[6].cast("double").alias("score"), *((e[k].cast("double") * 4).alias(c) for k, c in enumerate("xyz")), F.abs(e[3].cast("double")).alias("h"))

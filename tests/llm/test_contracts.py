@@ -109,3 +109,36 @@ def test_op10(spark, folder):
         seen |= {h or ""} if response else set()
         want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if response else "revisit", None if response else at))
     assert Counter(got) == Counter(want)
+
+
+def test_op6(spark, folder):
+    """All but the model's own score, which is checked against a plain model elsewhere."""
+    import math
+    import re
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    end = object()
+    tokens = [(i, zlib.crc32(str(i).encode()) % 7 == 2, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), end]) for i, t, *_ in folder[1]]
+    c = Counter(w for _, held, ws in tokens if not held for w in ws)
+    n, v = sum(c.values()), len(c)
+    got = sorted(result(spark, folder, "op6_language_model", ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+    want = sorted((i, held, len(ws), sum(w in c for w in ws), n, sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in ws)) for i, held, ws in tokens)
+    assert [g[:5] for g in got] == [w[:5] for w in want] and any(w[1] for w in want)
+    assert all(g[5] == pytest.approx(w[5], rel=1e-9) and g[6] <= 0 and math.isfinite(g[6]) for g, w in zip(got, want, strict=True))
+
+
+def test_op9(spark, folder):
+    import re
+
+    sets = []
+    for i, t, *_ in folder[1]:
+        w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets.append((i, {tuple(w[k : k + 2]) for k in range(max(len(w) - 1, 1))} if w else set()))
+    label = {i: i for i, _ in sets}
+    for _ in sets:  # the smallest id reaches all in as many rounds as there are rows at most
+        for i, a in sets:
+            for j, b in sets:
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = result(spark, folder, "op9_near_duplicates", ["doc_id", "n_shingles", "component_id", "kept"])
+    assert Counter(got) == Counter((i, len(s), label[i], label[i] == i) for i, s in sets)

@@ -6,8 +6,10 @@ bisection; so each window of an item has the range of places where it occurs.
 Windows that follow one another in a document and in an item at once are one
 maximal verbatim match, of whatever length; it comes with its item, its first
 word in the document and its words. Items are searched in stated sets of
-bounded size, so the benchmark may grow: each set is sent to the workers, and
-what the sets find is merged by document.
+bounded size, so the benchmark may grow: Spark writes each set into the shared
+folder, and a shard reads one after the other, so documents are read once.
+Within a set each distinct window is searched once, whatever the number of
+items that share it; items are named a few documents at a time.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower
 case. A window is `width` consecutive words of an item, or all words of a
@@ -18,6 +20,8 @@ ids are apart, rows of items with equal ids are one item if any of them occurs.
 from __future__ import annotations
 
 import functools
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from . import shared_files
 from . import splitting as S
 
 #: Bytes of item texts that are searched at once, and of documents in a shard.
 SET_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 
+#: Pairs of a place and an item that holds its window, in memory at once.
+EXPANDED = 1 << 20
+
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Starts, ends, words per text, and the words, lower case."""
@@ -42,27 +50,48 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Arra
 
 
 class Items:
-    """A set of test items: their words as numbers, and each distinct window."""
+    """A set of test items: their words as numbers, and their distinct windows, each with the suffixes that begin with it (members).
+
+    Windows are equal if their words are, so a window that many items share is
+    searched once. names are the items' distinct ids, sorted; an item without an
+    id has none (-1).
+    """
 
-    def __init__(self, item_ids: list, texts: list[str | None], width: int):
-        _, _, counts, words = _words(pa.array(texts, pa.large_string()))
+    def __init__(self, item_ids: list[str | None], texts: pa.Array, width: int):
+        _, _, counts, words = _words(texts)
         found = words.dictionary_encode()
-        self.vocabulary, codes = found.dictionary, found.indices.to_numpy().astype(np.int64)
-        self.codes, self.width, self.ids = codes, width, item_ids
-        ends = np.cumsum(counts)
-        starts = ends - counts
+        self.vocabulary, self.width = found.dictionary, width
+        codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n, ends = len(codes), np.cumsum(counts)
+        left = np.repeat(ends, counts) - np.arange(n)  # words to the item's end
+        first = np.arange(n) == np.repeat(ends - counts, counts)
+        window = np.where(np.repeat(counts < width, counts), np.where(first, left, 0), np.where(left >= width, width, 0))
+        at = np.flatnonzero(window)
+        padded = np.append(codes, np.zeros(width, np.int64))
+        name = np.zeros(len(at), np.int64)
+        for k in range(width):  # windows are named word by word
+            code = np.where(k < window[at], padded[at + k] + 1, 0)
+            name = np.unique(name * (len(self.vocabulary) + 1) + code, return_inverse=True)[1].reshape(-1)
+        order = np.argsort(name, kind="stable")
+        self.members = at[order]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(name))]).astype(np.int64)
+        self.one = self.members[self.bounds[:-1]]  # a suffix of each window
+        self.codes, self.length = codes, window[self.one]
         self.item = np.repeat(np.arange(len(counts)), counts)  # of each suffix
-        self.left = np.repeat(ends, counts) - np.arange(len(codes))  # words to the item's end
-        self.short = np.repeat(counts < width, counts)
-        first = np.arange(len(codes)) == np.repeat(starts, counts)
-        self.window = np.where(self.short, np.where(first, self.left, 0), np.where(self.left >= width, width, 0))
-
-
-def sorted_suffixes(codes: np.ndarray, which: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at `which`, sorted by their first `depth` codes, and those codes, a row each. Codes end with `depth` ends of -1."""
-    rows = codes[which[:, None] + np.arange(depth)] + 1
-    order = np.lexsort(rows.T[::-1])
-    return which[order], rows[order]
+        self.names = pa.array(sorted({i for i in item_ids if i is not None}), pa.string())
+        self.name = pc.index_in(pa.array(item_ids, pa.string()), self.names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) if len(self.names) else np.full(len(counts), -1)
+
+    def holders(self, windows: np.ndarray, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes from low to high that begin with each of the windows, in ascending order, and which window each is of."""
+        if high is None:
+            begin, end = self.bounds[windows], self.bounds[windows + 1]
+        else:
+            n = len(self.codes)
+            keys = np.repeat(np.arange(len(self.one)), np.diff(self.bounds)) * n + self.members
+            begin, end = (np.searchsorted(keys, windows * n + x) for x in (low, high))
+        size = end - begin
+        which = np.repeat(np.arange(len(windows)), size)
+        return self.members[begin[which] + np.arange(len(which)) - (np.cumsum(size) - size)[which]], which
 
 
 def search(rows: np.ndarray, keys: np.ndarray, k: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,88 +109,114 @@ def search(rows: np.ndarray, keys: np.ndarray, k: np.ndarray, low: np.ndarray, h
     return out[0], out[1]
 
 
-def matches(items: Items, words: pa.Array, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """All places of windows in a shard: place, length, item, and the window's first word among the items' (suffix).
+def places(items: Items, found: pa.DictionaryArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows occur in a shard of words, in ascending order, and which windows these are.
 
-    Only suffixes that begin with two words that some item has in this order
-    (or the one word of a one-word item) are sorted; all others match no window.
+    Only suffixes that begin with the first two words of some window (or with a
+    window of one word) are sorted; all others match none. A place has at most
+    one window of each length, so this grows with the shard, not with the items
+    that share a window.
     """
-    depth, n = items.width, len(words)
-    found = words.dictionary_encode()
+    depth, n = items.width, len(found)
+    none = np.zeros(0, np.int64)
+    if not len(items.one) or not n:
+        return none, none
     as_item = pc.index_in(found.dictionary, items.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     codes = np.full(n + depth, -1, np.int64)
-    codes[:n] = as_item[found.indices.to_numpy()]
+    codes[:n] = as_item[found.indices.to_numpy(zero_copy_only=False)]
     ends = np.cumsum(counts)
     size = len(items.vocabulary) + 1
     one = np.zeros(size, bool)
-    one[items.codes[(items.left == 1) & (items.window == 1)]] = True
-    pairs = np.unique(items.codes[:-1] * size + items.codes[1:]) if len(items.codes) > 1 else np.zeros(0, np.int64)
+    one[items.codes[items.one[items.length == 1]]] = True
+    long = items.one[items.length > 1]
+    pairs = np.unique(items.codes[long] * size + items.codes[long + 1])
     at = np.flatnonzero(codes[:n] >= 0)
-    pair = codes[at] * size + codes[at + 1]
-    hit = (codes[at + 1] >= 0) & (pairs[np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))] == pair) if len(pairs) else np.zeros(len(at), bool)
-    at = at[hit | one[codes[at]]]
-    last = ends[np.searchsorted(ends, at, "right")] - at if len(at) else at  # words to the document's end
+    if len(pairs):
+        pair = codes[at] * size + codes[at + 1]
+        hit = (codes[at + 1] >= 0) & (pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] == pair)
+        at = at[hit | one[codes[at]]]
+    else:
+        at = at[one[codes[at]]]
+    if not len(at):
+        return none, none
+    last = ends[np.searchsorted(ends, at, "right")] - at  # words to the document's end
     rows = codes[at[:, None] + np.arange(depth)] + 1
     rows[np.arange(depth) >= last[:, None]] = 0
-    order = np.lexsort(rows.T[::-1]) if len(at) else np.zeros(0, np.int64)
+    order = np.lexsort(rows.T[::-1])
     array, rows = at[order], rows[order]
-    m = len(items.codes)
-    low, high = np.zeros(m, np.int64), np.full(m, len(rows))
-    spans = []
-    alive = np.arange(m)
+    low, high = np.zeros(len(items.one), np.int64), np.full(len(items.one), len(rows))
     for k in range(depth):
-        alive = alive[(items.left[alive] > k) & (low[alive] < high[alive])]
-        if not len(alive) or not len(rows):
+        alive = np.flatnonzero((items.length > k) & (low < high))
+        if not len(alive):
             break
-        a, b = search(rows, items.codes[alive + k] + 1, np.full(len(alive), k), low[alive], high[alive])
-        low[alive], high[alive] = a, b
-        met = alive[a < b]
-        whole = met[items.window[met] == k + 1]
-        spans += [(low[whole], high[whole], np.full(len(whole), k + 1), items.item[whole], whole)]
-    if not spans:
-        none = np.zeros(0, np.int64)
-        return {"place": none, "length": none, "item": none, "suffix": none}
-    low, high, length, item, suffix = (np.concatenate(x) for x in zip(*spans, strict=True))
-    which = np.repeat(np.arange(len(low)), high - low)
-    within = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-    return {"place": array[low[which] + within], "length": length[which], "item": item[which], "suffix": suffix[which]}
-
-
-def maximal(got: dict[str, np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """Rows of document, item, first word in the shard and words: windows one word apart on both sides are one match; equal ones count once."""
-    order = np.lexsort((got["place"], got["place"] - got["suffix"]))
-    place, length, item, suffix = (got[c][order] for c in ("place", "length", "item", "suffix"))
-    doc = np.searchsorted(ends, place, "right")
-    new = np.ones(len(place), bool)
-    new[1:] = (np.diff(place) != 1) | (np.diff(suffix) != 1) | (np.diff(item) != 0) | (np.diff(doc) != 0)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(place))[: len(first)] - 1
-    return np.unique(np.stack([doc[first], item[first], place[first], place[last] + length[last] - place[first]], axis=1), axis=0)
-
-
-def _sets(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
-    """Items in stated sets of at most SET_BYTES, or one item."""
-    ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len((row["text"] or "").encode())
-        if ids and size + n > SET_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        size += n
-    if ids:
-        yield ids, texts
-
-
-SPANS = "row long, doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<string>, matches array<struct<item:string,first:long,words:long>>"
-
-
-def _item_sets(benchmark: DataFrame, width: int) -> list:
-    """The sets, each sent to the workers."""
-    context = benchmark.sparkSession.sparkContext
-    out = [context.broadcast(Items([None if i is None else str(i) for i in ids], texts, width)) for ids, texts in _sets(benchmark)]
-    return out or [context.broadcast(Items([], [], width))]
+        low[alive], high[alive] = search(rows, items.codes[items.one[alive] + k] + 1, np.full(len(alive), k), low[alive], high[alive])
+    size = np.maximum(high - low, 0)
+    which = np.repeat(np.arange(len(low)), size)
+    place = array[low[which] + np.arange(len(which)) - (np.cumsum(size) - size)[which]]
+    order = np.argsort(place, kind="stable")
+    return place[order], which[order]
+
+
+def maximal(items: Items, place: np.ndarray, window: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Columns document, name, first word in the shard and words: windows one word apart on both sides are one match.
+
+    Windows are paired with the items that hold them, about EXPANDED pairs at a
+    time: matches don't cross items, so ranges of items are apart.
+    """
+    weight = int(np.diff(items.bounds)[window].sum())
+    cuts = [0, len(items.codes)]
+    if weight > EXPANDED:
+        held = np.sort(items.holders(np.unique(window))[0])
+        inner = held[np.linspace(0, len(held) - 1, -(-weight // EXPANDED) + 1).astype(int)[1:-1]]
+        inner = np.searchsorted(items.item, items.item[inner])  # the item's first word
+        cuts = np.unique([0, *inner, len(items.codes)]).tolist()
+    out = [np.zeros((4, 0), np.int64)]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        suffix, which = items.holders(window, low, high) if len(cuts) > 2 else items.holders(window)
+        at = place[which]
+        order = np.lexsort((at, at - suffix))
+        at, suffix, length = at[order], suffix[order], items.length[window[which[order]]]
+        item, doc = items.item[suffix], np.searchsorted(ends, at, "right")
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) != 1) | (np.diff(suffix) != 1) | (np.diff(item) != 0) | (np.diff(doc) != 0)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        out.append(np.stack([doc[first], items.name[item[first]], at[first], at[last] + length[last] - at[first]]))
+    return np.concatenate(out, axis=1)
+
+
+def _distinct(columns: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """Columns in the order of by (the first counts most), equal ones once."""
+    columns = columns[:, np.lexsort(by[::-1])]
+    new = np.ones(columns.shape[1], bool)
+    new[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
+    return columns[:, new]
+
+
+def item_sets(benchmark: DataFrame, width: int) -> list[str]:
+    """Files of the items in sets of about SET_BYTES, or one item, written by Spark into the shared folder; the driver gets their names."""
+    folder, limit = X.workdir(benchmark.sparkSession), SET_BYTES
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in X.blocks(batches, limit):
+            path = f"{folder}/{uuid.uuid4().hex}.items"
+            with shared_files.written(path) as out:
+                out.write(pickle.dumps(Items(table.column("item_id").to_pylist(), table.column("text"), width)))
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    n = max(1, -(-X.text_bytes(texts) // limit))
+    return sorted(r["path"] for r in texts.repartition(n).mapInArrow(run, "path string").collect())
+
+
+@functools.lru_cache(maxsize=1)
+def _loaded(path: str) -> Items:
+    system, at = shared_files.opened(path)
+    with system.open_input_file(at) as f:
+        return pickle.loads(f.read())
+
+
+SPANS = "doc_id long, n_words long, n_hit long, hits array<struct<first:long,last:long>>, items array<string>, matches array<struct<item:string,first:long,words:long>>"
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -169,83 +224,87 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFram
 
     matches: each maximal verbatim match of at least a window, with its item,
     first word in the document (from 0) and number of words, the longest first.
+    Words of an item without an id are hit and matched (item null), but it is in
+    no document's items. A document with many matches is one row with all of them.
     """
-    sets = _item_sets(benchmark, width)
-    docs = docs.select("doc_id", "text")
-    if len(sets) == 1:
-        out = _with(docs, sets[0])
-    else:  # rows are numbered, so that what the sets find meets again
-        docs = X.saved(docs.withColumn("row", F.monotonically_increasing_id()), X.workdir(docs.sparkSession), "rows")
-        out = functools.reduce(DataFrame.unionByName, (_with(docs, s) for s in sets))
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"))
-        out = out.withColumn("hits", F.expr(_UNION)).withColumn("matches", F.expr(_LONGEST_FIRST))
-    return out.select("doc_id", "n_words", F.expr("aggregate(hits, 0L, (n, x) -> n + x.last - x.first)").alias("n_hit"), "hits", "items", "matches")
-
+    paths, shard = item_sets(benchmark, width), SHARD_BYTES
 
-#: Spans in order, without overlaps.
-_UNION = """aggregate(array_sort(hits), cast(array() as array<struct<first:bigint,last:bigint>>), (done, x) ->
-    if(size(done) > 0 and element_at(done, -1).last >= x.first,
-       concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, x.last)))),
-       concat(done, array(x))))"""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in X.blocks(batches, shard):
+            _, _, counts, words = _words(table.column("text"))
+            yield from _reports(table.column("doc_id").combine_chunks(), words.dictionary_encode(), counts, paths)
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPANS)
 
-_LONGEST_FIRST = "transform(array_sort(transform(matches, x -> named_struct('n', -x.words, 'first', x.first, 'item', x.item, 'words', x.words))), x -> named_struct('item', x.item, 'first', x.first, 'words', x.words))"
 
+def _lists(doc: np.ndarray, low: int, high: int, values: pa.Array) -> pa.ListArray:
+    """The values of documents low to high, which are in order, as a list each."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(low, high + 1)), pa.int32()), values)
 
-def _with(docs: DataFrame, sent) -> DataFrame:
-    """What one set of items finds. A column row, if there is one, is kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item", pa.string()), ("first", pa.int64()), ("words", pa.int64())])))])
-        for _, table in X.blocks(batches, SHARD_BYTES):
-            _, _, counts, words = _words(table.column("text"))
-            got = matches(items, words, counts)
-            ends = np.cumsum(counts)
-            starts, n = ends - counts, len(words)
-            cover = np.zeros(n + 1, np.int64)
-            np.add.at(cover, got["place"], 1)
-            np.add.at(cover, got["place"] + got["length"], -1)
-            hit = np.cumsum(cover[:-1]) > 0
-            first, last = hit.copy(), hit.copy()
-            first[1:] &= ~hit[:-1]
-            last[:-1] &= ~hit[1:]
-            some = counts > 0
-            first[starts[some]] |= hit[starts[some]]
-            last[ends[some] - 1] |= hit[ends[some] - 1]
-            a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-            spans: dict[int, list] = {}
-            for d, x, y in zip(np.searchsorted(ends, a, "right").tolist(), a.tolist(), b.tolist(), strict=True):
-                spans.setdefault(d, []).append({"first": x - int(starts[d]), "last": y - int(starts[d])})
-            names: dict[int, set] = {}
-            if len(got["place"]):
-                pairs = np.unique(np.stack([np.searchsorted(ends, got["place"], "right"), got["item"]]), axis=1)
-                for d, i in pairs.T.tolist():
-                    names.setdefault(d, set()).add(items.ids[i])
-            found: dict[int, list] = {}
-            for d, i, x, size in maximal(got, ends).tolist():
-                found.setdefault(d, []).append({"item": None if items.ids[i] is None else str(items.ids[i]), "first": x - int(starts[d]), "words": size})
-            ids = table.column("doc_id").to_pylist()
-            rows = table.column("row").to_pylist() if "row" in table.column_names else [None] * len(ids)
-            for k in range(0, len(ids), 2000):
-                yield pa.RecordBatch.from_pylist([{"row": rows[d], "doc_id": ids[d], "n_words": int(counts[d]), "hits": spans.get(d, []), "items": sorted(x for x in names.get(d, ()) if x is not None), "matches": sorted(found.get(d, []), key=lambda x: (-x["words"], x["first"], x["item"] or ""))} for d in range(k, min(k + 2000, len(ids)))], schema)
-
-    return docs.mapInArrow(run, SPANS)
+def _reports(doc_ids: pa.Array, found: pa.DictionaryArray, counts: np.ndarray, paths: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of SPANS, some documents at a time, so that what items share is expanded for these alone."""
+    ends = np.cumsum(counts)
+    starts, n, n_docs = ends - counts, len(found), len(counts)
+    cover, weight, got = np.zeros(n + 1, np.int64), np.zeros(n_docs), []
+    for path in paths:
+        items = _loaded(path)
+        place, window = places(items, found, counts)
+        np.add.at(cover, place, 1)
+        np.add.at(cover, place + items.length[window], -1)
+        weight += np.bincount(np.searchsorted(ends, place, "right"), np.diff(items.bounds)[window], n_docs)
+        got.append((path, place, window))
+    hit = np.concatenate([np.cumsum(cover[:-1]) > 0, [False]])
+    edge = np.zeros(n + 1, bool)  # spans don't cross documents
+    edge[starts] = edge[n] = True
+    a = np.flatnonzero(hit & (edge | ~np.roll(hit, 1)))
+    b = np.flatnonzero(np.roll(hit, 1) & (edge | ~hit))
+    spans = np.searchsorted(ends, a, "right")
+    hits = np.bincount(spans, b - a, n_docs).astype(np.int64)
+    low = 0
+    while low < n_docs:
+        high = low + max(1, int(np.searchsorted(np.cumsum(weight[low : low + 2000]), EXPANDED, "right")))
+        names, parts = pa.array([], pa.string()), []
+        for path, place, window in got:
+            x, y = np.searchsorted(place, [starts[low], ends[high - 1]])
+            if x < y:
+                items = _loaded(path)
+                parts.append((items.names, maximal(items, place[x:y], window[x:y], ends)))
+        if len(parts) == 1:
+            names = parts[0][0]
+        elif parts:  # names of all sets together
+            names = pc.unique(pa.concat_arrays([x for x, _ in parts]))
+            names = names.take(pc.sort_indices(names))
+            for known, m in parts:
+                m[1] = np.append(pc.index_in(known, names).to_numpy(zero_copy_only=False), -1).astype(np.int64)[m[1]]
+        m = np.concatenate([np.zeros((4, 0), np.int64), *(x for _, x in parts)], axis=1)
+        m = _distinct(m, m[0], -m[3], m[2], m[1])
+        pairs = _distinct(m[:2, m[1] >= 0], *m[:2, m[1] >= 0])
+        texts = names.take(pa.array(np.where(m[1] < 0, 0, m[1]), mask=m[1] < 0))
+        mine = slice(*np.searchsorted(spans, [low, high]))
+        first, last = a[mine] - starts[spans[mine]], b[mine] - starts[spans[mine]]
+        columns = [
+            doc_ids.slice(low, high - low),
+            pa.array(counts[low:high], pa.int64()),
+            pa.array(hits[low:high]),
+            _lists(spans[mine], low, high, pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["first", "last"])),
+            _lists(pairs[0], low, high, names.take(pa.array(pairs[1]))),
+            _lists(m[0], low, high, pa.StructArray.from_arrays([texts, pa.array(m[2] - starts[m[0]]), pa.array(m[3])], ["item", "first", "words"])),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "hits", "items", "matches"])
+        low = high
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents, with all their columns, in which no window of an item occurs; rows stay where they are."""
-    for sent in _item_sets(benchmark, width):
-        docs = docs.mapInArrow(_clean(sent), docs.schema)
-    return docs
-
+    paths, shard = item_sets(benchmark, width), SHARD_BYTES
 
-def _clean(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in X.blocks(batches, SHARD_BYTES):
+        for _, table in X.blocks(batches, shard):
             _, _, counts, words = _words(table.column("text"))
-            clean = np.ones(len(counts), bool)
-            clean[np.searchsorted(np.cumsum(counts), matches(sent.value, words, counts)["place"], "right")] = False
+            found, clean = words.dictionary_encode(), np.ones(len(counts), bool)
+            for path in paths:
+                clean[np.searchsorted(np.cumsum(counts), places(_loaded(path), found, counts)[0], "right")] = False
             yield from table.filter(pa.array(clean)).to_batches(4000)
 
-    return run
+    return docs.mapInArrow(run, docs.schema)

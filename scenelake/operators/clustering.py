@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -302,36 +302,44 @@ def condensed_clusters(distance: np.ndarray, min_cluster_size: int, min_samples:
     return labels
 
 
+def pose_features(pose: Column) -> Column:
+    """Shift and quaternion of a pose, as one array."""
+    return F.concat(F.array(*(pose[4 * r + 3] for r in range(3))), G.quaternion(pose))
+
+
 def keyframes(poses: DataFrame, min_cluster_size: int = 15, rotation_weight: float = 1.5, min_samples: int | None = None) -> DataFrame:
     """room_id, frame_index of each room's keyframes: medoids of density clusters of scaled poses; all frames where there is no cluster.
 
     poses: room_id, frame_index, pose. A room's frames are one group, some
     thousand by nature; rooms are dealt over the cluster.
     """
-    shift = [F.col("pose")[4 * r + 3] for r in range(3)]
-    rows = poses.select("room_id", "frame_index", F.concat(F.array(*shift), G.quaternion(F.col("pose"))).alias("f"))
+    rows = poses.select("room_id", "frame_index", pose_features(F.col("pose")).alias("f"))
 
     def pick(room: pd.DataFrame) -> pd.DataFrame:
         room = room.sort_values("frame_index").reset_index(drop=True)
-        x = np.array(room["f"].tolist(), np.float64)
-        x[:, 3:] *= rotation_weight
-        x = scaled_features(x)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        unit = x / np.where(size > 0, size, 1)
-        labels = condensed_clusters(np.clip(1 - unit @ unit.T, 0, 2), min_cluster_size, min_samples)
-        out = []
-        for k in range(labels.max() + 1):
-            at = np.flatnonzero(labels == k)
-            d = np.zeros(len(at))
-            for i in range(0, len(at), 256):
-                d[i : i + 256] = np.linalg.norm(x[at[i : i + 256], None] - x[None, at], axis=2).sum(1)
-            out.append(at[np.argmin(np.round(d, 9))])
-        keep = sorted(out) if out else range(len(room))
-        return room.iloc[list(keep)][["room_id", "frame_index"]]
+        keep = representative(np.array(room["f"].tolist(), np.float64), min_cluster_size, rotation_weight, min_samples)
+        return room.iloc[keep][["room_id", "frame_index"]]
 
     return rows.groupBy("room_id").applyInPandas(pick, rows.select("room_id", "frame_index").schema)
 
 
+def representative(x: np.ndarray, min_cluster_size: int = 15, rotation_weight: float = 1.5, min_samples: int | None = None) -> list[int]:
+    """Positions of the medoids of density clusters of poses (shift and quaternion, a row each); all where there is no cluster."""
+    x = x * np.repeat([1, rotation_weight], [3, x.shape[1] - 3])
+    x = scaled_features(x)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(size > 0, size, 1)
+    labels = condensed_clusters(np.clip(1 - unit @ unit.T, 0, 2), min_cluster_size, min_samples)
+    out = []
+    for k in range(labels.max() + 1):
+        at = np.flatnonzero(labels == k)
+        d = np.zeros(len(at))
+        for i in range(0, len(at), 256):
+            d[i : i + 256] = np.linalg.norm(x[at[i : i + 256], None] - x[None, at], axis=2).sum(1)
+        out.append(int(at[np.argmin(np.round(d, 9))]))
+    return sorted(out) if out else list(range(len(x)))
+
+
 def scaled_features(x: np.ndarray) -> np.ndarray:
     """robust_scaled for one room's matrix."""
     x = np.where(np.isfinite(x), x, np.nan)

@@ -9,6 +9,7 @@ for containment. Sums of floating numbers are rounded.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from ..operators import points as P
 from ..operators import relations as R
 from ..operators import retrieval as S
 from ..shipping import ship
+from ..sources.work import folder
+from ..streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -651,8 +654,6 @@ def robust_scale(spark, sf_dir):
   c AS (SELECT *, sum(f) OVER (PARTITION BY label ORDER BY x, vec_id ROWS UNBOUNDED PRECEDING) AS k FROM d)
   SELECT vec_id AS pid, min(vec_id) OVER (PARTITION BY label, k) AS cluster FROM c""")
 def dbscan_grid(spark, sf_dir):
-    from ..sources.work import folder
-
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), F.col("embedding")[0].cast("double").alias("x"), F.col("label").cast("double").alias("apart"))
     return K.dbscan(e, 0.02, 1, folder(spark), dims=("x", "apart"))  # labels are farther apart than any two points that join
 
@@ -756,35 +757,64 @@ def structural_label(spark, sf_dir):
 @query("""WITH d AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 1800000000 THEN 1 ELSE 0 END AS f FROM events), c AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM d)
   SELECT user_id, min(epoch_us(ts)) AS start_us, count(*) AS n FROM c GROUP BY user_id, k""")
 def stream_session(spark, sf_dir):
-    from ..streaming.sessions import sessions
-
-    got = sessions(table(spark, sf_dir, "events"), "user_id", "ts")
+    got = sessions.sessions(table(spark, sf_dir, "events"), "user_id", "ts")
     return got.select("user_id", F.expr("unix_micros(cast(start as timestamp_ltz))").alias("start_us"), "n")
 
 
 @query("""SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY ALL""")
 def stream_dedup_watermark(spark, sf_dir):
-    from ..streaming.sessions import distinct
-
-    return distinct(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type", F.lit(True).alias("seen"))
+    return sessions.distinct(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type", F.lit(True).alias("seen"))
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_windows(spark, sf_dir):
-    from ..streaming.sessions import counts
+    got = sessions.counts(table(spark, sf_dir, "events"), "ts", "1 hour", by=("event_type",))
+    return got.select(F.expr("unix_micros(cast(start as timestamp_ltz))").alias("start_us"), "event_type", "n")
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table may be one file or a folder: a file stream takes both by a pattern, but only folders by name."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events}}.parquet")
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
-    got = counts(table(spark, sf_dir, "events"), "ts", "1 hour", by=("event_type",))
+#: Microseconds of the watermark once all events have been read: the latest event in whole milliseconds, less an hour.
+_WATERMARK = "(SELECT (epoch_ms(max(ts)) - 3600000) * 1000 FROM events)"
+
+
+@query(f"""WITH d AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 1800000000 THEN 1 ELSE 0 END AS f FROM events WHERE ts IS NOT NULL),
+  c AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM d)
+  SELECT user_id, min(epoch_us(ts)) AS start_us, count(*) AS n FROM c GROUP BY user_id, k HAVING max(epoch_us(ts)) + 1800000000 <= {_WATERMARK}""")
+def stream_closed_sessions(spark, sf_dir):
+    """The events as a file stream: the sessions that its watermark closes."""
+    got = sessions.landed(sessions.sessions(_events_stream(spark, sf_dir), "user_id", "ts"), _new_folder(spark, "sessions"))
+    return got.select("user_id", F.expr("unix_micros(cast(start as timestamp_ltz))").alias("start_us"), "n")
+
+
+@query(f"""SELECT * FROM (SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL)
+  WHERE start_us + 3600000000 <= {_WATERMARK}""")
+def stream_closed_windows(spark, sf_dir):
+    """The events as a file stream: the hours that its watermark closes."""
+    got = sessions.landed(sessions.counts(_events_stream(spark, sf_dir), "ts", "1 hour", by=("event_type",)), _new_folder(spark, "windows"))
     return got.select(F.expr("unix_micros(cast(start as timestamp_ltz))").alias("start_us"), "event_type", "n")
 
 
+@query("""SELECT DISTINCT user_id, event_type FROM events""")
+def stream_first_seen(spark, sf_dir):
+    """The events as a file stream: each kind of event of each user once."""
+    return sessions.landed(sessions.distinct(_events_stream(spark, sf_dir), ["user_id", "event_type"], "ts").select("user_id", "event_type"), _new_folder(spark, "seen"))
+
+
 # --- without SQL: kernels and providers; tests compare them with plain versions ---
 
 
 @query()
 def dbscan_cells(spark, sf_dir):
     """All points in three dimensions, with core, border and noise; dbscan_grid is the case in one dimension that SQL can say."""
-    from ..sources.work import folder
-
     return K.dbscan(_points(spark, sf_dir), 0.03, 4, folder(spark))
 
 

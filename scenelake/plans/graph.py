@@ -14,6 +14,7 @@ from ..operators import chunks as C
 from ..operators import objects as O
 from ..operators import relations as R
 from ..operators import retrieval as S
+from ..operators import table_functions
 from ..providers import calls
 from ..sources import work
 
@@ -48,7 +49,8 @@ class SceneGraph:
         return self._vectors
 
     def views(self) -> None:
-        """Every entity as a temporary view, for SQL."""
+        """Every entity as a temporary view, and the kernels as table functions, for SQL."""
+        table_functions.register(self.floors.sparkSession)
         for name in ("floors", "rooms", "keyframes", "objects", "chunks"):
             getattr(self, name).createOrReplaceTempView(name)
 

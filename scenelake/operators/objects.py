@@ -29,43 +29,119 @@ def merged_label(labels: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda x: x != ""))), ", ")
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: float) -> float:
-    """The greater share of points with one of the other cloud closer than the radius, by cells."""
-    if not len(a) or not len(b):
-        return 0.0
-
-    def share(p: np.ndarray, q: np.ndarray) -> float:
-        cells: dict[tuple, list[int]] = {}
-        for i, c in enumerate(map(tuple, np.floor(q / radius).astype(np.int64))):
-            cells.setdefault(c, []).append(i)
-        n = 0
-        for x, (i, j, k) in zip(p, np.floor(p / radius).astype(np.int64).tolist(), strict=True):
-            at = [m for di in (-1, 0, 1) for dj in (-1, 0, 1) for dk in (-1, 0, 1) for m in cells.get((i + di, j + dj, k + dk), ())]
-            n += bool(at) and bool((((q[at] - x) ** 2).sum(1) < radius * radius).any())
-        return n / len(p)
-
-    return max(share(a, b), share(b, a))
+def _hits(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which points (columns) of each cloud have one of the other closer than the radius, a block of points at a time."""
+    near_a, near_b = np.zeros(a.shape[1], bool), np.zeros(b.shape[1], bool)
+    if not near_a.size or not near_b.size:
+        return near_a, near_b
+    slack = radius * (1 + 1e-9)
+    # blocks of a along its greatest side meet slabs of b
+    side = int(np.argmax(a.max(1) - a.min(1)))
+    order_a = np.argsort(a[side], kind="stable")
+    order_b = np.argsort(b[side], kind="stable") if len(order_a) > 256 else None
+    along = b[side] if order_b is None else b[side][order_b]
+    for i in range(0, len(order_a), 64):
+        rows = order_a[i : i + 64]
+        p = a[:, rows]
+        low, high = p.min(1) - slack, p.max(1) + slack
+        if order_b is None:
+            at = np.flatnonzero((along >= low[side]) & (along <= high[side]))
+        else:
+            at = order_b[np.searchsorted(along, low[side]) : np.searchsorted(along, high[side], "right")]
+        for k in range(3):
+            if k != side:
+                v = b[k, at]
+                at = at[(v >= low[k]) & (v <= high[k])]
+        for j in range(0, len(at), 4096):
+            q = at[j : j + 4096]
+            d = (b[0, q] - p[0][:, None]) ** 2
+            d += (b[1, q] - p[1][:, None]) ** 2
+            d += (b[2, q] - p[2][:, None]) ** 2
+            close = d < radius * radius
+            near_a[rows] |= close.any(1)
+            near_b[q] |= close.any(0)
+    return near_a, near_b
 
 
-def _similar(a: np.ndarray, b: np.ndarray, radius: float, box: float) -> float:
-    """Share of near points where the boxes overlap by at least `box`, else 0."""
-    if not len(a) or not len(b):
-        return 0.0
-    lo, hi = np.maximum(a.min(0), b.min(0)), np.minimum(a.max(0), b.max(0))
-    shared = np.prod(np.maximum(hi - lo, 0))
-    va, vb = np.prod(a.max(0) - a.min(0)), np.prod(b.max(0) - b.min(0))
-    if shared <= 0 or va <= 0 or vb <= 0 or max(shared / (va + vb - shared), shared / min(va, vb)) < box:
+def _near(a: np.ndarray, b: np.ndarray, radius: float) -> float:
+    """The greater share of points (columns) with one of the other cloud closer than the radius."""
+    if not a.shape[1] or not b.shape[1]:
         return 0.0
-    return _near(a, b, radius)
-
-
-def _thinned(x: np.ndarray, size: float) -> np.ndarray:
-    if not len(x):
-        return x
-    key = np.floor((x - (x.min(0) - size / 2)) / size).astype(np.int64)
-    _, of = np.unique(key, axis=0, return_inverse=True)
-    of = of.ravel()
-    return np.stack([np.bincount(of, weights=x[:, k]) / np.bincount(of) for k in range(3)], axis=1)
+    return max(float(h.sum()) / len(h) for h in _hits(a, b, radius))
+
+
+#: Voxels along a side that a key holds.
+_SIDE = 1 << 21
+
+
+class _Cloud:
+    """One object's points as columns. Points that join it touch their own voxels, unless its corner moves."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.x, self.keys, self.origin = np.ascontiguousarray(points.T), None, None
+        self._measured()
+
+    def _measured(self) -> None:
+        some = self.x.shape[1] > 0
+        self.low = self.x.min(1) if some else np.full(3, np.inf)
+        self.high = self.x.max(1) if some else np.full(3, -np.inf)
+        side = self.high - self.low
+        self.volume = float(side[0] * side[1] * side[2]) if some else 0.0
+
+    @staticmethod
+    def _key(x: np.ndarray, origin: np.ndarray, size: float) -> np.ndarray:
+        cell = np.floor((x - origin[:, None]) / size)
+        if not ((cell >= 0) & (cell < _SIDE)).all():
+            raise ValueError(f"a cloud is more than {_SIDE} voxels long, or has infinite points")
+        i, j, k = cell.astype(np.int64)
+        return (i * _SIDE + j) * _SIDE + k
+
+    def _means(self, x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cells, of = np.unique(keys, return_inverse=True)
+        return cells, np.stack([np.bincount(of, weights=c) / np.bincount(of) for c in x])
+
+    def join(self, more: np.ndarray, size: float) -> None:
+        """Takes points (columns) in and has the mean of each voxel then; voxels begin half a size below the least coordinates."""
+        if not more.shape[1] and not self.x.shape[1]:
+            return
+        if self.keys is not None and (not more.shape[1] or (more.min(1) >= self.low).all()):
+            keys = self._key(more, self.origin, size)
+            cells = np.unique(keys)
+            at = np.searchsorted(self.keys, cells)
+            there = at < len(self.keys)
+            there[there] = self.keys[at[there]] == cells[there]
+            held = at[there]
+            _, means = self._means(np.concatenate([self.x[:, held], more], 1), np.concatenate([cells[there], keys]))
+            self.x[:, held] = means[:, there]
+            self.x = np.insert(self.x, at[~there], means[:, ~there], axis=1)
+            self.keys = np.insert(self.keys, at[~there], cells[~there])
+            whole = bool((self._key(means, self.origin, size) == cells).all())
+        else:
+            x = np.concatenate([self.x, more], 1)
+            _, self.x = self._means(x, self._key(x, x.min(1) - size / 2, size))
+            self.keys, whole = None, True
+        self._measured()
+        if self.keys is None or not whole or (self.low - size / 2 != self.origin).any():
+            self.origin = self.low - size / 2
+            keys = self._key(self.x, self.origin, size)
+            self.keys = keys if (np.diff(keys) > 0).all() else None
+
+
+def _overlaps(low: np.ndarray, high: np.ndarray, volume: float, lows: np.ndarray, highs: np.ndarray, volumes: np.ndarray) -> np.ndarray:
+    """Intersection of a box over union or over the smaller with each of many (a row each); 0 without overlap or volume."""
+    side = np.maximum(np.minimum(highs, high) - np.maximum(lows, low), 0)
+    shared = side[:, 0] * side[:, 1] * side[:, 2]
+    out, at = np.zeros(len(lows)), np.flatnonzero((shared > 0) & (volumes > 0)) if volume > 0 else []
+    if len(at):
+        s, v = shared[at], volumes[at]
+        out[at] = np.maximum(s / (volume + v - s), s / np.minimum(volume, v))
+    return out
+
+
+def _similar(a: _Cloud, b: _Cloud, radius: float, box: float) -> float:
+    """Share of near points where the boxes overlap by at least `box`, else 0."""
+    overlap = _overlaps(a.low, a.high, a.volume, b.low[None], b.high[None], np.array([b.volume]))[0]
+    return _near(a.x, b.x, radius) if overlap > 0 and overlap >= box else 0.0
 
 
 def _cloud(value) -> np.ndarray:
@@ -89,36 +165,45 @@ def merge(objects: DataFrame, threshold: float = 0.5, structural_share: float =
 
     def run(room: pd.DataFrame) -> pd.DataFrame:
         nodes: list[dict] = []
+        lows, highs, volumes = np.empty((len(room), 3)), np.empty((len(room), 3)), np.empty(len(room))
+
+        def measured(k: int) -> None:
+            c = nodes[k]["cloud"]
+            lows[k], highs[k], volumes[k] = c.low, c.high, c.volume
+
         for row in room.sort_values("pos").to_dict("records"):
-            cloud = _cloud(row["xyz"])
-            scores = [_similar(cloud, n["cloud"], radius, box) for n in nodes]
-            best = int(np.argmax(scores)) if scores else -1
+            cloud, n = _Cloud(_cloud(row["xyz"])), len(nodes)
             fixed = any(w in row["label"].lower() for w in ("wall", "floor", "window"))
+            score, best = threshold * (structural_share if fixed else 1), -1
+            overlap = _overlaps(cloud.low, cloud.high, cloud.volume, lows[:n], highs[:n], volumes[:n])
+            for k in np.flatnonzero((overlap >= box) & (overlap > 0)):
+                if score >= 1:  # no share is greater
+                    break
+                if (near := _near(cloud.x, nodes[k]["cloud"].x, radius)) > score:
+                    score, best = near, int(k)
             own = {"id": row["object_id"], "labels": [row["label"]], "cloud": cloud, "frames": list(row["frame_indices"]), "from": [row["object_id"]]}
-            if best >= 0 and scores[best] > threshold * (structural_share if fixed else 1):
+            if best >= 0:
                 _join(nodes[best], own, voxel)
+                measured(best)
             else:
                 nodes.append(own)
+                measured(n)
         for _ in range(rounds):
+            n = len(nodes)
+            for k in range(n):
+                measured(k)
             pairs = []
-            for i in range(len(nodes)):
-                for j in range(i + 1, len(nodes)):
-                    a, b = nodes[i]["cloud"], nodes[j]["cloud"]
-                    if len(a) and len(b):
-                        shared = np.prod(np.maximum(np.minimum(a.max(0), b.max(0)) - np.maximum(a.min(0), b.min(0)), 0))
-                        va, vb = np.prod(a.max(0) - a.min(0)), np.prod(b.max(0) - b.min(0))
-                        if shared > 0 and va > 0 and vb > 0:
-                            pairs.append((-max(shared / (va + vb - shared), shared / min(va, vb)), i, j))
+            for i in range(n):
+                overlap = _overlaps(lows[i], highs[i], volumes[i], lows[i + 1 : n], highs[i + 1 : n], volumes[i + 1 : n])
+                pairs += [(-float(overlap[j]), i, int(i + 1 + j)) for j in np.flatnonzero(overlap > box)]
             gone: set[int] = set()
-            for overlap, i, j in sorted(pairs):
-                if -overlap <= box:
-                    break
+            for _overlap, i, j in sorted(pairs):
                 if i not in gone and j not in gone and _similar(nodes[i]["cloud"], nodes[j]["cloud"], radius, box) > again:
                     _join(nodes[j], nodes[i], voxel)
                     gone.add(i)
             nodes = [n for k, n in enumerate(nodes) if k not in gone]
         room_id = room["room_id"].iloc[0]
-        return pd.DataFrame([{"room_id": room_id, "object_id": n["id"], "label": _names(n["labels"]), "xyz": n["cloud"].tolist(), "frame_indices": n["frames"], "merged_from": n["from"]} for n in nodes])
+        return pd.DataFrame([{"room_id": room_id, "object_id": n["id"], "label": _names(n["labels"]), "xyz": n["cloud"].x.T.tolist(), "frame_indices": n["frames"], "merged_from": n["from"]} for n in nodes])
 
     return objects.select("room_id", "pos", "object_id", "label", "xyz", "frame_indices").groupBy("room_id").applyInPandas(run, MERGED)
 
@@ -129,7 +214,7 @@ def _names(labels: Sequence[str]) -> str:
 
 def _join(target: dict, source: dict, voxel: float) -> None:
     target["labels"] += source["labels"]
-    target["cloud"] = _thinned(np.concatenate([target["cloud"], source["cloud"]]), voxel)
+    target["cloud"].join(source["cloud"].x, voxel)
     target["frames"] += source["frames"]
     target["from"] += source["from"]
 

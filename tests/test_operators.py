@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -292,3 +293,29 @@ def test_statistics_of_nothing(spark):
     r = O.statistics(df).first()
     assert (r.total, r.average_points, r.labels) == (0, 0.0, [])
     assert json.dumps(r.asDict(recursive=True))
+
+
+def test_merge_of_a_full_room_ends(spark):
+    """2000 objects crowd in one room: each meets the boxes side by side, and a cloud's voxels are touched where points join."""
+    rng = np.random.default_rng(23)
+    steps = np.array([(a, b, c) for a in (0, 0.03, 0.06) for b in (0, 0.03, 0.06) for c in (0, 0.03, 0.06)])
+    rows = [("r", k, f"o{k}", f"thing {k % 4}", (x + steps).tolist(), [k]) for k, x in enumerate(rng.normal(0, 0.125, (2000, 3)))]
+    df = spark.createDataFrame(rows, "room_id string, pos long, object_id string, label string, xyz array<array<double>>, frame_indices array<int>")
+    began = time.monotonic()
+    got = O.merge(df, radius=0.05).collect()
+    assert time.monotonic() - began < 60
+    assert sorted(x for r in got for x in r.merged_from) == sorted(f"o{k}" for k in range(2000)) and len(got) < 500
+
+
+def test_clouds_join_as_if_thinned_whole():
+    rng = np.random.default_rng(29)
+    x = rng.normal(0, 0.05, (40, 3))
+    cloud = O._Cloud(x)
+    for _ in range(200):
+        more = rng.normal(0, 0.05, (rng.integers(0, 30), 3))
+        x = np.concatenate([x, more])
+        _, of = np.unique(np.floor((x - (x.min(0) - 0.01 / 2)) / 0.01).astype(np.int64), axis=0, return_inverse=True)
+        x = np.stack([np.bincount(of.ravel(), weights=x[:, k]) / np.bincount(of.ravel()) for k in range(3)], axis=1)
+        cloud.join(more.T, 0.01)
+        assert (cloud.x.T == x).all()
+    assert cloud.keys is not None

@@ -5,10 +5,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.work import batches, gathered, rounded, stored
 
 
 def voxel_means(points: DataFrame, size: float, by: Sequence[str] = (), values: Sequence[str] = ("x", "y", "z"), origin: Sequence[float] | None = None) -> DataFrame:
@@ -171,6 +174,71 @@ def overlapping_boxes(items: DataFrame, size: float, dims: Sequence[str] = ("x",
     return met.drop(*(f"_c{c}" for c in first))
 
 
+#: Boxes of a strip, and of a block that it meets at once.
+BOXES_OF_A_STRIP, BOXES_AT_ONCE = 256, 8192
+
+
+def box_similarities(items: DataFrame, contained: bool = False, least: float | None = None, digits: int | None = None) -> DataFrame:
+    """a_id, b_id (a_id < b_id) and similarity of boxes (id, min_*, max_*) that overlap: intersection over union, or over the smaller if that is greater.
+
+    Boxes are ordered along x and stored; a task takes strips of them and goes
+    through what is stored behind each, block by block, so nothing is dealt by
+    cells that many boxes share and each pair is met once. least: only greater
+    similarities. Pairs are as many as overlap, a square where boxes crowd.
+    """
+    spark, dims = items.sparkSession, [f"{m}_{c}" for m in ("min", "max") for c in "xyz"]
+    kind, strip, most = dict(items.dtypes)["id"], BOXES_OF_A_STRIP, BOXES_AT_ONCE
+    boxes = items.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in dims)).dropna()
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    ordered = boxes.repartitionByRange(tasks, "min_x").sortWithinPartitions("min_x")
+    path = stored(ordered.withColumn("row", F.monotonically_increasing_id()), "boxes")
+    kept = spark.read.parquet(path)
+    tasks = max(tasks, -(-kept.count() // 4096))
+
+    def run(parts):
+        columns = ["row", "id", *dims]
+        for mine in gathered(parts, most):
+            a = [mine[c].to_numpy() for c in columns]
+            cuts = [slice(i, i + strip) for i in range(0, len(a[0]), strip)]
+            for block in batches(path, columns, most):
+                b = [block[c].to_numpy() for c in columns]
+                for cut in cuts:
+                    yield from pairs([x[cut] for x in a], b)
+
+    def pairs(a, b):
+        mask = b[0] > a[0].min()
+        for k in (2, 3, 4):
+            mask &= (b[k] < a[k + 3].max()) & (b[k + 3] > a[k].min())
+        if not mask.any():
+            return
+        b = [x[mask] for x in b]
+        met = a[0][:, None] < b[0]
+        for k in (2, 3, 4):
+            met &= a[k][:, None] < b[k + 3]
+            met &= b[k] < a[k + 3][:, None]
+        i, j = np.nonzero(met)
+        va, vb = ((x[5] - x[2]) * (x[6] - x[3]) * (x[7] - x[4]) for x in (a, b))
+        for n in range(0, len(i), 262_144):
+            p, q = i[n : n + 262_144], j[n : n + 262_144]
+            side = [np.minimum(a[k + 3][p], b[k + 3][q]) - np.maximum(a[k][p], b[k][q]) for k in (2, 3, 4)]
+            shared = side[0] * side[1] * side[2]
+            shared[shared == 0] = np.nan  # too small for a number
+            if contained:
+                value = np.maximum(shared / (va[p] + vb[q] - shared), shared / np.minimum(va[p], vb[q]))
+            else:
+                value = shared / (va[p] + vb[q] - shared + 1e-8)
+            x, y = a[1][p], b[1][q]
+            good = (shared > 0) & (x != y)
+            if least is not None:
+                good &= value > least
+            x, y, value = x[good], y[good], value[good]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(rounded(value, digits))], ["a_id", "b_id", "similarity"])
+
+    dealt = kept.repartition(tasks, F.floor(F.col("row") / strip)).sortWithinPartitions("row")
+    out = dealt.mapInArrow(run, "a_id long, b_id long, similarity double")
+    return out.select(F.col("a_id").cast(kind).alias("a_id"), F.col("b_id").cast(kind).alias("b_id"), "similarity")
+
+
 def box_of(p: str) -> G.Box:
     return [F.col(f"{p}_min_{c}") for c in "xyz"], [F.col(f"{p}_max_{c}") for c in "xyz"]
 

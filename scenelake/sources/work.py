@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +28,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """Where the rows are in the shared folder, for tasks that go through all of them in turn."""
+    path = f"{folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def batches(path: str, columns: Sequence[str], rows: int) -> Iterator[pa.Table]:
+    """On a worker: the rows that stored() wrote, about so many at a time."""
+    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    kept, n = [], 0
+    for name in sorted(f.path for f in system.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet")):
+        with system.open_input_file(name) as file:
+            for batch in pq.ParquetFile(file).iter_batches(rows, columns=list(columns)):
+                if kept and n + len(batch) > rows:
+                    yield pa.Table.from_batches(kept)
+                    kept, n = [], 0
+                kept, n = [*kept, batch], n + len(batch)
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
+def gathered(parts: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """A task's rows, so many at a time."""
+    kept, n = [], 0
+    for part in parts:
+        while part.num_rows:
+            kept.append(part.slice(0, rows - n))
+            n, part = n + kept[-1].num_rows, part.slice(rows - n)
+            if n == rows:
+                yield pa.Table.from_batches(kept)
+                kept, n = [], 0
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
+def rounded(x: np.ndarray, digits: int | None) -> np.ndarray:
+    """Half away from zero, as SQL rounds."""
+    if digits is None:
+        return x
+    return np.copysign(np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits, x)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenelake.operators import clustering as K
+from scenelake.operators import points as P
 from scenelake.operators import retrieval as S
 from scenelake.operators import rooms as R
 from scenelake.plans import catalogue
@@ -136,3 +137,30 @@ def test_poses_and_counts_of_all_rooms_and_floors(spark):
     bands = spark.range(n).select(F.col("id").cast("string").alias("floor_id"), F.col("id").cast("double").alias("low"), (F.col("id") + 0.5).alias("high"))
     points = spark.range(n).select((F.col("id") + 0.25).alias("y"))
     assert A.floors_measured(bands, points).filter("n_points <> 1").count() == 0
+
+
+@pytest.mark.parametrize("contained", [False, True])
+def test_boxes_meet_once_whatever_the_blocks(spark, tmp_path, monkeypatch, contained):
+    """Crowded boxes, some equal, some touching, over several strips and blocks, against all pairs."""
+    monkeypatch.setattr(P, "BOXES_OF_A_STRIP", 8, raising=False)
+    monkeypatch.setattr(P, "BOXES_AT_ONCE", 32, raising=False)
+    rng = np.random.default_rng(31)
+    n, ids = 300, rng.permutation(300) * 3
+    x = rng.normal(0, 0.125, (n, 64)).astype(np.float32).astype(np.float64)
+    x[40:60] = x[40]
+    low, high = x[:, :3], x[:, :3] + (np.abs(x[:, 3:6]) + 0.05)
+    want = {}
+    for i in range(n):
+        for j in range(n):
+            side = np.minimum(high[i], high[j]) - np.maximum(low[i], low[j])
+            if ids[i] < ids[j] and (side > 0).all():
+                s, va, vb = side.prod(), (high[i] - low[i]).prod(), (high[j] - low[j]).prod()
+                value = max(s / (va + vb - s), s / min(va, vb)) if contained else s / (va + vb - s + 1e-8)
+                if not contained or value > 0.5:
+                    want[int(ids[i]), int(ids[j])] = value
+    query = catalogue.box_contained_pairs if contained else catalogue.box_iou_pairs
+    rows = query(spark, saved(spark, tmp_path, ids, np.arange(n) % 10, x)).collect()
+    got = {(r.a_id, r.b_id): r[2] for r in rows}
+    assert len(rows) == len(got) and got == pytest.approx(want, abs=1e-6)
+    rows = P.box_similarities(catalogue._boxes(spark, f"file://{tmp_path}"), contained, 0.5).collect()
+    assert {(r.a_id, r.b_id) for r in rows} == {k for k, v in want.items() if v > 0.5}

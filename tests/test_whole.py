@@ -202,3 +202,17 @@ def test_thousands_of_queries_end(spark):
     began = time.monotonic()
     got = S.search_many(v, q, 5).agg(F.count("*"), F.count_if((F.col("rank") == 1) & (F.col("pos") == F.col("query_id")))).first()
     assert time.monotonic() - began < 60 and got[0] == 30_000 and got[1] > 5900
+
+
+def test_probabilities_of_odd_rows(spark, monkeypatch):
+    """One row a pair, null where there is no product."""
+    monkeypatch.setattr(S, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(S, "VECTORS_AT_ONCE", 50, raising=False)
+    v, q = odd_vectors(spark)
+    rows = S.probabilities(v, q, 0.5, -2.0, 9).collect()
+    assert len(rows) == v.count() * q.count()
+    got = {(r.query_id, r.pos): r.probability for r in rows if r.query_id != 3 and r.probability is not None}
+    want = {(r.query_id, r.pos): r.score for r in S._plain(v, q).collect() if r.query_id != 3 and r.score is not None}
+    assert got.keys() == want.keys()
+    for k, s in want.items():
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(np.float64(s) * np.exp(0.5) - 2))), abs=1e-8, nan_ok=True)

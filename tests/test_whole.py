@@ -216,3 +216,29 @@ def test_probabilities_of_odd_rows(spark, monkeypatch):
     assert got.keys() == want.keys()
     for k, s in want.items():
         assert got[k] == pytest.approx(1 / (1 + np.exp(-(np.float64(s) * np.exp(0.5) - 2))), abs=1e-8, nan_ok=True)
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_modalities_by_blocks_are_the_plain_ones(spark, monkeypatch, odd):
+    """Copies, a flat modality, and, if odd, rows that have no score or share a key."""
+    monkeypatch.setattr(S, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(S, "VECTORS_AT_ONCE", 50, raising=False)
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(300, 8)).astype(np.float32).astype(float)
+    x[50:120] = x[50]
+    asked = x[45:65].copy()
+    asked[3, 4:] = 0
+    rows, ask = [(k * 7 % 301, r.tolist()) for k, r in enumerate(x)], [(k, r.tolist()) for k, r in enumerate(asked)]
+    if odd:
+        rows += [(0, [1.0] * 8), (1000, None), (1001, [1.0] * 5)]
+        ask += [(3, [2.0] * 8), (90, None)]
+    v = spark.createDataFrame(rows, "pos long, vec array<float>").repartition(5)
+    q = spark.createDataFrame(ask, "query_id long, qvec array<float>").repartition(3)
+    parts = {"text": (1, 4), "visual": (5, 4)}
+    plain = S.modal_scores(v, q, parts)
+    want = {(r.query_id, r.pos): r.fused for r in S.fused_mean(plain).collect()}
+    got = S.fused_modalities(v, q, parts).collect()
+    assert len(got) == len(want) and {(r.query_id, r.pos): r.fused for r in got if r.fused is not None} == pytest.approx({k: x for k, x in want.items() if x is not None}, abs=1e-9)
+    top = lambda df: sorted((r.query_id, r["rank"], r.pos, None if r.score is None else round(r.score, 8)) for r in df.collect())
+    for k in (4, 80, 400):
+        assert top(S.rank_modalities(v, q, parts, k)) == top(S.rank_by_zscores(plain, k))

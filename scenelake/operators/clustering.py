@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -206,26 +206,32 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
 
 
 def condensed_clusters(distance: np.ndarray, min_cluster_size: int, min_samples: int | None = None) -> np.ndarray:
-    """Hierarchical density clusters of a distance matrix; -1 is noise.
+    """Hierarchical density clusters of a distance matrix; -1 is noise."""
+    return clusters_by(lambda i, j: distance[i:j], len(distance), min_cluster_size, min_samples)
+
+
+def clusters_by(distances: Callable[[int, int], np.ndarray], n: int, min_cluster_size: int, min_samples: int | None = None) -> np.ndarray:
+    """Hierarchical density clusters of n rows; -1 is noise. distances(i, j): those from the rows i to j - 1 to all, asked for a few rows at a time.
 
     Mutual reachability, its minimum spanning tree, the condensed tree of
     clusters of at least min_cluster_size, and the selection of greatest excess
-    of mass (Campello, Moulavi and Sander 2013); the root is no cluster.
+    of mass (Campello, Moulavi and Sander 2013); the root is no cluster. The
+    time grows with the square of n, the memory with n.
     """
-    n = len(distance)
     if n < 2 or n < min_cluster_size:
         return np.full(n, -1)
-    core = np.sort(distance, axis=1)[:, min(min_samples or min_cluster_size, n) - 1]
-    reach = np.maximum(np.maximum(core[:, None], core[None, :]), distance)
-    best, parent, done, tree = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool), []
-    node = 0
-    done[0] = True
+    k, few = min(min_samples or min_cluster_size, n) - 1, max(1, (1 << 20) // n)
+    core = np.concatenate([np.partition(distances(i, min(i + few, n)), k, axis=1)[:, k].copy() for i in range(0, n, few)])
+    # rows not yet in the tree, in order
+    rest, best, parent, tree, node = np.arange(1, n), np.full(n - 1, np.inf), np.zeros(n - 1, np.int64), [], 0
     for _ in range(n - 1):
-        closer = ~done & (reach[node] < best)
-        best[closer], parent[closer] = reach[node][closer], node
-        node = int(np.argmin(np.where(done, np.inf, best)))
-        done[node] = True
-        tree.append((best[node], parent[node], node))
+        reach = np.maximum(np.maximum(core[node], core[rest]), distances(node, node + 1)[0][rest])
+        closer = reach < best
+        best[closer], parent[closer] = reach[closer], node
+        at = int(np.argmin(best))
+        node = int(rest[at])
+        tree.append((best[at], parent[at], node))
+        rest, best, parent = (np.delete(x, at) for x in (rest, best, parent))
     # single linkage: children and height of each merge
     tree.sort(key=lambda e: e[0])
     root, size, left, height = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}, {}
@@ -329,13 +335,23 @@ def representative(x: np.ndarray, min_cluster_size: int = 15, rotation_weight: f
     x = scaled_features(x)
     size = np.linalg.norm(x, axis=1, keepdims=True)
     unit = x / np.where(size > 0, size, 1)
-    labels = condensed_clusters(np.clip(1 - unit @ unit.T, 0, 2), min_cluster_size, min_samples)
+    columns = np.ascontiguousarray(unit.T)
+
+    def distances(i: int, j: int) -> np.ndarray:
+        """By cosine, summed in one order whatever the rows."""
+        total = np.zeros((j - i, len(x)))
+        for c in columns:
+            if c.any():
+                total += c[i:j, None] * c
+        return np.clip(1 - total, 0, 2)
+
+    labels = clusters_by(distances, len(x), min_cluster_size, min_samples)
     out = []
     for k in range(labels.max() + 1):
         at = np.flatnonzero(labels == k)
-        d = np.zeros(len(at))
-        for i in range(0, len(at), 256):
-            d[i : i + 256] = np.linalg.norm(x[at[i : i + 256], None] - x[None, at], axis=2).sum(1)
+        d, few = np.zeros(len(at)), max(1, (1 << 18) // len(at))
+        for i in range(0, len(at), few):
+            d[i : i + few] = np.linalg.norm(x[at[i : i + few], None] - x[None, at], axis=2).sum(1)
         out.append(int(at[np.argmin(np.round(d, 9))]))
     return sorted(out) if out else list(range(len(x)))
 

@@ -319,3 +319,31 @@ def test_clouds_join_as_if_thinned_whole():
         cloud.join(more.T, 0.01)
         assert (cloud.x.T == x).all()
     assert cloud.keys is not None
+
+
+def test_keyframes_of_a_full_room_need_no_matrix():
+    """12000 poses of one room: their distances would be 1152 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(31)
+    poses = np.c_[rng.normal(0, 0.125, (12_000, 3)), np.zeros((12_000, 3)), np.ones(12_000)]
+    tracemalloc.start()
+    keep = K.representative(poses, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6 and 100 < len(keep) < 12_000
+
+
+def test_clusters_do_not_depend_on_how_distances_come():
+    rng = np.random.default_rng(37)
+    x = rng.normal(size=(400, 3))
+    x[100:140] = x[100]
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    want = K.condensed_clusters(d, 5)
+    asked = []
+
+    def some(i, j):
+        asked.append(j - i)
+        return d[i:j]
+
+    assert (K.clusters_by(some, 400, 5) == want).all() and want.max() > 0 and len(asked) >= 400

@@ -153,7 +153,7 @@ class _Block:
         return ids[np.searchsorted(self.offsets, self.head, "right") - 1] if len(self.head) else np.zeros(0, np.int64)
 
     def anchors(self, buckets: int) -> list[tuple[int, bytes]]:
-        """For each bucket the distinct anchors, which of them two documents of this block hold, and how many stretches each has."""
+        """For each bucket the distinct anchors (without what they have in common there, the remainder), which of them two documents of this block hold, and how many stretches each has."""
         distinct, which, many = np.unique(self.value, return_inverse=True, return_counts=True)
         doc = self.docs()
         low = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -161,7 +161,7 @@ class _Block:
         np.minimum.at(low, which, doc)
         np.maximum.at(high, which, doc)
         twice = low != high
-        return [(b, X.pack(X.narrow(np.diff(distinct[at], prepend=np.uint64(0))), np.packbits(twice[at]), X.narrow(many[at]))) for b, at in X.split_buckets((distinct % np.uint64(buckets)).astype(np.int64))]
+        return [(b, X.pack(X.narrow(np.diff(distinct[at] // np.uint64(buckets), prepend=np.uint64(0))), np.packbits(twice[at]), X.narrow(many[at]))) for b, at in X.split_buckets((distinct % np.uint64(buckets)).astype(np.int64))]
 
     def repeated(self, answers: dict[int, bytes], buckets: int, width: int) -> None:
         """Keeps the stretches whose anchors repeat, and finds the distinct ones."""
@@ -193,7 +193,7 @@ class _Block:
         out = []
         for b, at in X.split_buckets(self.goes):
             size, data = X.unpack(X.pack_words(self.text.take(pa.array(at))))
-            out.append((b, X.pack(size, data, self.least[at], level=3)))
+            out.append((b, X.pack(size, data, np.diff(self.least[at], prepend=0), level=3)))
         return out
 
     def put_repeated(self, folder: str, block: int) -> None:
@@ -272,7 +272,7 @@ def _sorted_windows(width: int, table: pa.Table) -> pa.Table:
     each = [X.unpack(b) for b in table.column("blob").to_pylist()]
     found = pa.chunked_array([X.binaries(size, data) for size, data, _ in each], pa.binary()).combine_chunks().dictionary_encode()
     text, entry = found.dictionary, found.indices.to_numpy()
-    docs = np.concatenate([d for _, _, d in each])
+    docs = np.concatenate([np.cumsum(d) for _, _, d in each])
     least = np.full(len(text), np.iinfo(np.int64).max)
     np.minimum.at(least, entry, docs)
     bounds = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4).astype(np.int64)
@@ -319,7 +319,7 @@ def cut(docs: DataFrame, width: int = 50, gram: int = GRAM) -> DataFrame:
         block = _Block.read(folder, number)
         block.repeated(answers, n, width)
         block.put_repeated(folder, number)
-        yield X.messages(number, block.stretches(), True)
+        yield X.messages(number, block.stretches())
 
     def apply(number: int, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         block = _Block.read(folder, number)
@@ -344,13 +344,15 @@ def cut(docs: DataFrame, width: int = 50, gram: int = GRAM) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*columns, kept, pa.array(size), pa.array(size - left), spans], [*block.rest.column_names, *RESULT])
 
     anchors = X.exchanged(docs, hold, folder)
-    known = X.answered(anchors.filter("bucket >= 0"), functools.partial(_seen_twice, most), X.MESSAGE)
-    windows = X.saved(X.by_block(anchors, known, n, distinct, X.MESSAGE), folder, "stretches")
+    names = X.saved(anchors.filter("bucket < 0").coalesce(1), folder, "names")
+    known = X.saved(X.answered(anchors.filter("bucket >= 0"), functools.partial(_seen_twice, most), X.MESSAGE), folder, "known")
     X.dropped(spark, f"{folder}/messages")
-    answers = X.answered(windows.filter("bucket >= 0"), functools.partial(_sorted_windows, width), X.MESSAGE)
+    # stretches are the most that moves: they go from their blocks to the buckets and are not put to a table before
+    windows = X.by_block(names, known, n, distinct, X.MESSAGE)
+    answers = X.answered(windows, functools.partial(_sorted_windows, width), X.MESSAGE)
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
     schema = T.StructType([*rest, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
-    return X.by_block(windows, answers, n, apply, schema)
+    return X.by_block(names, answers, n, apply, schema)
 
 
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:

@@ -88,6 +88,21 @@ def test_repeats_of_odd_rows(spark):
     assert got == {1: 0, 2: len(long[1000:2_000_000]), 3: 0}
 
 
+def test_repeats_put_no_stretches_to_tables(spark, tmp_path, monkeypatch):
+    """What is left in the shared folder beside the blocks' files is far less than the text that repeats; anchors travel without what their bucket says."""
+    monkeypatch.setattr(exchange, "workdir", lambda _: f"file://{tmp_path}/work")
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 40_000)
+    rng = random.Random(47)
+    passages = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000)) for _ in range(60)]
+    got = {r.doc_id: r.n_removed for r in repeats.cut(frame(spark, [(i, f"{i} {passages[i % 60]}") for i in range(120)])).collect()}
+    assert all(got[i] >= 2000 if i >= 60 else got[i] == 0 for i in range(120))
+    assert sum(f.stat().st_size for f in (tmp_path / "work").glob("*/*.parquet")) < 60_000
+    block = repeats._Block()
+    block.value, block.docs = np.arange(0, 70_000, 7, dtype=np.uint64), lambda: np.zeros(10_000, np.int64)
+    gaps = {b: exchange.unpack(x)[0] for b, x in block.anchors(100)}
+    assert sorted(int(v) * 100 + b for b, x in gaps.items() for v in np.cumsum(x, dtype=np.uint64)) == block.value.tolist()
+
+
 def brute_overlap(rows, items, width=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows: dict = {}

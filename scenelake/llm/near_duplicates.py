@@ -92,16 +92,19 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
 
 
 class Block:
-    """A block's documents and its classes of equal sets, as its file has them. A class is numbered block << 16 | its place."""
+    """A block's documents and its classes of equal sets, as its file has them. A class is numbered block << 16 | its place.
+
+    A class keeps its sketch and one text: hashes don't compress and a set takes
+    more than its text, so whole sets are made again where they are asked for.
+    """
 
     HEAD = ("doc_id", "null", "text_hash", "place", "size", "first", "second", "least", "sketch")
 
-    def __init__(self, folder: str, number: int, head: dict[str, np.ndarray], values: np.ndarray | None = None):
-        self.folder, self.number, self.head, self.values = folder, number, head, values
+    def __init__(self, folder: str, number: int, head: dict[str, np.ndarray], shingle: int, texts: pa.Array | None = None):
+        self.folder, self.number, self.head, self.shingle, self.texts = folder, number, head, shingle, texts
         self.size = head["size"].astype(np.int64)
         self.rid = (number << 16) + np.arange(len(self.size))
         self.kept = np.minimum(self.size, SKETCH)
-        self.bounds = np.append(0, np.cumsum(self.size))
 
     @classmethod
     def made(cls, folder: str, number: int, table: pa.Table, shingle: int) -> Block:
@@ -109,7 +112,7 @@ class Block:
         ids = table.column("doc_id").combine_chunks()
         null = np.asarray(ids.is_null())
         doc_id = ids.fill_null(_NONE).to_numpy()
-        place, seen, own, prints, least = np.zeros(len(ids), np.int64), {}, [], [], []
+        place, seen, own, rows, prints, least = np.zeros(len(ids), np.int64), {}, [], [], [], []
         for k in range(len(ids)):
             part = values[bounds[k] : bounds[k + 1]]
             if not len(part):
@@ -118,6 +121,7 @@ class Block:
             if name not in seen:
                 seen[name] = len(own)
                 own.append(part)
+                rows.append(k)
                 prints.append(name)
                 least.append(_NONE)
             place[k] = 1 + seen[name]
@@ -128,20 +132,31 @@ class Block:
             "doc_id": doc_id, "null": null.astype(np.uint8), "text_hash": table.column("text_hash").to_numpy(), "place": X.narrow(place),
             "size": X.narrow(np.array([len(x) for x in own], np.int64)), "first": prints[:, 0], "second": prints[:, 1], "least": np.array(least, np.int64), "sketch": flat([x[:SKETCH] for x in own]),
         }
-        return cls(folder, number, head, flat(own))
+        return cls(folder, number, head, shingle, table.column("text").combine_chunks().take(pa.array(rows, pa.int64())))
 
     def write(self) -> None:
         head = X.pack(*(self.head[k] for k in self.HEAD))
+        buf, offsets = S.joined(self.texts)
         with shared_files.written(f"{self.folder}/sets/{self.number}") as out:
-            out.write(struct.pack("<Q", len(head)) + head + X.pack(self.values))
+            out.write(struct.pack("<QQ", len(head), self.shingle) + head + X.pack(X.narrow(np.diff(offsets)), buf, level=3))
 
     @classmethod
     def read(cls, folder: str, number: int, whole: bool = False) -> Block:
         system, path = shared_files.opened(f"{folder}/sets/{number}")
         with system.open_input_file(path) as f:
-            (n,) = struct.unpack("<Q", f.read(8))
+            n, shingle = struct.unpack("<QQ", f.read(16))
             head = dict(zip(cls.HEAD, X.unpack(f.read(n)), strict=True))
-            return cls(folder, number, head, X.unpack(f.read())[0] if whole else None)
+            return cls(folder, number, head, shingle, X.binaries(*X.unpack(f.read())).view(pa.string()) if whole else None)
+
+    def sets(self, at: np.ndarray, whole: bool) -> list[bytes]:
+        """The hashes of each of these classes, all or only the sketch."""
+        own, of = np.unique(at, return_inverse=True)
+        if whole:
+            values, bounds = shingle_hashes(self.texts.take(pa.array(own)), self.shingle)
+        else:
+            values, bounds = X.lists_at(np.append(0, np.cumsum(self.kept)), self.head["sketch"], own)
+        sets = [values[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(own))]
+        return [sets[k] for k in of]
 
     def dealt(self, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
         """Distinct retained values, in how many classes each is, and for each bucket its values and classes."""
@@ -189,7 +204,7 @@ def _scan(folder: str, shingle: int, n: int, limit: int, rows_at: str | None):
                 values, times, dealt = block.dealt(n)
                 rows = [{"block": number, "bucket": -1, "blob": None}]
                 for b, (at, own) in dealt.items():
-                    rows.append({"block": number, "bucket": b, "blob": X.pack(np.diff(values[at], prepend=np.uint64(0)), X.narrow(times[at]), block.head["first"][own], block.head["second"][own], X.narrow(own), block.head["least"][own])})
+                    rows.append({"block": number, "bucket": b, "blob": X.pack(np.diff(values[at] // np.uint64(n), prepend=np.uint64(0)), X.narrow(times[at]), block.head["first"][own], block.head["second"][own], X.narrow(own), block.head["least"][own])})
                 yield pa.RecordBatch.from_pylist(rows, _MESSAGE)
                 number += 1
 
@@ -470,8 +485,7 @@ def _fetched(asked: DataFrame, folder: str, n: int, whole: bool) -> DataFrame:
     def fetch(table: pa.Table) -> pa.Table:
         block = Block.read(folder, table.column("block")[0].as_py(), whole)
         at = table.column("rid").to_numpy() & 0xFFFF
-        values, bounds = (block.values, block.bounds) if whole else (block.head["sketch"], np.append(0, np.cumsum(block.kept)))
-        sets = [values[bounds[k] : bounds[k + 1]].tobytes() for k in at]
+        sets = block.sets(at, whole)
         return table.drop_columns(["block"]).append_column("members", pa.array(sets, pa.large_binary() if sum(map(len, sets)) > 1 << 30 else pa.binary()))
 
     got = asked.select(F.shiftright("rid", 16).alias("block"), "c1", "c2", "rid", "component", "asks").repartition(n, "block").groupBy("block").applyInArrow(fetch, "c1 long, c2 long, rid long, component long, asks boolean, members binary")
@@ -574,7 +588,11 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, fol
     sent = X.saved(docs.mapInArrow(X.tidy(_scan(folder, shingle, n, BLOCK_BYTES, rows_at)), MESSAGE), folder, "messages")
     counts = X.answered(sent.filter("bucket >= 0"), _counted, MESSAGE)
     posted = X.saved(counts.repartition(n, "block").groupBy("block").applyInArrow(_postings(folder, n, num, den, LIST), POSTED), folder, "postings")
+    names = X.saved(sent.select("block", "bucket").filter("bucket = -1").select("block"), folder, "names")
+    X.dropped(spark, f"{folder}/messages")
     listed = X.saved(X.answered(posted.filter("kind = 0").select("block", "bucket", "blob"), _lists(num, den, FOLLOWERS), LISTED), folder, "lists")
+    classes = X.saved(posted.filter("kind = 1").select("rid", "rep", "doc"), folder, "classes")
+    X.dropped(spark, f"{folder}/postings")
     follow = listed.filter("kind = 0")
     if not (pieces := listed.filter("kind = 2")).isEmpty():
         met = pieces.mapInArrow(_met(n), LISTED).withColumnRenamed("kind", "bucket")
@@ -588,11 +606,10 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, fol
     more = _across(listed.filter("kind = 1").select("rid", "value"), label, folder, n, num, den)
     if not more.isEmpty():
         label = X.saved(components(links.unionByName(more), f"{folder}/second"), folder, "labels-2")
-    classes = posted.filter("kind = 1").select("rid", "rep", "doc")
     least = label.join(classes.filter("rid = rep").select(F.col("rep").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("id"), F.count("*").alias("w"))
     ids = X.spread_join(label, least, "component", "w", label.count()).select(F.col("node").alias("rep"), "id")
     named = classes.join(ids, "rep", "left").select(F.shiftright("rid", 16).alias("block"), "rid", "doc", F.coalesce("id", "doc").alias("id"))
-    whole = named.unionByName(sent.filter("bucket = -1").select("block", *(F.lit(None).cast("long").alias(x) for x in ("rid", "doc", "id"))))
+    whole = named.unionByName(names.select("block", *(F.lit(None).cast("long").alias(x) for x in ("rid", "doc", "id"))))
 
     def result(table: pa.Table) -> pa.Table:
         block = Block.read(folder, table.column("block")[0].as_py())

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -177,6 +178,30 @@ def test_near_copies(spark, rows, monkeypatch, shingle, most, cell, block):
     assert Counter(k[2] for k in want).most_common(1)[0][1] > 10
 
 
+def test_sets_are_kept_as_texts(spark, tmp_path):
+    """Blocks' files are far smaller than the hashes of all shingles, tables that nothing reads any more are gone, and sets come back whole."""
+    rng = random.Random(53)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(2000)) for _ in range(40)]
+    rows = [(i, texts[i % 40] + " end" * (i // 40)) for i in range(80)] + [(90, None), (91, "é One"), (92, "É one")]
+    folder = f"file://{tmp_path}/groups"
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.groups(frame(spark, rows), 2, folder=folder).collect()}
+    assert all(got[i][1] == i % 40 for i in range(80)) and got[90] == (0, 90) and got[91] == (1, 91) and got[92] == (1, 92)
+    files = [f for f in (tmp_path / "groups" / "sets").iterdir() if not f.name.startswith(".")]
+    assert sum(f.stat().st_size for f in files) < 4 * sum(n for n, _ in got.values())
+    assert not (tmp_path / "groups" / "messages").exists() and not (tmp_path / "groups" / "postings").exists()
+    of = {}
+    for f in files:
+        block = near_duplicates.Block.read(folder, int(f.name), True)
+        at = np.arange(len(block.size))[::-1].repeat(2)
+        for k, whole, least in zip(at, block.sets(at, True), block.sets(at, False), strict=True):
+            of[int(block.head["least"][k])] = whole
+            assert len(whole) == 8 * block.size[k] and least == whole[: 8 * 64]
+    for i in (3, 45, 91):
+        text = dict(rows)[i]
+        assert of[i] == near_duplicates.shingle_hashes(pa.array([text]), 2)[0].tobytes()
+
+
 def test_near_copies_of_odd_rows(spark):
     df = frame(spark, [(5, "a b c"), (5, "a b c"), (9, "A b  c"), (None, "a b c"), (6, None), (7, ""), (8, None)])
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in near_duplicates.groups(df, 2).collect())

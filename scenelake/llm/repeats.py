@@ -344,7 +344,7 @@ def cut(docs: DataFrame, width: int = 50, gram: int = GRAM) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*columns, kept, pa.array(size), pa.array(size - left), spans], [*block.rest.column_names, *RESULT])
 
     anchors = X.exchanged(docs, hold, folder)
-    names = X.saved(anchors.filter("bucket < 0").coalesce(1), folder, "names")
+    names = X.saved(anchors.select("block", "bucket").filter("bucket < 0"), folder, "names")
     known = X.saved(X.answered(anchors.filter("bucket >= 0"), functools.partial(_seen_twice, most), X.MESSAGE), folder, "known")
     X.dropped(spark, f"{folder}/messages")
     # stretches are the most that moves: they go from their blocks to the buckets and are not put to a table before

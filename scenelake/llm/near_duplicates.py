@@ -26,8 +26,8 @@ bounded size: first their sketches, then, of those that still may be similar,
 the full sets; a cell gives one link for each document and component. So no group is expanded into its pairs, unrelated documents are not
 compared, and no link between components is left out.
 
-Sets lie in one file a block of documents in the shared folder, and are fetched
-where a block's documents are asked for; only those move. Keys are counted in
+Sketches and texts lie in one file a block of documents in the shared folder; sets
+are made again where a block's documents are asked for; only those move. Keys are counted in
 packed messages (see exchange), and joins by nodes or lists of very many rows
 are spread, so no task holds a hot key.
 

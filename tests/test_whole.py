@@ -12,6 +12,7 @@ from scenelake.operators import retrieval as S
 from scenelake.operators import rooms as R
 from scenelake.plans import catalogue
 from scenelake.sources import annotations as A
+from scenelake.sources import work as W
 
 
 def saved(spark, folder, ids, labels, vectors):
@@ -242,3 +243,35 @@ def test_modalities_by_blocks_are_the_plain_ones(spark, monkeypatch, odd):
     top = lambda df: sorted((r.query_id, r["rank"], r.pos, None if r.score is None else round(r.score, 8)) for r in df.collect())
     for k in (4, 80, 400):
         assert top(S.rank_modalities(v, q, parts, k)) == top(S.rank_by_zscores(plain, k))
+
+
+def test_rounded_numbers_leave_in_order():
+    """The same rows in stretches of so many, each ordered, also with what is no number, -0.0 and what is too great for a key."""
+    rng = np.random.default_rng(43)
+    for odd in ([], [np.nan, np.inf, -np.inf], [1e300]):
+        x = np.r_[np.round(rng.normal(size=997), 2), odd, -0.0]
+        rows = (np.arange(len(x)), x)
+        parts = [tuple(c[n : n + 90] for c in rows) for n in range(0, len(x), 90)]
+        place, got = (np.concatenate(c) for c in zip(*W.in_order(iter(parts), 2, 400), strict=True))
+        assert sorted(place) == list(range(len(x))) and np.array_equal(got, x[place], equal_nan=True) and np.array_equal(np.signbit(got), np.signbit(x[place]))
+        for n in range(0, len(x), 400):
+            assert (np.diff(got[n : n + 400][~np.isnan(got[n : n + 400])]) >= 0).sum() == (~np.isnan(got[n : n + 400])).sum() - 1
+        assert np.array_equal(np.concatenate([p[0] for p in W.in_order(iter(parts), None, 400)]), rows[0])
+
+
+def stretches(df, name):
+    """How often a number is less than the one before it in its partition, and how many numbers there are."""
+    rows = df.select(F.spark_partition_id().alias("part"), name).collect()
+    return sum(a.part == b.part and b[1] < a[1] for a, b in zip(rows, rows[1:], strict=False)), len(rows)
+
+
+def test_box_pairs_leave_in_order_of_similarity(spark, tmp_path, monkeypatch):
+    """Pairs are as many as overlap, so what one takes on disk counts: equal similarities are neighbours."""
+    rng = np.random.default_rng(47)
+    x = rng.normal(0, 0.125, (400, 64)).astype(np.float32).astype(np.float64)
+    at = saved(spark, tmp_path, np.arange(400), np.arange(400) % 10, x)
+    falls, n = stretches(catalogue.box_iou_pairs(spark, at), "iou")
+    assert n > 10_000 and falls == 0
+    monkeypatch.setattr(P, "BOX_PAIRS_AT_ONCE", 100, raising=False)
+    falls, again = stretches(catalogue.box_iou_pairs(spark, at), "iou")
+    assert again == n and 0 < falls <= n / 100

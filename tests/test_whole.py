@@ -275,3 +275,32 @@ def test_box_pairs_leave_in_order_of_similarity(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(P, "BOX_PAIRS_AT_ONCE", 100, raising=False)
     falls, again = stretches(catalogue.box_iou_pairs(spark, at), "iou")
     assert again == n and 0 < falls <= n / 100
+
+
+def many_pairs(spark, folder):
+    rng = np.random.default_rng(53)
+    x = rng.normal(0, 0.125, (1200, 64)).astype(np.float32).astype(np.float64)
+    x[100:200] = x[100]
+    return x, saved(spark, folder, np.arange(1200) * 2, np.arange(1200) % 10, x)
+
+
+def test_probabilities_leave_in_order(spark, tmp_path, monkeypatch):
+    """Every pair is a row, so what one takes on disk counts: equal numbers are neighbours, however many a task holds."""
+    x, at = many_pairs(spark, tmp_path)
+    query = catalogue.QUERIES["sigmoid_prob"]
+    falls, n = stretches(query(spark, at), "probability")
+    assert n == 144_000 and falls == 0
+    monkeypatch.setattr(S, "PAIRS_AT_ONCE", 4000, raising=False)
+    rows = query(spark, at).collect()
+    want = 1 / (1 + np.exp(-(x[::10] @ x.T * np.exp(1.5) - 2)))
+    assert len({(r.query_id, r.pos) for r in rows}) == len(rows) == n
+    assert max(abs(want[r.query_id // 20, r.pos // 2] - r.probability) for r in rows) < 1e-6
+    falls, _ = stretches(query(spark, at), "probability")
+    assert 0 < falls < 60
+
+
+def test_rows_go_by_query_where_keys_fit_no_dictionary(spark, tmp_path, monkeypatch):
+    _, at = many_pairs(spark, tmp_path)
+    monkeypatch.setattr(S, "DICTIONARY", 1000, raising=False)
+    rows = catalogue.QUERIES["sigmoid_prob"](spark, at).select(F.spark_partition_id().alias("part"), "query_id").collect()
+    assert len(rows) == 144_000 and sum(a != b for a, b in zip(rows, rows[1:], strict=False)) < 500

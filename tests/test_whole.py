@@ -304,3 +304,17 @@ def test_rows_go_by_query_where_keys_fit_no_dictionary(spark, tmp_path, monkeypa
     monkeypatch.setattr(S, "DICTIONARY", 1000, raising=False)
     rows = catalogue.QUERIES["sigmoid_prob"](spark, at).select(F.spark_partition_id().alias("part"), "query_id").collect()
     assert len(rows) == 144_000 and sum(a != b for a, b in zip(rows, rows[1:], strict=False)) < 500
+
+
+def test_fused_scores_leave_in_order(spark, tmp_path, monkeypatch):
+    """As probabilities do, also where a task makes them class by class."""
+    x, at = many_pairs(spark, tmp_path)
+    query = catalogue.QUERIES["fuse_zscore_two_modalities"]
+    falls, n = stretches(query(spark, at), "fused")
+    assert n == 144_000 and falls == 0
+    monkeypatch.setattr(S, "PAIRS_AT_ONCE", 4000, raising=False)
+    rows = query(spark, at).collect()
+    halves = [x[::10][:, h] @ x[:, h].T for h in (slice(0, 32), slice(32, 64))]
+    want = sum((s - s.mean(1, keepdims=True)) / s.std(1, keepdims=True) for s in halves) / 2
+    assert len({(r.query_id, r.pos) for r in rows}) == len(rows) == n
+    assert max(abs(want[r.query_id // 20, r.pos // 2] - r.fused) for r in rows) < 1e-6
